@@ -103,7 +103,11 @@ def value_ranks(df, key, value, buckets=1024, weight=None):
     )
     x = F.col(value).cast("double")
     b = F.when(F.col("_hi") > F.col("_lo"), F.floor((x - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * buckets)).otherwise(0)
-    rows = (counts.join(ends, key) if key else counts.crossJoin(F.broadcast(ends))).withColumn("_b", b.cast("int")).drop("_lo", "_hi")
+    if key:
+        rows = counts.join(ends, key)
+    else:
+        rows = counts.withColumn("_e", ends.select(F.struct(*ends.columns)).scalar()).select(*counts.columns, "_e.*")
+    rows = rows.withColumn("_b", b.cast("int")).drop("_lo", "_hi")
     tmp = rows if key else rows.withColumn("_k", F.lit(0))
     out = running(tmp, key or ["_k"], "_b", value, exclusive=True, n_less=("sum", "n_eq"))
     return out.withColumn("n_less", F.coalesce("n_less", F.lit(0)).cast("bigint")).drop("_b", "_k")
