@@ -316,13 +316,15 @@ def agg_30(spark, sf):
     return E.verdict_counts(q.scores_at(spark, sf, "2024-01-22 12:00:00"))
 
 
-BUYS = "SELECT o_orderkey AS accession, o_orderpriority AS symbol, o_orderdate::DATE AS et_date, 'o' || (o_custkey % 40) AS owner, o_totalprice * 2.5 AS value_usd FROM orders WHERE o_orderkey % 40 = 3"
+BUYS = "SELECT o_orderkey AS accession, 'issuer ' || (o_custkey // 4) AS symbol, o_orderdate::DATE AS et_date, 'owner ' || o_custkey AS owner, o_totalprice * 2.5 AS value_usd FROM orders"
 
 
 @query("agg_31_insider_clusters", f"SELECT accession, CASE WHEN value_usd >= 1e6 THEN 'big' ELSE 'multi' END AS reason FROM (SELECT b.*, (SELECT count(DISTINCT p.owner) FROM ({BUYS}) p WHERE p.symbol = b.symbol AND p.et_date BETWEEN b.et_date - 30 AND b.et_date) AS k FROM ({BUYS}) b) WHERE value_usd >= 1e6 OR k >= 2")
 def agg_31(spark, sf):
-    o = table(spark, sf, "orders", "o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate", "o_totalprice").filter("o_orderkey % 40 = 3")  # purchases among the filings
-    b = o.select(F.col("o_orderkey").alias("accession"), F.col("o_orderpriority").alias("symbol"), F.to_date("o_orderdate").alias("et_date"), F.concat(F.lit("o"), (F.col("o_custkey") % 40).cast("string")).alias("owner"), (F.col("o_totalprice") * 2.5).alias("value_usd"))
+    o = table(spark, sf, "orders", "o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
+    b = o.select(
+        F.col("o_orderkey").alias("accession"), F.concat(F.lit("issuer "), F.floor(F.col("o_custkey") / 4).cast("string")).alias("symbol"), F.to_date("o_orderdate").alias("et_date"),
+        F.concat(F.lit("owner "), F.col("o_custkey").cast("string")).alias("owner"), (F.col("o_totalprice") * 2.5).alias("value_usd"))
     return E.insider_clusters(b).select("accession", "reason")
 
 
@@ -444,10 +446,10 @@ def agg_45(spark, sf):
     return t.groupBy("symbol", "segment", "lev").agg((F.product(1 + fin.levered(F.col("ret"), F.col("lev"), 0.06, F.lit(900))) - 1).alias("total"))
 
 
-@query("agg_46_state_coverage", f"SELECT symbol, avg((l.et_date IS NOT NULL)::INT) AS coverage, count(*) FILTER (WHERE l.off) AS off_days FROM {{{{panel_day}}}} LEFT JOIN (SELECT symbol, et_date, s1_off AS off FROM ({SW}) WHERE d % 9 <> 0) l USING (symbol, et_date) GROUP BY symbol", dbl="coverage")
+@query("agg_46_state_coverage", f"SELECT symbol, avg((l.et_date IS NOT NULL)::INT) AS coverage, count(*) FILTER (WHERE l.off) AS off_days FROM {{{{panel_day}}}} LEFT JOIN (SELECT symbol, et_date, s1_off AS off FROM ({SW}) WHERE volume >= 2) l USING (symbol, et_date) GROUP BY symbol", dbl="coverage")
 def agg_46(spark, sf):
     s = R.bear_switches(v.panel_day(spark, sf), dd=-0.8)
-    live = s.filter("d % 9 <> 0").select("symbol", "et_date", F.col("s1_off").alias("off"))
+    live = s.filter("volume >= 2").select("symbol", "et_date", F.col("s1_off").alias("off"))
     j = s.select("symbol", "et_date").join(live, ["symbol", "et_date"], "left")
     return j.groupBy("symbol").agg(F.avg(F.col("off").isNotNull().cast("int")).alias("coverage"), F.count(F.when(F.col("off"), 1)).alias("off_days"))
 

@@ -125,9 +125,9 @@ def jn_10(spark, sf):
     return J.entry_bar(v.bars_1h(spark, sf), v.bars_15m(spark, sf), 60).select("symbol", "ts", "entry_ts", "entry_open")
 
 
-@query("jn_11_day_flag", f"SELECT t.symbol, t.ts, coalesce(f.flag, false) AS flag FROM ({TRADES}) t LEFT JOIN (SELECT symbol, et_date, close < open AS flag FROM {{{{bars_day}}}} WHERE d % 3 <> 0) f USING (symbol, et_date)")
+@query("jn_11_day_flag", f"SELECT t.symbol, t.ts, coalesce(f.flag, false) AS flag FROM ({TRADES}) t LEFT JOIN (SELECT symbol, et_date, close < open AS flag FROM {{{{bars_day}}}} WHERE high > 2 * open) f USING (symbol, et_date)")
 def jn_11(spark, sf):
-    f = v.bars_day(spark, sf).filter("d % 3 <> 0").withColumn("flag", F.col("close") < F.col("open"))
+    f = v.bars_day(spark, sf).filter("high > 2 * open").withColumn("flag", F.col("close") < F.col("open"))
     return J.by_day_flag(bar_trades(spark, sf), f, "flag", False).select("symbol", "ts", "flag")
 
 
@@ -137,10 +137,10 @@ def jn_12(spark, sf):
     return J.exact_lookup(ev, v.bars_1h(spark, sf)).select("symbol", "ts", "bar_close")
 
 
-@query("jn_13_anti_join", "SELECT event_id, source_id FROM {{dated}} WHERE event_id NOT IN (SELECT event_id FROM {{dated}} WHERE event_id % 3 = 0 AND value > 20)")
+@query("jn_13_anti_join", "SELECT event_id, source_id FROM {{dated}} WHERE event_id NOT IN (SELECT event_id FROM {{dated}} WHERE value > 20)")
 def jn_13(spark, sf):
     d = v.dated(spark, sf)
-    done = d.filter("event_id % 3 = 0 AND value > 20").select("event_id")
+    done = d.filter("value > 20").select("event_id")
     return d.join(done, "event_id", "left_anti").select("event_id", "source_id")
 
 
@@ -176,32 +176,32 @@ def jn_15(spark, sf):
     return v.dated(spark, sf).drop("tier").join(F.broadcast(src), "source_id", "left").select("event_id", "source_id", "tier")
 
 
-v.VIEWS["interps"] = """SELECT event_id, observed_time AS created, CASE event_id % 4 WHEN 0 THEN 'bullish' WHEN 1 THEN 'bearish' ELSE 'neutral' END AS direction FROM {{dated}} WHERE event_id % 3 = 0"""
+v.VIEWS["interps"] = """SELECT event_id, observed_time AS created, CASE event_id % 4 WHEN 0 THEN 'bullish' WHEN 1 THEN 'bearish' ELSE 'neutral' END AS direction FROM {{dated}} WHERE tier <> 'T3'"""
 
 
 def interps(spark, sf):
     k = F.col("event_id") % 4
-    return v.dated(spark, sf).filter("event_id % 3 = 0").select("event_id", F.col("observed_time").alias("created"), F.when(k == 0, "bullish").when(k == 1, "bearish").otherwise("neutral").alias("direction"))
+    return v.dated(spark, sf).filter("tier <> 'T3'").select("event_id", F.col("observed_time").alias("created"), F.when(k == 0, "bullish").when(k == 1, "bearish").otherwise("neutral").alias("direction"))
 
 
-@query("jn_16_score_join", """SELECT s.event_id, s.score_1d, e.type, i.direction FROM (SELECT event_id, CASE WHEN value > 20 THEN 'hit' ELSE 'miss' END AS score_1d, observed_time AS scored_at FROM {{dated}} WHERE event_id % 6 = 0) s
+@query("jn_16_score_join", """SELECT s.event_id, s.score_1d, e.type, i.direction FROM (SELECT event_id, CASE WHEN value > 20 THEN 'hit' ELSE 'miss' END AS score_1d, observed_time AS scored_at FROM {{dated}} WHERE tier = 'T1') s
     JOIN {{dated}} e USING (event_id) JOIN {{interps}} i USING (event_id) ORDER BY scored_at DESC, s.event_id DESC LIMIT 5""")
 def jn_16(spark, sf):
     d = v.dated(spark, sf)
-    s = d.filter("event_id % 6 = 0").select("event_id", F.when(F.col("value") > 20, "hit").otherwise("miss").alias("score_1d"), F.col("observed_time").alias("scored_at"))
+    s = d.filter("tier = 'T1'").select("event_id", F.when(F.col("value") > 20, "hit").otherwise("miss").alias("score_1d"), F.col("observed_time").alias("scored_at"))
     j = s.join(d.select("event_id", "type"), "event_id").join(interps(spark, sf).select("event_id", "direction"), "event_id")
     return j.orderBy(F.desc("scored_at"), F.desc("event_id")).limit(5).select("event_id", "score_1d", "type", "direction")
 
 
 def two_streams(spark, sf):
-    t = v.with_pos(v.bars_1h(spark, sf)).select("symbol", F.col("ts").alias("entry_time"), "pos", F.when(F.col("close") > F.col("open"), 1).otherwise(-1).alias("direction"), (F.col("close") / F.col("open") - 1).alias("ret"))
-    a = t.filter("pos % 13 <> 0")
-    b = t.filter("pos % 17 <> 0").withColumn("direction", F.when(F.col("pos") % 19 == 0, -F.col("direction")).otherwise(F.col("direction"))).withColumn("ret", F.when(F.col("pos") % 11 == 0, F.col("ret") + 0.001).otherwise(F.col("ret")))
+    t = v.with_pos(v.bars_1h(spark, sf)).select("symbol", F.col("ts").alias("entry_time"), "pos", F.when(F.col("close") > F.col("open"), 1).otherwise(-1).alias("direction"), (F.col("close") / F.col("open") - 1).alias("ret"), "volume")
+    a = t.filter("volume > 1")
+    b = t.filter("ret <> 0").withColumn("direction", F.when(F.col("pos") % 19 == 0, -F.col("direction")).otherwise(F.col("direction"))).withColumn("ret", F.when(F.col("pos") % 11 == 0, F.col("ret") + 0.001).otherwise(F.col("ret")))
     return a, b
 
 
-STREAMS = """WITH t AS (SELECT symbol, ts AS entry_time, pos, CASE WHEN close > open THEN 1 ELSE -1 END AS direction, close / open - 1 AS ret FROM {{bars_1h}}), a AS (SELECT * FROM t WHERE pos % 13 <> 0),
-    b AS (SELECT symbol, entry_time, pos, CASE WHEN pos % 19 = 0 THEN -direction ELSE direction END AS direction, CASE WHEN pos % 11 = 0 THEN ret + 0.001 ELSE ret END AS ret FROM t WHERE pos % 17 <> 0) """
+STREAMS = """WITH t AS (SELECT symbol, ts AS entry_time, pos, volume, CASE WHEN close > open THEN 1 ELSE -1 END AS direction, close / open - 1 AS ret FROM {{bars_1h}}), a AS (SELECT * FROM t WHERE volume > 1),
+    b AS (SELECT symbol, entry_time, pos, CASE WHEN pos % 19 = 0 THEN -direction ELSE direction END AS direction, CASE WHEN pos % 11 = 0 THEN ret + 0.001 ELSE ret END AS ret FROM t WHERE ret <> 0) """
 
 
 @query("jn_17_trade_diff", STREAMS + """SELECT symbol, entry_time, CASE WHEN b.ret IS NULL THEN 'only_a' WHEN a.ret IS NULL THEN 'only_b' WHEN a.direction <> b.direction THEN 'direction' WHEN abs(a.ret - b.ret) >= 1e-9 THEN 'ret' ELSE 'same' END AS status
@@ -210,13 +210,13 @@ def jn_17(spark, sf):
     return J.trade_diff(*two_streams(spark, sf), ["symbol", "entry_time"]).select("symbol", "entry_time", "status")
 
 
-@query("jn_18_prob_parity", """WITH r AS (SELECT symbol, et_date, (event_id % 1000) / 1000.0 AS prob FROM (SELECT t.*, date_trunc('hour', ts) AS et_date FROM {{ticks}} t) WHERE event_id % 4 = 0),
-    n AS (SELECT symbol, et_date, (event_id % 997) / 997.0 AS prob FROM (SELECT t.*, date_trunc('hour', ts) AS et_date FROM {{ticks}} t) WHERE event_id % 4 <> 0)
+@query("jn_18_prob_parity", """WITH r AS (SELECT symbol, et_date, (event_id % 1000) / 1000.0 AS prob FROM (SELECT t.*, date_trunc('hour', ts) AS et_date FROM {{ticks}} t) WHERE price >= 15),
+    n AS (SELECT symbol, et_date, (event_id % 997) / 997.0 AS prob FROM (SELECT t.*, date_trunc('hour', ts) AS et_date FROM {{ticks}} t) WHERE price < 15)
     SELECT count(*) AS n_ref, max(diff) AS max_diff, count(*) FILTER (WHERE diff IS NULL) AS missing FROM (SELECT r.symbol, r.et_date, r.prob, min(abs(r.prob - n.prob)) AS diff FROM r LEFT JOIN n USING (symbol, et_date) GROUP BY ALL)""", dbl="max_diff")
 def jn_18(spark, sf):
     t = v.ticks(spark, sf).withColumn("et_date", F.date_trunc("hour", "ts"))
-    r = t.filter("event_id % 4 = 0").select("symbol", "et_date", (F.col("event_id") % 1000 / 1000.0).alias("prob"))
-    n = t.filter("event_id % 4 <> 0").select("symbol", "et_date", (F.col("event_id") % 997 / 997.0).alias("prob"))
+    r = t.filter("price >= 15").select("symbol", "et_date", (F.col("event_id") % 1000 / 1000.0).alias("prob"))
+    n = t.filter("price < 15").select("symbol", "et_date", (F.col("event_id") % 997 / 997.0).alias("prob"))
     return J.prob_parity(r, n, ["symbol", "et_date"])
 
 
@@ -238,13 +238,13 @@ def jn_20(spark, sf):
 
 
 @query("jn_21_merge_states", f"""SELECT symbol, et_date, CASE WHEN l.state IS NOT NULL THEN 'live' WHEN h.state IS NOT NULL AND NOT h.blind THEN 'history' ELSE 'blind' END AS src, coalesce(l.state, h.state, '') AS state
-    FROM {{{{panel_day}}}} LEFT JOIN (SELECT symbol, et_date, CASE WHEN s2_off THEN 'risk_off' ELSE 'risk_on' END AS state, d % 10 = 0 AS blind FROM ({SW}) WHERE et_date < DATE '1999-01-01' AND d % 50 <> 0) h USING (symbol, et_date)
-    LEFT JOIN (SELECT symbol, et_date, CASE WHEN s1_off THEN 'risk_off' ELSE 'risk_on' END AS state FROM ({SW}) WHERE et_date >= DATE '1998-10-01' AND d % 9 <> 0) l USING (symbol, et_date)""")
+    FROM {{{{panel_day}}}} LEFT JOIN (SELECT symbol, et_date, CASE WHEN s2_off THEN 'risk_off' ELSE 'risk_on' END AS state, d % 10 = 0 AS blind FROM ({SW}) WHERE et_date < DATE '1999-01-01' AND volume >= 2) h USING (symbol, et_date)
+    LEFT JOIN (SELECT symbol, et_date, CASE WHEN s1_off THEN 'risk_off' ELSE 'risk_on' END AS state FROM ({SW}) WHERE et_date >= DATE '1998-10-01' AND volume >= 3) l USING (symbol, et_date)""")
 def jn_21(spark, sf):
     s = R.bear_switches(v.panel_day(spark, sf), dd=-0.8)
     on = lambda c: F.when(F.col(c), "risk_off").otherwise("risk_on").alias("state")
-    h = s.filter("et_date < date'1999-01-01' AND d % 50 <> 0").select("symbol", "et_date", on("s2_off"), (F.col("d") % 10 == 0).alias("blind"))
-    l = s.filter("et_date >= date'1998-10-01' AND d % 9 <> 0").select("symbol", "et_date", on("s1_off"))
+    h = s.filter("et_date < date'1999-01-01' AND volume >= 2").select("symbol", "et_date", on("s2_off"), (F.col("d") % 10 == 0).alias("blind"))
+    l = s.filter("et_date >= date'1998-10-01' AND volume >= 3").select("symbol", "et_date", on("s1_off"))
     return J.merge_states(s.select("symbol", "et_date"), h, l)
 
 
@@ -266,10 +266,10 @@ def lows(spark, sf):
 
 
 @query("jn_23_nearest_point", f"""WITH b AS (SELECT symbol, d, close / max(close) OVER ({PW} ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING) - 1 AS dd FROM {{{{panel_day}}}})
-    SELECT b.symbol, b.d, dd, arg_min(b.d - l.d, (abs(b.d - l.d), l.d)) AS distance FROM b JOIN ({LOWS}) l ON l.symbol = b.symbol WHERE b.d % 37 = 0 GROUP BY 1, 2, 3""", dbl="dd", dp=8)
+    SELECT b.symbol, b.d, dd, arg_min(b.d - l.d, (abs(b.d - l.d), l.d)) AS distance FROM b JOIN ({LOWS}) l ON l.symbol = b.symbol GROUP BY 1, 2, 3""", dbl="dd", dp=8)
 def jn_23(spark, sf):
     w = W.partitionBy("symbol").orderBy("et_date").rowsBetween(-60, -1)
-    b = v.panel_day(spark, sf).withColumn("dd", F.col("close") / F.max("close").over(w) - 1).filter("d % 37 = 0").select("symbol", "d", "dd")
+    b = v.panel_day(spark, sf).withColumn("dd", F.col("close") / F.max("close").over(w) - 1).select("symbol", "d", "dd")
     return J.nearest_point(b, lows(spark, sf))
 
 

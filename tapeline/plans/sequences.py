@@ -478,11 +478,11 @@ def seq_26(spark, sf):
 
 
 def replay(spark, sf):
-    """Journaled orders (one per fourth bar, tagged with the end of the signal bar) replayed on the bars."""
+    """Journaled orders (one per bar, tagged with its end) replayed on the bars."""
     from ..operators.asof import asof_forward
 
     b = v.with_pos(v.bars_15m(spark, sf))
-    o = b.filter("pos % 4 = 0").select("symbol", F.col("pos").alias("order_id"), tm.plus_seconds("ts", 900).alias("anchor"), F.when(F.col("close") > F.col("open"), 1).otherwise(-1).alias("direction"))
+    o = b.select("symbol", F.col("pos").alias("order_id"), tm.plus_seconds("ts", 900).alias("anchor"), F.when(F.col("close") > F.col("open"), 1).otherwise(-1).alias("direction"))
     o = asof_forward(o, b.select("symbol", "ts", F.col("pos").alias("epos")), "symbol", "anchor", "ts", ["epos"], strict=False).filter("epos IS NOT NULL")
     # several orders can point at one bar: each is settled on its own
     p = S.forward_paths(b, 4, F.lit(True)).join(o.select("symbol", F.col("epos").alias("pos"), "order_id", "direction"), ["symbol", "pos"])
@@ -493,7 +493,7 @@ def replay(spark, sf):
     return S.non_overlap(t, "symbol", "start", "busy", "et_date")
 
 
-ORD = "SELECT b.symbol, b.pos AS order_id, CASE WHEN b.close > b.open THEN 1 ELSE -1 END AS direction, b.ts + INTERVAL 15 MINUTE AS anchor FROM {{bars_15m}} b WHERE b.pos % 4 = 0"
+ORD = "SELECT b.symbol, b.pos AS order_id, CASE WHEN b.close > b.open THEN 1 ELSE -1 END AS direction, b.ts + INTERVAL 15 MINUTE AS anchor FROM {{bars_15m}} b"
 ORDE = f"SELECT o.symbol, o.order_id, o.direction, e.pos, e.ts, e.et_date, e.open FROM ({ORD}) o ASOF JOIN {{{{bars_15m}}}} e ON e.symbol = o.symbol AND e.ts >= o.anchor"
 REPL = settle_sql(ORDE, f"SELECT * FROM {{{{bars_15m}}}} WHERE {ET_MIN} < 955", 4).replace("GROUP BY ALL", "AND b.ts < e.ts + INTERVAL 1 HOUR GROUP BY ALL")
 
@@ -511,9 +511,9 @@ def scores_at(spark, sf, now):
 
 
 def scores_sql(now):
-    return f"""SELECT event_id, direction, d1_date, ret_1d, ret_5d, CASE WHEN direction <> 'neutral' THEN CASE WHEN ret_1d IS NULL THEN 'pending' WHEN (direction = 'bullish' AND ret_1d > 0) OR (direction = 'bearish' AND ret_1d < 0) THEN 'hit' ELSE 'miss' END END AS score_1d,
+    return f"""SELECT event_id, created, direction, d1_date, ret_1d, ret_5d, CASE WHEN direction <> 'neutral' THEN CASE WHEN ret_1d IS NULL THEN 'pending' WHEN (direction = 'bullish' AND ret_1d > 0) OR (direction = 'bearish' AND ret_1d < 0) THEN 'hit' ELSE 'miss' END END AS score_1d,
     CASE WHEN direction <> 'neutral' THEN CASE WHEN ret_5d IS NULL THEN 'pending' WHEN (direction = 'bullish' AND ret_5d > 0) OR (direction = 'bearish' AND ret_5d < 0) THEN 'hit' ELSE 'miss' END END AS score_5d FROM (
-    SELECT i.event_id, i.direction, s.et_date AS d1_date, CASE WHEN s.close_time + INTERVAL 5 MINUTE <= TIMESTAMP '{now}' THEN s.close / s.open - 1 END AS ret_1d,
+    SELECT i.event_id, i.created, i.direction, s.et_date AS d1_date, CASE WHEN s.close_time + INTERVAL 5 MINUTE <= TIMESTAMP '{now}' THEN s.close / s.open - 1 END AS ret_1d,
     CASE WHEN s.c5t + INTERVAL 5 MINUTE <= TIMESTAMP '{now}' THEN s.c5 / s.open - 1 END AS ret_5d FROM (SELECT i.*, e.event_type AS symbol FROM {{{{interps}}}} i JOIN events e USING (event_id)) i ASOF LEFT JOIN (SELECT *, lead(close, 4) OVER ({PW}) AS c5, lead(close_time, 4) OVER ({PW}) AS c5t FROM {{{{bars_day}}}}) s
     ON s.symbol = i.symbol AND s.open_time >= i.created)"""
 
@@ -525,12 +525,12 @@ def seq_28(spark, sf):
 
 def _old_new(spark, sf):
     cols = ["event_id", "d1_date", "ret_1d", "ret_5d", "score_1d", "score_5d"]
-    old = scores_at(spark, sf, "2024-01-12 12:00:00").filter("event_id % 7 <> 0").select(*cols).withColumn("_row", F.lit(1))
+    old = scores_at(spark, sf, "2024-01-12 12:00:00").filter("created < timestamp_ntz'2024-01-16 00:00:00'").select(*cols).withColumn("_row", F.lit(1))
     old = old.withColumn("ret_1d", F.when(F.col("event_id") % 60 == 0, F.col("ret_1d") + 0.01).otherwise(F.col("ret_1d")))
     return old, scores_at(spark, sf, "2024-01-22 12:00:00").select(*cols)
 
 
-ON = f"WITH o AS (SELECT event_id, d1_date, CASE WHEN event_id % 60 = 0 THEN ret_1d + 0.01 ELSE ret_1d END AS ret_1d, ret_5d, score_1d, score_5d FROM ({scores_sql('2024-01-12 12:00:00')}) WHERE event_id % 7 <> 0), n AS (SELECT * FROM ({scores_sql('2024-01-22 12:00:00')})) "
+ON = f"WITH o AS (SELECT event_id, d1_date, CASE WHEN event_id % 60 = 0 THEN ret_1d + 0.01 ELSE ret_1d END AS ret_1d, ret_5d, score_1d, score_5d FROM ({scores_sql('2024-01-12 12:00:00')}) WHERE created < TIMESTAMP '2024-01-16'), n AS (SELECT * FROM ({scores_sql('2024-01-22 12:00:00')})) "
 
 
 @query("seq_29_write_once", ON + """SELECT coalesce(o.event_id, n.event_id) AS event_id, coalesce(o.d1_date, n.d1_date) AS d1_date, coalesce(o.ret_1d, n.ret_1d) AS ret_1d, coalesce(o.ret_5d, n.ret_5d) AS ret_5d,

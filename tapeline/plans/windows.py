@@ -78,8 +78,8 @@ def win_07(spark, sf):
 
 def switches_sql(src="panel_day", a=200, b=50, h=252, dd=-0.2):
     f = lambda n: f"({PW} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
-    return f"""SELECT symbol, et_date, d, open, close, coalesce(lag(x1) OVER ({PW}), false) AS s1_off, coalesce(lag(x2) OVER ({PW}), false) AS s2_off, coalesce(lag(x3) OVER ({PW}), false) AS s3_off,
-    coalesce(lag(x1 OR x2) OVER ({PW}), false) AS s4_off FROM (SELECT symbol, et_date, d, open, close,
+    return f"""SELECT symbol, et_date, d, open, close, volume, coalesce(lag(x1) OVER ({PW}), false) AS s1_off, coalesce(lag(x2) OVER ({PW}), false) AS s2_off, coalesce(lag(x3) OVER ({PW}), false) AS s3_off,
+    coalesce(lag(x1 OR x2) OVER ({PW}), false) AS s4_off FROM (SELECT symbol, et_date, d, open, close, volume,
     count(*) OVER {f(a)} >= {a} AND close < avg(close) OVER {f(a)} AS x1, count(*) OVER {f(h)} >= {h} AND close / max(close) OVER {f(h)} - 1 < {dd} AS x2,
     count(*) OVER {f(a)} >= {a} AND avg(close) OVER {f(b)} < avg(close) OVER {f(a)} AS x3 FROM {{{{{src}}}}})"""
 
