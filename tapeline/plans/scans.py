@@ -307,13 +307,13 @@ def src_21(spark, sf):
 
 @query("src_22_feed_items", """SELECT source || ':' || CASE WHEN doc_id % 5 = 0 THEN title ELSE CAST(doc_id AS VARCHAR) END AS dedupe_key, 'news_' || source AS type,
     CAST(et_date AS TIMESTAMP) AS event_time, title, substr(summary, 1, 1000) AS summary FROM (SELECT t.*, d.text AS summary FROM {{titles}} t JOIN documents d USING (doc_id))
-    WHERE (source = 'web' OR contains(lower(title || ' ' || summary), 'the') OR contains(lower(title || ' ' || summary), 'und')) AND doc_id % 9 <> 0""")
+    WHERE (source IN ('src1', 'src2') OR contains(lower(title || ' ' || summary), 'the') OR contains(lower(title || ' ' || summary), 'und')) AND doc_id % 9 <> 0""")
 def src_22(spark, sf):
     d = v.titles(spark, sf, F.col("text").alias("summary"))
     items = d.select(
         F.col("source").alias("feed"), F.when(F.col("doc_id") % 5 != 0, F.col("doc_id").cast("string")).alias("item_id"), F.lit(None).cast("string").alias("link"),
         F.when(F.col("doc_id") % 9 != 0, F.col("et_date").cast("timestamp_ntz")).alias("published"), "title", "summary")
-    return fl.feed_items(items, ["web"], ["the", "und"])
+    return fl.feed_items(items, ["src1", "src2"], ["the", "und"])
 
 
 @query("src_23_patents", """SELECT CASE WHEN p_size % 2 = 0 THEN 'grant:' ELSE 'pub:' END || p_partkey AS dedupe_key,

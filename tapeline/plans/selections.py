@@ -96,7 +96,7 @@ def set_04(spark, sf):
     return d.filter("et_date < date'2024-01-20'").intersect(d.filter("et_date >= date'2024-01-10'"))
 
 
-READ = f"SELECT doc_id AS event_id, CASE WHEN source IN ('web', 'forum') THEN 'news_' || source ELSE 'sc13d' END AS type, TIMESTAMP '2024-01-01' + to_seconds(doc_id * 60) AS observed_time, array_to_string({KEY_SQL}, '') AS title_key FROM {{{{titles}}}}"
+READ = f"SELECT doc_id AS event_id, CASE WHEN lang IN ('en', 'fr') THEN 'news_' || lang ELSE 'sc13d' END AS type, TIMESTAMP '2024-01-01' + to_seconds(doc_id * 60) AS observed_time, array_to_string({KEY_SQL}, '') AS title_key FROM {{{{titles}}}}"
 
 
 def reading(spark, sf):
@@ -104,7 +104,7 @@ def reading(spark, sf):
     from ..functions import times as tm
 
     return t.select(
-        F.col("doc_id").alias("event_id"), F.when(F.col("source").isin("web", "forum"), F.concat(F.lit("news_"), "source")).otherwise("sc13d").alias("type"),
+        F.col("doc_id").alias("event_id"), F.when(F.col("lang").isin("en", "fr"), F.concat(F.lit("news_"), "lang")).otherwise("sc13d").alias("type"),
         tm.plus_seconds(F.lit("2024-01-01").cast("timestamp_ntz"), F.col("doc_id") * 60).alias("observed_time"), tx.title_key(F.col("title")).alias("title_key"))
 
 
