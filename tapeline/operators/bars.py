@@ -13,7 +13,8 @@ def bars_from_ticks(ticks, minutes):
     before the shuffle, so a hot symbol arrives as one row per bar and task."""
     us = minutes * 60_000_000
     start = tm.from_micros(F.floor(tm.micros("ts") / us) * us)
-    o = F.struct("ts", "event_id")
+    # (time, id) packed into one decimal: a fixed-width order keeps min_by / max_by in the hash aggregate
+    o = tm.micros("ts").cast("decimal(19,0)") * F.lit("1" + "0" * 19).cast("decimal(20,0)") + F.col("event_id")
     bars = ticks.groupBy("symbol", start.alias("bar")).agg(
         F.min_by("price", o).alias("open"),
         F.max("price").alias("high"),

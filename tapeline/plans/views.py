@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import times as tm
 from ..operators import bars as B
 from ..operators.spread import positions
+from ..session import cut
 from ..sources.tables import table
 
 ET_DATE = "CAST((ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York' AS DATE)"
@@ -108,7 +109,8 @@ def bars_15m(spark, sf):
 
 
 def with_pos(bars):
-    return positions(bars, "symbol", "et_date", "ts")
+    """Bars with their position, written once: pattern and settlement queries pass over them several times."""
+    return cut(positions(bars, "symbol", "et_date", "ts"), "bars")
 
 
 def bars_day(spark, sf):
@@ -131,7 +133,9 @@ def panel_wide(spark, sf):
     l = table(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate")
     p = table(spark, sf, "part", "p_partkey", "p_brand")
     px = F.col("l_extendedprice") / F.col("l_quantity")
-    o = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    dec = lambda c, digits: F.col(c).cast(f"decimal({digits},0)")
+    # order, line, part and supplier packed into one fixed-width number: the aggregate stays a hash aggregate
+    o = ((dec("l_orderkey", 14) * 10 + F.col("l_linenumber")) * F.lit("1" + "0" * 11).cast("decimal(12,0)") + F.col("l_partkey")) * F.lit("1" + "0" * 10).cast("decimal(11,0)") + F.col("l_suppkey")
     return (
         l.join(p, l.l_partkey == p.p_partkey)
         .groupBy(F.col("p_brand").alias("symbol"), F.to_date("l_shipdate").alias("et_date"))
