@@ -152,7 +152,7 @@ def stat_10b(spark, sf):
     return _auc_reps(spark, sf).agg(p("auc_score", 0.025).alias("lo"), p("auc_score", 0.975).alias("hi"), p("delta", 0.025).alias("delta_lo"), p("delta", 0.975).alias("delta_hi"))
 
 
-MW = f"""SELECT symbol, u, (abs(u - n1 * n0 / 2) - 0.5) / sd AS z, (u - n1 * n0 / 2 - 0.5) / sd AS z_greater FROM (SELECT *, sqrt(n1 * n0 / 12 * ((n + 1) - t / (n * (n - 1)))) AS sd FROM (SELECT symbol, sum(CASE WHEN label = 1 THEN rk END) - sum(label) * (sum(label) + 1) / 2.0 AS u, sum(label)::DOUBLE AS n1, (count(*) - sum(label))::DOUBLE AS n0, count(*)::DOUBLE AS n, sum(tie * tie - 1)::DOUBLE AS t FROM (
+MW = f"""SELECT symbol, u, (abs(u - n1 * n0 / 2) - 0.5) / nullif(sd, 0) AS z, (u - n1 * n0 / 2 - 0.5) / nullif(sd, 0) AS z_greater FROM (SELECT *, sqrt(n1 * n0 / 12 * ((n + 1) - t / (n * (n - 1)))) AS sd FROM (SELECT symbol, sum(CASE WHEN label = 1 THEN rk END) - sum(label) * (sum(label) + 1) / 2.0 AS u, sum(label)::DOUBLE AS n1, (count(*) - sum(label))::DOUBLE AS n0, count(*)::DOUBLE AS n, sum(tie * tie - 1)::DOUBLE AS t FROM (
     SELECT *, rank() OVER (PARTITION BY symbol ORDER BY score) + (count(*) OVER (PARTITION BY symbol, score) - 1) / 2.0 AS rk, count(*) OVER (PARTITION BY symbol, score) AS tie FROM ({SCR})) GROUP BY symbol))"""
 
 
