@@ -1,6 +1,8 @@
 """Exchange calendar as a generated table. It has one row per date, so its size is set by the years asked for
 (22k rows for 60 years) and it is always safe to broadcast."""
 
+from datetime import date as _date
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ MAX_DAYS = 150 * 366
 
 def calendar(spark, first, last):
     """(d, is_open, close_min, close_ts, open_ts, n_before, ord): n_before = open days before d, ord = ordinal of an open day."""
+    if (_date.fromisoformat(last) - _date.fromisoformat(first)).days > MAX_DAYS:
+        raise ValueError("calendar range too long to broadcast")
     days = spark.sql(f"SELECT explode(sequence(DATE'{first}', DATE'{last}')) AS d")
     is_open = (F.weekday("d") < 5) & ~F.col("d").cast("string").isin(HOLIDAYS)
     close_min = F.when(F.col("d").cast("string").isin(HALF_DAYS), 780).otherwise(960)

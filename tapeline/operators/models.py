@@ -44,9 +44,9 @@ def intel_features(dataset, releases, posts, bar_minutes):
     d = dataset.withColumn("asof", tm.plus_seconds("confirm_ts", bar_minutes * 60))
     d = asof_backward(d, releases, "symbol", "asof", "published", ["change_pct", "published"], prefix="si_")
     d = d.withColumn("si_days_since", (tm.micros("asof") - tm.micros("si_published")) / 86_400_000_000).withColumnRenamed("si_change_pct", "si_chg_recent").drop("si_published")
-    # posts of a day are numbered inside the day, so "so far today" is the number of the last one seen
-    w = W.partitionBy("post_day").orderBy("post_ts", "post_id")
-    p = posts.withColumn("post_day", tm.et_date("post_ts")).withColumn("so_far", F.row_number().over(w)).withColumn("_k", F.lit(0))
+    # posts of a day are numbered inside the day (hour by hour), so "so far today" is the number of the last one seen
+    p = posts.withColumn("post_day", tm.et_date("post_ts")).withColumn("_h", F.date_trunc("hour", "post_ts"))
+    p = spread.positions(p, "post_day", "_h", ["post_ts", "post_id"], name="so_far", start=1).withColumn("_k", F.lit(0))
     d = asof_backward(d.withColumn("_k", F.lit(0)), p, "_k", "asof", "post_ts", ["so_far", "post_day"], unit="hour").drop("_k")
     d = d.withColumn("_day", tm.et_date("asof"))
     cover = posts.agg(F.min(tm.et_date("post_ts")).alias("a"), F.max(tm.et_date("post_ts")).alias("z"))
@@ -124,7 +124,7 @@ def parameter_walk(trades, params, train_days, test_days, min_trades, key="symbo
     lo = F.greatest(F.floor((F.col("o") - train_days) / test_days) + 1, F.lit(0))
     hi = F.least(F.floor(F.col("o") / test_days), n_folds - 1)
     tr = t.filter(lo <= hi).withColumn("fold", F.explode(F.sequence(lo, hi)))
-    g = tr.groupBy(key, "fold", *params).agg((F.product(1 + F.col("ret")) - 1).alias("train_return"), F.count(F.lit(1)).alias("train_trades"))
+    g = tr.groupBy(key, "fold", *params).agg(F.round(F.product(1 + F.col("ret")) - 1, 12).alias("train_return"), F.count(F.lit(1)).alias("train_trades"))
     from .select import gated_best
 
     best = gated_best(g, [key, "fold"], "train_trades", "train_return", min_trades, [F.col(p) for p in params])

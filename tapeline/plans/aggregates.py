@@ -160,11 +160,11 @@ def agg_11(spark, sf):
     return M.trade_report(kept(spark, sf), ["symbol"], "et_date", "pos")
 
 
-DSIM_S = f"SELECT symbol, et_date, direction, pos AS entry_d, exit_pos AS exit_d, exit_pos - pos + 1 AS hold_days, hit, ret * 0.05 AS ret FROM ({q.DSIM})"
+DSIM_S = f"SELECT symbol, et_date, direction, pos AS entry_d, exit_pos AS exit_d, exit_pos - pos + 1 AS hold_days, hit, ret * {SC} AS ret FROM ({q.DSIM})"
 
 
 def dsim(spark, sf):
-    return q.daily_sim(spark, sf).withColumn("ret", F.col("ret") * 0.05).withColumn("hold_days", F.col("exit_d") - F.col("entry_d") + 1)
+    return q.daily_sim(spark, sf).withColumn("ret", F.col("ret") * 0.0005).withColumn("hold_days", F.col("exit_d") - F.col("entry_d") + 1)
 
 
 @query("agg_12_monthly_return", f"SELECT symbol, date_trunc('month', et_date)::DATE AS month, product(1 + ret) - 1 AS ret FROM ({DSIM_S}) GROUP BY 1, 2", dbl="ret", dp=8)

@@ -39,7 +39,7 @@ def jn_02(spark, sf):
 def jn_02b(spark, sf):
     e = table(spark, sf, "events", "event_id", F.col("event_type").alias("symbol"), F.col("ts").alias("t"))
     b = v.bars_15m(spark, sf).select("symbol", F.col("ts").alias("bar_ts"), F.col("open").alias("bar_open"))
-    return A.asof_forward(e, b, "symbol", "t", "bar_ts", ["bar_ts", "bar_open"]).select("event_id", "bar_ts", "bar_open")
+    return A.asof_forward(e, b, "symbol", "t", "bar_ts", ["bar_ts", "bar_open"], unit="hour").select("event_id", "bar_ts", "bar_open")
 
 
 MACRO = """SELECT symbol, obs_date, value, CAST(obs_date + INTERVAL 1 MONTH AS TIMESTAMP) + INTERVAL 12 HOUR AS available_from FROM (
@@ -85,7 +85,7 @@ def jn_04(spark, sf):
 def jn_05(spark, sf):
     b = v.bars_1h(spark, sf).select("symbol", "ts", tm.plus_seconds("ts", -30 * 3600).alias("t0"))
     e = v.dated(spark, sf).select(F.col("event_type").alias("symbol"), "observed_time", "event_id", "value", F.lit(1).alias("one"))
-    out = A.range_count(b, e, "symbol", "t0", "ts", "observed_time", {"n": "one", "total": "value"})
+    out = A.range_count(b, e, "symbol", "t0", "ts", "observed_time", {"n": "one", "total": "value"}, unit="hour")
     return out.select("symbol", "ts", F.col("n").cast("bigint").alias("n"), "total")
 
 

@@ -127,7 +127,7 @@ def ml_06(spark, sf):
 
 
 WALK = f"""WITH t AS MATERIALIZED (SELECT g.*, o, n FROM ({g.GEO_SQL}) g JOIN (SELECT symbol, et_date, row_number() OVER (PARTITION BY symbol ORDER BY et_date) - 1 AS o, count(*) OVER (PARTITION BY symbol) AS n FROM (SELECT DISTINCT symbol, et_date FROM ({g.GEO_SQL}))) USING (symbol, et_date)),
-    f AS (SELECT DISTINCT symbol, fold FROM (SELECT symbol, n FROM t), (SELECT unnest(range(40)) AS fold) WHERE fold * 5 + 10 < n), tr AS (SELECT t.symbol, fold, tp, sl, product(1 + ret) - 1 AS train_return, count(*) AS train_trades FROM t JOIN f USING (symbol) WHERE o >= fold * 5 AND o < fold * 5 + 10 GROUP BY 1, 2, 3, 4),
+    f AS (SELECT DISTINCT symbol, fold FROM (SELECT symbol, n FROM t), (SELECT unnest(range(40)) AS fold) WHERE fold * 5 + 10 < n), tr AS (SELECT t.symbol, fold, tp, sl, round(product(1 + ret) - 1, 12) AS train_return, count(*) AS train_trades FROM t JOIN f USING (symbol) WHERE o >= fold * 5 AND o < fold * 5 + 10 GROUP BY 1, 2, 3, 4),
     b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol, fold ORDER BY (train_trades >= 50)::INT DESC, train_return DESC, tp DESC, sl DESC) AS rn FROM tr) WHERE rn = 1),
     te AS (SELECT t.symbol, fold, tp, sl, product(1 + ret) - 1 AS test_return, count(*) AS test_trades FROM t JOIN f USING (symbol) WHERE o >= fold * 5 + 10 AND o < fold * 5 + 15 GROUP BY 1, 2, 3, 4)
     SELECT b.symbol, b.fold, b.tp, b.sl, train_return, train_trades, test_return, test_trades FROM b LEFT JOIN te USING (symbol, fold, tp, sl)"""

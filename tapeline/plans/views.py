@@ -64,7 +64,7 @@ VIEWS = {
         1000.0 * volume + close / 100.0 AS short_interest FROM {{panel_day}} WHERE d % 15 = 0)""",
     "posts_daily": f"SELECT {ET_DATE} AS et_date, count(*) AS n FROM events WHERE event_type = 'view' GROUP BY 1",
     "titles": """SELECT doc_id, CAST(DATE '2024-01-01' + CAST(doc_id % 30 AS INTEGER) AS DATE) AS et_date, source, lang,
-        replace(substr(text, 1, 80), chr(10), ' ') AS title FROM documents""",
+        replace(text, chr(10), ' ') AS title FROM documents""",
     "scored": """SELECT l.doc_id, CAST(d.n_chars AS DOUBLE) AS score, l.quality AS label, l.toxic, d.lang AS symbol, d.source
         FROM labels l JOIN documents d ON l.doc_id = d.doc_id""",
 }
@@ -192,7 +192,7 @@ def titles(spark, sf, *more):
     d = table(spark, sf, "documents", "doc_id", "text", "source", "lang")
     return d.select(
         "doc_id", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 30).cast("int")).alias("et_date"),
-        "source", "lang", F.replace(F.substring("text", 1, 80), F.lit("\n"), F.lit(" ")).alias("title"), *more,
+        "source", "lang", F.replace("text", F.lit("\n"), F.lit(" ")).alias("title"), *more,
     )
 
 
