@@ -81,6 +81,18 @@ def _verify(jac):
     return same | prefix
 
 
+def _likely(pairs, jac):
+    """One row per pair that can still match. ``pairs`` has a row per shared block with both titles' word counts.
+
+    Words are ordered by rarity and a block word is among the first n - ceil(jac n) + 1, so two titles share at most
+    (shared block words) + max(ceil(jac n), ceil(jac m)) - 1 words; a match needs jac / (1 + jac) * (n + m).
+    """
+    near = (F.col("n") >= jac * F.col("m")) & (F.col("m") >= jac * F.col("n"))
+    g = pairs.filter(near | F.col("b").startswith("p:")).groupBy("id", "rep", "n", "m").agg(F.sum(F.when(F.col("b").startswith("w:"), 1).otherwise(0)).alias("c"), F.max(F.col("b").startswith("p:").cast("int")).alias("p"))
+    bound = F.col("c") + F.ceil(F.greatest("n", "m") * jac) - 1
+    return g.filter((F.col("p") == 1) | (bound >= jac / (1 + jac) * (F.col("n") + F.col("m")) - 1e-9)).select("id", "rep")
+
+
 def near_duplicates(items, jac=0.6, block_limit=2000, max_rounds=50):
     """Greedy grouping of similar titles per day: in (time, id) order each title joins the earliest representative it
     resembles (word-set Jaccard >= jac, or one a prefix of the other with >= 20 characters), else it starts a group.
@@ -93,36 +105,39 @@ def near_duplicates(items, jac=0.6, block_limit=2000, max_rounds=50):
        in all its blocks is a representative and absorbs what it matches. A crowd of near copies goes in one round.
     4. The open rest is settled by rounds over the verified pairs inside the now small blocks.
     """
-    key = F.array_join(tx.tokens(tx.strip_outlet(F.col("title"))), " ")
-    it = items.withColumn("k", key).withColumn("w", F.array_sort(tx.token_set(F.col("title"))))
-    named = it.filter("k <> ''")
-    uniq = named.groupBy("day", "k").agg(F.min("id").alias("id"), F.first("w").alias("w"))
+    it = items.withColumn("_t", tx.tokens(tx.strip_outlet(F.col("title")))).select("day", "id", "source", F.array_join("_t", " ").alias("k"), F.array_sort(F.array_distinct("_t")).alias("w"))
+    it = cut(it, "words")  # tokenised once; several passes follow
+    named = it.filter("k <> ''").select("day", "id", "source", "k")
+    uniq = cut(it.filter("k <> ''").groupBy("day", "k").agg(F.min("id").alias("id"), F.first("w").alias("w")), "titles")
     freq = uniq.select("day", F.explode("w").alias("t")).groupBy("day", "t").agg(F.count(F.lit(1)).alias("f"))
     tok = uniq.select("day", "id", F.size("w").alias("n"), F.explode("w").alias("t")).join(freq, ["day", "t"])
     # the |w| - ceil(jac |w|) + 1 rarest words of a title; a title's words are few, so its array is too
     pre = tok.groupBy("day", "id", "n").agg(F.array_sort(F.collect_list(F.struct("f", "t"))).alias("a"))
-    pre = pre.select("day", "id", F.explode(F.slice("a", F.lit(1), F.col("n") - F.ceil(F.col("n") * jac).cast("int") + 1)).alias("x")).select("day", "id", F.concat(F.lit("w:"), "x.t").alias("b"))
-    head = uniq.filter(F.length("k") >= 20).select("day", "id", F.concat(F.lit("p:"), F.substring("k", 1, 20)).alias("b"))
+    pre = pre.select("day", "id", F.explode(F.slice("a", F.lit(1), F.col("n") - F.ceil(F.col("n") * jac).cast("int") + 1)).alias("x"), "n").select("day", "id", "n", F.concat(F.lit("w:"), "x.t").alias("b"))
+    head = uniq.filter(F.length("k") >= 20).select("day", "id", F.size("w").alias("n"), F.concat(F.lit("p:"), F.substring("k", 1, 20)).alias("b"))
     blocks = cut(pre.unionByName(head), "blocks")
-    nodes = cut(uniq, "titles")
-    txt_a, txt_b = nodes.select("id", F.col("k").alias("ka"), F.col("w").alias("wa")), nodes.select(F.col("id").alias("rep"), F.col("k").alias("kb"), F.col("w").alias("wb"))
+    txt_a, txt_b = uniq.select("id", F.col("k").alias("ka"), F.col("w").alias("wa")), uniq.select(F.col("id").alias("rep"), F.col("k").alias("kb"), F.col("w").alias("wb"))
 
     open_b, reps, rounds = blocks, None, 0
     while rounds < max_rounds:
         big = open_b.groupBy("day", "b").agg(F.count(F.lit(1)).alias("c")).agg(F.max("c")).first()[0]
         if big is None or big <= block_limit:
             break
-        lead = open_b.groupBy("day", "b").agg(F.min("id").alias("rep"))
+        lead = open_b.groupBy("day", "b").agg(F.min(F.struct("id", "n")).alias("l")).select("day", "b", F.col("l.id").alias("rep"), F.col("l.n").alias("m"))
         m = open_b.join(lead, ["day", "b"])
         first = m.groupBy("id").agg(F.min((F.col("id") == F.col("rep")).cast("int")).alias("all")).filter("all = 1").select(F.col("id").alias("rep"))
-        pairs = m.filter("id <> rep").join(first, "rep", "left_semi").select("id", "rep").distinct()
+        pairs = _likely(m.filter("id <> rep").join(first, "rep", "left_semi"), jac)
         hit = pairs.join(txt_a, "id").join(txt_b, "rep").filter(_verify(jac)).select("id").distinct()
         gone = cut(hit.unionByName(first.select(F.col("rep").alias("id"))), "gone")
         reps = cut(first if reps is None else reps.unionByName(first), "reps")
+        before = open_b.count()
         open_b = cut(open_b.join(gone, "id", "left_anti"), "open")
         rounds += 1
+        if open_b.count() > 0.95 * before:
+            break  # no crowd of copies left: the pairs below are few per block that can match
 
-    p = open_b.alias("x").join(open_b.alias("y"), ["day", "b"]).filter("x.id > y.id").select(F.col("x.id").alias("id"), F.col("y.id").alias("rep")).distinct()
+    other = open_b.select("day", "b", F.col("id").alias("rep"), F.col("n").alias("m"))
+    p = _likely(open_b.join(other, ["day", "b"]).filter("id > rep"), jac)
     edges = cut(p.join(txt_a, "id").join(txt_b, "rep").filter(_verify(jac)).select("id", "rep"), "edges")
     state = cut(open_b.select("id").distinct().withColumn("s", F.lit(0)), "state")  # 0 open, 1 representative, 2 duplicate
     while True:
@@ -137,10 +152,10 @@ def near_duplicates(items, jac=0.6, block_limit=2000, max_rounds=50):
     reps = cut(found if reps is None else found.unionByName(reps), "reps")
 
     # every other title goes to its earliest matching representative
-    rb = blocks.join(reps.withColumnRenamed("rep", "id"), "id", "left_semi").select("day", "b", F.col("id").alias("rep"))
-    cand = blocks.join(reps.withColumnRenamed("rep", "id"), "id", "left_anti").join(rb, ["day", "b"]).filter("rep < id").select("id", "rep").distinct()
-    to = cand.join(txt_a, "id").join(txt_b, "rep").filter(_verify(jac)).groupBy("id").agg(F.min("rep").alias("rep"))
-    owner = nodes.select("day", "k", F.col("id").alias("node")).join(to.withColumnRenamed("id", "node"), "node", "left").select("day", "k", F.coalesce("rep", "node").alias("rep"))
+    rb = blocks.join(reps.withColumnRenamed("rep", "id"), "id", "left_semi").select("day", "b", F.col("id").alias("rep"), F.col("n").alias("m"))
+    cand = blocks.join(reps.withColumnRenamed("rep", "id"), "id", "left_anti").join(rb, ["day", "b"]).filter("rep < id")
+    to = _likely(cand, jac).join(txt_a, "id").join(txt_b, "rep").filter(_verify(jac)).groupBy("id").agg(F.min("rep").alias("rep"))
+    owner = uniq.select("day", "k", F.col("id").alias("node")).join(to.withColumnRenamed("id", "node"), "node", "left").select("day", "k", F.coalesce("rep", "node").alias("rep"))
     named_g = named.join(owner, ["day", "k"]).select("day", "id", "source", "rep")
     blank = it.filter("k = ''").select("day", "id", "source", F.col("id").alias("rep"))
     allg = named_g.unionByName(blank)
