@@ -30,8 +30,9 @@ OUT = ["symbol", "confirm_pos", "status", "label", *ML.FEATURES]
 
 
 def dataset(spark, sf):
-    ev = q.v_cands(spark, sf).filter("x = 0.3").groupBy("symbol", (F.col("trough_pos") + q.LF).alias("confirm_pos")).agg(F.max((F.col("peak_p") - F.col("trough_p")) / F.col("peak_p")).alias("drop_pct"))
-    return ML.event_dataset(ev, v.with_pos(v.bars_15m(spark, sf)), v.bars_day(spark, sf), 0.5, 0.5, 8)
+    bars = v.with_pos(v.bars_15m(spark, sf))
+    ev = q.v_cands(spark, sf, bars).filter("x = 0.3").groupBy("symbol", (F.col("trough_pos") + q.LF).alias("confirm_pos")).agg(F.max((F.col("peak_p") - F.col("trough_p")) / F.col("peak_p")).alias("drop_pct"))
+    return ML.event_dataset(ev, bars, v.bars_day(spark, sf), 0.5, 0.5, 8)
 
 
 def usable(spark, sf):

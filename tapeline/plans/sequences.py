@@ -55,12 +55,12 @@ VCAND = f"""SELECT symbol, et_date, x, peak_pos, arg_min(a, pos) AS anchor_pos,
     WHERE far = 0 AND is_trough AND close <= m AND (m - close) / m >= x GROUP BY symbol, et_date, x, peak_pos"""
 
 
-def masked(spark, sf):
-    return R.local_extrema(v.with_pos(v.bars_15m(spark, sf)), LB, LF)
+def masked(spark, sf, bars=None):
+    return R.local_extrema(bars or v.with_pos(v.bars_15m(spark, sf)), LB, LF)
 
 
-def v_cands(spark, sf):
-    return P.v_candidates(masked(spark, sf), XS, MAXDROP)
+def v_cands(spark, sf, bars=None):
+    return P.v_candidates(masked(spark, sf, bars), XS, MAXDROP)
 
 
 @query("seq_01_v_candidates", VCAND, dbl="x peak_p trough_p")
@@ -190,12 +190,12 @@ OUT = "symbol, pos, direction, hit, exit_pos, exit_px, ret"
 BRACK = settle_sql(MOM, BARS15, 8)
 
 
-def mom(spark, sf, **kw):
-    return S.momentum_entries(v.with_pos(v.bars_15m(spark, sf)), 0.3, **kw)
+def mom(spark, sf, bars=None, **kw):
+    return S.momentum_entries(bars or v.with_pos(v.bars_15m(spark, sf)), 0.3, **kw)
 
 
-def mom_trades(spark, sf, horizon=8, tp=0.2, sl=0.1):
-    return S.bracket(S.forward_paths(mom(spark, sf), horizon, F.col("direction").isNotNull()), tp, sl)
+def mom_trades(spark, sf, horizon=8, tp=0.2, sl=0.1, bars=None):
+    return S.bracket(S.forward_paths(mom(spark, sf, bars), horizon, F.col("direction").isNotNull()), tp, sl)
 
 
 @query("seq_08_bracket", f"SELECT {OUT} FROM ({BRACK})", dbl="exit_px ret")
@@ -262,8 +262,8 @@ def seq_10(spark, sf):
 KEPT = keep_sql(BRACK, "symbol", "pos", "exit_pos")
 
 
-def kept_trades(spark, sf):
-    return S.non_overlap(mom_trades(spark, sf).select("symbol", "et_date", "ts", "pos", "direction", "hit", "exit_pos", "exit_px", "ret"), "symbol", "pos", "exit_pos", "et_date")
+def kept_trades(spark, sf, bars=None):
+    return S.non_overlap(mom_trades(spark, sf, bars=bars).select("symbol", "et_date", "ts", "pos", "direction", "hit", "exit_pos", "exit_px", "ret"), "symbol", "pos", "exit_pos", "et_date")
 
 
 @query("seq_11_non_overlap", f"SELECT {OUT} FROM ({KEPT})", dbl="exit_px ret")

@@ -7,6 +7,7 @@ from ..operators import settle as S
 from ..operators import simulate as SM
 from ..operators import spread
 from ..operators import stats as T
+from ..session import cut
 from ..sources.tables import table
 from . import sequences as q
 from . import views as v
@@ -89,8 +90,8 @@ def stat_06(spark, sf):
 
     p = mae(q.mom_trades(spark, sf).filter("direction = 1"))
     p = p.select(F.struct("et_date", "symbol", "pos").alias("row_id"), "et_date", (F.col("ret") * 0.0005).alias("ret"), (F.col("mae") * 0.01).alias("mae"))
-    cut = F.lit("2024-01-16").cast("date")
-    return SM.path_summary(SM.monte_carlo(p.filter(F.col("et_date") >= cut), p.filter(F.col("et_date") < cut), "row_id", "et_date"))
+    p, edge = cut(p, "pool"), F.lit("2024-01-16").cast("date")
+    return SM.path_summary(SM.monte_carlo(p.filter(F.col("et_date") >= edge), p.filter(F.col("et_date") < edge), "row_id", "et_date"))
 
 
 ALLB = q.settle_sql("SELECT symbol, ts, et_date, pos, open, 1 AS direction FROM {{bars_15m}}", q.BARS15, 8)
@@ -100,9 +101,9 @@ ALLB = q.settle_sql("SELECT symbol, ts, et_date, pos, open, 1 AS direction FROM
     s AS (SELECT symbol, sim, avg(ret) * 1e4 AS avg_bp FROM (SELECT a.*, sim, row_number() OVER (PARTITION BY sim, symbol ORDER BY md5('31:' || sim || ':' || symbol || ':' || pos)) AS rk FROM a, (SELECT unnest(range(50)) AS sim)) JOIN rl USING (symbol) WHERE rk <= k GROUP BY 1, 2)
     SELECT symbol, avg(avg_bp) AS rand_bp_mean, quantile_cont(avg_bp, 0.95) AS rand_bp_p95, avg((avg_bp >= real_bp)::INT) AS share_ge_real FROM s JOIN rl USING (symbol) GROUP BY 1""", dbl="rand_bp_mean rand_bp_p95 share_ge_real", dp=5)
 def stat_07(spark, sf):
-    b = v.with_pos(v.bars_15m(spark, sf)).withColumn("direction", F.lit(1))
-    a = S.bracket(S.forward_paths(b, 8, F.lit(True)), 0.2, 0.1).select("symbol", "pos", "ret")
-    real = q.kept_trades(spark, sf).filter("direction = 1").groupBy("symbol").agg(F.count(F.lit(1)).alias("k"), (F.avg("ret") * 1e4).alias("real_bp"))
+    b = v.with_pos(v.bars_15m(spark, sf))
+    a = S.bracket(S.forward_paths(b.withColumn("direction", F.lit(1)), 8, F.lit(True)), 0.2, 0.1).select("symbol", "pos", "ret")
+    real = q.kept_trades(spark, sf, b).filter("direction = 1").groupBy("symbol").agg(F.count(F.lit(1)).alias("k"), (F.avg("ret") * 1e4).alias("real_bp"))
     sims = SM.random_entries(a, real.select("symbol", "k"), "pos")
     return SM.against_real(sims, real)
 
@@ -220,11 +221,11 @@ def event_study(spark, sf):
     r = r5.select("symbol", "et_date", "d", F.explode(F.array(F.struct(F.lit(5).alias("window"), F.col("r5").alias("r")), F.struct(F.lit(20).alias("window"), F.col("r20").alias("r")))).alias("x")).select("symbol", "et_date", "d", "x.*").filter("r IS NOT NULL")
     seg = F.when(F.col("et_date") < F.lit("1999-01-01").cast("date"), "train").otherwise("valid")
     s = r.withColumn("seg", F.explode(F.array(F.lit("full"), seg))).withColumn("yr", F.year("et_date"))
-    pl = spread.positions(s, ["window", "seg"], "yr", ["et_date", "symbol"], name="idx")
+    s = pl = cut(spread.positions(s, ["window", "seg"], "yr", ["et_date", "symbol"], name="idx"), "pool")
     tot = s.groupBy("window", "seg").agg(F.count(F.lit(1)).alias("n_pool"), F.avg("r").alias("base"))
     ev = jump_events(spark, sf).select(F.lit("jump").alias("cls"), "symbol", F.col("act").alias("d")).distinct().unionByName(
         dense_events(spark, sf).select(F.lit("dense").alias("cls"), "symbol", F.col("act").alias("d")).distinct())
-    e = s.join(ev, ["symbol", "d"]).join(tot, ["window", "seg"])
+    e = cut(s.join(ev, ["symbol", "d"]).join(tot, ["window", "seg"]), "events")
     st = e.groupBy("cls", "window", "seg").agg(F.count(F.lit(1)).alias("n"), F.avg("r").alias("m"), F.stddev_samp("r").alias("sd"), F.max("base").alias("base"))
     md = spread.quantiles(e, ["cls", "window", "seg"], "r", md=0.5)
     d = T.reps(e.select("cls", "window", "seg", "symbol", "d", "n_pool"), 50).withColumn("idx", draw_int(47, F.col("n_pool"), "rep", "cls", "symbol", "d"))
