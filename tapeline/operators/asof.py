@@ -79,21 +79,21 @@ def asof_with_lag(left, series, key, left_time, right_time, value, lags, unit="d
 
 
 def range_count(left, right, key, lo, hi, right_time, sums, unit="day"):
-    """Counts and sums of right rows with time in (lo, hi], as a difference of two running totals.
+    """Counts and sums of right rows with time in (lo, hi], as the difference of a running total at two marks.
 
-    ``sums`` maps output name to a right-side numeric column; a count is a sum of ones.
+    ``sums`` maps output name to a right-side numeric column; a count is a sum of ones. Each left row puts two marks
+    on its key's time stream; right rows at the same instant come before a mark, so lo is open and hi is closed.
     """
-    from pyspark.sql import Window as W  # noqa: F401
-
-    b = right.withColumn("_b", _block(F.col(right_time), unit, _kind(right, right_time)))
-    cols = [f"_run_{n}" for n in sums]
-    tie = [right_time] + [c for c in right.columns if c not in (right_time, key)]
-    tot = running(b, key, "_b", tie, **{f"_run_{n}": ("sum", F.coalesce(F.col(c).cast("double"), F.lit(0.0))) for n, c in sums.items()})
-    # one total per instant: the last of its ties
-    tot = tot.groupBy(key, right_time).agg(*[F.max_by(c, F.struct(*tie)).alias(c) for c in cols])
-    at_hi = asof_backward(left, tot, key, hi, right_time, cols, unit=unit, prefix="_hi")
-    at_lo = asof_backward(at_hi, tot, key, lo, right_time, cols, unit=unit, prefix="_lo")
-    out = at_lo
-    for n, c in zip(sums, cols):
-        out = out.withColumn(n, F.coalesce(F.col(f"_hi{c}"), F.lit(0.0)) - F.coalesce(F.col(f"_lo{c}"), F.lit(0.0)))
-    return out.drop(*[f"_hi{c}" for c in cols], *[f"_lo{c}" for c in cols])
+    mark = lambda c, h: F.struct(F.col(c).alias("t"), F.lit(h).alias("hi"))
+    l = left.select(F.col(key).alias("_k"), F.struct(*left.columns).alias("_left"), F.explode(F.array(mark(lo, 0), mark(hi, 1))).alias("_m"))
+    l = l.select("_k", "_left", F.col("_m.t").alias("_t"), F.col("_m.hi").alias("_hi"), F.lit(1).alias("_side"), *[F.lit(None).cast("double").alias(f"_x_{n}") for n in sums])
+    r = right.select(
+        F.col(key).alias("_k"), F.lit(None).cast(l.schema["_left"].dataType).alias("_left"), F.col(right_time).alias("_t"), F.lit(0).alias("_hi"), F.lit(0).alias("_side"),
+        *[F.col(c).cast("double").alias(f"_x_{n}") for n, c in sums.items()])
+    s = l.unionByName(r)
+    s = s.withColumn("_b", _block(F.col("_t"), unit, _kind(s, "_t")))
+    s = running(s, "_k", "_b", ["_t", "_side"], **{f"_r_{n}": ("sum", f"_x_{n}") for n in sums}).filter(F.col("_left").isNotNull())
+    at = lambda n, h: F.max(F.when(F.col("_hi") == h, F.coalesce(F.col(f"_r_{n}"), F.lit(0.0))))
+    g = s.groupBy("_left").agg(F.sum("_hi").cast("int").alias("_n"), *[(at(n, 1) - at(n, 0)).alias(n) for n in sums])
+    # equal left rows share a group and come back as often as they went in
+    return g.withColumn("_i", F.explode(F.array_repeat(F.lit(1), F.col("_n")))).select("_left.*", *sums)

@@ -101,3 +101,14 @@ def test_entry(spark):
     from __spark_entry__ import entry
 
     assert entry(spark).count() > 0
+
+
+def test_range_count(spark):
+    """Open below, closed above, equal left rows kept apart, empty ranges zero."""
+    from tapeline.operators.asof import range_count
+
+    h = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(hours=n)
+    left = spark.createDataFrame([("k", h(0), h(5)), ("k", h(0), h(5)), ("k", h(3), h(40)), ("z", h(0), h(5))], "k string, a timestamp_ntz, b timestamp_ntz")
+    right = spark.createDataFrame([("k", h(0), 1.0), ("k", h(3), 2.0), ("k", h(5), 4.0), ("k", h(30), 8.0)], "k string, t timestamp_ntz, x double").withColumn("one", F.lit(1))
+    got = sorted((r["k"], r["a"], r["n"], r["s"]) for r in range_count(left, right, "k", "a", "b", "t", {"n": "one", "s": "x"}, unit="hour").collect())
+    assert got == [("k", h(0), 2.0, 6.0), ("k", h(0), 2.0, 6.0), ("k", h(3), 2.0, 12.0), ("z", h(0), 0.0, 0.0)]
