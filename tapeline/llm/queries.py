@@ -1,10 +1,14 @@
 """Registered queries of this package, one per operator, over the whole of its table."""
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import gbdt, setsketch
+from . import apportion, gbdt, grouping, pieces, setsketch
 from .common import documents, prepare, remainder, table
 
+#: The vocabulary that the packing queries use.
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+
 QUERIES = {}
 ORACLES = {}
 
@@ -25,3 +29,14 @@ def op7_quality_trees(spark, sf_dir):
     model = gbdt.train(docs, table(spark, sf_dir, "labels"))
     scored = gbdt.with_score(docs, model)
     return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@_query
+def op8_sainte_lague_mix(spark, sf_dir):
+    return apportion.plan(documents(spark, sf_dir, "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@_query
+def op10_grouping_pack(spark, sf_dir):
+    own = pieces.token_pieces(documents(spark, sf_dir, "text"), WORD_BPE, cap=2048, end_id=0)
+    return grouping.pack(own, cap=2048)
