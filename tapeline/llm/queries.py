@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import apportion, gbdt, grouping, pieces, setsketch
+from . import apportion, crf, gbdt, grouping, pieces, setsketch
 from .common import documents, prepare, remainder, table
 
 #: The vocabulary that the packing queries use.
@@ -23,6 +23,12 @@ def op4_setsketch_near_duplicates(spark, sf_dir):
     return setsketch.near_duplicates(documents(spark, sf_dir, "text"), size=4, percent=80)
 
 
+@_query
+def op6_crf_personal_data(spark, sf_dir):
+    found = crf.with_spans(documents(spark, sf_dir, "text"), crf.train(crf.labelled_table()))
+    return found.select("doc_id", "pii.n_email", "pii.n_ip", "pii.n_card", "pii.n_phone", "pii.base_sha256", "pii.spans")
+
+
 @_query
 def op7_quality_trees(spark, sf_dir):
     docs = documents(spark, sf_dir, "text")
