@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import apportion, crf, gbdt, grouping, pieces, setsketch
+from . import apportion, byte_cnn, crf, gbdt, grouping, kneser_ney, pieces, setsketch
 from .common import documents, prepare, remainder, table
 
 #: The vocabulary that the packing queries use.
@@ -23,6 +23,12 @@ def op4_setsketch_near_duplicates(spark, sf_dir):
     return setsketch.near_duplicates(documents(spark, sf_dir, "text"), size=4, percent=80)
 
 
+@_query
+def op5_kneser_ney_rules(spark, sf_dir):
+    found = kneser_ney.quality_rules(documents(spark, sf_dir, "text", "lang"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "perplexity", "lower", "upper")
+
+
 @_query
 def op6_crf_personal_data(spark, sf_dir):
     found = crf.with_spans(documents(spark, sf_dir, "text"), crf.train(crf.labelled_table()))
@@ -42,6 +48,14 @@ def op8_sainte_lague_mix(spark, sf_dir):
     return apportion.plan(documents(spark, sf_dir, "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@_query
+def op9_byte_network_language(spark, sf_dir):
+    docs = documents(spark, sf_dir, "text", "lang")
+    net = byte_cnn.train(docs.filter(remainder("doc_id", 3) != 1))
+    found = byte_cnn.with_language(docs.select("doc_id", "text"), net)
+    return found.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "language.lang_pred", "language.score")
+
+
 @_query
 def op10_grouping_pack(spark, sf_dir):
     own = pieces.token_pieces(documents(spark, sf_dir, "text"), WORD_BPE, cap=2048, end_id=0)
