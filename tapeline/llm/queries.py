@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import apportion, byte_cnn, crf, gbdt, grouping, kneser_ney, pieces, setsketch
+from . import apportion, byte_cnn, crf, gbdt, grouping, html_blocks, kneser_ney, pieces, setsketch
 from .common import documents, prepare, remainder, table
 
 #: The vocabulary that the packing queries use.
@@ -18,6 +18,13 @@ def _query(fn):
     return fn
 
 
+@_query
+def op2_html_blocks(spark, sf_dir):
+    pages = table(prepare(spark), sf_dir, "pages").select("page_id", "url", "html")
+    found = html_blocks.with_main_text(pages, html_blocks.train())
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 @_query
 def op4_setsketch_near_duplicates(spark, sf_dir):
     return setsketch.near_duplicates(documents(spark, sf_dir, "text"), size=4, percent=80)
