@@ -121,7 +121,7 @@ def may_link(a, b, na, nb, percent):
     share = na[k] / (na[k] + nb[k])
     most = np.minimum(na[k], nb[k]) / np.maximum(na[k], nb[k])
     best, over = np.full(len(k), -np.inf), np.full(len(k), -np.inf)
-    for g in np.unique(np.concatenate([_GRID[20:], [percent / 100]])):
+    for g in np.unique(np.concatenate([_GRID[30::2], [percent / 100]])):
         ll = np.where(g <= most + 1e-9, _log_likelihood(up, down, share, g), -np.inf)
         best = np.maximum(best, ll)
         over = np.maximum(over, ll) if g >= percent / 100 - 1e-9 else over
@@ -147,6 +147,31 @@ def sketched(docs, size):
     return own.mapInPandas(rows, "doc_id long, digest binary, n long, sketch binary")
 
 
+def _pairs_apart(t, keys, percent, chunk=50_000):
+    """Pairs of different components in the blocks of ``t`` (rows sorted by block) that share no earlier band and may link."""
+    if not len(t):
+        return
+    key = t[keys].to_numpy()
+    start = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1])
+    size = np.diff(np.append(start, len(t)))
+    after = np.repeat(start + size, size) - np.arange(len(t)) - 1  # rows behind each row in its block
+    ends = np.cumsum(after)
+    s = np.frombuffer(b"".join(t["sketch"]), np.uint8).reshape(-1, REGISTERS)
+    rep, root, n, block = (t[c].to_numpy() for c in ("rep", "root", "n", "block"))
+    mixed = key[:, 2] != key[:, 3]
+    for lo in range(0, int(ends[-1]), chunk):
+        at = np.arange(lo, min(lo + chunk, int(ends[-1])))
+        p = np.searchsorted(ends, at, side="right")
+        q = p + 1 + at - (ends[p] - after[p])
+        ok = (root[p] != root[q]) & (~mixed[p] | (block[p] != block[q]))
+        p, q = p[ok], q[ok]
+        ok = (s[p] == s[q]).reshape(len(p), -1, BAND).all(2).argmax(1) == key[p, 1]
+        p, q = p[ok], q[ok]
+        ok = may_link(s[p], s[q], n[p], n[q], percent)
+        p, q = rep[p[ok]], rep[q[ok]]
+        yield pd.DataFrame({"a": np.minimum(p, q), "b": np.maximum(p, q)})
+
+
 def _confirmed(pairs, sets, sketches, percent, name):
     """The pairs (a, b) whose full sets reach the threshold; written."""
     a, b = (sketches.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
@@ -202,8 +227,8 @@ def near_duplicates(docs, size=5, percent=80):
     roots = cut(components(links.toDF("u", "v")), "roots")
 
     def labelled():
-        """Buckets that still hold several components."""
-        own = buckets.join(roots.withColumnRenamed("u", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+        """Buckets that still hold several components; the one pair of a bucket of two has been tried."""
+        own = buckets.filter("members > 2").join(roots.withColumnRenamed("u", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
         several = own.groupBy("bucket", "band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("bucket", "band")
         return own.join(several, ["bucket", "band"])
 
@@ -229,24 +254,20 @@ def near_duplicates(docs, size=5, percent=80):
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = own.withColumn("other", other).select("bucket", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "root", "n", "sketch")
 
-    def across(key, t):
-        i, j = key[2], key[3]
-        s = np.frombuffer(b"".join(t["sketch"]), np.uint8).reshape(-1, REGISTERS)
-        rep, root, n, block = (t[c].to_numpy() for c in ("rep", "root", "n", "block"))
-        out = []
-        right = np.flatnonzero(block == j)
-        for k in np.flatnonzero(block == i):
-            r = right[(root[right] != root[k]) & ((rep[right] > rep[k]) | (i != j))]
-            if len(r):
-                one = np.broadcast_to(s[k], (len(r), REGISTERS))
-                equal = (s[r] == one).reshape(len(r), -1, BAND).all(2)
-                r = r[equal.argmax(1) == key[1]]
-            if len(r):
-                r = r[may_link(np.broadcast_to(s[k], (len(r), REGISTERS)), s[r], np.full(len(r), n[k]), n[r], percent)]
-                out.append(np.stack([np.minimum(rep[r], rep[k]), np.maximum(rep[r], rep[k])], 1))
-        return pd.DataFrame(np.concatenate(out) if out else np.zeros((0, 2), np.int64), columns=["a", "b"])
-
-    last = dealt.groupBy("bucket", "band", "i", "j").applyInPandas(across, "a long, b long")
+    keys = ["bucket", "band", "i", "j"]
+
+    def across(batches):
+        carry = None
+        for t in batches:
+            t = t if carry is None else pd.concat([carry, t], ignore_index=True)
+            fresh = (t[keys].to_numpy()[1:] != t[keys].to_numpy()[:-1]).any(1)
+            whole = int(np.flatnonzero(fresh)[-1]) + 1 if fresh.any() else 0
+            carry = t.iloc[whole:]
+            yield from _pairs_apart(t.iloc[:whole], keys, percent)
+        if carry is not None:
+            yield from _pairs_apart(carry, keys, percent)
+
+    last = dealt.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(across, "a long, b long")
     last = last.join(tried.unionByName(more), ["a", "b"], "left_anti")
     roots = joined(_confirmed(cut(last, "pairs"), sets, sketches, percent, "links"))
 
