@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import apportion, byte_cnn, crf, gbdt, grouping, html_blocks, kneser_ney, pieces, setsketch
+from . import apportion, bfd_pack, byte_cnn, crf, gbdt, grouping, html_blocks, kneser_ney, maxscore, pieces, setsketch
 from .common import documents, prepare, remainder, table
 
 #: The vocabulary that the packing queries use.
@@ -18,6 +18,23 @@ def _query(fn):
     return fn
 
 
+@_query
+def op1_maxscore_top_k(spark, sf_dir):
+    rows = maxscore.quantised(table(prepare(spark), sf_dir, "embeddings").select("vec_id", "embedding"), "embedding", 1024)
+    return maxscore.top_k(rows, rows.filter("vec_id % 100 = 0"), 10)
+
+
+ORACLES["op1_maxscore_top_k"] = """
+WITH v AS (
+  SELECT vec_id, [floor(1024 * CAST(x AS DOUBLE)) FOR x IN embedding] AS w FROM embeddings
+  WHERE len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, d.vec_id, CAST(list_inner_product(q.w, d.w) AS BIGINT) AS score
+  FROM v q JOIN v d ON q.vec_id <> d.vec_id WHERE q.vec_id % 100 = 0
+), r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10"""
+
+
 @_query
 def op2_html_blocks(spark, sf_dir):
     pages = table(prepare(spark), sf_dir, "pages").select("page_id", "url", "html")
@@ -25,6 +42,11 @@ def op2_html_blocks(spark, sf_dir):
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+@_query
+def op3_best_fit_token_matrices(spark, sf_dir):
+    return bfd_pack.packed_files(documents(spark, sf_dir, "text"), WORD_BPE, cap=2048, end_id=0)
+
+
 @_query
 def op4_setsketch_near_duplicates(spark, sf_dir):
     return setsketch.near_duplicates(documents(spark, sf_dir, "text"), size=4, percent=80)
