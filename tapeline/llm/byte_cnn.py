@@ -30,7 +30,9 @@ def windows(text):
     buf = np.zeros((n - 1) * _STEP + WINDOW, np.uint8)
     buf[: len(raw)] = raw
     view = np.lib.stride_tricks.sliding_window_view(buf, WINDOW)[::_STEP]
-    return view, np.minimum(_STEP, np.maximum(1, len(raw) - _STEP * np.arange(n)))
+    new = np.full(n, _STEP)
+    new[-1] = max(1, len(raw) - _STEP * (n - 1))
+    return view, new
 
 
 class Network:

@@ -184,8 +184,9 @@ def pack(pieces, cap, length="length", seed=5):
         items, left, step = poor.select("item", "length"), again, step + 1
     if placed is None:
         placed = spark.createDataFrame([], "item long, sequence_id long, offset long")
-    out = named.join(placed, F.col("_item") == F.col("item"), "left")
+    placed = placed.toDF("_at", "_sequence", "_offset")
+    out = named.join(placed, F.col("_item") == F.col("_at"), "left")
     full = size == cap
-    out = out.withColumn("sequence_id", F.when(full, -F.col("_item") - 1).otherwise(F.col("sequence_id")))
-    out = out.withColumn("offset", F.when(full, F.lit(0).cast("long")).otherwise(F.col("offset")))
-    return out.drop("_item", "item", "_bad")
+    out = out.withColumn("sequence_id", F.when(full, -F.col("_item") - 1).otherwise(F.col("_sequence")))
+    out = out.withColumn("offset", F.when(full, F.lit(0).cast("long")).otherwise(F.col("_offset")))
+    return out.drop("_item", "_at", "_sequence", "_offset", "_bad")
