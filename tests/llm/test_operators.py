@@ -301,24 +301,25 @@ def test_near_duplicates_equal_all_pairs(s, size):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == brute_near(rows, size, 80)
 
 
-def test_blocks_find_pairs_that_the_centre_misses():
-    """All pairs of one bucket over two blocks, whatever the block edges."""
-    sets = [np.unique(np.random.default_rng(1).integers(0, 2**63, 200, dtype=np.uint64)) for _ in range(1)]
-    base = sets[0]
+def test_blocks_compare_all_members():
+    """All pairs of one bucket over two blocks; full sets give every component the centre missed."""
+    base = np.unique(np.random.default_rng(1).integers(0, 2**63, 200, dtype=np.uint64))
     rows = []
     for k in range(9):
         own = base.copy()
         own[k * 3 : k * 3 + 5] = np.random.default_rng(k + 5).integers(0, 2**63, 5, dtype=np.uint64)
-        rows.append((1, k % 2, k, k, len(own), setsketch.registers(own).tobytes()))
-    every = set()
+        own = np.sort(own)
+        rows.append((1, k % 2, k, k if k < 8 else 7, len(own), setsketch.registers(own).tobytes(), own.tobytes()))
+    keys, every = ["bucket", "i", "j"], set()
     for i, j in ((0, 0), (0, 1), (1, 1)):
-        t = pd.DataFrame([r for r in rows if r[1] in (i, j)], columns=["bucket", "block", "rep", "root", "n", "sketch"])
-        for band in range(32):
-            for p in setsketch._pairs_apart(t.assign(band=band, i=i, j=j), ["bucket", "band", "i", "j"], 80, chunk=4):
-                new = {tuple(x) for x in p.to_numpy().tolist()}
-                assert not new & every
-                every |= new
-    assert len(every) == 36
+        t = pd.DataFrame([r for r in rows if r[1] in (i, j)], columns=["bucket", "block", "rep", "root", "n", "sketch", "hashes"]).assign(i=i, j=j)
+        t = pd.concat([t, t.assign(bucket=2)], ignore_index=True)
+        own = {tuple(sorted((int(t.rep[p]), int(t.rep[q])))) for ps, qs in setsketch._block_pairs(t, keys, chunk=4) for p, q in zip(ps, qs)}
+        assert not own & every and len(setsketch._hopeful(t, keys, 80)) == len(t)
+        every |= own
+        links = setsketch._block_links(t[t.bucket == 1], 80)
+        assert len(links) == t[t.bucket == 1].root.nunique() - 1
+    assert len(every) == 36 - 1  # 7 and 8 are one component
 
 
 def test_sketches_merge_and_estimate():
