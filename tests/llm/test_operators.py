@@ -150,6 +150,17 @@ def test_chunked_ids_are_the_tokenizers():
                 assert ids[lo:hi].tolist() == tok.encode(t or "", add_special_tokens=False).ids + [0]
 
 
+def test_pieces_of_latin_texts_are_the_tokenizers():
+    r = np.random.default_rng(16)
+    tok, mine = Tokenizer.from_file(BPE), tokens.ChunkTokenizer(BPE, None)
+    letters = [chr(k) for k in range(256)] + list("abcABC  éÉß..!!12") * 8
+    texts = ["".join(r.choice(letters, int(r.integers(0, 60)))) for _ in range(600)]
+    for k in range(0, 600, 50):
+        ids, off = mine.encode(texts[k : k + 50])
+        for t, lo, hi in zip(texts[k : k + 50], off, off[1:]):
+            assert ids[lo:hi].tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 def test_pieces_rebuild_documents(s):
     df = frame(s, [(i, t, "en", "a") for i, t in enumerate(TEXTS)])
     got = pieces.token_pieces(df, BPE, 64, 0, with_ids=True).toPandas().sort_values(["doc_id", "piece"])
