@@ -10,16 +10,17 @@ from . import spread
 from .settle import non_overlap
 
 
-def v_candidates(bars, drops, max_drop_bars):
+def v_candidates(bars, drops):
     """Per peak bar and drop size: the re-anchored peak and the first masked trough of the same ET day.
 
     ``bars`` carry pos, et_date, ts, close, is_peak, is_trough. A day's bars become one array (a day has a fixed
-    number of bars), and each peak folds over the rest of its own day.
+    number of bars), and each peak folds over the rest of its own day. A drop may last as many bars as the symbol's median day has.
     """
     bar = F.struct("pos", "ts", "close", "is_trough")
     day = bars.groupBy("symbol", "et_date").agg(
         F.array_sort(F.collect_list(bar)).alias("day"), F.collect_list(F.when(F.col("is_peak"), F.col("pos"))).alias("peaks"))
-    p = day.select("symbol", "et_date", "day", F.explode("peaks").alias("peak_pos"))
+    limit = day.groupBy("symbol").agg(F.floor(F.percentile(F.size("day"), 0.5)).alias("_limit"))
+    p = day.select("symbol", "et_date", "day", F.explode("peaks").alias("peak_pos")).join(limit, "symbol")
     p = p.withColumn("_i", F.array_position(F.transform("day", lambda b: b["pos"]), F.col("peak_pos")).cast("int"))
     p = p.withColumn("_from", F.get("day", F.col("_i") - 1)).withColumn("_rest", F.slice("day", F.col("_i") + 1, F.size("day")))
     p = p.drop("day").withColumn("x", F.explode(F.array(*[F.lit(float(x)) for x in drops])))
@@ -28,7 +29,7 @@ def v_candidates(bars, drops, max_drop_bars):
 
     def step(acc, b):
         peak = acc["peak"]
-        far = (b["pos"] - peak["pos"]) > max_drop_bars
+        far = (b["pos"] - peak["pos"]) > F.col("_limit")
         higher = b["close"] > peak["close"]
         found = b["is_trough"] & ((peak["close"] - b["close"]) / peak["close"] >= F.col("x"))
         nxt = F.when(far, F.struct(peak.alias("peak"), none.alias("trough"), F.lit(True).alias("stop"))).when(

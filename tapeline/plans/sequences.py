@@ -45,13 +45,14 @@ def keep_sql(t, key, start, end):
 
 # ---------------------------------------------------------------- V shapes
 XS, YS, TS = [0.3, 0.6], [0.5, 1.5], [4, 10]
-LB, LF, MAXDROP = 3, 2, 30
+LB, LF = 3, 2
 MASKED = f"SELECT symbol, ts, et_date, close, pos, count(*) OVER w = 6 AND close >= max(close) OVER w AS is_peak, count(*) OVER w = 6 AND close <= min(close) OVER w AS is_trough FROM {{{{bars_15m}}}} WINDOW w AS ({BW} ROWS BETWEEN 3 PRECEDING AND 2 FOLLOWING)"
+DROPLIMIT = "SELECT symbol, CAST(floor(median(n)) AS BIGINT) AS lim FROM (SELECT symbol, et_date, count(*) AS n FROM {{bars_15m}} GROUP BY ALL) GROUP BY symbol"
 VCAND = f"""SELECT symbol, et_date, x, peak_pos, arg_min(a, pos) AS anchor_pos, arg_min(pos, pos) AS trough_pos, arg_min(m, pos) AS peak_p, arg_min(close, pos) AS trough_p FROM (
-    SELECT *, max(CASE WHEN pos - a > {MAXDROP} THEN 1 ELSE 0 END) OVER (PARTITION BY symbol, peak_pos ORDER BY pos) AS far FROM (
+    SELECT *, max(CASE WHEN pos - a > lim THEN 1 ELSE 0 END) OVER (PARTITION BY symbol, peak_pos ORDER BY pos) AS far FROM (
     SELECT p.symbol, p.et_date, p.pos AS peak_pos, j.pos, j.close, j.is_trough, max(j.close) OVER w AS m, arg_max(j.pos, {{'c': j.close, 'p': -j.pos}}) OVER w AS a
     FROM (SELECT * FROM ({MASKED}) WHERE is_peak) p JOIN ({MASKED}) j ON j.symbol = p.symbol AND j.et_date = p.et_date AND j.pos >= p.pos
-    WINDOW w AS (PARTITION BY p.symbol, p.pos ORDER BY j.pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) WHERE pos > peak_pos), (SELECT unnest({XS}::DOUBLE[]) AS x)
+    WINDOW w AS (PARTITION BY p.symbol, p.pos ORDER BY j.pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) JOIN ({DROPLIMIT}) USING (symbol) WHERE pos > peak_pos), (SELECT unnest({XS}::DOUBLE[]) AS x)
     WHERE far = 0 AND is_trough AND close <= m AND (m - close) / m >= x GROUP BY symbol, et_date, x, peak_pos"""
 
 
@@ -60,7 +61,7 @@ def masked(spark, sf, bars=None):
 
 
 def v_cands(spark, sf, bars=None):
-    return P.v_candidates(masked(spark, sf, bars), XS, MAXDROP)
+    return P.v_candidates(masked(spark, sf, bars), XS)
 
 
 @query("seq_01_v_candidates", VCAND, dbl="x peak_p trough_p")
@@ -83,7 +84,7 @@ VCOLS = ["symbol", "et_date", "x", "y", "T", "anchor_pos", "trough_pos", "peak_p
 
 def v_all(spark, sf):
     m = masked(spark, sf)
-    return P.v_events(P.v_rebounds(P.v_candidates(m, XS, MAXDROP), m, YS, TS))
+    return P.v_events(P.v_rebounds(P.v_candidates(m, XS), m, YS, TS))
 
 
 @query("seq_02_v_events", VEV, dbl="x y peak_p trough_p rebound_p drop_pct rebound_pct")

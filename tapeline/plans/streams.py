@@ -59,7 +59,7 @@ def str_05(spark, sf):
     return J.drain(J.stateful(J.as_stream(s, "d"), J.DetectorMachine()), "detector")
 
 
-@query("str_06_trough_confirm", f"""SELECT symbol, ts AS trough_ts, cts AS confirm_ts, (top - close) / top AS drop FROM (SELECT *, (SELECT max(b.close) FROM {{{{bars_15m}}}} b WHERE b.symbol = m.symbol AND b.et_date = m.et_date AND b.pos BETWEEN m.pos - 21 AND m.pos) AS top FROM (
+@query("str_06_trough_confirm", f"""SELECT symbol, ts AS trough_ts, cts AS confirm_ts, (top - close) / top AS drop FROM (SELECT *, (SELECT max(b.close) FROM {{{{bars_15m}}}} b WHERE b.symbol = m.symbol AND b.et_date = m.et_date AND b.pos <= m.pos) AS top FROM (
     SELECT *, count(*) OVER w = 6 AND close <= min(close) OVER w AS is_trough, lead(ts, 2) OVER ({BW}) AS cts FROM {{{{bars_15m}}}} WINDOW w AS ({BW} ROWS BETWEEN 3 PRECEDING AND 2 FOLLOWING)) m WHERE is_trough) WHERE (top - close) / top >= 0.3""", dbl="drop")
 def str_06(spark, sf):
     out = J.drain(J.stateful(bar_stream(spark, sf), J.TroughConfirm()), "troughs")

@@ -13,6 +13,9 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
 }
 
+#: Folders below the shared one made by this process.
+_MADE = []
+
 
 def local_session(cpus="*", app="tapeline", partitions=8, memory="12g"):
     """A local session for tests and the bench; on a cluster the session comes from spark-submit."""
@@ -38,13 +41,13 @@ def configure(spark):
 
 
 def shared_dir(spark):
-    """Folder every executor can reach: the cluster's checkpoint folder, else a local one for tests."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """Folder every executor can reach: the cluster's checkpoint folder. Only a local master may do without one."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if path:
         return path
-    jsc_dir = spark.sparkContext.getCheckpointDir()
-    if jsc_dir:
-        return jsc_dir
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors share (master {master})")
     path = tempfile.mkdtemp(prefix="tapeline-")
     spark.sparkContext.setCheckpointDir(path)
     return path
@@ -52,7 +55,17 @@ def shared_dir(spark):
 
 def run_dir(spark, name):
     """A fresh folder below the shared one."""
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+    path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+    _MADE.append(path)
+    return path
+
+
+def release(spark):
+    """Remove the folders made so far. Results that still read them must have been written elsewhere by then."""
+    jvm = spark.sparkContext._jvm
+    while _MADE:
+        path = jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df, name="cut"):

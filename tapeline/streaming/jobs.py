@@ -189,32 +189,30 @@ class DetectorMachine(_Sorted):
 
 
 class TroughConfirm(StatefulProcessor):
-    """A ring buffer of the newest bars per symbol; a trough counts when its last confirming bar arrives."""
+    """The newest lb + lf + 1 bars per symbol, each with its day's high so far; a trough counts when its last confirming bar arrives."""
 
     SCHEMA = "symbol string, trough_us long, confirm_us long, drop double"
 
-    def __init__(self, lb=3, lf=2, keep=24, drop=0.3):
-        self.lb, self.lf, self.keep, self.drop = lb, lf, keep, drop
+    def __init__(self, lb=3, lf=2, drop=0.3):
+        self.lb, self.lf, self.drop = lb, lf, drop
 
     def init(self, handle):
-        self.ring = handle.getListState("ring", "us long, day int, close double")
+        self.ring = handle.getListState("ring", "us long, day int, close double, high double")
 
     def handleInputRows(self, key, rows, timerValues):
         import pandas as pd
 
         buf = [tuple(r) for r in self.ring.get()] if self.ring.exists() else []
         pdf = pd.concat(list(rows)).sort_values("us")
-        out = []
+        n, out = self.lb + self.lf + 1, []
         for us, d, c in zip(pdf["us"].tolist(), pdf["day"].tolist(), pdf["close"].tolist()):
-            buf = (buf + [(us, d, c)])[-self.keep:]
-            n = self.lb + self.lf + 1
+            high = max(c, buf[-1][3]) if buf and buf[-1][1] == d else c
+            buf = (buf + [(us, d, c, high)])[-n:]
             if len(buf) < n:
                 continue
-            t = buf[-1 - self.lf]
-            if t[2] <= min(b[2] for b in buf[-n:]):
-                top = max(b[2] for b in buf[: len(buf) - self.lf] if b[1] == t[1])
-                if (top - t[2]) / top >= self.drop:
-                    out.append((key[0], t[0], us, (top - t[2]) / top))
+            t_us, _, low, top = buf[self.lb]
+            if low <= min(b[2] for b in buf) and (top - low) / top >= self.drop:
+                out.append((key[0], t_us, us, (top - low) / top))
         self.ring.put(buf)
         yield pd.DataFrame(out, columns=["symbol", "trough_us", "confirm_us", "drop"])
 
