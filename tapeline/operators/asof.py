@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions.times import micros
-from .spread import running
+from .spread import even_blocks, running
 
 
 def _stream(left, right, key, left_time, right_time, cols, tie_right_first):
@@ -27,30 +27,38 @@ def _stream(left, right, key, left_time, right_time, cols, tie_right_first):
 
 def _block(t, unit, kind):
     if kind == "timestamp":
-        return F.floor(micros(t) / {"hour": 3_600_000_000, "day": 86_400_000_000}[unit])
+        return F.floor(micros(t) / {"minute": 60_000_000, "hour": 3_600_000_000, "day": 86_400_000_000}[unit])
     if kind == "date":
         return F.floor(F.unix_date(t) / 32)
     return F.floor(t / 1024)
 
 
+def _blocked(s, key, unit, kind, sign=1):
+    """Blocks of the shared stream: fixed spans of time, or with ``unit="values"`` the spread of the numbers themselves."""
+    if unit == "values":
+        s = s.withColumn("_num", F.col("_t").cast("double"))
+        return even_blocks(s, [f"_k_{k}" for k in key], "_num").withColumn("_b", sign * F.col("_b")).drop("_num")
+    return s.withColumn("_b", sign * _block(F.col("_t"), unit, kind))
+
+
 def _kind(df, c):
     t = df.schema[c].dataType.typeName()
     return "timestamp" if t.startswith("timestamp") else t
 
 
-def asof_backward(left, right, key, left_time, right_time, cols, strict=False, unit="day", prefix=""):
+def asof_backward(left, right, key, left_time, right_time, cols, strict=False, unit="hour", prefix=""):
     """Latest right row with right_time <= left_time (< when strict) of the same key; NULLs where none.
 
     Ties on right_time keep the largest ``cols`` struct so the pick does not depend on input order.
     """
     key = [key] if isinstance(key, str) else list(key)
     s = _stream(left, right, key, left_time, right_time, cols, not strict)
-    s = s.withColumn("_b", _block(F.col("_t"), unit, _kind(s, "_t")))
+    s = _blocked(s, key, unit, _kind(s, "_t"))
     out = running(s, [f"_k_{k}" for k in key], "_b", ["_t", "_side", "_right"], _pick=("last", "_right"))
     return _unpack(out, left, cols, prefix)
 
 
-def asof_forward(left, right, key, left_time, right_time, cols, strict=True, unit="day", prefix=""):
+def asof_forward(left, right, key, left_time, right_time, cols, strict=True, unit="hour", prefix=""):
     """Earliest right row with right_time > left_time (>= when not strict) of the same key; NULLs where none."""
     key = [key] if isinstance(key, str) else list(key)
     s = _stream(left, right, key, left_time, right_time, cols, strict)
@@ -58,7 +66,7 @@ def asof_forward(left, right, key, left_time, right_time, cols, strict=True, uni
     kind = _kind(s, "_t")
     num = micros("_t") if kind == "timestamp" else (F.unix_date("_t") if kind == "date" else F.col("_t"))
     s = s.withColumn("_rt", -num).withColumn("_rside", -F.col("_side"))
-    s = s.withColumn("_b", -_block(F.col("_t"), unit, kind))
+    s = _blocked(s, key, unit, kind, -1)
     out = running(s, [f"_k_{k}" for k in key], "_b", ["_rt", "_rside"], _pick=("last", "_right"))
     return _unpack(out, left, cols, prefix)
 
@@ -69,7 +77,7 @@ def _unpack(out, left, cols, prefix):
     )
 
 
-def asof_with_lag(left, series, key, left_time, right_time, value, lags, unit="day"):
+def asof_with_lag(left, series, key, left_time, right_time, value, lags, unit="hour"):
     """As-of value plus the values k observations earlier in the series (bounded daily or monthly series)."""
     from pyspark.sql import Window as W
 
@@ -78,7 +86,7 @@ def asof_with_lag(left, series, key, left_time, right_time, value, lags, unit="d
     return asof_backward(left, wide, key, left_time, right_time, [value] + [f"{value}_lag{k}" for k in lags], unit=unit)
 
 
-def range_count(left, right, key, lo, hi, right_time, sums, unit="day"):
+def range_count(left, right, key, lo, hi, right_time, sums, unit="hour"):
     """Counts and sums of right rows with time in (lo, hi], as the difference of a running total at two marks.
 
     ``sums`` maps output name to a right-side numeric column; a count is a sum of ones. Each left row puts two marks

@@ -91,8 +91,8 @@ def prob_parity(ref, new, keys):
     # neighbours by value instead of all pairs: the nearest is the last at or below, or the first at or above
     r = ref.withColumn("_k", F.concat_ws("|", *[F.col(k).cast("string") for k in keys])).withColumn("_p", F.floor(F.col("prob") * 1e12).cast("bigint"))
     n = new.withColumn("_k", F.concat_ws("|", *[F.col(k).cast("string") for k in keys])).select("_k", F.floor(F.col("prob") * 1e12).cast("bigint").alias("_q"), F.col("prob").alias("near"))
-    lo = asof_backward(r, n, "_k", "_p", "_q", ["near"], prefix="lo_")
-    both = asof_forward(lo, n, "_k", "_p", "_q", ["near"], strict=False, prefix="hi_")
+    lo = asof_backward(r, n, "_k", "_p", "_q", ["near"], unit="values", prefix="lo_")
+    both = asof_forward(lo, n, "_k", "_p", "_q", ["near"], strict=False, unit="values", prefix="hi_")
     return both.withColumn("diff", F.least(F.abs(F.col("prob") - F.col("lo_near")), F.abs(F.col("hi_near") - F.col("prob")))).agg(
         F.count(F.lit(1)).alias("n_ref"), F.max("diff").alias("max_diff"), F.sum(F.col("diff").isNull().cast("int")).cast("bigint").alias("missing"))
 
@@ -115,22 +115,24 @@ def merge_states(days, history, live):
     return j.withColumn("src", src).withColumn("state", F.coalesce("_l", "_h", F.lit(""))).drop("_h", "_b", "_l")
 
 
-def nearest_vectors(points, id_col, dims, current_id, k=3):
-    """Nearest points to one current point on z-scored dimensions; missing dimensions rescale the distance.
+def nearest_vectors(points, id_col, vector, current_id=None, k=3):
+    """Nearest points to one current point (the newest id unless given) on z-scored dimensions; missing dimensions rescale the distance.
 
-    Moments are one aggregate row and the current point is one row, both attached as scalars; the top k is a
-    limited sort, so nothing is paired up.
+    ``vector`` is an array of any length with NULL where a dimension is missing. Moments come from one aggregate by dimension and are
+    attached as one row of arrays; the top k is a limited sort, so nothing is paired up.
     """
-    mom = points.agg(*[F.avg(c).alias(f"mu_{c}") for c in dims], *[F.stddev_pop(c).alias(f"sd_{c}") for c in dims])
-    cur = points.filter(F.col(id_col) == current_id).select(*[F.col(c).alias(f"x_{c}") for c in dims])
+    ids = points.agg(F.max(id_col).alias("id")) if current_id is None else None
+    is_now = F.col(id_col) == (F.lit(current_id) if ids is None else ids.scalar())
+    dims = points.select(F.posexplode(vector).alias("i", "x"))
+    mom = dims.groupBy("i").agg(F.avg("x").alias("mu"), F.stddev_pop("x").alias("sd"))
+    mom = mom.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", F.when(F.col("sd") == 0, 1.0).otherwise(F.col("sd")).alias("sd")))), lambda m: m["sd"]).alias("sd"))
+    cur = points.filter(is_now).agg(F.max_by(vector, id_col).alias("x"))
     p = attach(attach(points, mom, "_m"), cur, "_x")
-    sq, n = F.lit(0.0), F.lit(0)
-    for c in dims:
-        sd = F.when(F.col(f"_m.sd_{c}") == 0, 1.0).otherwise(F.col(f"_m.sd_{c}"))
-        diff = (F.col(c) - F.col(f"_x.x_{c}")) / sd
-        sq = sq + F.coalesce(diff * diff, F.lit(0.0))
-        n = n + F.when(diff.isNotNull(), 1).otherwise(0)
-    d = p.withColumn("_n", n).filter((F.col("_n") > 0) & (F.col(id_col) != current_id)).withColumn("dist", F.sqrt(sq * len(dims) / F.col("_n")))
+    diff = F.transform(F.arrays_zip(F.col(vector).alias("x"), F.col("_x.x").alias("c"), F.col("_m.sd").alias("sd")), lambda z: (z["x"] - z["c"]) / z["sd"])
+    there = F.filter("_d", lambda d: d.isNotNull())
+    d = p.withColumn("_d", diff).withColumn("_n", F.size(there)).filter((F.col("_n") > 0) & ~is_now)
+    sq = F.aggregate(there, F.lit(0.0), lambda acc, x: acc + x * x)
+    d = d.withColumn("dist", F.sqrt(sq * F.size(vector) / F.col("_n")))
     return d.orderBy("dist", id_col).limit(k).select(id_col, "dist")
 
 

@@ -44,10 +44,10 @@ def intel_features(dataset, releases, posts, bar_minutes):
     d = dataset.withColumn("asof", tm.plus_seconds("confirm_ts", bar_minutes * 60))
     d = asof_backward(d, releases, "symbol", "asof", "published", ["change_pct", "published"], prefix="si_")
     d = d.withColumn("si_days_since", (tm.micros("asof") - tm.micros("si_published")) / 86_400_000_000).withColumnRenamed("si_change_pct", "si_chg_recent").drop("si_published")
-    # posts of a day are numbered inside the day (hour by hour), so "so far today" is the number of the last one seen
-    p = posts.withColumn("post_day", tm.et_date("post_ts")).withColumn("_h", F.date_trunc("hour", "post_ts"))
+    # posts of a day are numbered inside the day (minute by minute), so "so far today" is the number of the last one seen
+    p = posts.withColumn("post_day", tm.et_date("post_ts")).withColumn("_h", F.date_trunc("minute", "post_ts"))
     p = spread.positions(p, "post_day", "_h", ["post_ts", "post_id"], name="so_far", start=1).withColumn("_k", F.lit(0))
-    d = asof_backward(d.withColumn("_k", F.lit(0)), p, "_k", "asof", "post_ts", ["so_far", "post_day"], unit="hour").drop("_k")
+    d = asof_backward(d.withColumn("_k", F.lit(0)), p, "_k", "asof", "post_ts", ["so_far", "post_day"], unit="minute").drop("_k")
     d = d.withColumn("_day", tm.et_date("asof"))
     cover = posts.agg(F.min(tm.et_date("post_ts")).alias("a"), F.max(tm.et_date("post_ts")).alias("z"))
     d = d.withColumn("_c", cover.select(F.struct("a", "z")).scalar())

@@ -41,7 +41,8 @@ def pareto(df, a, b):
     """Non-dominated rows on two higher-is-better columns; NULL rows are out. Rows collapse to distinct values of
     ``a`` first; the running maximum over higher values is two-level."""
     d = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
-    m = d.groupBy(a).agg(F.max(b).alias("_m")).withColumn("_all", F.lit(0)).withColumn("_neg", -F.col(a)).withColumn("_blk", F.floor(-F.col(a) / 64))
+    m = d.groupBy(a).agg(F.max(b).alias("_m")).withColumn("_all", F.lit(0)).withColumn("_neg", -F.col(a))
+    m = spread.even_blocks(m, "_all", "_neg", "_blk")
     r = spread.running(m, "_all", "_blk", "_neg", exclusive=True, _above=("max", "_m")).select(a, "_m", "_above")
     j = d.join(r, a)
     dominated = (F.col("_above") >= F.col(b)) | (F.col("_m") > F.col(b))

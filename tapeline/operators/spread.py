@@ -6,10 +6,11 @@ ordered rows into blocks, does the work per (key, block), and makes the blocks a
 * ``positions``      dense row numbers from per-block counts
 * ``in_blocks``      bounded frames (-before..+after) by copying edge rows into the neighbouring block
 * ``running``        unbounded frames by carrying per-block partial aggregates forward
+* ``even_blocks``    blocks of values by the data's own spread
 * ``value_ranks``    exact ranks and quantiles from tie-collapsed value counts
 * ``hash_rank``      exact order of md5 draws, blocked by digest prefix
 
-Blocks are functions of the ordering value only (a date, an hour, a value range, a digest prefix), so a
+Blocks are functions of the ordering value only (a date, an hour, a value block, a digest prefix), so a
 recomputed task always finds the same block. Every shuffle key includes the block.
 """
 
@@ -93,24 +94,36 @@ def last_before(df, key, block, order, **cols):
     return running(df, key, block, order, exclusive=True, **{n: ("last", c) for n, c in cols.items()})
 
 
-def value_ranks(df, key, value, buckets=1024, weight=None):
-    """One row per (key, distinct value): n_eq, n_less, n_all. Ties collapse before any ordering."""
+def even_blocks(df, key, value, name="_b", target=4096):
+    """A block number per row that rises with ``value`` and follows the data, whatever its scale or tail.
+
+    Values first fall into eighths of powers of two; an eighth with more than ``target`` rows of a key is split evenly between its own
+    least and largest value. Blocks depend on the rows only, so a recomputed task finds the same ones.
+    """
+    key = _cols(key)
+    x = F.col(value).cast("double")
+    step = F.floor(F.log2(F.abs(x)) * 8).cast("bigint") + 10_000
+    d = df.withColumn("_o", F.when(x > 0, step).when(x < 0, -step).otherwise(F.lit(0)))
+    info = d.groupBy(*key, "_o").agg(F.count(F.lit(1)).alias("_n"), F.min(x).alias("_lo"), F.max(x).alias("_hi"))
+    parts = F.ceil(F.col("_n") / target)
+    sub = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((x - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * parts), parts - 1)).otherwise(0)
+    return d.join(info, key + ["_o"]).withColumn(name, F.col("_o") * (1 << 24) + sub).drop("_o", "_n", "_lo", "_hi")
+
+
+def value_ranks(df, key, value, weight=None):
+    """One row per (key, distinct value): n_eq, n_less, n_all. Ties collapse before any ordering; values are ordered in even blocks."""
     key = _cols(key)
     w = F.lit(1) if weight is None else F.col(weight)
     counts = df.filter(F.col(value).isNotNull()).groupBy(*key, value).agg(F.sum(w).cast("bigint").alias("n_eq"))
-    ends = counts.groupBy(*key).agg(
-        F.min(value).cast("double").alias("_lo"), F.max(value).cast("double").alias("_hi"), F.sum("n_eq").alias("n_all")
-    )
-    x = F.col(value).cast("double")
-    b = F.when(F.col("_hi") > F.col("_lo"), F.floor((x - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * buckets)).otherwise(0)
-    if key:
-        rows = counts.join(ends, key)
-    else:
-        rows = counts.withColumn("_e", ends.select(F.struct(*ends.columns)).scalar()).select(*counts.columns, "_e.*")
-    rows = rows.withColumn("_b", b.cast("int")).drop("_lo", "_hi")
-    tmp = rows if key else rows.withColumn("_k", F.lit(0))
-    out = running(tmp, key or ["_k"], "_b", value, exclusive=True, n_less=("sum", "n_eq"))
-    return out.withColumn("n_less", F.coalesce("n_less", F.lit(0)).cast("bigint")).drop("_b", "_k")
+    keys = key or ["_k"]
+    rows = even_blocks(counts if key else counts.withColumn("_k", F.lit(0)), keys, value)
+    # per block: the rows before it and the rows of the whole key
+    part = rows.groupBy(*keys, "_b").agg(F.sum("n_eq").alias("_p"))
+    of = W.partitionBy(*keys)
+    part = part.select(*keys, "_b", F.sum("_p").over(of.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)).alias("_c"), F.sum("_p").over(of).alias("n_all"))
+    before = F.sum("n_eq").over(W.partitionBy(*keys, "_b").orderBy(value).rowsBetween(W.unboundedPreceding, -1))
+    out = rows.join(part, keys + ["_b"]).withColumn("n_less", (F.coalesce(before, F.lit(0)) + F.coalesce("_c", F.lit(0))).cast("bigint"))
+    return out.select(*counts.columns, "n_all", "n_less")
 
 
 def avg_ranks(df, key, value):

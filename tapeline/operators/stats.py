@@ -146,12 +146,13 @@ def effect_size(rows, x, label, keys=()):
 def binomial_tail(counts, hits="hits", n="n", chunk=4096):
     """P(X >= hits | n, 1/2): log binomial terms from a running sum of logs, spread over chunks of the support.
 
-    Each (key, j) term is one row, so a large n is many rows, not one long loop.
+    Each (key, j) term is one row; a key's support is dealt in chunks, so no row holds more than ``chunk`` of it.
     """
     keys = [c for c in counts.columns if c not in (hits, n)]
-    t = counts.withColumn("j", F.explode(F.sequence(F.lit(1), F.greatest(F.col(n), F.lit(1)))))
+    t = counts.withColumn("_b", F.explode(F.sequence(F.lit(0), F.floor(F.greatest(F.col(n), F.lit(1)) / chunk))))
+    t = t.withColumn("j", F.explode(F.sequence(F.greatest(F.col("_b") * chunk, F.lit(1)), F.least(F.col("_b") * chunk + chunk - 1, F.greatest(F.col(n), F.lit(1))))))
     # log C(n, j) = sum_{i<=j} log((n - i + 1) / i)
-    t = t.withColumn("_b", F.floor(F.col("j") / chunk)).withColumn("_l", F.when(F.col("j") <= F.col(n), F.log((F.col(n) - F.col("j") + 1) / F.col("j"))))
+    t = t.withColumn("_l", F.when(F.col("j") <= F.col(n), F.log((F.col(n) - F.col("j") + 1) / F.col("j"))))
     t = spread.running(t, keys + [n, hits], "_b", "j", _c=("sum", "_l"))
     term = F.when((F.col("j") >= F.col(hits)) & (F.col("j") <= F.col(n)), F.exp(F.col("_c") - F.col(n) * F.log(F.lit(2.0)))).otherwise(0.0)
     zero = F.when(F.col(hits) <= 0, F.pow(F.lit(0.5), F.col(n))).otherwise(0.0)

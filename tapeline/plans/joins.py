@@ -85,7 +85,7 @@ def jn_04(spark, sf):
 def jn_05(spark, sf):
     b = v.bars_1h(spark, sf).select("symbol", "ts", tm.plus_seconds("ts", -30 * 3600).alias("t0"))
     e = v.dated(spark, sf).select(F.col("event_type").alias("symbol"), "observed_time", "event_id", "value", F.lit(1).alias("one"))
-    out = A.range_count(b, e, "symbol", "t0", "ts", "observed_time", {"n": "one", "total": "value"}, unit="hour")
+    out = A.range_count(b, e, "symbol", "t0", "ts", "observed_time", {"n": "one", "total": "value"}, unit="minute")
     return out.select("symbol", "ts", F.col("n").cast("bigint").alias("n"), "total")
 
 
@@ -248,13 +248,14 @@ def jn_21(spark, sf):
     return J.merge_states(s.select("symbol", "et_date"), h, l)
 
 
-@query("jn_22_nearest_vectors", "WITH p AS (SELECT vec_id, " + ", ".join(f"CASE WHEN (vec_id + {i}) % 7 <> 0 THEN embedding[{i + 1}]::DOUBLE END AS x{i}" for i in range(6)) + " FROM embeddings), m AS (SELECT "
-    + ", ".join(f"avg(x{i}) AS m{i}, stddev_pop(x{i}) AS s{i}" for i in range(6)) + " FROM p), c AS (SELECT " + ", ".join(f"x{i} AS c{i}" for i in range(6)) + " FROM p WHERE vec_id = 77) SELECT vec_id, dist FROM (SELECT vec_id, sqrt(("
-    + " + ".join(f"coalesce(pow((x{i} - c{i}) / s{i}, 2), 0)" for i in range(6)) + ") * 6 / (" + " + ".join(f"CASE WHEN x{i} - c{i} IS NOT NULL THEN 1 ELSE 0 END" for i in range(6)) + ")) AS dist FROM p, m, c WHERE vec_id <> 77) ORDER BY dist, vec_id LIMIT 3", dbl="dist", dp=6)
+@query("jn_22_nearest_vectors", """WITH p AS (SELECT vec_id, unnest(range(len(embedding))) AS i, unnest([x::DOUBLE FOR x IN embedding]) AS y FROM embeddings),
+    x AS (SELECT vec_id, i, CASE WHEN (vec_id + i) % 7 <> 0 THEN y END AS x FROM p), m AS (SELECT i, CASE WHEN stddev_pop(x) = 0 THEN 1.0 ELSE stddev_pop(x) END AS sd FROM x GROUP BY i),
+    c AS (SELECT i, x AS c FROM x WHERE vec_id = (SELECT max(vec_id) FROM embeddings))
+    SELECT vec_id, sqrt(sum(pow((x - c) / sd, 2)) * count(*) / count(x - c)) AS dist FROM x JOIN m USING (i) JOIN c USING (i) WHERE vec_id <> (SELECT max(vec_id) FROM embeddings) GROUP BY vec_id HAVING count(x - c) > 0 ORDER BY dist, vec_id LIMIT 3""", dbl="dist", dp=6)
 def jn_22(spark, sf):
     e = table(spark, sf, "embeddings", "vec_id", "embedding")
-    p = e.select("vec_id", *[F.when((F.col("vec_id") + i) % 7 != 0, F.col("embedding")[i].cast("double")).alias(f"x{i}") for i in range(6)])
-    return J.nearest_vectors(p, "vec_id", [f"x{i}" for i in range(6)], 77)
+    p = e.select("vec_id", F.transform("embedding", lambda x, i: F.when((F.col("vec_id") + i) % 7 != 0, x.cast("double"))).alias("x"))
+    return J.nearest_vectors(p, "vec_id", "x")
 
 
 LOWS = f"SELECT symbol, d, et_date, close FROM (SELECT *, count(*) OVER w AS c, min(close) OVER w AS m FROM {{{{panel_day}}}} WINDOW w AS ({PW} ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING)) WHERE close <= m"
