@@ -9,7 +9,7 @@ from .joins import attach
 from .stats import indexed, reps
 
 
-def monte_carlo(hold, crash, row_id, block, n_paths=100, length=54, block_len=5, p_contam=0.2, seed=29, levers=(1.0, 2.0)):
+def monte_carlo(hold, crash, row_id, block, n_paths=10_000, length=54, block_len=5, p_contam=0.2, seed=29, levers=(1.0, 2.0)):
     """Resampled trade paths: single trades, circular blocks, and blocks contaminated with a crash pool.
 
     Both pools carry (row_id, block, ret, mae). A path is ``length`` rows, so windows per path are small; pools are
@@ -50,7 +50,7 @@ def path_summary(paths):
         *[F.percentile(c, F.lit(p)).alias(f"{c}_p{int(p * 100)}") for c in ("total", "mdd") for p in (0.05, 0.5, 0.95)], F.max("loss_streak").alias("worst_streak"))
 
 
-def random_entries(settled, sizes, row_id, n=50, seed=31):
+def random_entries(settled, sizes, row_id, n=200, seed=31):
     """Random entries with the same geometry: k positions per symbol without replacement, n simulations.
 
     ``settled`` has one settled trade per possible entry, so a position drawn many times is settled once.
@@ -67,7 +67,7 @@ def against_real(sims, real):
         F.avg("avg_bp").alias("rand_bp_mean"), F.percentile("avg_bp", F.lit(0.95)).alias("rand_bp_p95"), F.avg((F.col("avg_bp") >= F.col("real_bp")).cast("int")).alias("share_ge_real"))
 
 
-def random_windows(episodes, daily, n=100, seed=37, cost=-0.0008):
+def random_windows(episodes, daily, n=1000, seed=37, cost=-0.0008):
     """Off-state windows of the same lengths at random places: improvement = -(log return inside) + windows * cost.
 
     ``episodes``: (symbol, ep, dur). ``daily``: (symbol, pos, lr) with pos = 0..n-1. Overlapping windows merge.

@@ -33,7 +33,7 @@ def _perm_rank(rows, seed, n, row_id, strata):
     return spread.hash_rank(r, ["rep", *strata], "_h")
 
 
-def permutation_test(rows, x, label, row_id, n=200, seed=7):
+def permutation_test(rows, x, label, row_id, n=2000, seed=7):
     """Two-group permutation test on |mean difference|: p = share of permutations at least as large."""
     obs = rows.agg(
         F.count(F.when(F.col(label) == 1, 1)).alias("k"), F.count(F.lit(1)).alias("n"), F.sum(x).alias("sx"),
@@ -45,7 +45,7 @@ def permutation_test(rows, x, label, row_id, n=200, seed=7):
         F.avg((F.col("diff") >= F.col("_o.obs") - 1e-12).cast("int")).alias("p_value"))
 
 
-def stratified_permutation(rows, x, label, row_id, stratum, n=200, seed=11):
+def stratified_permutation(rows, x, label, row_id, stratum, n=2000, seed=11):
     """Labels shuffled inside each stratum; one-sided (difference <= observed) and two-sided shares."""
     w = rows.groupBy(stratum).agg(F.sum(label).alias("_k"))
     obs = rows.agg(
@@ -60,7 +60,7 @@ def stratified_permutation(rows, x, label, row_id, stratum, n=200, seed=11):
         F.avg((F.abs("diff") >= F.abs(F.col("_o.obs")) - 1e-12).cast("int")).alias("p_two"))
 
 
-def stratified_draw(rows, x, row_id, stratum, sizes, n=100, seed=13):
+def stratified_draw(rows, x, row_id, stratum, sizes, n=1000, seed=13):
     """k rows per stratum without replacement, n times: the mean of each draw. ``sizes`` holds (stratum, k)."""
     p = _perm_rank(rows.select(row_id, x, stratum), seed, n, row_id, [stratum]).join(sizes, stratum)
     return p.filter(F.col("draw_rank") <= F.col("k")).groupBy("rep").agg(F.avg(x).alias("mean_x"), F.count(F.lit(1)).alias("n"))
@@ -71,7 +71,7 @@ def indexed(rows, order, block, name="idx"):
     return spread.positions(rows.withColumn("_all", F.lit(0)), "_all", block, order, name=name).drop("_all")
 
 
-def bootstrap_means(rows, x, row_id, block, n=100, seed=17, block_len=1, pool=None):
+def bootstrap_means(rows, x, row_id, block, n=2000, seed=17, block_len=1, pool=None):
     """Resampled means with replacement: one draw per (rep, row), whole blocks when block_len > 1 (circular)."""
     s = indexed(rows.select(row_id, x, block), row_id, block).select("idx", x)
     size = s.agg(F.count(F.lit(1)).alias("n"))
@@ -91,7 +91,7 @@ def bootstrap_summary(means):
         F.percentile("mean_x", F.lit(0.025)).alias("lo"), F.percentile("mean_x", F.lit(0.975)).alias("hi"))
 
 
-def auc_bootstrap(rows, scores, label, row_id, block, n=40, seed=19):
+def auc_bootstrap(rows, scores, label, row_id, block, n=1000, seed=19):
     """AUC of each score column on shared resamples; rows keep a multiplicity instead of being copied."""
     s = indexed(rows.select(row_id, label, block, *scores), row_id, block)
     size = s.agg(F.count(F.lit(1)).alias("n"))
@@ -171,7 +171,7 @@ def chi_square(rows, category, label, keys=()):
     return j.groupBy(*keys).agg(F.sum(term).alias("chi2"))
 
 
-def chi_square_permutation(rows, category, label, row_id, n=100, seed=23):
+def chi_square_permutation(rows, category, label, row_id, n=2000, seed=23):
     """Permutation p of the chi-square statistic (k/N); serves 2x2 tables in place of Fisher's test as well."""
     k = rows.agg(F.sum(label).alias("k"))
     p = attach(_perm_rank(rows.select(row_id, category), seed, n, row_id, []), k, "_k").withColumn("_lab", (F.col("draw_rank") <= F.col("_k.k")).cast("int"))

@@ -25,14 +25,14 @@ def rank_sql(src, n, seed, rid, extra=""):
 
 
 @query("stat_01_permutation", f"""WITH o AS (SELECT count(*) AS n, sum(label)::BIGINT AS k, sum(score) AS sx, abs(avg(score) FILTER (WHERE label = 1) - avg(score) FILTER (WHERE label = 0)) AS obs FROM ({SCR})),
-    p AS (SELECT rep, sum(CASE WHEN rk <= k THEN score ELSE 0 END) AS s FROM ({rank_sql(SCR, 200, 7, 'doc_id')}), o GROUP BY rep)
+    p AS (SELECT rep, sum(CASE WHEN rk <= k THEN score ELSE 0 END) AS s FROM ({rank_sql(SCR, 2000, 7, 'doc_id')}), o GROUP BY rep)
     SELECT obs, n, k AS n_pos, avg((abs(s / k - (sx - s) / (n - k)) >= obs - 1e-12)::INT) AS p_value FROM p, o GROUP BY ALL""", dbl="obs p_value", dp=7)
 def stat_01(spark, sf):
     return T.permutation_test(v.scored(spark, sf), "score", "label", "doc_id")
 
 
 @query("stat_02_stratified_permutation", f"""WITH o AS (SELECT count(*) AS n, sum(label) AS k, sum(score) AS sx, avg(score) FILTER (WHERE label = 1) - avg(score) FILTER (WHERE label = 0) AS obs FROM ({SCR})), w AS (SELECT symbol, sum(label) AS ks FROM ({SCR}) GROUP BY 1),
-    p AS (SELECT rep, sum(CASE WHEN rk <= ks THEN score ELSE 0 END) AS s FROM ({rank_sql(SCR, 200, 11, 'doc_id', 'symbol')}) JOIN w USING (symbol) GROUP BY rep)
+    p AS (SELECT rep, sum(CASE WHEN rk <= ks THEN score ELSE 0 END) AS s FROM ({rank_sql(SCR, 2000, 11, 'doc_id', 'symbol')}) JOIN w USING (symbol) GROUP BY rep)
     SELECT obs, avg((s / k - (sx - s) / (n - k) <= obs + 1e-12)::INT) AS p_one, avg((abs(s / k - (sx - s) / (n - k)) >= abs(obs) - 1e-12)::INT) AS p_two FROM p, o GROUP BY ALL""", dbl="obs p_one p_two", dp=7)
 def stat_02(spark, sf):
     return T.stratified_permutation(v.scored(spark, sf), "score", "label", "doc_id", "symbol")
@@ -41,10 +41,10 @@ def stat_02(spark, sf):
 DAYX = "SELECT symbol, d, close / open - 1 AS x FROM {{panel_day}}"
 
 
-@query("stat_03_stratified_draw", f"WITH sz AS (SELECT symbol, count(*) AS k FROM ({DENSE_EV}) GROUP BY 1) SELECT rep, avg(x) AS mean_x, count(*) AS n FROM ({rank_sql(DAYX, 50, 13, 'd', 'symbol')}) JOIN sz USING (symbol) WHERE rk <= k GROUP BY rep", dbl="mean_x", dp=7)
+@query("stat_03_stratified_draw", f"WITH sz AS (SELECT symbol, count(*) AS k FROM ({DENSE_EV}) GROUP BY 1) SELECT rep, avg(x) AS mean_x, count(*) AS n FROM ({rank_sql(DAYX, 1000, 13, 'd', 'symbol')}) JOIN sz USING (symbol) WHERE rk <= k GROUP BY rep", dbl="mean_x", dp=7)
 def stat_03(spark, sf):
     p = v.panel_day(spark, sf).select("symbol", "d", (F.col("close") / F.col("open") - 1).alias("x"))
-    return T.stratified_draw(p, "x", "d", "symbol", dense_events(spark, sf).groupBy("symbol").agg(F.count(F.lit(1)).alias("k")), 50)
+    return T.stratified_draw(p, "x", "d", "symbol", dense_events(spark, sf).groupBy("symbol").agg(F.count(F.lit(1)).alias("k")), 1000)
 
 
 POOL = "SELECT et_date, avg(close / open - 1) - 3 AS x FROM {{panel_day}} GROUP BY et_date"
@@ -60,14 +60,14 @@ def pool(spark, sf):
     return p.withColumn("yr", F.year("et_date"))
 
 
-@query("stat_04_bootstrap", boot_sql(100, 17, 1), dbl="p_value lo hi", dp=7)
+@query("stat_04_bootstrap", boot_sql(2000, 17, 1), dbl="p_value lo hi", dp=7)
 def stat_04(spark, sf):
-    return T.bootstrap_summary(T.bootstrap_means(pool(spark, sf), "x", "et_date", "yr", 100))
+    return T.bootstrap_summary(T.bootstrap_means(pool(spark, sf), "x", "et_date", "yr", 2000))
 
 
-@query("stat_05_block_bootstrap", boot_sql(100, 41, 20), dbl="p_value lo hi", dp=7)
+@query("stat_05_block_bootstrap", boot_sql(2000, 41, 20), dbl="p_value lo hi", dp=7)
 def stat_05(spark, sf):
-    return T.bootstrap_summary(T.bootstrap_means(pool(spark, sf), "x", "et_date", "yr", 100, seed=41, block_len=20))
+    return T.bootstrap_summary(T.bootstrap_means(pool(spark, sf), "x", "et_date", "yr", 2000, seed=41, block_len=20))
 
 
 MCP = f"SELECT symbol, et_date, pos, ret * 0.0005 AS ret, mae * 0.01 AS mae FROM (SELECT t.*, (SELECT least(min(b.close / t.entry_px - 1), 0) FROM {{{{bars_15m}}}} b WHERE b.symbol = t.symbol AND b.pos BETWEEN t.pos AND t.exit_pos) AS mae FROM ({q.BRACK}) t WHERE direction = 1)"
@@ -75,7 +75,7 @@ HEX = lambda txt: f"('0x' || substr(md5({txt}), 1, 12))::BIGINT"
 
 
 @query("stat_06_monte_carlo", f"""WITH pl AS MATERIALIZED ({MCP}), h AS (SELECT *, row_number() OVER (ORDER BY et_date, symbol, pos) - 1 AS idx FROM pl WHERE et_date >= DATE '2024-01-16'), c AS (SELECT *, row_number() OVER (ORDER BY et_date, symbol, pos) - 1 AS idx FROM pl WHERE et_date < DATE '2024-01-16'),
-    z AS (SELECT (SELECT count(*) FROM h) AS nh, (SELECT count(*) FROM c) AS nc), gr AS (SELECT path, step, step // 5 AS blk, step % 5 AS off, nh, nc FROM (SELECT unnest(range(100)) AS path), (SELECT unnest(range(54)) AS step), z),
+    z AS (SELECT (SELECT count(*) FROM h) AS nh, (SELECT count(*) FROM c) AS nc), gr AS (SELECT path, step, step // 5 AS blk, step % 5 AS off, nh, nc FROM (SELECT unnest(range(10000)) AS path), (SELECT unnest(range(54)) AS step), z),
     g2 AS (SELECT *, {HEX("'29:iid:' || path || ':' || step")} % nh AS iid, ({HEX("'29:h:' || path || ':' || blk")} % nh + off) % nh AS hb, {HEX("'29:c:' || path || ':' || blk")} % (nc - 4) + off AS cb, {HEX("'29:coin:' || path || ':' || blk")} % 1000 < 200 AS coin FROM gr),
     d AS (SELECT path, step, 'iid' AS scheme, 'h' AS src, iid AS idx FROM g2 UNION ALL SELECT path, step, 'block', 'h', hb FROM g2 UNION ALL SELECT path, step, 'contam', CASE WHEN coin THEN 'c' ELSE 'h' END, CASE WHEN coin THEN cb ELSE hb END FROM g2),
     j AS (SELECT d.*, lev, coalesce(h.ret, c.ret) AS ret, coalesce(h.mae, c.mae) AS mae FROM d LEFT JOIN h ON d.src = 'h' AND h.idx = d.idx LEFT JOIN c ON d.src = 'c' AND c.idx = d.idx, (SELECT unnest([1.0, 2.0]::DOUBLE[]) AS lev)),
@@ -98,7 +98,7 @@ ALLB = q.settle_sql("SELECT symbol, ts, et_date, pos, open, 1 AS direction FROM
 
 
 @query("stat_07_random_entry", f"""WITH a AS MATERIALIZED (SELECT symbol, pos, ret FROM ({ALLB})), rl AS (SELECT symbol, count(*) AS k, avg(ret) * 1e4 AS real_bp FROM ({q.KEPT}) WHERE direction = 1 GROUP BY 1),
-    s AS (SELECT symbol, sim, avg(ret) * 1e4 AS avg_bp FROM (SELECT a.*, sim, row_number() OVER (PARTITION BY sim, symbol ORDER BY md5('31:' || sim || ':' || symbol || ':' || pos)) AS rk FROM a, (SELECT unnest(range(50)) AS sim)) JOIN rl USING (symbol) WHERE rk <= k GROUP BY 1, 2)
+    s AS (SELECT symbol, sim, avg(ret) * 1e4 AS avg_bp FROM (SELECT a.*, sim, row_number() OVER (PARTITION BY sim, symbol ORDER BY md5('31:' || sim || ':' || symbol || ':' || pos)) AS rk FROM a, (SELECT unnest(range(200)) AS sim)) JOIN rl USING (symbol) WHERE rk <= k GROUP BY 1, 2)
     SELECT symbol, avg(avg_bp) AS rand_bp_mean, quantile_cont(avg_bp, 0.95) AS rand_bp_p95, avg((avg_bp >= real_bp)::INT) AS share_ge_real FROM s JOIN rl USING (symbol) GROUP BY 1""", dbl="rand_bp_mean rand_bp_p95 share_ge_real", dp=5)
 def stat_07(spark, sf):
     b = v.with_pos(v.bars_15m(spark, sf))
@@ -110,7 +110,7 @@ def stat_07(spark, sf):
 
 @query("stat_08_random_windows", f"""WITH ep AS (SELECT symbol, min(d) AS ep, count(*) AS dur FROM (SELECT *, d - row_number() OVER ({PW}) AS g FROM ({q.OFFN}) WHERE off) GROUP BY symbol, g),
     dl AS (SELECT symbol, d - 1 AS pos, lr FROM (SELECT symbol, d, ln(close / lag(close) OVER ({PW})) AS lr FROM {{{{panel_day}}}}) WHERE d > 0), sz AS (SELECT symbol, count(*) AS n FROM dl GROUP BY 1),
-    e AS (SELECT ep.*, n, rep, {HEX("'37:' || rep || ':' || ep.symbol || ':' || ep.ep")} % greatest(n - dur, 1) AS s FROM ep JOIN sz USING (symbol), (SELECT unnest(range(60)) AS rep)),
+    e AS (SELECT ep.*, n, rep, {HEX("'37:' || rep || ':' || ep.symbol || ':' || ep.ep")} % greatest(n - dur, 1) AS s FROM ep JOIN sz USING (symbol), (SELECT unnest(range(1000)) AS rep)),
     dd AS (SELECT DISTINCT rep, symbol, unnest(generate_series(s, least(s + dur, n) - 1)) AS pos FROM e), k AS (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY rep, symbol ORDER BY pos) = 1 THEN 0 ELSE 1 END AS nw FROM dd)
     SELECT symbol, rep, -sum(lr) + sum(nw) * -0.0008 AS improvement FROM k JOIN dl USING (symbol, pos) GROUP BY 1, 2""", dbl="improvement", dp=7)
 def stat_08(spark, sf):
@@ -118,7 +118,7 @@ def stat_08(spark, sf):
     s = q.off_state(spark, sf)
     ep = s.filter("off").withColumn("_g", F.col("d") - F.row_number().over(w)).groupBy("symbol", "_g").agg(F.min("d").alias("ep"), F.count(F.lit(1)).alias("dur")).drop("_g")
     d = v.panel_day(spark, sf).withColumn("lr", F.log(F.col("close") / F.lag("close").over(w))).filter("d > 0").select("symbol", (F.col("d") - 1).alias("pos"), "lr")
-    return SM.random_windows(ep, d, 60)
+    return SM.random_windows(ep, d, 1000)
 
 
 def auc_sql(src, keys="", score="score"):
@@ -133,7 +133,7 @@ def stat_09(spark, sf):
 
 
 AB = f"""WITH s AS (SELECT doc_id, score, label, CAST((doc_id * 7919) % 1009 AS DOUBLE) + score / 50 AS score2, row_number() OVER (ORDER BY doc_id) - 1 AS idx FROM ({SCR})), c AS (SELECT count(*) AS n FROM s),
-    d AS (SELECT rep, s2.score, s2.score2, s2.label FROM (SELECT rep, {HEX("'19:' || rep || ':' || idx")} % n AS pick FROM s, c, (SELECT unnest(range(40)) AS rep)) x JOIN s s2 ON s2.idx = x.pick)
+    d AS (SELECT rep, s2.score, s2.score2, s2.label FROM (SELECT rep, {HEX("'19:' || rep || ':' || idx")} % n AS pick FROM s, c, (SELECT unnest(range(1000)) AS rep)) x JOIN s s2 ON s2.idx = x.pick)
     SELECT a.rep, a.auc AS auc_score, b.auc AS auc_score2, a.auc - b.auc AS delta FROM ({auc_sql('SELECT * FROM d', 'rep')}) a JOIN ({auc_sql('SELECT * FROM d', 'rep', 'score2')}) b USING (rep)"""
 
 
@@ -188,13 +188,13 @@ CH = lambda src, keys, lab: f"""SELECT {keys}sum(pow(p - np * m / n, 2) / (np *
     SELECT {keys}symbol, count(*) AS m, sum({lab}) AS p FROM ({src}) GROUP BY ALL)){' GROUP BY ' + keys.strip(', ') if keys else ''}"""
 
 
-@query("stat_15_chi_square", f"""WITH o AS ({CH(SCR, '', 'label')}), k AS (SELECT sum(label) AS k FROM ({SCR})), p AS ({CH(f"SELECT r.*, (rk <= k.k)::INT AS lab FROM ({rank_sql(SCR, 100, 23, 'doc_id')}) r, k", 'rep, ', 'lab')})
+@query("stat_15_chi_square", f"""WITH o AS ({CH(SCR, '', 'label')}), k AS (SELECT sum(label) AS k FROM ({SCR})), p AS ({CH(f"SELECT r.*, (rk <= k.k)::INT AS lab FROM ({rank_sql(SCR, 2000, 23, 'doc_id')}) r, k", 'rep, ', 'lab')})
     SELECT o.chi2, avg((p.chi2 >= o.chi2 - 1e-9)::INT) AS p_value FROM p, o GROUP BY 1""", dbl="chi2 p_value", dp=7)
 def stat_15(spark, sf):
     return T.chi_square_permutation(v.scored(spark, sf), "symbol", "label", "doc_id")
 
 
-@query("stat_15_two_by_two", f"""WITH o AS ({CH('SELECT toxic AS symbol, label FROM (' + SCR + ')', '', 'label')}), k AS (SELECT sum(label) AS k FROM ({SCR})), p AS ({CH(f"SELECT rep, toxic AS symbol, (rk <= k.k)::INT AS lab FROM ({rank_sql(SCR, 100, 43, 'doc_id')}) r, k", 'rep, ', 'lab')})
+@query("stat_15_two_by_two", f"""WITH o AS ({CH('SELECT toxic AS symbol, label FROM (' + SCR + ')', '', 'label')}), k AS (SELECT sum(label) AS k FROM ({SCR})), p AS ({CH(f"SELECT rep, toxic AS symbol, (rk <= k.k)::INT AS lab FROM ({rank_sql(SCR, 2000, 43, 'doc_id')}) r, k", 'rep, ', 'lab')})
     SELECT o.chi2, avg((p.chi2 >= o.chi2 - 1e-9)::INT) AS p_value FROM p, o GROUP BY 1""", dbl="chi2 p_value", dp=7)
 def stat_15b(spark, sf):
     return T.chi_square_permutation(v.scored(spark, sf), "toxic", "label", "doc_id", seed=43)
@@ -206,7 +206,7 @@ SEGS = "SELECT r.*, unnest(['full', CASE WHEN et_date < DATE '1999-01-01' THEN '
 
 @query("stat_16_event_study", f"""WITH s AS MATERIALIZED ({SEGS}), pl AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY w, seg ORDER BY et_date, symbol) - 1 AS idx, count(*) OVER (PARTITION BY w, seg) AS n_pool, avg(r) OVER (PARTITION BY w, seg) AS base FROM s), e AS MATERIALIZED (SELECT cls, pl.* FROM ({EVS}) x JOIN pl ON pl.symbol = x.symbol AND pl.d = x.act),
     st AS (SELECT cls, w, seg, count(*) AS n, avg(r) AS m, quantile_cont(r, 0.5) AS md, stddev_samp(r) AS sd, any_value(base) AS base FROM e GROUP BY 1, 2, 3),
-    bt AS (SELECT cls, w, seg, rep, avg(p.r) AS bm FROM (SELECT e.cls, e.w, e.seg, rep, {HEX("'47:' || rep || ':' || e.cls || ':' || e.symbol || ':' || e.d")} % n_pool AS pick FROM e, (SELECT unnest(range(50)) AS rep)) k JOIN pl p USING (w, seg) WHERE p.idx = k.pick GROUP BY 1, 2, 3, 4)
+    bt AS (SELECT cls, w, seg, rep, avg(p.r) AS bm FROM (SELECT e.cls, e.w, e.seg, rep, {HEX("'47:' || rep || ':' || e.cls || ':' || e.symbol || ':' || e.d")} % n_pool AS pick FROM e, (SELECT unnest(range(1000)) AS rep)) k JOIN pl p USING (w, seg) WHERE p.idx = k.pick GROUP BY 1, 2, 3, 4)
     SELECT cls, w AS "window", seg, n, m * 1e4 AS mean_bp, md * 1e4 AS median_bp, sd * 1e4 AS std_bp, base * 1e4 AS base_bp, (m - base) / (sd / sqrt(n) + 1e-12) AS t_stat, (SELECT avg((bm >= m)::INT) FROM bt WHERE bt.cls = st.cls AND bt.w = st.w AND bt.seg = st.seg) AS p_boot FROM st WHERE n >= 2""", dbl="mean_bp median_bp std_bp base_bp t_stat p_boot", dp=4)
 def stat_16(spark, sf):
     return event_study(spark, sf)
@@ -228,7 +228,7 @@ def event_study(spark, sf):
     e = cut(s.join(ev, ["symbol", "d"]).join(tot, ["window", "seg"]), "events")
     st = e.groupBy("cls", "window", "seg").agg(F.count(F.lit(1)).alias("n"), F.avg("r").alias("m"), F.stddev_samp("r").alias("sd"), F.max("base").alias("base"))
     md = spread.quantiles(e, ["cls", "window", "seg"], "r", md=0.5)
-    d = T.reps(e.select("cls", "window", "seg", "symbol", "d", "n_pool"), 50).withColumn("idx", draw_int(47, F.col("n_pool"), "rep", "cls", "symbol", "d"))
+    d = T.reps(e.select("cls", "window", "seg", "symbol", "d", "n_pool"), 1000).withColumn("idx", draw_int(47, F.col("n_pool"), "rep", "cls", "symbol", "d"))
     bt = d.join(pl.select("window", "seg", "idx", "r"), ["window", "seg", "idx"]).groupBy("cls", "window", "seg", "rep").agg(F.avg("r").alias("bm"))
     pb = bt.join(st.select("cls", "window", "seg", "m"), ["cls", "window", "seg"]).groupBy("cls", "window", "seg").agg(F.avg((F.col("bm") >= F.col("m")).cast("int")).alias("p_boot"))
     o = st.filter("n >= 2").join(md, ["cls", "window", "seg"]).join(pb, ["cls", "window", "seg"], "left")
