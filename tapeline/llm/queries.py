@@ -52,6 +52,22 @@ def op4_setsketch_near_duplicates(spark, sf_dir):
     return setsketch.near_duplicates(documents(spark, sf_dir, "text"), size=4, percent=80)
 
 
+ORACLES["op4_setsketch_near_duplicates"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < 4 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 3], ' ') END AS sh
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM w WHERE len(w) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b USING (sh) WHERE a.doc_id < b.doc_id GROUP BY ALL
+), e AS MATERIALIZED (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)
+), f AS MATERIALIZED (SELECT a, b FROM e UNION ALL SELECT b, a FROM e
+), r(id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT f.b, r.root FROM r JOIN f ON f.a = r.id
+), c AS (SELECT id, min(root) AS root FROM r GROUP BY id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.root AS component_id, d.doc_id = c.root AS kept FROM documents d JOIN c ON c.id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id"""
+
+
 @_query
 def op5_kneser_ney_rules(spark, sf_dir):
     found = kneser_ney.quality_rules(documents(spark, sf_dir, "text", "lang"))
