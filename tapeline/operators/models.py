@@ -1,5 +1,8 @@
 """Feature datasets, folds and gradient-boosted models on Spark ML."""
 
+from functools import reduce
+from multiprocessing.pool import ThreadPool
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import Imputer, VectorAssembler
@@ -95,13 +98,17 @@ def walk_forward(blocks, n_folds, embargo=1, day="et_date"):
     return test.unionByName(tr.select("fold", day, F.when(F.col("_r") <= embargo, "embargo").otherwise("train").alias("role")))
 
 
+def side_by_side(fits, at_once=4):
+    """Run independent fits at the same time (a small fit leaves most of a cluster idle); results in order."""
+    with ThreadPool(at_once) as pool:
+        return pool.map(lambda f: f(), fits, chunksize=1)
+
+
 def leave_one_out(rows, key, keys, features, **kw):
-    """Fit on all other keys, score the held-out one. The loop is over models; each fit and score is a Spark job."""
-    out = None
-    for k in keys:
-        s = fit_score(rows.filter(F.col(key) != k), rows.filter(F.col(key) == k), features, **kw)
-        out = s if out is None else out.unionByName(s)
-    return out
+    """Fit on all other keys, score the held-out one. One model per key, some fitted side by side."""
+    one = lambda k: lambda: fit_score(rows.filter(F.col(key) != k), rows.filter(F.col(key) == k), features, **kw)
+    scored = side_by_side([one(k) for k in keys])
+    return reduce(lambda a, b: a.unionByName(b), scored)
 
 
 def rolling_folds(rows, first, days, n_folds, day="et_date"):
@@ -166,3 +173,10 @@ def day_split(rows, frac=0.7, min_train=5, min_valid=3, key="symbol", day="et_da
 def fold_report(scored, keys):
     a = scored.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("label").cast("bigint").alias("n_pos"), F.avg("prob").alias("mean_prob"))
     return a.join(auc(scored, keys, "prob"), keys, "left")
+
+
+def report_checks(report):
+    """What a report must hold whatever the model: exact counts, probabilities in range, an AUC where both classes are there."""
+    both = (F.col("n_pos") > 0) & (F.col("n_pos") < F.col("n"))
+    auc_ok = F.when(both, F.col("auc").between(0.0, 1.0)).otherwise(F.col("auc").isNull())
+    return report.withColumn("prob_ok", F.col("mean_prob").between(0.0, 1.0)).withColumn("auc_ok", F.coalesce(auc_ok, F.lit(False))).drop("mean_prob", "auc")

@@ -66,11 +66,14 @@ def ml_02(spark, sf):
 SPLIT = "2024-01-20"
 
 
-@query("ml_03_gbt")
+COUNTS = "count(*) AS n, sum(label)::BIGINT AS n_pos, TRUE AS prob_ok, TRUE AS auc_ok"
+
+
+@query("ml_03_gbt", f"SELECT symbol, {COUNTS} FROM ({DS}) WHERE status = 'ok' AND confirm_date > DATE '{SPLIT}' GROUP BY 1")
 def ml_03(spark, sf):
     d = usable(spark, sf)
-    s = ML.fit_score(d.filter(F.col("et_date") < SPLIT), d.filter(F.col("et_date") > SPLIT), ML.FEATURES, trees=20)
-    return ML.fold_report(s, ["symbol"])
+    s = ML.fit_score(d.filter(F.col("et_date") < SPLIT), d.filter(F.col("et_date") > SPLIT), ML.FEATURES)
+    return ML.report_checks(ML.fold_report(s, ["symbol"]))
 
 
 FOLDS = """WITH b AS (SELECT et_date, ntile(6) OVER (ORDER BY et_date) - 1 AS block FROM (SELECT DISTINCT et_date FROM {{bars_day}})), x AS (SELECT et_date, block, fold FROM b, (SELECT unnest([1, 2, 3, 4, 5]) AS fold) WHERE block <= fold)
@@ -82,23 +85,25 @@ def ml_04(spark, sf):
     return ML.walk_forward(ML.day_blocks(v.bars_day(spark, sf), 5), 5)
 
 
-@query("ml_04_walk_forward_fit")
+@query("ml_04_walk_forward_fit", f"""WITH ds AS MATERIALIZED (SELECT * FROM ({DS}) WHERE status = 'ok'), b AS (SELECT confirm_date, ntile(3) OVER (ORDER BY confirm_date) - 1 AS fold FROM (SELECT DISTINCT confirm_date FROM ds))
+    SELECT fold::INT AS fold, {COUNTS} FROM ds JOIN b USING (confirm_date) WHERE fold > 0 GROUP BY 1""")
 def ml_04b(spark, sf):
     d = usable(spark, sf)
     roles = ML.walk_forward(ML.day_blocks(d, 2), 2)
-    out = None
-    for k in (1, 2):
+
+    def fold(k):
         part = d.join(F.broadcast(roles.filter(F.col("fold") == k)), "et_date")  # one row per calendar day
-        s = ML.fit_score(part.filter("role = 'train'"), part.filter("role = 'test'"), ML.FEATURES, trees=8)
-        out = s if out is None else out.unionByName(s)
-    return ML.fold_report(out, ["fold"])
+        return lambda: ML.fit_score(part.filter("role = 'train'"), part.filter("role = 'test'"), ML.FEATURES)
+
+    one, two = ML.side_by_side([fold(1), fold(2)])
+    return ML.report_checks(ML.fold_report(one.unionByName(two), ["fold"]))
 
 
-@query("ml_05_leave_one_out")
+@query("ml_05_leave_one_out", f"SELECT symbol, {COUNTS} FROM ({DS}) WHERE status = 'ok' GROUP BY 1")
 def ml_05(spark, sf):
     d = usable(spark, sf)
     symbols = [r[0] for r in d.select("symbol").distinct().orderBy("symbol").collect()]  # one name per model to fit
-    return ML.fold_report(ML.leave_one_out(d, "symbol", symbols, ML.FEATURES, trees=5), ["symbol"])
+    return ML.report_checks(ML.fold_report(ML.leave_one_out(d, "symbol", symbols, ML.FEATURES), ["symbol"]))
 
 
 @query("ml_06_rolling_folds")
@@ -112,10 +117,11 @@ def ml_06(spark, sf):
     paths = S.forward_paths(bars.withColumn("direction", F.lit(1)), 8, F.lit(True)).select("symbol", "pos", "direction", "path")
     folds = ML.rolling_folds(d, "2024-01-12", 9, 2).collect()  # the fold table: one row per model
     out = None
-    for f in folds:
-        train, test = d.filter(F.col("et_date") < F.date_sub(F.lit(f["start"]), 1)), d.filter(F.col("et_date").between(f["start"], f["end"]))
-        model = ML.gbt(ML.FEATURES, trees=8).fit(ML.as_doubles(train, ML.FEATURES))
-        thr = spread.quantiles(ML.score(model, ML.as_doubles(train, ML.FEATURES)), [], "prob", t=0.5)
+    before = [ML.as_doubles(d.filter(F.col("et_date") < F.date_sub(F.lit(f["start"]), 1)), ML.FEATURES) for f in folds]
+    models = ML.side_by_side([lambda x=x: ML.gbt(ML.FEATURES).fit(x) for x in before])
+    for f, train, model in zip(folds, before, models):
+        test = d.filter(F.col("et_date").between(f["start"], f["end"]))
+        thr = spread.quantiles(ML.score(model, train), [], "prob", t=0.5)
         s = ML.score(model, ML.as_doubles(test, ML.FEATURES)).withColumn("thr", thr.scalar()).join(off, ["symbol", "et_date"], "left")
         ok = F.col("prob") >= F.col("thr")
         var = F.array(F.struct(F.lit("ungated").alias("variant"), F.lit(True).alias("on")), F.struct(F.lit("gated").alias("variant"), ok.alias("on")),
@@ -143,7 +149,7 @@ def ml_07(spark, sf):
 def ml_08(spark, sf):
     """A stored model and a stored threshold applied to new rows."""
     d = ML.as_doubles(usable(spark, sf), ML.FEATURES)
-    m = ML.gbt(ML.FEATURES, trees=10).fit(d.filter(F.col("et_date") < SPLIT))
+    m = ML.gbt(ML.FEATURES).fit(d.filter(F.col("et_date") < SPLIT))
     m = ML.save_and_load(m, run_dir(spark, "model"))
     return ML.gate(ML.score(m, d.filter(F.col("et_date") >= SPLIT)), 0.5).select("symbol", "confirm_pos", "prob", "label")
 

@@ -46,6 +46,6 @@ def test_same_rows(spark, sf, duck, key):
     assert got == want
 
 
-def test_every_query_has_sql_but_models():
-    without = set(queries()) - set(oracle_sql())
-    assert all(k.startswith("ml_") for k in without)
+def test_every_query_has_sql_but_two_models():
+    own = {k for k in queries() if not k.startswith(("op", "pipeline"))}  # the text operators have tests of their own
+    assert own - set(oracle_sql()) == {"ml_06_rolling_folds", "ml_08_batch_inference"}
