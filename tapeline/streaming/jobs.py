@@ -45,50 +45,78 @@ def drain(stream, name, mode="append"):
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def drain_batches(stream, name, fn, mode="append"):
-    """Run ``fn(batch, epoch)`` per micro-batch with availableNow."""
+def drain_batches(stream, name, fn, mode="append", checkpoint=None):
+    """Run ``fn(batch, epoch)`` per micro-batch with availableNow. A named ``checkpoint`` lets a later run go on where this one ended."""
     spark = stream.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    q = stream.writeStream.outputMode(mode).option("checkpointLocation", run_dir(spark, name + "-ck")).foreachBatch(fn).trigger(availableNow=True).start()
+    q = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint or run_dir(spark, name + "-ck")).foreachBatch(fn).trigger(availableNow=True).start()
     q.awaitTermination()
 
 
 class Store:
-    """A keyed table kept as one folder per micro-batch. A replayed epoch rewrites its own folder, so retries add nothing."""
-
-    def __init__(self, spark, name, schema):
-        self.spark, self.schema, self.path = spark, schema, run_dir(spark, name)
-        self.epochs = []
-
-    def read(self, before=None):
-        eps = [e for e in self.epochs if before is None or e < before]
-        if not eps:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/epoch={e}" for e in eps])
-
-    def latest(self, before=None):
-        eps = [e for e in self.epochs if before is None or e < before]
-        if not eps:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/epoch={max(eps)}")
+    """A keyed table in files that outlives the process: ``epoch=E/part=P`` folders, found by listing.
+
+    Keys are dealt over PARTS by hash, and a batch touches only the parts it has keys of. ``read`` gives all rows ever written (insert-only
+    tables), ``latest`` the newest version of each part (upserts rewrite the parts they hit). A replayed epoch rewrites its own folder and
+    reads only earlier ones, so retries add nothing; an epoch counts once it is complete.
+    """
+
+    PARTS = 16
+
+    def __init__(self, spark, name, schema, keys, path=None):
+        self.spark, self.keys, self.path = spark, [keys] if isinstance(keys, str) else list(keys), path or run_dir(spark, name)
+        self.schema = spark.createDataFrame([], schema).schema
+
+    def _names(self, *below):
+        """Folder entries below the store's path; none if it isn't there."""
+        jvm = self.spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path("/".join([self.path, *below]))
+        fs = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else []
+
+    def _versions(self, before):
+        """{part: epochs} of complete epochs."""
+        out = {}
+        for e in sorted(int(n[6:]) for n in self._names() if n.startswith("epoch=")):
+            names = self._names(f"epoch={e}") if before is None or e < before else []
+            if "_SUCCESS" in names:
+                for n in names:
+                    if n.startswith("part="):
+                        out.setdefault(int(n[5:]), []).append(e)
+        return out
+
+    def _load(self, at):
+        paths = [f"{self.path}/epoch={e}/part={p}" for p, e in at]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+
+    def read(self, before=None, parts=None):
+        return self._load([(p, e) for p, es in self._versions(before).items() for e in es if parts is None or p in parts])
+
+    def latest(self, before=None, parts=None):
+        return self._load([(p, max(es)) for p, es in self._versions(before).items() if parts is None or p in parts])
+
+    def part(self):
+        return F.pmod(F.xxhash64(*self.keys), F.lit(self.PARTS)).cast("int")
+
+    def hit(self, batch):
+        """Parts that a batch has keys of; at most PARTS numbers."""
+        return {r[0] for r in batch.select(self.part().alias("part")).distinct().collect()}
 
     def write(self, df, epoch):
-        df.write.mode("overwrite").parquet(f"{self.path}/epoch={epoch}")
-        if epoch not in self.epochs:
-            self.epochs.append(epoch)
+        df.select(*self.schema.names).withColumn("part", self.part()).repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/epoch={epoch}")
 
 
-def ingest_first_seen(stream, key="event_id", observed="observed_time"):
-    """Insert-or-ignore by key: the first observation stays. Inside a batch the earliest row wins; rows already stored
-    are dropped by an anti-join on the key."""
-    store = Store(stream.sparkSession, "events", stream.schema)
+def ingest_first_seen(stream, key="event_id", observed="observed_time", path=None):
+    """Insert-or-ignore by key: the first observation stays. Inside a batch the earliest row wins; rows already stored are dropped by an
+    anti-join with the parts of the store that the batch hits. ``path`` keeps the store and its progress over restarts."""
+    store = Store(stream.sparkSession, "events", stream.schema, key, path and f"{path}/table")
     cols = [c for c in stream.columns if c != key]
 
     def step(batch, epoch):
         one = batch.groupBy(key).agg(F.min_by(F.struct(*cols), F.struct(observed)).alias("_r")).select(key, "_r.*").select(*stream.columns)
-        store.write(one.join(store.read(before=epoch).select(key), key, "left_anti"), epoch)
+        store.write(one.join(store.read(epoch, store.hit(batch)).select(key), key, "left_anti"), epoch)
 
-    drain_batches(stream, "ingest", step)
+    drain_batches(stream, "ingest", step, checkpoint=path and f"{path}/progress")
     return store.read()
 
 
@@ -226,7 +254,7 @@ def stateful(stream, processor, key="symbol"):
 
 def heartbeats(stream, now, open_now, thresholds, default):
     """Last activity per component from a heartbeat stream, then its age against the open or closed threshold."""
-    store = Store(stream.sparkSession, "beats", "component string, last_ts timestamp_ntz")
+    store = Store(stream.sparkSession, "beats", "component string, last_ts timestamp_ntz", "component")
     g = stream.groupBy("component").agg(F.max("ts").alias("last_ts"))
     # complete mode: the state is one row per component
     drain_batches(g, "beats", lambda b, e: store.write(b, e), mode="complete")
@@ -250,29 +278,29 @@ def with_coverage(counts, polls, source_id):
     return counts.join(cov, "et_date", "left").withColumn("n", F.when(F.col("_c"), F.col("n"))).drop("_c")
 
 
-def upsert_sources(stream):
+def upsert_sources(stream, path=None):
     """Source dimension: attributes follow the newest row, the weight stays as first inserted."""
-    store = Store(stream.sparkSession, "sources", "source_id string, tier string, weight double, updated timestamp_ntz")
+    store = Store(stream.sparkSession, "sources", "source_id string, tier string, weight double, updated timestamp_ntz", "source_id", path and f"{path}/table")
 
     def step(batch, epoch):
         b = batch.groupBy("source_id").agg(
             F.max_by("tier", F.struct("ts", "event_id")).alias("tier"), F.min_by("weight", F.struct("ts", "event_id")).alias("weight"), F.max("ts").alias("updated"))
-        old = store.latest(before=epoch)
+        old = store.latest(epoch, store.hit(batch))
         j = b.alias("n").join(old.alias("o"), "source_id", "full_outer")
         store.write(j.select("source_id", F.coalesce("n.tier", "o.tier").alias("tier"), F.coalesce("o.weight", "n.weight").alias("weight"), F.coalesce("n.updated", "o.updated").alias("updated")), epoch)
 
-    drain_batches(stream, "sources", step)
+    drain_batches(stream, "sources", step, checkpoint=path and f"{path}/progress")
     return store.latest()
 
 
-def upsert_latest(stream, keys, order):
+def upsert_latest(stream, keys, order, path=None):
     """Insert-or-replace by key: the newest row of a key stays."""
     rest = [c for c in stream.columns if c not in keys]
-    store = Store(stream.sparkSession, "latest", stream.schema)
+    store = Store(stream.sparkSession, "latest", stream.schema, keys, path and f"{path}/table")
 
     def step(batch, epoch):
-        u = batch.unionByName(store.latest(before=epoch))
+        u = batch.unionByName(store.latest(epoch, store.hit(batch)))
         store.write(u.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(*keys, "_r.*").select(*stream.columns), epoch)
 
-    drain_batches(stream, "latest", step)
+    drain_batches(stream, "latest", step, checkpoint=path and f"{path}/progress")
     return store.latest()

@@ -89,3 +89,20 @@ def test_shared_folder_is_required_off_local_masters():
     for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
         with pytest.raises(RuntimeError):
             session.shared_dir(fake(master))
+
+
+def test_stores_outlive_their_process(spark, tmp_path):
+    """Two runs over one folder, as two processes would make them: the second knows what the first has stored."""
+    from tapeline.streaming import jobs
+
+    src, schema = str(tmp_path / "in"), "event_id long, observed_time long, value string"
+
+    def arrive(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        stream = lambda: jobs.source(spark, src, schema)
+        first = jobs.ingest_first_seen(stream(), path=str(tmp_path / "first")).collect()
+        latest = jobs.upsert_latest(stream(), ["event_id"], ["observed_time"], path=str(tmp_path / "latest")).collect()
+        return {tuple(r) for r in first}, {tuple(r) for r in latest}
+
+    assert arrive([(1, 10, "a"), (2, 10, "b"), (2, 11, "c")]) == ({(1, 10, "a"), (2, 10, "b")}, {(1, 10, "a"), (2, 11, "c")})
+    assert arrive([(2, 12, "d"), (3, 12, "e")]) == ({(1, 10, "a"), (2, 10, "b"), (3, 12, "e")}, {(1, 10, "a"), (2, 12, "d"), (3, 12, "e")})
