@@ -55,9 +55,10 @@ def random_entries(settled, sizes, row_id, n=200, seed=31):
 
     ``settled`` has one settled trade per possible entry, so a position drawn many times is settled once.
     """
-    r = reps(settled.select("symbol", row_id, "ret"), n, "sim").withColumn("_h", draw_key(seed, "sim", "symbol", row_id))
-    p = spread.hash_rank(r, ["sim", "symbol"], "_h").join(sizes, "symbol").filter(F.col("draw_rank") <= F.col("k"))
-    return p.groupBy("symbol", "sim").agg(F.avg((F.col("ret") > 0).cast("int")).alias("wr"), (F.avg("ret") * 1e4).alias("avg_bp"))
+    r = reps(settled.select("symbol", row_id, "ret").join(sizes, "symbol"), n, "sim").withColumn("_h", draw_key(seed, "sim", "symbol", row_id))
+    known = F.col("ret").isNotNull().cast("bigint")
+    p = spread.drawn(r, ["sim", "symbol"], "_h", "k", _s="ret", _won=(F.col("ret") > 0).cast("bigint"), _n_x=known)
+    return p.select("symbol", "sim", F.try_divide("_won", "_n_x").alias("wr"), (F.try_divide("_s", "_n_x") * 1e4).alias("avg_bp"))
 
 
 def against_real(sims, real):

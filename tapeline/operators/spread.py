@@ -9,6 +9,7 @@ ordered rows into blocks, does the work per (key, block), and makes the blocks a
 * ``even_blocks``    blocks of values by the data's own spread
 * ``value_ranks``    exact ranks and quantiles from tie-collapsed value counts
 * ``hash_rank``      exact order of md5 draws, blocked by digest prefix
+* ``drawn``          sums over the first k of such an order; only one prefix is put in order
 
 Blocks are functions of the ordering value only (a date, an hour, a value block, a digest prefix), so a
 recomputed task always finds the same block. Every shuffle key includes the block.
@@ -168,6 +169,27 @@ def hash_rank(df, key, digest, name="draw_rank", width=2):
     return positions(rows, key, "_px", digest, name=name, start=1).drop("_px")
 
 
+def drawn(df, key, digest, k, by=(), width=2, **sums):
+    """Sums over the first ``k`` rows of each key in digest order, per key and ``by``. ``k`` is a column that is equal within a key.
+
+    Rows collapse to sums per digest prefix first; whole prefixes below k count as they are, and only the rows of the one prefix that k cuts
+    are put in order.
+    """
+    key, by = _cols(key), _cols(by)
+    rows = df.select(*key, *by, F.col(digest).alias("_h"), F.col(k).alias("_k"), *[(F.col(c) if isinstance(c, str) else c).alias(n) for n, c in sums.items()])
+    rows = rows.withColumn("_px", F.substring("_h", 1, width))
+    total = [F.sum(n).alias(n) for n in sums]
+    part = rows.groupBy(*key, *by, "_px", "_k").agg(F.count(F.lit(1)).alias("_n"), *total)
+    below = F.sum("_n").over(W.partitionBy(*key).orderBy("_px").rangeBetween(W.unboundedPreceding, W.currentRow))
+    here = F.sum("_n").over(W.partitionBy(*key, "_px"))
+    part = part.withColumn("_upto", below).withColumn("_before", below - here)
+    whole = part.filter(F.col("_upto") <= F.col("_k")).select(*key, *by, *sums)
+    edge = part.filter((F.col("_before") < F.col("_k")) & (F.col("_upto") > F.col("_k"))).select(*key, "_px", (F.col("_k") - F.col("_before")).alias("_rest")).distinct()
+    at = F.row_number().over(W.partitionBy(*key).orderBy("_h"))
+    last = rows.join(edge, key + ["_px"]).withColumn("_at", at).filter(F.col("_at") <= F.col("_rest")).select(*key, *by, *sums)
+    return whole.unionByName(last).groupBy(*key, *by).agg(*total)
+
+
 def islands(df, key, block, order, flag, name="island"):
     """Number runs: the count of ``flag`` rows up to and including each row, per key."""
     return running(df, key, block, order, **{name: ("sum", F.when(F.col(flag), 1).otherwise(0))})

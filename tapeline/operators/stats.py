@@ -1,7 +1,7 @@
 """Statistics as row-parallel queries. Randomness is the order of md5 digests, so every draw is reproducible.
 
-Repetitions become a column: (rep, row) pairs are made by exploding a literal range per row, ranked by digest with
-``spread.hash_rank`` (even blocks by digest prefix), and reduced with partial aggregates.
+Repetitions become a column: (rep, row) pairs are made by exploding a literal range per row and reduced to sums per digest prefix where they
+are made; ``spread.drawn`` puts only the one prefix in order that a draw's size cuts.
 """
 
 from pyspark.sql import Window as W
@@ -28,9 +28,10 @@ def auc(rows, keys=(), score="score", label="label"):
     return a.select(*keys, F.try_divide(u, F.col("_np") * (F.col("_n") - F.col("_np"))).alias("auc"))
 
 
-def _perm_rank(rows, seed, n, row_id, strata):
+def _permuted(rows, seed, n, row_id, k, strata=(), **how):
+    """Sums over the k rows that each repetition draws (per stratum, with a k of its own)."""
     r = reps(rows, n).withColumn("_h", draw_key(seed, "rep", row_id))
-    return spread.hash_rank(r, ["rep", *strata], "_h")
+    return spread.drawn(r, ["rep", *strata], "_h", k, **how)
 
 
 def permutation_test(rows, x, label, row_id, n=2000, seed=7):
@@ -38,8 +39,8 @@ def permutation_test(rows, x, label, row_id, n=2000, seed=7):
     obs = rows.agg(
         F.count(F.when(F.col(label) == 1, 1)).alias("k"), F.count(F.lit(1)).alias("n"), F.sum(x).alias("sx"),
         F.abs(F.avg(F.when(F.col(label) == 1, F.col(x))) - F.avg(F.when(F.col(label) == 0, F.col(x)))).alias("obs"))
-    p = attach(_perm_rank(rows.select(row_id, x), seed, n, row_id, []), obs, "_o")
-    g = p.groupBy("rep", "_o").agg(F.sum(F.when(F.col("draw_rank") <= F.col("_o.k"), F.col(x)).otherwise(0.0)).alias("_s"))
+    own = attach(rows.select(row_id, x), obs, "_o").withColumn("_size", F.col("_o.k")).drop("_o")
+    g = attach(_permuted(own, seed, n, row_id, "_size", _s=x), obs, "_o")
     diff = F.abs(F.col("_s") / F.col("_o.k") - (F.col("_o.sx") - F.col("_s")) / (F.col("_o.n") - F.col("_o.k")))
     return g.withColumn("diff", diff).groupBy(F.col("_o.obs").alias("obs"), F.col("_o.n").alias("n"), F.col("_o.k").alias("n_pos")).agg(
         F.avg((F.col("diff") >= F.col("_o.obs") - 1e-12).cast("int")).alias("p_value"))
@@ -51,8 +52,8 @@ def stratified_permutation(rows, x, label, row_id, stratum, n=2000, seed=11):
     obs = rows.agg(
         F.sum(label).alias("k"), F.count(F.lit(1)).alias("n"), F.sum(x).alias("sx"),
         (F.avg(F.when(F.col(label) == 1, F.col(x))) - F.avg(F.when(F.col(label) == 0, F.col(x)))).alias("obs"))
-    p = _perm_rank(rows.select(row_id, x, stratum), seed, n, row_id, [stratum]).join(w, stratum)
-    g = p.groupBy("rep").agg(F.sum(F.when(F.col("draw_rank") <= F.col("_k"), F.col(x)).otherwise(0.0)).alias("_s"))
+    own = rows.select(row_id, x, stratum).join(w.withColumnRenamed("_k", "_size"), stratum)
+    g = _permuted(own, seed, n, row_id, "_size", [stratum], _s=x).groupBy("rep").agg(F.sum("_s").alias("_s"))
     g = attach(g, obs, "_o")
     diff = F.col("_s") / F.col("_o.k") - (F.col("_o.sx") - F.col("_s")) / (F.col("_o.n") - F.col("_o.k"))
     return g.withColumn("diff", diff).groupBy(F.col("_o.obs").alias("obs")).agg(
@@ -62,8 +63,10 @@ def stratified_permutation(rows, x, label, row_id, stratum, n=2000, seed=11):
 
 def stratified_draw(rows, x, row_id, stratum, sizes, n=1000, seed=13):
     """k rows per stratum without replacement, n times: the mean of each draw. ``sizes`` holds (stratum, k)."""
-    p = _perm_rank(rows.select(row_id, x, stratum), seed, n, row_id, [stratum]).join(sizes, stratum)
-    return p.filter(F.col("draw_rank") <= F.col("k")).groupBy("rep").agg(F.avg(x).alias("mean_x"), F.count(F.lit(1)).alias("n"))
+    own = rows.select(row_id, x, stratum).join(sizes, stratum)
+    p = _permuted(own, seed, n, row_id, "k", [stratum], _s=x, _n_x=F.col(x).isNotNull().cast("bigint"), _rows=F.lit(1).cast("bigint"))
+    g = p.groupBy("rep").agg(F.sum("_s").alias("_s"), F.sum("_n_x").alias("_n_x"), F.sum("_rows").alias("n"))
+    return g.select("rep", F.try_divide("_s", "_n_x").alias("mean_x"), "n")
 
 
 def indexed(rows, order, block, name="idx"):
@@ -161,8 +164,11 @@ def binomial_tail(counts, hits="hits", n="n", chunk=4096):
 
 def chi_square(rows, category, label, keys=()):
     """Chi-square of category x label from counts."""
-    keys = list(keys)
-    c = rows.groupBy(*keys, category).agg(F.count(F.lit(1)).alias("_m"), F.sum(label).alias("_p"))
+    return _chi_square(rows.groupBy(*keys, category).agg(F.count(F.lit(1)).alias("_m"), F.sum(label).alias("_p")), list(keys))
+
+
+def _chi_square(c, keys):
+    """From counts per category: ``_m`` rows, ``_p`` of them labelled."""
     t = c.groupBy(*keys).agg(F.sum("_m").alias("_n"), F.sum("_p").alias("_np"))
     j = c.join(t, keys) if keys else attach(c, t, "_t").select(*c.columns, "_t.*")
     e1, e0 = F.col("_np") * F.col("_m") / F.col("_n"), (F.col("_n") - F.col("_np")) * F.col("_m") / F.col("_n")
@@ -174,8 +180,12 @@ def chi_square(rows, category, label, keys=()):
 def chi_square_permutation(rows, category, label, row_id, n=2000, seed=23):
     """Permutation p of the chi-square statistic (k/N); serves 2x2 tables in place of Fisher's test as well."""
     k = rows.agg(F.sum(label).alias("k"))
-    p = attach(_perm_rank(rows.select(row_id, category), seed, n, row_id, []), k, "_k").withColumn("_lab", (F.col("draw_rank") <= F.col("_k.k")).cast("int"))
-    sim = attach(chi_square(p, category, "_lab", ["rep"]), chi_square(rows, category, label).withColumnRenamed("chi2", "obs"), "_o")
+    own = attach(rows.select(row_id, category), k, "_k").withColumn("_size", F.col("_k.k")).drop("_k")
+    hit = _permuted(own, seed, n, row_id, "_size", by=[category], _p=F.lit(1).cast("bigint"))
+    every = reps(rows.groupBy(category).agg(F.count(F.lit(1)).alias("_m")), n)  # categories that a repetition leaves out count 0
+    at = hit.select(F.col("rep").alias("_r"), F.col(category).alias("_cat"), "_p")
+    c = every.join(at, (F.col("rep") == F.col("_r")) & F.col(category).eqNullSafe(F.col("_cat")), "left").select("rep", category, "_m", F.coalesce("_p", F.lit(0)).alias("_p"))
+    sim = attach(_chi_square(c, ["rep"]), chi_square(rows, category, label).withColumnRenamed("chi2", "obs"), "_o")
     return sim.groupBy(F.col("_o.obs").alias("chi2")).agg(F.avg((F.col("chi2") >= F.col("_o.obs") - 1e-9).cast("int")).alias("p_value"))
 
 

@@ -71,6 +71,15 @@ def test_ranks_with_a_tail_equal_plain_ranks(spark):
         assert got[(k, x)] == (len(own), int((of.x < x).sum()), len(of))
 
 
+def test_drawn_sums_equal_a_full_order(spark):
+    df = spark.range(4000).select((F.col("id") % 3).alias("key"), (F.col("id") % 2).alias("cat"), F.md5(F.col("id").cast("string")).alias("h"), (F.col("id") % 7).alias("x"), ((F.col("id") % 3) * 500 + 1).alias("k"))
+    p = df.toPandas().sort_values("h")
+    p["at"] = p.groupby("key").cumcount()
+    want = p[p["at"] < p["k"]].groupby(["key", "cat"])["x"].sum().to_dict()
+    for width in (1, 2, 4):
+        assert {(r.key, r["cat"]): r.s for r in spread.drawn(df, "key", "h", "k", by="cat", width=width, s="x").collect()} == want
+
+
 def test_binomial_support_is_dealt_in_chunks(spark):
     from math import comb
 
