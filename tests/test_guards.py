@@ -76,14 +76,25 @@ def test_folds_never_leak(spark, sf):
         assert len(em) == 2 and tr.max() < em.min() and em.max() < te.min()
 
 
-def test_model_queries(spark):
-    from __spark_entry__ import queries
+def test_model_reports(spark):
+    from tapeline.plans import models as M
 
-    sf = "/root/testdata/sf0.01"
-    rows = queries()["ml_03_gbt"](spark, sf).collect()
+    d = M.usable(spark, "/root/testdata/sf0.01")
+    scored = ML.fit_score(d.filter(F.col("et_date") < M.SPLIT), d.filter(F.col("et_date") > M.SPLIT), ML.FEATURES, trees=5)
+    report = ML.fold_report(scored, ["symbol"])
+    rows = report.collect()
     assert rows and all(r["auc"] is None or 0 <= r["auc"] <= 1 for r in rows)
-    p = queries()["ml_08_batch_inference"](spark, sf).select("prob").collect()
-    assert all(0.5 <= r["prob"] <= 1 for r in p)
+    # the AUC again, pair by pair
+    own = [(r.prob, r.label) for r in scored.filter(F.col("symbol") == rows[0]["symbol"]).select("prob", "label").collect()]
+    pairs = [(a > b) + 0.5 * (a == b) for a, x in own for b, y in own if x == 1 and y == 0]
+    assert abs(sum(pairs) / len(pairs) - rows[0]["auc"]) < 1e-9
+    checks = ML.report_checks(report).collect()
+    assert all(r["prob_ok"] and r["auc_ok"] and 0 <= r["n_pos"] <= r["n"] for r in checks)
+    assert all(0.5 <= r["prob"] <= 1 for r in ML.gate(scored, 0.5).select("prob").collect())
+
+
+def test_fits_side_by_side_keep_their_order():
+    assert ML.side_by_side([lambda k=k: k * k for k in range(20)]) == [k * k for k in range(20)]
 
 
 def test_portfolio_conserves_cash(spark, sf):
