@@ -18,7 +18,7 @@ from .common import remainder
 
 #: Most labelled documents used for a fit; those with the smallest hash of the id are taken.
 MAX_LABELLED = 20_000
-TREES, DEPTH, BINS, RATE, RIDGE, LEAST_HESSIAN = 80, 4, 48, 0.12, 2.0, 4.0
+TREES, DEPTH, BINS, RATE, RIDGE, LEAST_HESSIAN = 80, 4, 48, 0.12, 2.0, 2.0
 SYMBOLS = b"#*$%&|<>"
 FEATURES = """chars words lines word_length upper digits symbols exclaim commas other_marks accents spaces distinct top_word adjacent dup_lines
 words_per_line longest_line long_words short_words entropy end_marks capital_words alpha_words""".split()
