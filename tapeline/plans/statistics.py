@@ -102,8 +102,9 @@ ALLB = q.settle_sql("SELECT symbol, ts, et_date, pos, open, 1 AS direction FROM
     SELECT symbol, avg(avg_bp) AS rand_bp_mean, quantile_cont(avg_bp, 0.95) AS rand_bp_p95, avg((avg_bp >= real_bp)::INT) AS share_ge_real FROM s JOIN rl USING (symbol) GROUP BY 1""", dbl="rand_bp_mean rand_bp_p95 share_ge_real", dp=5)
 def stat_07(spark, sf):
     b = v.with_pos(v.bars_15m(spark, sf))
-    a = S.bracket(S.forward_paths(b.withColumn("direction", F.lit(1)), 8, F.lit(True)), 0.2, 0.1).select("symbol", "pos", "ret")
-    real = q.kept_trades(spark, sf, b).filter("direction = 1").groupBy("symbol").agg(F.count(F.lit(1)).alias("k"), (F.avg("ret") * 1e4).alias("real_bp"))
+    # both are read by more than one pass over the simulations
+    a = cut(S.bracket(S.forward_paths(b.withColumn("direction", F.lit(1)), 8, F.lit(True)), 0.2, 0.1).select("symbol", "pos", "ret"), "settled")
+    real = cut(q.kept_trades(spark, sf, b).filter("direction = 1").groupBy("symbol").agg(F.count(F.lit(1)).alias("k"), (F.avg("ret") * 1e4).alias("real_bp")), "real")
     sims = SM.random_entries(a, real.select("symbol", "k"), "pos")
     return SM.against_real(sims, real)
 
