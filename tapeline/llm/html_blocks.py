@@ -18,19 +18,34 @@ from pyspark.sql import functions as F
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?"
-    r"|<(?P<raw>script|style|noscript|template|svg|math|iframe|object|textarea|select|title|head)\b[^>]*+>"
+    r"|<(?P<raw>script|style|noscript|template|svg|math|iframe|object|textarea|select|title|head)\b(?:(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*+>)"
     r"|<(?P<end>/?)(?P<tag>[A-Za-z][A-Za-z0-9:-]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(?P<end2>/?)(?P<tag2>[A-Za-z][A-Za-z0-9:-]*+)(?P<attrs2>[^>]*+)>?",
     re.S | re.I,
 )
 _NAMED = re.compile(r"\b(?:class|id|role|aria-label|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_BARE_VALUE = re.compile(r"=\s*[^\s\"'>]*/>\Z")  # the slash belongs to a value without quotes
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 # Element names of HTML by what they are here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-IMPLIED = frozenset("p li dt dd tr td th thead tbody tfoot option h1 h2 h3 h4 h5 h6 body html".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: What the start of an element ends though its end tag is left out, and what such an end does not reach beyond.
+ENDS = {"li": ["li"], "dt": ["dt", "dd"], "dd": ["dt", "dd"], "td": ["td", "th"], "th": ["td", "th"], "tr": "tr td th caption".split(), "option": ["option"]}
+ENDS |= {t: "thead tbody tfoot tr td th caption".split() for t in ("thead", "tbody", "tfoot")}
+_HOLDS = """article aside blockquote body button caption center details dialog dir dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header
+    hgroup main menu nav ol pre section summary table tbody td tfoot th thead tr ul""".split()
+BARRIERS = {"li": _HOLDS + ["dd", "dt"], "dt": _HOLDS + ["li"], "dd": _HOLDS + ["li"], "td": ["table", "tr"], "th": ["table", "tr"], "option": []}
+BARRIERS |= {t: ["table"] for t in "tr thead tbody tfoot".split()}
+#: What an end tag does not reach beyond.
+SCOPES = {t: ["table"] for t in "td th tr thead tbody tfoot caption".split()} | {t: "button caption table td th".split() for t in ("p", "dt", "dd")}
+SCOPES["li"] = SCOPES["p"] + ["ol", "ul"]
+ENDS_P = HEADINGS | frozenset(
+    """address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form header hgroup hr li main menu
+    nav ol p pre section summary table ul""".split()
+)
 FURNITURE_TAGS = frozenset("nav header footer aside form button dialog menu fieldset".split())
 FURNITURE_NAMES = frozenset(
     """ad ads adv advert adverts advertisement adsense sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs header
@@ -45,10 +60,10 @@ FEATURES = "words links words_before links_before words_after links_after furnit
 
 
 class _Place:
-    """Open elements that matter: how many are furniture, how many hold an article, and whether a heading or link is open."""
+    """Open elements that matter, with their places by tag: how many are furniture, how many hold an article."""
 
     def __init__(self):
-        self.open, self.furniture, self.article = [], 0, 0
+        self.open, self.at, self.furniture, self.article = [], {}, 0, 0
 
     def enter(self, tag, attrs):
         named = set()
@@ -57,23 +72,39 @@ class _Place:
         article = tag in ARTICLE_TAGS or bool(named & ARTICLE_NAMES) and not named & FURNITURE_NAMES
         header = tag == "header" and self.article and not named & FURNITURE_NAMES  # an article's own head
         furniture = not header and tag not in ("body", "html") and (tag in FURNITURE_TAGS or (bool(named & FURNITURE_NAMES) and tag not in ARTICLE_TAGS) or bool(attrs and _HIDDEN.search(attrs)))
+        self.at.setdefault(tag, []).append(len(self.open))
         self.open.append((tag, furniture, article))
         self.furniture += furniture
         self.article += article
 
-    def leave(self, tag):
-        for k in range(len(self.open) - 1, max(-1, len(self.open) - 200), -1):
-            if self.open[k][0] == tag:
-                for _, f, a in self.open[k:]:
-                    self.furniture -= f
-                    self.article -= a
-                del self.open[k:]
-                return
+    def _last(self, tag):
+        at = self.at.get(tag)
+        return at[-1] if at else -1
 
-    def sibling(self, tag):
-        """An element whose end may be left out ends where the next of its kind begins."""
-        if self.open and self.open[-1][0] == tag:
-            self.leave(tag)
+    def _cut(self, k):
+        for tag, f, a in self.open[k:]:
+            self.at[tag].pop()
+            self.furniture -= f
+            self.article -= a
+        del self.open[k:]
+
+    def leave(self, tag):
+        """The innermost open element of that name ends with all inside it, at any depth, but not beyond what holds such elements."""
+        k = self._last(tag)
+        if k >= 0 and all(self._last(b) < k for b in SCOPES.get(tag, ())):
+            self._cut(k)
+
+    def implied(self, tag):
+        """Elements whose end may be left out and that end where ``tag`` begins."""
+        if tag in ENDS:
+            floor = max(map(self._last, BARRIERS[tag]), default=-1)
+            found = [k for k in map(self._last, ENDS[tag]) if k > floor]
+            if found:
+                self._cut(min(found))
+        if tag in HEADINGS and self.open and self.open[-1][0] in HEADINGS:
+            self._cut(len(self.open) - 1)
+        if tag in ENDS_P:
+            self.leave("p")
 
 
 def blocks(page):
@@ -104,6 +135,8 @@ def blocks(page):
         raw = m.group("raw")
         if raw:
             close()
+            if raw.lower() in ("svg", "math") and m.group().endswith("/>") and not _BARE_VALUE.search(m.group()):
+                continue
             e = re.compile(rf"</{raw}\b[^>]*>?", re.I).search(page, at)
             at = e.end() if e else len(page) if raw.lower() != "head" else at
             continue
@@ -130,9 +163,9 @@ def blocks(page):
         link = 0 if tag in ("p", "div", "article", "section") else link
         if end:
             place.leave(tag)
-        elif tag not in VOID and not attrs.endswith("/"):
-            if tag in IMPLIED:
-                place.sibling(tag)
+            continue
+        place.implied(tag)
+        if tag not in VOID and not attrs.endswith("/"):
             place.enter(tag, attrs)
     if at < len(page):
         add(page[at:])

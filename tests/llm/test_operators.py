@@ -119,6 +119,41 @@ def test_html_cases(tree, page, want):
     assert html_blocks.main_text(page, tree) == want
 
 
+@pytest.mark.parametrize(
+    "row",
+    [
+        "<table>" + "<tr><td>one<td>two" * 300 + "</table>",
+        "<dl>" + "<dt>one<dd>two" * 300 + "</dl>",
+        "<ul>" + "<li><p>one two" * 300 + "</ul>",
+        "<div>" * 300 + "one two",
+        "<table><tr><td><ul><li>one</table><p>two",
+    ],
+)
+def test_html_furniture_ends_at_any_depth(tree, row):
+    article = "<article><p>The text of the article is here.</p></article>"
+    assert html_blocks.main_text(f"<aside>{row}</aside>{article}", tree) == "The text of the article is here."
+    place = html_blocks.blocks(f"<article>{row}</article><p>behind</p><aside>{row}</aside><p>last</p>")
+    assert [b[3:5] for b in place if b[0] in ("behind", "last")] == [(False, False)] * 2
+
+
+def test_html_omitted_ends_do_not_pile_up():
+    for row in ("<table>" + "<tr><td>one<td>two" * 300, "<dl>" + "<dt>one<dd>two" * 300, "<ul>" + "<li><p>one<p>two" * 300):
+        place = html_blocks._Place()
+        for tag in re.findall(r"<(\w+)", row):
+            place.implied(tag)
+            place.enter(tag, "")
+        assert len(place.open) <= 3
+    nested = html_blocks.blocks("<ul><li class=ad>one<ul><li>two<li>three</ul>four<li>five</ul>")
+    assert [b[3] for b in html_blocks.blocks("<ul><li class=ad><section>one</li></ul><p>two")] == [True, False]
+    assert [(b[0], b[3]) for b in nested] == [("one", True), ("two", True), ("three", True), ("four", True), ("five", False)]
+
+
+def test_html_self_closed_pictures(tree):
+    for mark in ("<svg/>", '<svg viewBox="0 0 1 1" />', "<math />", '<svg aria-label="a > b"/>', "<SVG hidden/>"):
+        assert html_blocks.main_text(f"<article><p>one</p>{mark}<p>two</p></article>", tree) == "one\ntwo"
+    assert html_blocks.main_text("<article><p>one</p><svg class=x/>no</svg><p>two</p></article>", tree) == "one\ntwo"
+
+
 def test_html_on_the_table(s, sf, tree):
     """Against the article element read directly."""
     got = html_blocks.with_main_text(s.read.parquet(f"{sf}/pages.parquet"), tree).select("html", "text").collect()
@@ -576,6 +611,20 @@ def test_mix_is_near_its_targets(s):
     assert apportion.plan(df.filter("false")).count() == 0 and apportion.take(df.filter("false")).count() == 0
 
 
+def test_mix_takes_rows_without_an_id_and_of_one_id_by_their_own_plan(s):
+    rows = ODD + [(None, text(k, 5 + k), "en", "a") for k in range(30)] + [(7, text(100 + k, 9 + k % 4), "en", "b") for k in range(30)]
+    df = frame(s, rows)
+    want, got = collections.Counter(), collections.Counter()
+    for r in apportion.plan(df, unit=8).toPandas().itertuples():
+        want[None if pd.isna(r.doc_id) else int(r.doc_id)] += r.taken
+    taken = apportion.take(df, unit=8)
+    for r in taken.collect():
+        got[r.doc_id] += len(WORD.findall(r.text))
+    assert got == collections.Counter({k: v for k, v in want.items() if v}) and want[None] > 0 and taken.columns == df.columns
+    again = apportion.take(df.repartition(7), unit=8)
+    assert sorted(map(str, again.collect())) == sorted(map(str, taken.collect()))
+
+
 # --- op9 ---------------------------------------------------------------------------------------------------------------------------------
 
 
