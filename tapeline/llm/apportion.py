@@ -61,10 +61,12 @@ def targets(sizes, weights, factor=1.5, most=2.0):
     return out
 
 
-def plan(docs, weights=(3, 1, 2), factor=1.5, most=2, unit=UNIT, seed=SEED):
+def plan(docs, weights=(3, 1, 2), factor=1.5, most=2, unit=UNIT, seed=SEED, keep=()):
     """Per document: doc_id, source, size, source_size, target, taken, and what is taken: ``rounds`` whole copies and the words
-    [first, first + part) modulo its size-long text as up to two ranges (a0, a1), (b0, b1), counted from 0."""
-    sized = cut(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "sizes")
+    [first, first + part) modulo its size-long text as up to two ranges (a0, a1), (b0, b1), counted from 0. Columns of ``docs`` named in
+    ``keep`` are carried along."""
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    sized = cut(docs.select("doc_id", "source", size.alias("size"), F.xxhash64("text").alias("mark"), *keep), "sizes")
     spark = docs.sparkSession
     per = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("docs")).limit(MAX_SOURCES + 1).collect()
     if len(per) > MAX_SOURCES:
@@ -77,8 +79,10 @@ def plan(docs, weights=(3, 1, 2), factor=1.5, most=2, unit=UNIT, seed=SEED):
     source = spark.createDataFrame(rows, schema)
 
     own = sized.withColumnRenamed("source", "s").join(F.broadcast(source), F.col("s").eqNullSafe(F.col("source"))).drop("s")
-    order = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    own = own.withColumn("draw", order).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "size"), "shards"))
+    # the hash of the text stands for an id that is null, and tells rows of one id and size apart
+    unnamed = F.when(F.col("doc_id").isNull(), F.col("mark"))
+    order = F.xxhash64(F.lit(seed), F.col("doc_id"), unnamed)
+    own = own.withColumn("draw", order).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "size", unnamed), "shards"))
     words = own.groupBy("source", "shard").agg(F.sum("size").alias("words"), F.first("quota").alias("quota"))
 
     def deal(t):
@@ -88,7 +92,7 @@ def plan(docs, weights=(3, 1, 2), factor=1.5, most=2, unit=UNIT, seed=SEED):
 
     dealt = words.groupBy("source").applyInPandas(deal, "source string, shard long, words long, blocks long")
     dealt = dealt.select(F.col("source").alias("s"), F.col("shard").alias("h"), "words", "blocks")
-    in_order = W.partitionBy("source", "shard").orderBy("draw", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    in_order = W.partitionBy("source", "shard").orderBy("draw", "doc_id", "size", "mark").rowsBetween(W.unboundedPreceding, -1)
     own = own.withColumn("before", F.coalesce(F.sum("size").over(in_order), F.lit(0)))
     own = own.join(dealt, F.col("source").eqNullSafe(F.col("s")) & (F.col("shard") == F.col("h")))
     n = F.greatest(F.ceil(F.col("words") / unit), F.lit(1))
@@ -100,23 +104,24 @@ def plan(docs, weights=(3, 1, 2), factor=1.5, most=2, unit=UNIT, seed=SEED):
     inside = lambda x: F.least(F.greatest(x - F.col("before"), F.lit(0)), F.col("size"))
     own = own.select("*", inside(F.lit(0)).alias("b0"), inside(wrap).alias("b1"), inside(F.col("begin")).alias("a0"), inside(F.least(end, F.col("words"))).alias("a1"))
     own = own.withColumn("taken", F.col("rounds") * F.col("size") + (F.col("a1") - F.col("a0")) + (F.col("b1") - F.col("b0")))
-    return own.select("doc_id", "source", "size", "source_size", "target", "taken", "rounds", "a0", "a1", "b0", "b1")
+    return own.select("doc_id", "source", "size", "source_size", "target", "taken", "rounds", "a0", "a1", "b0", "b1", *keep)
 
 
 def take(docs, **how):
     """The mix as documents: whole copies, and a text of the taken words where a document is taken in part. Columns as in ``docs``; n_chars,
-    where there is one, follows the text. doc_id must be unique; rows whose id repeats or is null are mixed by the id's first plan row."""
-    got = plan(docs, **how).filter("taken > 0")
-    got = got.select(F.col("doc_id").alias("_id"), "size", "rounds", "a0", "a1", "b0", "b1").dropDuplicates(["_id"])
+    where there is one, follows the text. Each row is taken by its own plan row, found by a row number written beside it, so doc_id may repeat
+    or be null."""
+    docs = cut(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    got = plan(docs, **how, keep=["_row"]).filter("taken > 0").withColumnRenamed("_row", "_at")
     parts = F.filter(F.array(F.struct(F.col("b0").alias("lo"), F.col("b1").alias("hi")), F.struct(F.col("a0").alias("lo"), F.col("a1").alias("hi"))), lambda x: x["lo"] < x["hi"])
     whole = F.exists(F.col("parts"), lambda x: (x["lo"] == 0) & (x["hi"] == F.col("size")))
     copies = F.array_repeat(F.lit(None).cast("array<struct<lo:bigint,hi:bigint>>"), (F.col("rounds") + F.when(whole, 1).otherwise(0)).cast("int"))
     some = F.when(whole | (F.size("parts") == 0), F.array().cast("array<array<struct<lo:bigint,hi:bigint>>>")).otherwise(F.array(F.col("parts")))
-    got = got.withColumn("parts", parts).select("_id", F.explode(F.concat(copies, some)).alias("_parts"))
-    out = docs.join(got, docs["doc_id"] == got["_id"])
+    got = got.withColumn("parts", parts).select("_at", F.explode(F.concat(copies, some)).alias("_parts"))
+    out = docs.join(got, F.col("_row") == F.col("_at"))
     ws = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
     text = F.array_join(F.flatten(F.transform("_parts", lambda x: F.slice(ws, (x["lo"] + 1).cast("int"), (x["hi"] - x["lo"]).cast("int")))), " ")
     out = out.withColumn("text", F.when(F.col("_parts").isNull(), F.col("text")).otherwise(text))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.select(*[c for c in docs.columns if c != "_row"])
