@@ -1,9 +1,11 @@
-"""Quality rules with n-gram perplexity: word statistics, and a modified Kneser-Ney model per language over character classes.
+"""Quality rules with n-gram perplexity: word statistics, and a modified Kneser-Ney model per language over characters.
 
-Spark counts the 4-grams of all documents (partial sums per task, then per language and gram). Discounts and interpolated probabilities of
-each order are worked out per language; they are stored as arrays sorted by a hash of the gram, which workers search. A language has at most
-CLASSES^4 grams, however large the corpus. A document is rejected where its log-perplexity is outside its language's band: the middle of all
-documents' less LOWER and plus UPPER robust deviations, wider for short texts by the square root of their length.
+Characters count as they are, with case and marks. Documents are dealt over blocks of about BLOCK characters; a block's different 4-grams with
+their counts are written. From these Spark makes the counts of all documents, discounts, contexts and interpolated probabilities of each
+order as tables dealt by language and gram: they grow with the corpus and are never whole on one machine. Each block gets the probabilities
+of its own grams back by a join and scores its documents with them. A document is rejected where its log-perplexity is outside its language's
+band (the middle of all documents' less LOWER and plus UPPER robust deviations), or its mean squared surprise, which single odd characters
+move, is more than SQUARE robust deviations above the middle; both are wider for short texts by the square root of their length.
 
 Defined results: a null or empty text has no words and fails the base rule; a null language is a language of its own; a language whose
 documents all have one perplexity, or that has one document, rejects nothing by band; equal rows get equal results; an empty table gives an
@@ -12,44 +14,27 @@ empty result. Only doc_id, text and lang are read.
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import cut
 from .common import words
 
-ORDER, CLASSES = 4, 40
-#: The band in robust deviations; a text of SHORT characters may be off by the square root of two more. Fluent texts that quote another
-#: language reach 20 above, texts below 10 repeat themselves.
-LOWER, UPPER, SHORT = 10.0, 25.0, 400.0
+#: CLASSES^ORDER fits 63 bits. Code points below CLASSES - FOLDED are told apart, those above by their remainder.
+ORDER, CLASSES, FOLDED = 4, 55_108, 1021
+BLOCK = 16_000_000
+#: The bands in robust deviations; a text of SHORT characters may be off by the square root of two more.
+LOWER, UPPER, SQUARE, SHORT = 10.0, 25.0, 6.0, 400.0
 SYMBOLS = "#*$%&|<>"
 
 
-def _class_of(code):
-    """Space 0, a-z 1 to 26, digits 27, other letters 28 to 35 by code, stops 36, the symbols 37, other 38, line ends 39."""
-    c = chr(code).lower()[:1] if code < 0xD800 else "あ"
-    if c == "\n":
-        return 39
-    if c.isspace():
-        return 0
-    if "a" <= c <= "z":
-        return ord(c) - 96
-    if c.isdigit():
-        return 27
-    if c.isalpha():
-        return 28 + ord(c) % 8
-    return 36 if c in ".,;:!?" else 37 if c in SYMBOLS else 38
-
-
-_TABLE = np.array([_class_of(k) for k in range(0x3000)] + [38], np.uint8)
-
-
 def grams(text):
     """Codes of the 4-grams that end at each character; three line ends stand before the text."""
     if not text:
-        return np.zeros(0, np.int32)
-    code = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    s = np.full(len(code) + ORDER - 1, 39, np.int32)
-    s[ORDER - 1 :] = np.where(code < 0x3000, _TABLE[np.minimum(code, 0x3000)], 28 + code % 8)
+        return np.zeros(0, np.int64)
+    code = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+    s = np.full(len(code) + ORDER - 1, 10, np.int64)
+    s[ORDER - 1 :] = np.where(code < CLASSES - FOLDED, code, CLASSES - FOLDED + code % FOLDED)
     out = s[: len(code)].copy()
     for k in range(1, ORDER):
         out *= CLASSES
@@ -84,7 +69,7 @@ def _discounts(counts):
 
 
 class Model:
-    """Interpolated modified Kneser-Ney model from (codes, counts) of the highest order."""
+    """Interpolated modified Kneser-Ney model from (codes, counts) of the highest order: the plain form of ``probabilities``, in memory."""
 
     def __init__(self, codes, counts):
         self.own, self.back = [], []
@@ -109,24 +94,6 @@ class Model:
         return np.log(p)
 
 
-class Scorer:
-    """A model with the log-probabilities it has worked out so far."""
-
-    def __init__(self, model):
-        self.model, self.known = model, np.full(CLASSES**ORDER, np.nan, np.float32)
-
-    def mean(self, codes):
-        """Mean negative log-probability, 0 for none."""
-        if not len(codes):
-            return 0.0
-        got = self.known[codes]
-        if np.isnan(got).any():
-            new = np.unique(codes[np.isnan(got)])
-            self.known[new] = self.model.log_prob(new)
-            got = self.known[codes]
-        return float(-got.mean(dtype=np.float64))
-
-
 def base_statistics(text):
     """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words) of a text."""
     text = text or ""
@@ -158,87 +125,119 @@ def base_statistics(text):
     return len(ws), chars, sum(map(text.count, SYMBOLS)), dup, repeat
 
 
-def gram_counts(docs):
-    """(lang, code, n) over all documents."""
+def _texts(docs, n_blocks):
+    """doc_id as a string, lang, text, and the block that a document is dealt to."""
+    text = F.col("text").cast("string")
+    block = F.pmod(F.xxhash64(F.col("doc_id"), F.xxhash64(text)), F.lit(n_blocks)).cast("int")
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("lang").cast("string").alias("lang"), text.alias("text"), block.alias("block"))
+
+
+def block_grams(docs, n_blocks):
+    """(block, lang, code, n, docs): 4-grams of each block's documents, and how many of these hold it. A gram may have several rows, from several tasks."""
 
     def rows(batches):
-        total, waiting, size = {}, {}, 0
-
-        def settle():
-            for lang, parts in waiting.items():
-                code, n = np.unique(np.concatenate(parts), return_counts=True)
-                if lang in total:
-                    old, m = total[lang]
-                    every, at = np.unique(np.concatenate([old, code]), return_inverse=True)
-                    code, n = every, np.bincount(at, np.concatenate([m, n])).astype(np.int64)
-                total[lang] = code, n.astype(np.int64)
+        waiting, size = {}, 0
+
+        def settled():
+            for (block, lang), parts in waiting.items():
+                code, at = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+                n = np.bincount(at, np.concatenate([m for _, m in parts])).astype(np.int64)
+                yield pd.DataFrame({"block": np.full(len(code), block, np.int32), "lang": pd.Series([lang] * len(code), dtype=object), "code": code, "n": n, "docs": np.bincount(at)})
             waiting.clear()
 
         for b in batches:
-            for lang, text in zip(b["lang"], b["text"]):
+            for block, lang, text in zip(b["block"], b["lang"], b["text"]):
                 if text:
-                    waiting.setdefault(lang, []).append(grams(text))
+                    waiting.setdefault((block, lang), []).append(np.unique(grams(text), return_counts=True))
                     size += len(text)
-            if size > 2_000_000:
-                settle()
+            if size > BLOCK // 2:
+                yield from settled()
                 size = 0
-        settle()
-        for lang, (code, n) in total.items():
-            yield pd.DataFrame({"lang": pd.Series([lang] * len(code), dtype=object), "code": code, "n": n})
+        yield from settled()
 
-    own = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    return own.mapInPandas(rows, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    return _texts(docs, n_blocks).select("block", "lang", "text").mapInPandas(rows, "block int, lang string, code long, n long, docs long")
 
 
-def train(docs):
-    """Model by language; None is a language too."""
-    got = gram_counts(docs).toPandas()
-    got["lang"] = got["lang"].where(got["lang"].notna(), None)
-    models = {}
-    for lang, t in got.sort_values("code").groupby("lang", dropna=False):
-        models[lang if isinstance(lang, str) else None] = Model(t["code"].to_numpy(), t["n"].to_numpy())
-    return models
+def gram_counts(docs):
+    """(lang, code, n) over all documents."""
+    return block_grams(docs, 1).groupBy("lang", "code").agg(F.sum("n").alias("n"))
+
+
+def probabilities(counts):
+    """(lang, code, p, base): each 4-gram's last character given the three before it, and given nothing, from (lang, code, n); lang must
+    not be null. ``docs`` is carried along."""
+    more = [c for c in counts.columns if c == "docs"]
+    levels = [counts]
+    for k in range(ORDER - 1, 0, -1):  # below: how many different characters stand before
+        below = levels[0].groupBy("lang", (F.col("code") % CLASSES**k).alias("code")).agg(F.count("*").alias("n"))
+        levels.insert(0, cut(below, f"grams{k}"))
+    out = None
+    for k, level in enumerate(levels, 1):
+        seen = level.groupBy("lang").agg(*(F.greatest(F.sum((F.col("n") == q).cast("double")), F.lit(1.0)).alias(f"n{q}") for q in (1, 2, 3, 4)))
+        y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+        d = [F.least(F.greatest(q - (q + 1) * y * F.col(f"n{q + 1}") / F.col(f"n{q}"), F.lit(0.05)), F.lit(q - 0.05)).alias(f"d{q}") for q in (1, 2, 3)]
+        own = level.join(F.broadcast(seen.select("lang", *d)), "lang")  # one row per language
+        own = own.withColumn("d", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")))
+        context = W.partitionBy("lang", F.expr(f"code div {CLASSES}L"))
+        kept = more if k == ORDER else []
+        own = own.select("lang", "code", *kept, (F.col("n") - F.col("d")).alias("own"), F.sum("n").over(context).alias("total"), F.sum("d").over(context).alias("back"))
+        lower = F.lit(1.0 / CLASSES)
+        if out is not None:
+            out = out.select(F.col("lang").alias("_lang"), F.col("code").alias("_code"), F.col("p").alias("_p"), "base")
+            own = own.join(out, (F.col("lang") == F.col("_lang")) & (F.col("code") % CLASSES ** (k - 1) == F.col("_code")))
+            lower = F.col("_p")
+        p = F.col("own") / F.col("total") + F.col("back") / F.col("total") * lower
+        out = own.select("lang", "code", *kept, p.alias("p"), (p if k == 1 else F.col("base")).alias("base"))
+    return out
 
 
-def scored(docs, models):
-    """doc_id, lang, the base statistics, mean negative log-probability ``loss`` and its number of characters."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)
+def scored(docs):
+    """doc_id, lang, the base statistics, mean negative log-probability ``loss`` (grams that no other document holds count by their last
+    character alone), mean squared surprise and number of characters."""
+    spark = docs.sparkSession
+    chars = docs.agg(F.sum(F.length(F.col("text").cast("string")))).first()[0] or 0
+    n_blocks = max(1, -(-chars // BLOCK), min(2 * spark.sparkContext.defaultParallelism, chars // (BLOCK // 64)))
+    key = F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit("")).alias("lang")  # a null language as a key of joins, apart from all others
+    parts = cut(block_grams(docs, n_blocks).select("block", key, "code", "n", "docs"), "blocks")
+    found = probabilities(cut(parts.groupBy("lang", "code").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "grams"))
+    asked = parts.select("block", "lang", "code").distinct().join(found, ["lang", "code"])
+    outside = F.when(F.col("docs") == 1, F.col("base")).otherwise(F.col("p"))
+    asked = asked.select("block", "lang", "code", (-F.log("p")).cast("float").alias("own"), (-F.log(outside)).cast("float").alias("loss"))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
-    @F.pandas_udf(", ".join(f"{n} long" for n in names) + ", loss double, length long")
-    def score(texts: pd.Series, langs: pd.Series) -> pd.DataFrame:
+    def score(own, table):
+        known = {}
+        for lang, t in table.groupby("lang", sort=False):
+            t = t.sort_values("code")
+            known[lang] = tuple(t[c].to_numpy() for c in ("code", "loss", "own"))
         rows = []
-        for t, lang in zip(texts, langs):
-            code = grams(t)
-            rows.append((*base_statistics(t), _scorer(shared, lang).mean(code) if len(code) else 0.0, len(code)))
-        return pd.DataFrame(rows, columns=[*names, "loss", "length"])
-
-    own = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    return own.select("doc_id", "lang", score("text", "lang").alias("s")).select("doc_id", "lang", "s.*")
-
-
-_SCORERS = {}
-
-
-def _scorer(shared, lang):
-    """Worked-out probabilities of the languages met last, kept by a worker."""
-    key = (shared.id if hasattr(shared, "id") else id(shared), lang)
-    if key not in _SCORERS:
-        if len(_SCORERS) >= 8:
-            _SCORERS.pop(next(iter(_SCORERS)))
-        _SCORERS[key] = Scorer(shared.value[lang])
-    return _SCORERS[key]
-
-
-def quality_rules(docs, lower=LOWER, upper=UPPER, short=SHORT):
-    """doc_id, base statistics, base_failed, log-perplexity, the language's band and kept."""
-    own = cut(scored(docs, train(docs)), "scores")
+        for doc, lang, text in zip(own["doc_id"], own["lang"], own["text"]):
+            mean = square = 0.0
+            if text:
+                code, loss, every = known["" if lang is None else "=" + lang]
+                at = np.searchsorted(code, grams(text))
+                mean, square = float(loss[at].mean(dtype=np.float64)), float((every[at].astype(np.float64) ** 2).mean())
+            rows.append((doc, lang, *base_statistics(text), mean, square, len(text or "")))
+        return pd.DataFrame(rows, columns=["doc_id", "lang", *names, "loss", "square", "length"])
+
+    schema = "doc_id string, lang string, " + ", ".join(f"{n} long" for n in names) + ", loss double, square double, length long"
+    out = _texts(docs, n_blocks).groupBy("block").cogroup(asked.groupBy("block")).applyInPandas(score, schema)
+    return out.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
+
+
+def quality_rules(docs, lower=LOWER, upper=UPPER, short=SHORT, square=SQUARE):
+    """doc_id, base statistics, base_failed, log-perplexity, the language's bands and kept."""
+    own = cut(scored(docs), "scores")
     own = own.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
     whole = own.filter(~F.col("base_failed") & (F.col("length") > 0))
-    q = F.percentile_approx("loss", F.array(*map(F.lit, (0.25, 0.5, 0.75))), 10_000)
-    band = whole.groupBy("lang").agg(q.alias("q")).select(F.col("lang").alias("_lang"), F.col("q")[1].alias("middle"), ((F.col("q")[2] - F.col("q")[0]) / 1.349).alias("spread"))
+    q = lambda c: F.percentile_approx(c, F.array(*map(F.lit, (0.25, 0.5, 0.75))), 10_000).alias(c)
+    spread = lambda c: (F.col(c)[2] - F.col(c)[0]) / 1.349
+    band = whole.groupBy("lang").agg(q("loss"), q("square"))
+    band = band.select(F.col("lang").alias("_lang"), F.col("loss")[1].alias("middle"), spread("loss").alias("spread"), F.col("square")[1].alias("_middle"), spread("square").alias("_spread"))
     own = own.join(F.broadcast(band), F.col("lang").eqNullSafe(F.col("_lang")), "left")
-    unit = F.greatest("spread", F.lit(0.01)) * F.sqrt(1 + short / F.greatest("length", F.lit(1)))
+    wider = F.sqrt(1 + short / F.greatest("length", F.lit(1)))
+    unit = F.greatest("spread", F.lit(0.01)) * wider
     own = own.withColumn("lower", F.exp(F.col("middle") - lower * unit)).withColumn("upper", F.exp(F.col("middle") + upper * unit)).withColumn("perplexity", F.exp("loss"))
+    own = own.withColumn("square_upper", F.col("_middle") + square * F.greatest("_spread", F.lit(0.03)) * wider)
     inside = F.coalesce(F.col("perplexity").between(F.col("lower"), F.col("upper")), F.lit(True))
-    return own.withColumn("kept", ~F.col("base_failed") & inside).drop("_lang", "middle", "spread")
+    return own.withColumn("kept", ~F.col("base_failed") & inside).drop("_lang", "middle", "spread", "_middle", "_spread")

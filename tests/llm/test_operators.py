@@ -460,6 +460,47 @@ def test_rules_count_all_documents(s):
     assert {(r.lang if isinstance(r.lang, str) else None, r.code): r.n for r in got.itertuples()} == want
 
 
+def test_probabilities_in_tables_are_the_models(s):
+    rows = [(k, text(k, 30) + " Äрκ漢" * (k % 2), ["en", "de"][k % 2], "a") for k in range(40)]
+    counts = kneser_ney.gram_counts(frame(s, rows))
+    got, n = kneser_ney.probabilities(counts).toPandas(), counts.toPandas()
+    assert len(got) == len(n)
+    for lang, t in n.sort_values("code").groupby("lang"):
+        m = kneser_ney.Model(t["code"].to_numpy(), t["n"].to_numpy())
+        mine = got[got.lang == lang].sort_values("code")
+        assert np.allclose(np.log(mine["p"]), m.log_prob(mine["code"].to_numpy()), rtol=1e-4)
+
+
+def test_grams_grow_with_the_alphabet():
+    assert len(set(kneser_ney.grams("aAäÄдДλ漢字ñéè").tolist())) == 12
+    apart = [kneser_ney.grams(c)[0] for c in "aAäÄдДлδλκ漢字한"]
+    assert len(set(apart)) == len(apart)  # before: letters outside a-z by code % 8, case folded
+
+
+@pytest.mark.parametrize("blocks", [16_000_000, 4_000])
+def test_scores_do_not_depend_on_blocks(s, monkeypatch, blocks):
+    monkeypatch.setattr(kneser_ney, "BLOCK", blocks)
+    rows = [(2**60 + k, text(k, 30), ["en", "de", None][k % 3], "a") for k in range(60)] + ODD
+    got = kneser_ney.scored(frame(s, rows)).toPandas()
+    assert len(got) == len(rows)
+    ids = {r.doc_id for r in kneser_ney.scored(frame(s, rows)).select("doc_id").collect()}
+    assert ids == {r[0] for r in rows}
+    for lang in ("en", "de", None):
+        own = [t for _, t, g, _ in rows if g == lang and t]
+        code, n = np.unique(np.concatenate([kneser_ney.grams(t) for t in own]), return_counts=True)
+        m = kneser_ney.Model(code, n)
+        once = {c for c, k in collections.Counter(c for t in own for c in set(kneser_ney.grams(t).tolist())).items() if k == 1}
+        first = collections.Counter(x % kneser_ney.CLASSES for x in {y % kneser_ney.CLASSES**2 for y in code.tolist()})
+        mine = got[(got["lang"] == lang) if lang else got["lang"].isna()]
+        mine = mine[mine["length"] > 0]
+        assert np.allclose(sorted(mine["square"]), sorted((m.log_prob(kneser_ney.grams(t)) ** 2).mean() for t in own), rtol=1e-4)
+        d, total = kneser_ney._discounts(np.array(list(first.values()))), sum(first.values())
+        back = sum(d[min(v, 3)] for v in first.values()) / total / kneser_ney.CLASSES
+        alone = lambda c: np.log((first[c] - d[min(first[c], 3)]) / total + back)
+        loss = [-np.mean([alone(c % kneser_ney.CLASSES) if c in once else x for c, x in zip(g.tolist(), m.log_prob(g))]) for g in map(kneser_ney.grams, own)]
+        assert np.allclose(sorted(mine["loss"]), sorted(loss), rtol=1e-4)
+
+
 # --- op6 ---------------------------------------------------------------------------------------------------------------------------------
 
 
