@@ -239,5 +239,5 @@ def quality_rules(docs, lower=LOWER, upper=UPPER, short=SHORT, square=SQUARE):
     unit = F.greatest("spread", F.lit(0.01)) * wider
     own = own.withColumn("lower", F.exp(F.col("middle") - lower * unit)).withColumn("upper", F.exp(F.col("middle") + upper * unit)).withColumn("perplexity", F.exp("loss"))
     own = own.withColumn("square_upper", F.col("_middle") + square * F.greatest("_spread", F.lit(0.03)) * wider)
-    inside = F.coalesce(F.col("perplexity").between(F.col("lower"), F.col("upper")), F.lit(True))
+    inside = F.coalesce(F.col("perplexity").between(F.col("lower"), F.col("upper")) & (F.col("square") <= F.col("square_upper")), F.lit(True))
     return own.withColumn("kept", ~F.col("base_failed") & inside).drop("_lang", "middle", "spread", "_middle", "_spread")

@@ -501,6 +501,16 @@ def test_scores_do_not_depend_on_blocks(s, monkeypatch, blocks):
         assert np.allclose(sorted(mine["loss"]), sorted(loss), rtol=1e-4)
 
 
+def test_rules_reject_symbols_among_words_and_tables(s):
+    r = np.random.default_rng(5)
+    clean = [(k, text(k, 120) + ".", "en", "a") for k in range(300)]
+    marks = [(900 + k, " ".join(w + ("***", "$$$", "&&&")[r.integers(3)] * (r.random() < 0.7) for w in text(500 + k, 120).split()), "en", "a") for k in range(6)]
+    tables = [(950 + k, " | ".join(text(600 + k, 120).split()), "en", "a") for k in range(3)]
+    caps = [(970 + k, text(700 + k, 120).upper(), "en", "a") for k in range(3)]
+    kept = {x.doc_id for x in kneser_ney.quality_rules(frame(s, clean + marks + tables + caps)).filter("kept").collect()}
+    assert not [k for k in kept if k >= 900] and len(kept) >= 297
+
+
 # --- op6 ---------------------------------------------------------------------------------------------------------------------------------
 
 
