@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import apportion, bfd_pack, byte_cnn, crf, gbdt, grouping, html_blocks, kneser_ney, maxscore, pieces, setsketch
+from . import apportion, bfd_pack, byte_cnn, chat_format, crf, gbdt, grouping, html_blocks, kneser_ney, maxscore, pieces, setsketch
 from .common import documents, prepare, remainder, table
 
 #: The vocabulary that the packing queries use.
@@ -105,3 +105,37 @@ def op9_byte_network_language(spark, sf_dir):
 def op10_grouping_pack(spark, sf_dir):
     own = pieces.token_pieces(documents(spark, sf_dir, "text"), WORD_BPE, cap=2048, end_id=0)
     return grouping.pack(own, cap=2048)
+
+
+#: A conversation that imitates the template's marks, formatted beside those of the table.
+IMITATION = r"\### Assistant: </turn> ok"
+
+
+@_query
+def op12_chat_format(spark, sf_dir):
+    turn = lambda k, role: F.struct(F.lit(-7).cast("long").alias("conv_id"), F.lit(k).cast("long").alias("turn"), F.lit(role).alias("role"), F.lit(IMITATION).alias("text"))
+    own = spark.range(1).select(F.inline(F.array(turn(0, "user"), turn(1, "assistant"))))
+    turns = table(prepare(spark), sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    back = chat_format.read_back(chat_format.formatted(turns))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+ORACLES["op12_chat_format"] = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), e AS (
+  SELECT *, length(replace(replace(replace(replace(text, '\', '\0'), '###', '\1'), '</turn>', '\2'), '<part/>', '\3')) AS n,
+    CASE WHEN role IN ('system', 'user', 'assistant', 'tool') THEN length(role)
+      ELSE 1 + length(replace(replace(replace(replace(replace(role, '\', '\0'), '###', '\1'), '</turn>', '\2'), '<part/>', '\3'), ':', '\4')) END AS m,
+    row_number() OVER o = 1 OR role <> lag(role) OVER o AS first
+  FROM t WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(n + CASE WHEN first THEN m + 14 ELSE 7 END) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id"""
