@@ -3,11 +3,13 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import apportion, bfd_pack, byte_cnn, chat_format, crf, gbdt, grouping, html_blocks, kneser_ney, maxscore, pieces, setsketch
+from . import align, apportion, bfd_pack, byte_cnn, chat_format, crf, gbdt, grouping, html_blocks, kneser_ney, maxscore, pieces, setsketch
 from .common import documents, prepare, remainder, table
 
 #: The vocabulary that the packing queries use.
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+#: The two vocabularies that the alignment query sets side by side.
+BYTE_BPE, PIECE_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 QUERIES = {}
 ORACLES = {}
@@ -139,3 +141,8 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(n + CASE WHEN first THEN m + 14 ELSE 7 END) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id"""
+
+
+@_query
+def op13_galloping_alignment(spark, sf_dir):
+    return align.align(documents(spark, sf_dir, "text"), BYTE_BPE, PIECE_BPE)
