@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import align, apportion, bfd_pack, byte_cnn, chat_format, crf, gbdt, grouping, html_blocks, kneser_ney, maxscore, pieces, setsketch
+from . import align, apportion, bfd_pack, byte_cnn, chat_format, crf, gbdt, grouping, html_blocks, kneser_ney, maxscore, pieces, setm, setsketch
 from .common import documents, prepare, remainder, table
 
 #: The vocabulary that the packing queries use.
@@ -109,6 +109,35 @@ def op10_grouping_pack(spark, sf_dir):
     return grouping.pack(own, cap=2048)
 
 
+@_query
+def op11_setm_collocations(spark, sf_dir):
+    return setm.collocations(documents(spark, sf_dir, "text", "lang"), least=30, longest=4, top=2000)
+
+
+ORACLES["op11_setm_collocations"] = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d
+), g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, (VALUES (1), (2), (3), (4)) t(k) WHERE len(w) >= k)
+), f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL
+), n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang
+), c AS MATERIALIZED (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND a >= 30
+), s AS (
+  SELECT c.lang, c.phrase, c.k, c.a, j, l.a AS l, r.a AS r, CAST(CAST(2000000 AS HUGEINT) * c.a // (l.a + r.a) AS BIGINT) AS score
+  FROM (SELECT *, lang || chr(10) || array_to_string(w[1:j], ' ') AS first, lang || chr(10) || array_to_string(w[j + 1:k], ' ') AS rest
+        FROM (SELECT *, unnest(range(1, k)) AS j FROM c)) c
+  JOIN (SELECT lang || chr(10) || phrase AS first, a FROM f WHERE a >= 30) l USING (first) JOIN (SELECT lang || chr(10) || phrase AS rest, a FROM f WHERE a >= 30) r USING (rest)
+), b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1
+), i AS (
+  SELECT lang, phrase, max(a) AS above FROM (
+    SELECT lang, a, array_to_string(w[i:i + m - 1], ' ') AS phrase
+    FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM c))) GROUP BY lang, phrase
+), u AS (SELECT b.* FROM b LEFT JOIN i USING (lang, phrase) WHERE above IS NULL OR 100 * above < 80 * b.a
+), o AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, score FROM u)
+SELECT o.lang, rank, phrase, a, l, r, n, score FROM o JOIN n USING (lang) WHERE rank <= 2000"""
+
+
 #: A conversation that imitates the template's marks, formatted beside those of the table.
 IMITATION = r"\### Assistant: </turn> ok"
 
