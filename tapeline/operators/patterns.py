@@ -6,7 +6,8 @@ Each operator first finds candidates in parallel, then runs a small ordered fold
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import spread
+from ..session import cut
+from . import chain, spread
 from .settle import non_overlap
 
 
@@ -81,77 +82,27 @@ def dedup_events(events, combo, keys=("symbol", "anchor_pos", "trough_pos")):
 
 # ------------------------------------------------------------------ zigzag
 
-def _prune(pos, px, theta):
-    """Turning points a zigzag at threshold >= theta can still tell apart: an inner swing smaller than theta whose
-    neighbours reach further on both sides changes no pivot, so its two points go."""
-    keep = []
-    for i, p in zip(pos, px):
-        if len(keep) >= 2 and (keep[-1][1] - keep[-2][1]) * (p - keep[-1][1]) >= 0 and p != keep[-1][1] and keep[-1][1] != keep[-2][1]:
-            keep[-1] = (i, p)
-        elif keep and p == keep[-1][1]:
-            continue
-        else:
-            keep.append((i, p))
-        while len(keep) >= 5:
-            a, b, c, d = keep[-4][1], keep[-3][1], keep[-2][1], keep[-1][1]
-            inner = abs(c - b) / max(b, c)
-            small = inner < theta and abs(c - b) / min(b, c) < theta
-            nested = (d > b and c >= a) if b > a else (d < b and c <= a)
-            if not (small and nested):
-                break
-            keep[-3:-1] = []
-    return keep
-
-
-def _zigzag(rows, theta):
-    """Pivots of one price path [(pos, price), ...]."""
-    out, trend, ref = [], 0, rows[0]
-    ext = ref
-    for cur in rows[1:]:
-        p = cur[1]
-        if trend == 0:
-            move = (p - ref[1]) / ref[1]
-            if abs(move) >= theta:
-                trend, ext = (1 if move > 0 else -1), cur
-            continue
-        if (p - ext[1]) * trend > 0:
-            ext = cur
-        elif trend * (ext[1] - p) / ext[1] >= theta:
-            out.append((ext, "H" if trend == 1 else "L"))
-            trend, ext = -trend, cur
-    out.append((ext, "H" if trend == 1 else "L"))
-    if out[0][0][0] != rows[0][0]:
-        out.insert(0, (rows[0], "H" if trend == -1 else "L"))
-    return out
-
-
-def zigzag(bars, thresholds):
-    """Percent-reversal pivots per (symbol, threshold).
-
-    Stage 1, per (symbol, ET day): drop points no pivot can depend on. Stage 2, per (symbol, threshold): the state
-    machine over what is left, a small part of the bars.
-    """
-    import pandas as pd
-
-    theta = min(thresholds)
-
-    def prune(pdf):
-        pdf = pdf.sort_values("pos")
-        k = _prune(pdf["pos"].tolist(), pdf["close"].tolist(), theta)
-        # the day's ends stay, so neighbouring days join up; the first bar of the series is the reference price
-        ends = {pdf["pos"].iloc[0], pdf["pos"].iloc[-1]} | {i for i, _ in k}
-        return pdf[pdf["pos"].isin(ends)]
-
-    small = bars.select("symbol", "et_date", "pos", "ts", "close").groupBy("symbol", "et_date").applyInPandas(prune, "symbol string, et_date date, pos bigint, ts timestamp_ntz, close double")
-    small = small.withColumn("theta", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])))
+def zigzag(bars, thresholds, size=chain.SIZE):
+    """Percent-reversal pivots per (symbol, threshold): symbol, theta, n, pos, ts, price, kind.
 
-    def run(key, pdf):
-        pdf = pdf.sort_values("pos")
-        ts = dict(zip(pdf["pos"], pdf["ts"]))
-        piv = _zigzag(list(zip(pdf["pos"].tolist(), pdf["close"].tolist())), key[1])
-        return pd.DataFrame([(key[0], key[1], n, i, ts[i], p, k) for n, ((i, p), k) in enumerate(piv)], columns=["symbol", "theta", "n", "pos", "ts", "price", "kind"])
-
-    return small.groupBy("symbol", "theta").applyInPandas(run, "symbol string, theta double, n bigint, pos bigint, ts timestamp_ntz, price double, kind string")
+    A leg is open from the first bar that is ``theta`` away from the series' first price. From there on the state is (trend, extreme); blocks of
+    ``size`` bars are summed up as maps of it and composed (``chain``), so no task walks a whole symbol. The first bar is a pivot too.
+    """
+    grid = F.explode(F.array(*[F.lit(float(t)) for t in thresholds]))
+    base = bars.groupBy("symbol").agg(F.min(F.struct("pos", "close", "ts")).alias("ref"))
+    rows = cut(bars.select("symbol", "et_date", "pos", "ts", "close").join(base, "symbol"), "path").withColumn("theta", grid)
+    move = (F.col("close") - F.col("ref.close")) / F.col("ref.close")
+    first = rows.filter(F.abs(move) >= F.col("theta")).groupBy("symbol", "theta").agg(F.min(F.struct("pos", "close", F.signum(move).alias("trend"))).alias("_f"))
+    start = first.select("symbol", "theta", F.array("_f.trend", "_f.close", F.col("_f.pos").cast("double")).alias("state"))
+    path = rows.join(first, ["symbol", "theta"]).filter(F.col("pos") >= F.col("_f.pos"))
+    legs = cut(chain.percent_turns(path, ["symbol", "theta"], "theta", "pos", "close", start, size), "legs")
+    kind = F.when(F.col("trend") > 0, "H").otherwise("L").alias("kind")
+    ends = legs.filter("last").select("symbol", "theta", "trend")
+    head = base.withColumn("theta", grid).join(ends, ["symbol", "theta"], "left").select(
+        "symbol", "theta", "ref.pos", F.col("ref.close").alias("price"), F.when(F.col("trend") < 0, "H").otherwise("L").alias("kind"))
+    pivots = legs.select("symbol", "theta", "pos", "price", kind).unionByName(head)
+    pivots = pivots.join(bars.select("symbol", "pos", "ts"), ["symbol", "pos"]).withColumn("_b", chain.block_of("pos", size))
+    return spread.positions(pivots, ["symbol", "theta"], "_b", "pos", name="n").select("symbol", "theta", "n", "pos", "ts", "price", "kind")
 
 
 def zigzag_atr(daily, thr="thr"):
@@ -207,13 +158,42 @@ def hlh(pivots, xs, ys, part, pos="pos", ts=None):
 TURN = {"lookback": 60, "half": 5, "gap": 20, "band": 0.10, "wave": 60, "wave_band": 0.05, "fwd": 60}
 
 
+def _lows(found, sign, c):
+    """One (d, close) per cluster of a chain's candidates: the deepest, the earlier of equals. A candidate belongs to the cluster before it if it
+    comes soon after the last one and the price between has not left the cluster's depth by more than the band."""
+    point = lambda x: F.struct(x["d"].alias("d"), x["close"].alias("close"))
+    none = F.transform(F.slice(found, 1, 0), point)
+
+    def step(acc, x):
+        deepest = F.element_at(acc["lows"], -1)
+        near = (x["d"] - acc["d"] <= c["gap"]) & (sign * x["between"] < sign * (deepest["close"] * (1 + sign * c["band"])))
+        better = F.when(sign * x["close"] < sign * deepest["close"], point(x)).otherwise(deepest)
+        lows = F.when(near, F.concat(F.slice(acc["lows"], 1, F.size(acc["lows"]) - 1), F.array(better))).otherwise(F.concat(acc["lows"], F.array(point(x))))
+        return F.struct(x["d"].alias("d"), lows.alias("lows"))
+
+    first = F.struct(F.get(found, F.lit(0))["d"].alias("d"), F.concat(none, F.array(point(F.get(found, F.lit(0))))).alias("lows"))
+    return F.aggregate(F.slice(found, F.lit(2), F.size(found)), first, step, lambda acc: acc["lows"])
+
+
+def _waves(lows, sign, c):
+    """Of clusters within a wave of the one kept last, one much shallower goes, one much deeper stays beside it, and of two alike the deeper stays."""
+
+    def step(kept, x):
+        last = F.element_at(kept, -1)
+        rise = sign * (x["close"] / last["close"] - 1)
+        apart = (x["d"] - last["d"] > c["wave"]) | (rise < -c["wave_band"])
+        swap = (rise <= c["wave_band"]) & (sign * x["close"] < sign * last["close"])
+        return F.when(F.size(kept) == 0, F.array(x)).when(apart, F.concat(kept, F.array(x))).when(
+            swap, F.concat(F.slice(kept, 1, F.size(kept) - 1), F.array(x))).otherwise(kept)
+
+    return F.aggregate(lows, F.slice(lows, 1, 0), step)
+
+
 def turning_points(daily, sign, depth, turn=None):
     """Pits (sign=1) or tops (sign=-1): candidates by windows, then clusters and waves over the few candidates.
 
-    Works on s * log-free prices: 'lower' means sign * close is lower.
+    'Deeper' means that sign * close is lower.
     """
-    import pandas as pd
-
     c = {**TURN, **(turn or {})}
     w = W.partitionBy("symbol").orderBy("d")
     prior = w.rowsBetween(-c["lookback"], -1)
@@ -233,33 +213,11 @@ def turning_points(daily, sign, depth, turn=None):
     k = b.withColumn("_ext", ext).filter("cand")
     k = k.withColumn("_prev", F.lag("close").over(w)).withColumn("between", (F.greatest if sign > 0 else F.least)("_ext", F.coalesce("_prev", "_ext")))
 
-    def fold(key, pdf):
-        pdf = pdf.sort_values("d")
-        deeper = (lambda a, b: a < b) if sign > 0 else (lambda a, b: a > b)
-        best = []  # deepest candidate of each cluster
-        prev = None
-        for d, px, mid in zip(pdf["d"].tolist(), pdf["close"].tolist(), pdf["between"].tolist()):
-            same = prev is not None and d - prev <= c["gap"] and (mid < best[-1][1] * (1 + c["band"]) if sign > 0 else mid > best[-1][1] * (1 - c["band"]))
-            if not same:
-                best.append((d, px))
-            elif deeper(px, best[-1][1]):
-                best[-1] = (d, px)
-            prev = d
-        kept = []
-        for d, px in best:
-            if kept and d - kept[-1][0] <= c["wave"]:
-                ratio = px / kept[-1][1]
-                rel = ratio - 1 if sign > 0 else 1 - ratio
-                if rel > c["wave_band"]:
-                    continue
-                if rel >= -c["wave_band"]:
-                    if deeper(px, kept[-1][1]):
-                        kept[-1] = (d, px)
-                    continue
-            kept.append((d, px))
-        return pd.DataFrame([(key[0], d) for d, _ in kept], columns=["symbol", "d"])
-
-    pts = k.select("symbol", "d", "close", "between").groupBy("symbol").applyInPandas(fold, "symbol string, d bigint")
+    # candidates further apart than a wave can't bear on each other: each such chain is folded by itself
+    new = F.coalesce(F.col("d") - F.lag("d").over(w) > max(c["wave"], c["gap"]), F.lit(True))
+    k = k.withColumn("_chain", F.sum(new.cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    chains = k.groupBy("symbol", "_chain").agg(F.array_sort(F.collect_list(F.struct("d", "close", "between"))).alias("c"))
+    pts = chains.select("symbol", F.explode(_waves(_lows("c", sign, c), sign, c)).alias("p")).select("symbol", "p.d")
     wf = w.rowsBetween(1, c["fwd"])
     rich = daily.withColumn("ahead", F.collect_list("close").over(wf)).withColumn("ref_close", (F.max if sign > 0 else F.min)("close").over(prior)).withColumn(
         "ref_d", F.max_by("d", F.struct(F.col("close") * sign, -F.col("d"))).over(prior))

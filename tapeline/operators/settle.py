@@ -7,7 +7,9 @@ An entry row carries its own path: the next T bars as an array, filled by a boun
 from pyspark.sql import functions as F
 
 from ..functions import finance as fin
-from . import spread
+from ..functions import times as tm
+from ..session import cut
+from . import chain, spread
 
 BAR = ["pos", "ts", "et_date", "open", "high", "low", "close"]
 
@@ -88,28 +90,25 @@ def triple_barrier(paths, tp, sl, horizon):
     return p.withColumn("label", label).drop("_f")
 
 
-def non_overlap(trades, key, start, end, block, seed=None):
+def non_overlap(trades, key, start, end, block, seed=None, size=chain.SIZE):
     """Keep a trade only if it starts after the last kept one ended (one position at a time).
 
-    Greedy choice is local to stretches of overlapping trades: wherever a trade starts after everything before it
-    has ended, the choice starts afresh. Stretches are found with two-level running aggregates, so the ordered fold
-    runs per stretch, not per symbol. ``seed`` is a column with the end of a position already open.
+    Which trade follows a trade is the first one that starts after its end, so a block of trades maps "busy until" coming in to "busy until" going
+    out; blocks of ``size`` trades are composed (``chain``), however long trades overlap without a break. ``block`` is a column that rises with
+    ``start`` (for positions). Equal starts go by end, then by the whole row. ``seed``: the end of a position already open.
     """
     key = [key] if isinstance(key, str) else list(key)
-    t = trades if seed is None else trades.filter(F.col(start) > seed)
-    t = spread.running(t, key, block, [start], exclusive=True, _busy=("max", end))
-    t = t.withColumn("_fresh", F.coalesce(F.col(start) > F.col("_busy"), F.lit(True)))
-    t = spread.running(t, key, block, [start], _stretch=("sum", F.when(F.col("_fresh"), 1).otherwise(0)))
-    row = F.struct(F.col(start).alias("_s"), F.col(end).alias("_e"), F.struct(*trades.columns).alias("_row"))
-    g = t.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], "_stretch").agg(F.array_sort(F.collect_list(row)).alias("_a"))
-    none = F.filter("_a", lambda x: F.lit(False))
-    kept = F.aggregate(
-        "_a", F.struct(F.lit(None).cast(trades.schema[end].dataType).alias("busy"), none.alias("kept")),
-        lambda acc, x: F.when(
-            acc["busy"].isNull() | (x["_s"] > acc["busy"]),
-            F.struct(x["_e"].alias("busy"), F.concat(acc["kept"], F.array(x)).alias("kept"))).otherwise(acc),
-        lambda acc: acc["kept"])
-    return g.select(F.explode(kept).alias("_x")).select("_x._row.*")
+    row = F.struct(*trades.columns)
+    t = trades.withColumn("_start", _number(trades, start)).withColumn("_end", _number(trades, end))
+    t = cut(spread.positions(t, key, block, ["_start", "_end", row], name="_order"), "trades")
+    kept = chain.one_at_a_time(t, key, "_start", "_end", "_order", -float("inf") if seed is None else seed, size)
+    return t.join(kept, key + ["_order"], "left_semi").select(*trades.columns)
+
+
+def _number(df, col):
+    """A position or time as a number that orders the same."""
+    kind = df.schema[col].dataType.typeName()
+    return tm.micros(col) if kind.startswith("timestamp") else F.unix_date(col) if kind == "date" else F.col(col)
 
 
 def momentum_entries(bars, trigger, std_k=None, std_n=20):

@@ -599,7 +599,7 @@ def seq_33(spark, sf):
 @query("seq_34_stream_continuation", f"SELECT symbol, pos, blocked, CASE WHEN NOT blocked THEN sum(CASE WHEN blocked THEN 0 ELSE ln(1 + ret * 0.0005) END) OVER (PARTITION BY symbol ORDER BY pos) END AS log_eq FROM (SELECT *, et_date::VARCHAR LIKE '%5' AS blocked FROM ({keep_sql(f'SELECT * FROM ({BRACK}) WHERE pos > 400', 'symbol', 'pos', 'exit_pos')}))", dbl="log_eq", dp=8)
 def seq_34(spark, sf):
     t = mom_trades(spark, sf).select("symbol", "et_date", "pos", "exit_pos", "ret")
-    k = S.non_overlap(t, "symbol", "pos", "exit_pos", "et_date", seed=F.lit(400)).withColumn("blocked", F.col("et_date").cast("string").endswith("5"))
+    k = S.non_overlap(t, "symbol", "pos", "exit_pos", "et_date", seed=400).withColumn("blocked", F.col("et_date").cast("string").endswith("5"))
     k = spread.running(k, "symbol", "et_date", "pos", _eq=("sum", F.when(F.col("blocked"), 0.0).otherwise(F.log1p(F.col("ret") * 0.0005))))
     return k.select("symbol", "pos", "blocked", F.when(~F.col("blocked"), F.col("_eq")).alias("log_eq"))
 
