@@ -31,12 +31,13 @@ def block_of(pos, size=SIZE):
     return F.floor(F.col(pos) / size).cast("bigint")
 
 
-def entry_states(maps, key, compose, apply, start, fan=FAN):
+def entry_states(maps, key, compose, apply, start, fan=None):
     """State at the start of each block.
 
     ``maps``: written rows (key, block, map). ``compose(map, map)`` and ``apply(state, map)`` work on numpy arrays; ``start``: rows (key, state),
     the state before a key's first block. Returns (key, block, state).
     """
+    fan = fan or FAN
     last = maps.agg(F.max("block")).first()[0] or 0
     levels = [maps]
     while last >= fan:
@@ -114,9 +115,9 @@ def busy_compose(a, b):
     return _pieces(np.concatenate([edges, later[rest]]), np.concatenate([busy_after(outs, b), theirs[rest]]))
 
 
-def one_at_a_time(trades, key, start, end, order, since=-np.inf, size=SIZE, fan=FAN):
+def one_at_a_time(trades, key, start, end, order, size=SIZE, fan=None):
     """Keep a trade only if it starts after the last kept one has ended. ``trades`` are written rows with a position ``order`` per key that rises
-    with ``start``; ``start`` and ``end`` are numbers. Returns (key, ``order``) of the kept trades. ``since``: the end of a position already open."""
+    with ``start``; ``start`` and ``end`` are numbers. Returns (key, ``order``) of the kept trades."""
     rows = trades.select(*key, F.col(order).alias("_at"), F.col(start).cast("double").alias("_s"), F.col(end).cast("double").alias("_e"), block_of(order, size).alias("block"))
 
     def summed(pdf):
@@ -126,7 +127,7 @@ def one_at_a_time(trades, key, start, end, order, since=-np.inf, size=SIZE, fan=
         return t
 
     maps = cut(rows.groupBy(*key, "block").applyInPandas(summed, _ddl(rows, [*key, "block"]) + ", map array<double>"), "busy")
-    begin = maps.select(*key).distinct().withColumn("state", F.array(F.lit(float(since))))
+    begin = maps.select(*key).distinct().withColumn("state", F.array(F.lit(float("-inf"))))
     states = entry_states(maps, key, busy_compose, lambda x, m: busy_after(x, m), begin, fan)
     names = [f"_{i}" for i in range(len(key))]
     states = states.select(*[F.col(k).alias(n) for k, n in zip(key, names)], F.col("block").alias("_b"), "state")
@@ -290,7 +291,7 @@ def turns_in_block(px, pos, theta, state):
         trend, ext, where, at = -trend, px[turn], pos[turn], turn + 1
 
 
-def percent_turns(bars, key, theta, pos, price, start, size=SIZE, fan=FAN):
+def percent_turns(bars, key, theta, pos, price, start, size=SIZE, fan=None):
     """Extremes of percent-reversal legs. ``bars``: rows (key with ``theta`` in it, pos, price) behind each key's start; ``start``: (key, state).
 
     Returns (key, pos, price, trend, last): trend 1 for a high, -1 for a low; ``last`` marks the extreme of the leg still open at the end.

@@ -95,13 +95,14 @@ def non_overlap(trades, key, start, end, block, seed=None, size=chain.SIZE):
 
     Which trade follows a trade is the first one that starts after its end, so a block of trades maps "busy until" coming in to "busy until" going
     out; blocks of ``size`` trades are composed (``chain``), however long trades overlap without a break. ``block`` is a column that rises with
-    ``start`` (for positions). Equal starts go by end, then by the whole row. ``seed``: the end of a position already open.
+    ``start`` (for positions). Equal starts go by end, then by the whole row. ``seed``: the end of a position already open (a number or column).
     """
     key = [key] if isinstance(key, str) else list(key)
     row = F.struct(*trades.columns)
-    t = trades.withColumn("_start", _number(trades, start)).withColumn("_end", _number(trades, end))
+    t = trades if seed is None else trades.filter(F.col(start) > seed)
+    t = t.withColumn("_start", _number(trades, start)).withColumn("_end", _number(trades, end))
     t = cut(spread.positions(t, key, block, ["_start", "_end", row], name="_order"), "trades")
-    kept = chain.one_at_a_time(t, key, "_start", "_end", "_order", -float("inf") if seed is None else seed, size)
+    kept = chain.one_at_a_time(t, key, "_start", "_end", "_order", size=size)
     return t.join(kept, key + ["_order"], "left_semi").select(*trades.columns)
 
 

@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tapeline.operators import chain as C
 from tapeline.operators import patterns as P
 from tapeline.operators import rolling as R
 from tapeline.operators import select as SL
@@ -51,10 +52,97 @@ def test_zigzag_equals_scan(spark, seed):
         assert list(zip(g["pos"], g["kind"])) == scan(px, th)
 
 
-def test_prune_drops_most_points():
-    rng = np.random.default_rng(1)
-    px = 100 * np.exp(np.cumsum(rng.normal(0, 0.001, 5000)))
-    assert len(P._prune(list(range(5000)), px.tolist(), 0.05)) < 50
+def test_zigzag_of_one_symbol_runs_in_blocks(spark):
+    """Many days of one symbol, blocks of 50 bars composed four at a time, against the scan; no task sees more than a block."""
+    rng = np.random.default_rng(8)
+    n = 3000
+    px = np.round(80 * np.exp(np.cumsum(rng.normal(0, 0.03, n))), 1) + 0.5
+    rows = [("s", dt.date(2024, 1, 1) + dt.timedelta(days=i // 20), i, dt.datetime(2024, 1, 1) + dt.timedelta(hours=i), float(px[i])) for i in range(n)]
+    d = spark.createDataFrame(rows, "symbol string, et_date date, pos bigint, ts timestamp_ntz, close double").repartition(7)
+    before, C.FAN = C.FAN, 4
+    try:
+        got = P.zigzag(d, [0.05, 0.3], size=50).toPandas()
+    finally:
+        C.FAN = before
+    for th in (0.05, 0.3):
+        g = got[got["theta"] == th].sort_values("n")
+        assert list(zip(g["pos"], g["kind"])) == scan(px.tolist(), th)
+        assert g["n"].tolist() == list(range(len(g))) and (g["price"].to_numpy() == px[g["pos"]]).all()
+        assert [t.to_pydatetime() for t in g["ts"]] == [rows[i][3] for i in g["pos"]]
+
+
+def test_zigzag_without_a_move(spark):
+    rows = [("flat", dt.date(2024, 1, 1), i, dt.datetime(2024, 1, 1, i), 10.0 + i % 2) for i in range(9)] + [("one", dt.date(2024, 1, 1), 0, dt.datetime(2024, 1, 1), 5.0)]
+    rows += [("late", dt.date(2024, 1, 1), i, dt.datetime(2024, 1, 1, i), p) for i, p in enumerate([10.0, 10.0, 20.0])]
+    d = spark.createDataFrame(rows, "symbol string, et_date date, pos bigint, ts timestamp_ntz, close double")
+    got = sorted((r.symbol, r.n, r.pos, r.kind) for r in P.zigzag(d, [0.5]).collect())
+    assert got == [("flat", 0, 0, "L"), ("late", 0, 0, "L"), ("late", 1, 2, "H"), ("one", 0, 0, "L")]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_turn_maps_compose_like_the_walk(seed):
+    """Maps of blocks, composed from either side, give what walking gives, from any state, equal prices and rule edges included."""
+    rng = np.random.default_rng(seed)
+    for _ in range(60):
+        n, th = int(rng.integers(5, 300)), float(rng.choice([0.02, 0.1, 0.5, 0.8]))
+        px = np.round(50 * np.exp(np.cumsum(rng.normal(0, rng.choice([0.005, 0.05, 0.5]), n))), int(rng.integers(0, 3))) + 0.5
+        size = int(rng.integers(1, 40))
+        parts = [(px[b : b + size], np.arange(b, min(b + size, n), dtype=float)) for b in range(0, n, size)]
+        maps = [C.turn_map(p, q, th) for p, q in parts]
+        left, right = maps[0], maps[-1]
+        for m in maps[1:]:
+            left = C.turn_compose(left, m)
+        for m in maps[-2::-1]:
+            right = C.turn_compose(m, right)
+        for _ in range(8):
+            state = (float(rng.choice([-1, 1])), float(rng.choice(px) * rng.choice([0.5, 1, 1, 2])), -1.0)
+            want = state
+            for p, q in parts:
+                want = C.turns_in_block(p, q, th, want)[1]
+            for m in (left, right):
+                assert tuple(C.turn_after(np.array(state), m)) == tuple(want)
+
+
+def turn_scan(rows, sign, c):
+    """Turning points of candidates (d, price, price between), written apart from the library."""
+    clusters = []
+    for d, px, mid in rows:
+        if clusters and d - clusters[-1]["last"] <= c["gap"]:
+            low = clusters[-1]["low"][1]
+            if (mid < low * (1 + c["band"])) if sign > 0 else (mid > low * (1 - c["band"])):
+                clusters[-1]["last"] = d
+                if (px < low) if sign > 0 else (px > low):
+                    clusters[-1]["low"] = (d, px)
+                continue
+        clusters.append({"last": d, "low": (d, px)})
+    out = []
+    for d, px in (x["low"] for x in clusters):
+        if not out or d - out[-1][0] > c["wave"]:
+            out.append((d, px))
+            continue
+        change = (px / out[-1][1] - 1) * sign
+        if change < -c["wave_band"]:
+            out.append((d, px))
+        elif change <= c["wave_band"] and ((px < out[-1][1]) if sign > 0 else (px > out[-1][1])):
+            out[-1] = (d, px)
+    return [d for d, _ in out]
+
+
+@pytest.mark.parametrize("sign", [1, -1])
+def test_turning_points_by_chains_equal_scan(spark, sign):
+    rng = np.random.default_rng(4)
+    n = 1500
+    px = 100 * np.exp(np.cumsum(rng.normal(0, 0.05, n)))
+    d = spark.createDataFrame([("s", i, float(px[i])) for i in range(n)], "symbol string, d bigint, close double")
+    got = sorted(r.d for r in P.turning_points(d, sign, 0.1).collect())
+    s = pd.Series(px) * sign
+    prior = s.rolling(60).max().shift(1) * sign
+    local = s == s.rolling(11, center=True, min_periods=1).min()
+    far = (px / prior - 1) * sign <= -0.1 if sign > 0 else px / prior - 1 >= 0.1
+    at = np.flatnonzero(far & local & prior.notna()).tolist()
+    ext = max if sign > 0 else min
+    rows = [(i, px[i], ext(px[j : i + 1])) for j, i in zip([at[0], *at], at)]
+    assert len(at) > 20 and got == turn_scan(rows, sign, P.TURN)
 
 
 def test_features_do_not_look_ahead(spark):

@@ -2,9 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tapeline.operators import chain as C
 from tapeline.operators import settle as S
 
 BAR = "pos bigint, ts timestamp_ntz, et_date date, open double, high double, low double, close double"
@@ -81,3 +83,41 @@ def test_seeded_continuation(spark):
     d = spark.createDataFrame(rows, "s bigint, e bigint, blk bigint").withColumn("k", F.lit("a"))
     got = sorted(r["s"] for r in S.non_overlap(d, "k", "s", "e", "blk", seed=F.lit(6)).collect())
     assert got == [7, 11, 15, 19]
+
+
+def test_one_stretch_of_a_whole_symbol(spark):
+    """10^5 trades that overlap without a break, all on one symbol and one day: blocks are composed over two levels, nothing is collected."""
+    n = 100_000
+    d = spark.range(n).selectExpr("'a' AS k", "id AS s", "id + 3 + (id * 7919) % 40 AS e", "0 AS blk").repartition(8)
+    out = S.non_overlap(d, "k", "s", "e", "blk", size=256)
+    got = sorted(r["s"] for r in out.collect())
+    busy, want = -1, []
+    for s in range(n):
+        if s > busy:
+            want.append(s)
+            busy = s + 3 + (s * 7919) % 40
+    assert got == want
+    assert "collect_list" not in out._jdf.queryExecution().toString()
+
+
+def test_busy_maps_compose_like_the_walk():
+    """Equal starts, ends before starts, and trades that reach over many blocks."""
+    rng = np.random.default_rng(1)
+    for _ in range(100):
+        n = int(rng.integers(1, 150))
+        s = np.sort(rng.integers(0, 100, n)).astype(float)
+        e = s + rng.integers(-1, rng.choice([3, 30, 90]), n)
+        s, e = (x[np.lexsort((e, s))] for x in (s, e))
+        size = int(rng.integers(1, 30))
+        maps = [C.busy_map(s[b : b + size], e[b : b + size]) for b in range(0, n, size)]
+        left, right = maps[0], maps[-1]
+        for m in maps[1:]:
+            left = C.busy_compose(left, m)
+        for m in maps[-2::-1]:
+            right = C.busy_compose(m, right)
+        for x0 in [-np.inf, *range(-2, 120, 7)]:
+            x = x0
+            for i in range(n):
+                if s[i] > x:
+                    x = e[i]
+            assert C.busy_after(float(x0), left)[0] == x == C.busy_after(float(x0), right)[0]
