@@ -60,12 +60,23 @@ def run_dir(spark, name):
     return path
 
 
+def _delete(spark, path):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark):
     """Remove the folders made so far. Results that still read them must have been written elsewhere by then."""
-    jvm = spark.sparkContext._jvm
     while _MADE:
-        path = jvm.org.apache.hadoop.fs.Path(_MADE.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, _MADE.pop())
+
+
+def discard(df):
+    """Remove the folder of one ``cut`` that nothing reads any more."""
+    for path in {os.path.dirname(f) for f in df.inputFiles()}:
+        if own := [p for p in _MADE if path.endswith(p.split("://")[-1])]:
+            _MADE.remove(own[0])
+            _delete(df.sparkSession, own[0])
 
 
 def cut(df, name="cut"):
