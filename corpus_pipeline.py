@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tapeline.llm import apportion, crf, gbdt, grouping, pieces, setsketch
 from tapeline.llm.common import prepare, table
 from tapeline.llm.queries import WORD_BPE
+from tapeline.session import cut, discard
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Tokens in a packed sequence.
@@ -53,10 +54,15 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
+    """Each stage's documents are written before the next one reads them (several stages read them more than once); what two stages back wrote
+    is removed then."""
     docs = table(prepare(spark), sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        kept = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if k:
+            discard(docs)
+        docs = kept
+    return STAGES[-1][1](spark, docs, sf_dir)
 
 
 QUERIES, ORACLES = {"pipeline": run}, {}
