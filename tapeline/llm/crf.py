@@ -4,12 +4,16 @@ The field labels the words around digits and @ signs (no kind is without either)
 a few cue words, and the same of the neighbours. It is trained on a small labelled table of sentences made by rule, with Adam on the exact
 log-likelihood, and decoded by Viterbi over batches of chains. Pattern spans stay as they are; a span of the field that touches one is left out.
 
+Time grows with the length of a text, long digit runs and many addresses included.
+
 Defined results: a null or empty text has no spans (counts 0, the digest of an empty string); equal rows get equal results; an empty table
 gives an empty result. Other columns are kept; those named like added ones are replaced.
 """
 
 import hashlib
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -20,11 +24,11 @@ LABELS = ["O"] + [f"{p}-{k}" for k in KINDS for p in "BI"]
 #: Hash slots of word features; characters of context taken on each side of a digit or @.
 SLOTS, CONTEXT = 4096, 40
 
-# The exact patterns.
+# The exact patterns. A digit run is entered at its start only: what fails there fails inside it too.
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
-_CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+_IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
+_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 _CUE = re.compile(r"[0-9@]")
@@ -319,9 +323,13 @@ def all_spans(texts, field):
     base = [pattern_spans(t) for t in texts]
     chains = [(i, z) for i, t in enumerate(texts) for z in zones(t)]
     more = [[] for _ in texts]
+    starts = [sorted(a for _, a, _ in b) for b in base]
+    reach = [list(accumulate((e for _, _, e in sorted(b, key=lambda x: x[1])), max)) for b in base]
     for (i, z), labels in zip(chains, field.decode([[w for w, _ in z] for _, z in chains])):
-        t = texts[i]
-        more[i] += [(kind, s, e) for kind, s, e in _runs(z, labels, t) if not any(s < b and a < e for _, a, b in base[i])]
+        for kind, s, e in _runs(z, labels, texts[i]):
+            before = bisect_left(starts[i], e)  # pattern spans that begin before this one ends
+            if not before or reach[i][before - 1] <= s:
+                more[i].append((kind, s, e))
     key = lambda x: (KINDS.index(x[0]), x[1])
     return base, [sorted(b + m, key=key) for b, m in zip(base, more)]
 
