@@ -159,15 +159,24 @@ def _packed(items, n_shards, cap, seed):
     return cut(isles.join(best, ["shard", "island"]).mapInPandas(laid_out, "item long, length int, shard long, bin long, offset long, fill long"), "packed")
 
 
+def _free(columns, name):
+    """``name``, made longer until no column has it."""
+    while name in columns:
+        name += "_"
+    return name
+
+
 def pack(pieces, cap, length="length", seed=5):
-    """``pieces`` with sequence_id and offset. The number of sequences is near the least possible; ids have gaps."""
+    """``pieces`` with sequence_id and offset (columns of these names are replaced, all others kept). The number of sequences is near the least
+    possible; ids have gaps."""
     spark = pieces.sparkSession
     size = F.col(length).cast("int")
-    pieces = cut(pieces.withColumn("_bad", F.coalesce((size < 0) | (size > cap), F.lit(True))), "pieces")
-    named = pieces.withColumn("_item", F.monotonically_increasing_id())
-    if pieces.filter("_bad").limit(1).count():
+    item, bad, at, seq_at, off_at = (_free(pieces.columns, x) for x in ("_item", "_bad", "_at", "_sequence", "_offset"))
+    # a piece's number is written with it: numbers given while reading would follow how a scan is cut, which can change between two reads
+    named = cut(pieces.withColumn(bad, F.coalesce((size < 0) | (size > cap), F.lit(True))).withColumn(item, F.monotonically_increasing_id()), "pieces")
+    if named.filter(F.col(bad)).limit(1).count():
         raise ValueError(f"a piece is longer than {cap} or has no length")
-    items = named.filter(size < cap).select(F.col("_item").alias("item"), size.alias("length"))
+    items = named.filter(size < cap).select(F.col(item).alias("item"), size.alias("length"))
     placed, left = None, items.count()
     step = 0
     while left:
@@ -184,9 +193,8 @@ def pack(pieces, cap, length="length", seed=5):
         items, left, step = poor.select("item", "length"), again, step + 1
     if placed is None:
         placed = spark.createDataFrame([], "item long, sequence_id long, offset long")
-    placed = placed.toDF("_at", "_sequence", "_offset")
-    out = named.join(placed, F.col("_item") == F.col("_at"), "left")
+    out = named.join(placed.toDF(at, seq_at, off_at), F.col(item) == F.col(at), "left")
     full = size == cap
-    out = out.withColumn("sequence_id", F.when(full, -F.col("_item") - 1).otherwise(F.col("_sequence")))
-    out = out.withColumn("offset", F.when(full, F.lit(0).cast("long")).otherwise(F.col("_offset")))
-    return out.drop("_item", "_at", "_sequence", "_offset", "_bad")
+    out = out.withColumn("sequence_id", F.when(full, -F.col(item) - 1).otherwise(F.col(seq_at)))
+    out = out.withColumn("offset", F.when(full, F.lit(0).cast("long")).otherwise(F.col(off_at)))
+    return out.drop(item, at, seq_at, off_at, bad)
