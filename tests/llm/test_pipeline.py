@@ -71,3 +71,20 @@ def test_packing_holds_every_token_of_the_mix(steps):
     assert packed["length"].sum() == n
     assert check_packing(list(packed.itertuples()), corpus_pipeline.CAPACITY) <= -(-n // corpus_pipeline.CAPACITY) + 2
     assert packed["sequence_id"].notna().all() and np.isin(packed["doc_id"], mix["doc_id"]).all()
+
+
+def test_run_writes_between_stages(spark, sf):
+    """The pipeline as a whole: every token of the mix is packed, gapless, and reading the result again gives the same rows."""
+    out = corpus_pipeline.run(spark, sf)
+    rows = out.select("sequence_id", "offset", "length", "doc_id", "piece").collect()
+    assert rows and all(r.sequence_id is not None for r in rows)
+    bins = {}
+    for r in rows:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for b in bins.values():
+        at = 0
+        for offset, length in sorted(b):
+            assert offset == at
+            at += length
+        assert at <= corpus_pipeline.CAPACITY
+    assert sorted(map(tuple, rows), key=str) == sorted(map(tuple, out.select("sequence_id", "offset", "length", "doc_id", "piece").collect()), key=str)
