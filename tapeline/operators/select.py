@@ -1,5 +1,8 @@
 """Top-k, gated choice, Pareto sets, set operations and near-duplicate titles."""
 
+import math
+
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -75,88 +78,121 @@ def only_in(a, b, keys):
 
 # ---------------------------------------------------------------- near-duplicate titles
 
-def _verify(jac):
-    inter = F.size(F.array_intersect("wa", "wb"))
-    same = inter >= jac * (F.size("wa") + F.size("wb") - inter)
-    prefix = (F.length("ka") >= 20) & (F.length("kb") >= 20) & (F.col("ka").startswith(F.col("kb")) | F.col("kb").startswith(F.col("ka")))
-    return same | prefix
+#: Titles up to this many words have a length class of their own; longer ones share a class with titles up to STEP times as long.
+EXACT, STEP = 12, 1.35
+#: Earlier titles of a key that a title is compared with at first; each further step takes GROWTH times as many.
+GROWTH = 16
+
+
+def _length_class(n):
+    return F.when(n <= EXACT, n).otherwise(EXACT + F.floor(F.log(n / EXACT) / math.log(STEP))).cast("int")
+
 
+def _class_floor(c):
+    """A number of words that no title of the class is below."""
+    return F.when(c <= EXACT, c).otherwise(F.floor(EXACT * F.pow(F.lit(STEP), c - EXACT) - 1e-6))
 
-def _likely(pairs, jac):
-    """One row per pair that can still match. ``pairs`` has a row per shared block with both titles' word counts.
 
-    Words are ordered by rarity and a block word is among the first n - ceil(jac n) + 1, so two titles share at most
-    (shared block words) + max(ceil(jac n), ceil(jac m)) - 1 words; a match needs jac / (1 + jac) * (n + m).
+def _least_shared(n, m, jac):
+    """Words that titles of n and m different words must share."""
+    return F.ceil(jac / (1 + jac) * (n + m) - 1e-9)
+
+
+def _keys(titles, heads, jac):
+    """(day, key, id, n, at): where a title can be met. ``titles``: (day, id, n, words, rarest first).
+
+    Two titles that match share so many words that the first one they share stands early in both. A key is a word with the length classes of both
+    titles; a title has one for each class it can match and each place where the rest of it is still long enough. Titles of 20 characters have
+    their first 20 as a key too. Keys met once go.
     """
-    near = (F.col("n") >= jac * F.col("m")) & (F.col("m") >= jac * F.col("n"))
-    g = pairs.filter(near | F.col("b").startswith("p:")).groupBy("id", "rep", "n", "m").agg(F.sum(F.when(F.col("b").startswith("w:"), 1).otherwise(0)).alias("c"), F.max(F.col("b").startswith("p:").cast("int")).alias("p"))
-    bound = F.col("c") + F.ceil(F.greatest("n", "m") * jac) - 1
-    return g.filter((F.col("p") == 1) | (bound >= jac / (1 + jac) * (F.col("n") + F.col("m")) - 1e-9)).select("id", "rep")
+    n = F.col("n")
+    w = titles.withColumn("own", _length_class(n)).withColumn("c", F.explode(F.sequence(_length_class(F.ceil(n * jac - 1e-9)), _length_class(F.floor(n / jac + 1e-9)))))
+    room = n - _least_shared(n, F.greatest(_class_floor(F.col("c")), F.ceil(n * jac - 1e-9)), jac) + 1
+    w = w.select("day", "id", "n", "own", "c", F.posexplode(F.slice("words", F.lit(1), F.greatest(room, F.lit(0)).cast("int"))).alias("at", "t"))
+    w = w.select("day", F.concat_ws(":", F.col("t").cast("string"), F.least("own", "c").cast("string"), F.greatest("own", "c").cast("string")).alias("key"), "id", "n", "at")
+    own = w.unionByName(heads).withColumn("_b", F.floor(F.col("id") / 65536))
+    counts = own.groupBy("day", "key", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    k = W.partitionBy("day", "key")
+    offs = counts.withColumn("_off", F.sum("_n").over(k.orderBy("_b").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("_n")).withColumn("_all", F.sum("_n").over(k))
+    own = own.join(offs.filter("_all > 1").select("day", "key", "_b", "_off"), ["day", "key", "_b"])
+    rank = F.row_number().over(W.partitionBy("day", "key", "_b").orderBy("id")) - 1 + F.col("_off")
+    return own.withColumn("rank", rank).select("day", "key", "id", "n", "at", "rank")
+
+
+def _can_match(jac):
+    """Of a pair met at a key: lengths fit, and both have enough words from there on."""
+    need = _least_shared(F.col("n"), F.col("m"), jac)
+    word = (F.col("n") >= jac * F.col("m") - 1e-9) & (F.col("m") >= jac * F.col("n") - 1e-9) & (F.col("n") - F.col("at") >= need) & (F.col("m") - F.col("rep_at") >= need)
+    return F.col("at").isNull() | word
+
+
+def _matching(pairs, texts, jac):
+    """Pairs (id, rep) whose titles do match, compared whole."""
+    a = texts.select("id", F.col("k").alias("ka"), F.col("words").alias("wa"))
+    b = texts.select(F.col("id").alias("rep"), F.col("k").alias("kb"), F.col("words").alias("wb"))
+    inter = F.size(F.array_intersect("wa", "wb"))
+    same = inter >= jac * (F.size("wa") + F.size("wb") - inter)
+    head = (F.length("ka") >= 20) & (F.length("kb") >= 20) & (F.col("ka").startswith(F.col("kb")) | F.col("kb").startswith(F.col("ka")))
+    return pairs.join(a, "id").join(b, "rep").filter(same | head).select("id", "rep")
 
 
-def near_duplicates(items, jac=0.6, block_limit=2000, max_rounds=50):
+def near_duplicates(items, jac=0.6, growth=GROWTH):
     """Greedy grouping of similar titles per day: in (time, id) order each title joins the earliest representative it
     resembles (word-set Jaccard >= jac, or one a prefix of the other with >= 20 characters), else it starts a group.
 
-    ``items``: (id, day, source, title). Spread out as follows.
-    1. Equal fingerprints of a day collapse to their first item, so exact copies never meet each other.
-    2. Candidates share a block: one of the rarest words that Jaccard >= jac forces two titles to share, or the first
-       20 characters. Pairs outside a block cannot match.
-    3. While a block is large, only its earliest open title is compared with the others (linear work): a title first
-       in all its blocks is a representative and absorbs what it matches. A crowd of near copies goes in one round.
-    4. The open rest is settled by rounds over the verified pairs inside the now small blocks.
+    ``items``: (id, day, source, title). Equal titles of a day collapse first. Titles meet at keys (``_keys``) and each is compared with the
+    titles before it at its keys, earliest first: ``growth`` of them, then ``growth`` times as many, and so on. A title that matches an undecided
+    one waits for it, so a crowd of near copies meets its first member and nothing else; a title that has met all before it and matches no
+    representative is one. Who is one is thus the lexicographically first independent set of the matches, found in few rounds without listing them.
     """
-    it = items.withColumn("_t", tx.tokens(tx.strip_outlet(F.col("title")))).select("day", "id", "source", F.array_join("_t", " ").alias("k"), F.array_sort(F.array_distinct("_t")).alias("w"))
+    it = items.withColumn("_t", tx.tokens(tx.strip_outlet(F.col("title")))).select("day", "id", "source", F.array_join("_t", " ").alias("k"), F.array_distinct("_t").alias("w"))
     it = cut(it, "words")  # tokenised once; several passes follow
     named = it.filter("k <> ''").select("day", "id", "source", "k")
     uniq = cut(it.filter("k <> ''").groupBy("day", "k").agg(F.min("id").alias("id"), F.first("w").alias("w")), "titles")
-    freq = uniq.select("day", F.explode("w").alias("t")).groupBy("day", "t").agg(F.count(F.lit(1)).alias("f"))
-    tok = uniq.select("day", "id", F.size("w").alias("n"), F.explode("w").alias("t")).join(freq, ["day", "t"])
-    # the |w| - ceil(jac |w|) + 1 rarest words of a title; a title's words are few, so its array is too
-    pre = tok.groupBy("day", "id", "n").agg(F.array_sort(F.collect_list(F.struct("f", "t"))).alias("a"))
-    pre = pre.select("day", "id", F.explode(F.slice("a", F.lit(1), F.col("n") - F.ceil(F.col("n") * jac).cast("int") + 1)).alias("x"), "n").select("day", "id", "n", F.concat(F.lit("w:"), "x.t").alias("b"))
-    head = uniq.filter(F.length("k") >= 20).select("day", "id", F.size("w").alias("n"), F.concat(F.lit("p:"), F.substring("k", 1, 20)).alias("b"))
-    blocks = cut(pre.unionByName(head), "blocks")
-    txt_a, txt_b = uniq.select("id", F.col("k").alias("ka"), F.col("w").alias("wa")), uniq.select(F.col("id").alias("rep"), F.col("k").alias("kb"), F.col("w").alias("wb"))
-
-    open_b, reps, rounds = blocks, None, 0
-    while rounds < max_rounds:
-        big = open_b.groupBy("day", "b").agg(F.count(F.lit(1)).alias("c")).agg(F.max("c")).first()[0]
-        if big is None or big <= block_limit:
-            break
-        lead = open_b.groupBy("day", "b").agg(F.min(F.struct("id", "n")).alias("l")).select("day", "b", F.col("l.id").alias("rep"), F.col("l.n").alias("m"))
-        m = open_b.join(lead, ["day", "b"])
-        first = m.groupBy("id").agg(F.min((F.col("id") == F.col("rep")).cast("int")).alias("all")).filter("all = 1").select(F.col("id").alias("rep"))
-        pairs = _likely(m.filter("id <> rep").join(first, "rep", "left_semi"), jac)
-        hit = pairs.join(txt_a, "id").join(txt_b, "rep").filter(_verify(jac)).select("id").distinct()
-        gone = cut(hit.unionByName(first.select(F.col("rep").alias("id"))), "gone")
-        reps = cut(first if reps is None else reps.unionByName(first), "reps")
-        before = open_b.count()
-        open_b = cut(open_b.join(gone, "id", "left_anti"), "open")
-        rounds += 1
-        if open_b.count() > 0.95 * before:
-            break  # no crowd of copies left: the pairs below are few per block that can match
-
-    other = open_b.select("day", "b", F.col("id").alias("rep"), F.col("n").alias("m"))
-    p = _likely(open_b.join(other, ["day", "b"]).filter("id > rep"), jac)
-    edges = cut(p.join(txt_a, "id").join(txt_b, "rep").filter(_verify(jac)).select("id", "rep"), "edges")
-    state = cut(open_b.select("id").distinct().withColumn("s", F.lit(0)), "state")  # 0 open, 1 representative, 2 duplicate
+    words = uniq.select("day", "id", F.explode("w").alias("t"))
+    terms = cut(words.groupBy("day", "t").agg(F.count(F.lit(1)).alias("f")).withColumn("number", F.monotonically_increasing_id()), "terms")
+    ranked = words.join(terms, ["day", "t"]).groupBy("day", "id").agg(F.sort_array(F.collect_list(F.struct("f", "number"))).alias("a"))
+    texts = cut(ranked.select("id", F.col("a.number").alias("words"), F.size("a").cast("bigint").alias("n")).join(uniq.select("day", "id", "k"), "id"), "texts")
+    heads = texts.filter(F.length("k") >= 20).select("day", F.concat(F.lit("p:"), F.substring("k", 1, 20)).alias("key"), "id", "n", F.lit(None).cast("int").alias("at"))
+    keys = cut(_keys(texts, heads, jac), "keys")
+    met = keys.select("day", "key", F.col("rank").alias("seen"), F.col("id").alias("rep"), F.col("n").alias("m"), F.col("at").alias("rep_at"))
+    since = lambda c: F.floor(growth * (F.pow(F.lit(float(growth)), c) - 1) / (growth - 1)) if growth > 1 else c
+
+    # 0 undecided, 1 representative, 2 duplicate; c: steps made; top: the most titles before it at a key; wait: it matches an undecided one
+    top = keys.groupBy("id").agg(F.max("rank").alias("top"))
+    state = texts.select("id").join(top, "id", "left").select("id", F.when(F.coalesce("top", F.lit(0)) == 0, 1).otherwise(0).alias("s"), F.lit(0).alias("c"), F.coalesce("top", F.lit(0)).alias("top"), F.lit(False).alias("wait"))
+    state, edges = cut(state, "state"), None
     while True:
-        e = edges.join(state.select(F.col("id").alias("rep"), F.col("s").alias("rs")), "rep")
-        g = e.groupBy("id").agg(F.max((F.col("rs") == 1).cast("int")).alias("dup"), F.max((F.col("rs") == 0).cast("int")).alias("wait"))
-        s = state.join(g, "id", "left")
-        new = F.when(F.col("s") != 0, F.col("s")).when(F.col("dup") == 1, 2).when(F.coalesce("wait", F.lit(0)) == 0, 1).otherwise(0)
-        state = cut(s.select("id", new.alias("s")), "state")
-        if state.filter("s = 0").isEmpty():
+        moves = (F.col("s") == 0) & ~F.col("wait") & (since(F.col("c")) < F.col("top"))
+        left = state.agg(F.sum((F.col("s") == 0).cast("int")).alias("left"), F.sum(moves.cast("int")).alias("moves")).first()
+        if not left["left"]:
             break
-    found = state.filter("s = 1").select(F.col("id").alias("rep"))
-    reps = cut(found if reps is None else found.unionByName(reps), "reps")
-
-    # every other title goes to its earliest matching representative
-    rb = blocks.join(reps.withColumnRenamed("rep", "id"), "id", "left_semi").select("day", "b", F.col("id").alias("rep"), F.col("n").alias("m"))
-    cand = blocks.join(reps.withColumnRenamed("rep", "id"), "id", "left_anti").join(rb, ["day", "b"]).filter("rep < id")
-    to = _likely(cand, jac).join(txt_a, "id").join(txt_b, "rep").filter(_verify(jac)).groupBy("id").agg(F.min("rep").alias("rep"))
-    owner = uniq.select("day", "k", F.col("id").alias("node")).join(to.withColumnRenamed("id", "node"), "node", "left").select("day", "k", F.coalesce("rep", "node").alias("rep"))
+        if left["moves"]:
+            go = state.filter(moves).select("id", since(F.col("c")).cast("bigint").alias("lo"), since(F.col("c") + 1).cast("bigint").alias("hi"))
+            probe = keys.join(go, "id").withColumn("hi", F.least("hi", "rank")).filter("lo < hi").withColumn("seen", F.explode(F.sequence("lo", F.col("hi") - 1)))
+            pairs = probe.join(met, ["day", "key", "seen"]).filter(_can_match(jac)).select("id", "rep").distinct()
+            pairs = pairs.join(state.filter("s < 2").select(F.col("id").alias("rep")), "rep", "left_semi")
+            found = cut(_matching(pairs, texts, jac), "edges")
+            edges = found if edges is None else edges.unionByName(found)
+        status = edges.join(state.select(F.col("id").alias("rep"), F.col("s").alias("rs")), "rep").groupBy("id").agg(
+            F.max((F.col("rs") == 1).cast("int")).alias("dup"), F.max((F.col("rs") == 0).cast("int")).alias("open"))
+        t = state.join(status, "id", "left").withColumn("c", F.col("c") + moves.cast("int")).withColumn("wait", F.coalesce(F.col("open") == 1, F.lit(False)))
+        new = F.when(F.col("s") != 0, F.col("s")).when(F.col("dup") == 1, 2).when(~F.col("wait") & (since(F.col("c")) >= F.col("top")), 1).otherwise(0)
+        state = cut(t.select("id", new.alias("s"), "c", "top", "wait"), "state")
+
+    # a duplicate goes to its earliest matching representative; one that it has not met yet may stand before the one it has
+    owner = uniq.select("day", "k", F.col("id").alias("node"))
+    if edges is None:
+        owner = owner.withColumn("rep", F.col("node"))
+    else:
+        reps = state.filter("s = 1").select(F.col("id").alias("rep"))
+        best = edges.join(reps, "rep", "left_semi").groupBy("id").agg(F.min("rep").alias("best"))
+        late = state.filter("s = 2").select("id", since(F.col("c")).cast("bigint").alias("lo")).join(best, "id")
+        more = keys.join(late, "id").join(met.join(reps, "rep", "left_semi"), ["day", "key"]).filter((F.col("seen") >= F.col("lo")) & (F.col("rep") < F.col("best")) & _can_match(jac))
+        more = _matching(more.select("id", "rep").distinct(), texts, jac)
+        to = best.withColumnRenamed("best", "rep").unionByName(more).groupBy("id").agg(F.min("rep").alias("rep"))
+        owner = owner.join(to.withColumnRenamed("id", "node"), "node", "left").select("day", "k", "node", F.coalesce("rep", "node").alias("rep"))
+    owner = owner.select("day", "k", "rep")
     named_g = named.join(owner, ["day", "k"]).select("day", "id", "source", "rep")
     blank = it.filter("k = ''").select("day", "id", "source", F.col("id").alias("rep"))
     allg = named_g.unionByName(blank)

@@ -186,8 +186,8 @@ def title_scan(rows, jac=0.6):
     return out
 
 
-@pytest.mark.parametrize("limit", [3, 2000])
-def test_near_duplicates_equal_scan(spark, limit):
+@pytest.mark.parametrize("growth", [1, 2, 16])
+def test_near_duplicates_equal_scan(spark, growth):
     rng = np.random.default_rng(2)
     vocab = [f"w{i}" for i in range(30)]
     stock = [" ".join(rng.choice(vocab, 7)) for _ in range(12)]
@@ -199,5 +199,28 @@ def test_near_duplicates_equal_scan(spark, limit):
             words[rng.integers(7)] = f"u{i}"  # near copies, each with a word of its own
         rows.append((dt.date(2024, 1, 1 + i % 2), i, " ".join(words)))
     d = spark.createDataFrame(rows, "day date, id bigint, title string").withColumn("source", F.lit("s"))
-    got = {(r["day"], r["rep"]): r["dup_n"] for r in SL.near_duplicates(d, block_limit=limit).collect()}
+    got = {(r["day"], r["rep"]): r["dup_n"] for r in SL.near_duplicates(d, growth=growth).collect()}
     assert got == title_scan(rows)
+
+
+def test_near_duplicates_of_mixed_lengths_equal_scan(spark):
+    """Short and long titles of few words, so that many pairs lie near the limit; heads of 20 characters; blank titles."""
+    rng = np.random.default_rng(6)
+    vocab = [f"v{i}" for i in range(14)]
+    rows = []
+    for i in range(260):
+        words = list(rng.choice(vocab, rng.integers(1, 14), replace=False))
+        if rng.random() < 0.3:
+            words = "alpha beta gamma delta".split() + words[: rng.integers(0, 6)]
+        rows.append((dt.date(2024, 1, 1 + i % 2), i, "" if rng.random() < 0.03 else " ".join(words)))
+    d = spark.createDataFrame(rows, "day date, id bigint, title string").withColumn("source", F.lit("s"))
+    assert {(r["day"], r["rep"]): r["dup_n"] for r in SL.near_duplicates(d).collect()} == title_scan(rows)
+
+
+def test_near_duplicates_under_a_frequent_word(spark):
+    """10,000 titles of one day share a word without being alike, a crowd of 1,000 near copies beside them."""
+    rows = [(dt.date(2024, 1, 1), i, f"market x{i} y{i}") for i in range(10_000)]
+    rows += [(dt.date(2024, 1, 1), 20_000 + i, f"market opens much higher on strong bank results u{i}") for i in range(1_000)]
+    d = spark.createDataFrame(rows, "day date, id bigint, title string").withColumn("source", F.lit("s"))
+    got = {r["rep"]: r["dup_n"] for r in SL.near_duplicates(d).collect()}
+    assert got == {**dict.fromkeys(range(10_000), 0), 20_000: 999}
