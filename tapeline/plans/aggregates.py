@@ -83,12 +83,13 @@ def agg_03(spark, sf):
     return u.withColumn("_g", g).groupBy("symbol", "_g.grain", "_g.bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("agg_04_describe_quantiles", " UNION ALL ".join(f"SELECT '{c}' AS name, count({c}) AS n, avg({c}) AS mean, stddev_samp({c}) AS std, min({c}) AS min, quantile_cont({c}, 0.1) AS p10, quantile_cont({c}, 0.5) AS p50, quantile_cont({c}, 0.9) AS p90, max({c}) AS max FROM (SELECT h.drop_pct, h.rebound_pct FROM ({q.HLH}) h WHERE \"X\" = 0.5 AND \"Y\" = 1.0 AND theta = 0.5)" for c in ("drop_pct", "rebound_pct")),
-       dbl="mean std min p10 p50 p90 max", dp=7)
+@query("agg_04_describe_quantiles", " UNION ALL ".join(f"SELECT theta, \"X\", \"Y\", '{c}' AS name, count({c}) AS n, avg({c}) AS mean, stddev_samp({c}) AS std, min({c}) AS min, quantile_cont({c}, 0.1) AS p10, quantile_cont({c}, 0.5) AS p50, quantile_cont({c}, 0.9) AS p90, max({c}) AS max FROM ({q.HLH}) h GROUP BY 1, 2, 3" for c in ("drop_pct", "rebound_pct")),
+       dbl="theta X Y mean std min p10 p50 p90 max", dp=7)
 def agg_04(spark, sf):
-    u = q.hlh(spark, sf).filter("X = 0.5 AND Y = 1.0 AND theta = 0.5").select(F.expr("stack(2, 'drop_pct', drop_pct, 'rebound_pct', rebound_pct) AS (name, x)"))
-    a = u.groupBy("name").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"))
-    return a.join(spread.quantiles(u, "name", "x", p10=0.1, p50=0.5, p90=0.9), "name")
+    key = ["theta", "X", "Y", "name"]
+    u = q.hlh(spark, sf).select(*key[:3], F.expr("stack(2, 'drop_pct', drop_pct, 'rebound_pct', rebound_pct) AS (name, size)"))
+    a = u.groupBy(*key).agg(F.count("size").alias("n"), F.avg("size").alias("mean"), F.stddev_samp("size").alias("std"), F.min("size").alias("min"), F.max("size").alias("max"))
+    return a.join(spread.quantiles(u, key, "size", p10=0.1, p50=0.5, p90=0.9), key)
 
 
 @query("agg_05_vol_regime_counts", f"""WITH v0 AS (SELECT symbol, pos, CASE WHEN count(r) OVER w >= 20 THEN stddev_samp(r) OVER w END AS vol FROM (SELECT *, close / lag(close) OVER (PARTITION BY symbol ORDER BY ts) - 1 AS r FROM {{{{bars_1h}}}}) WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
@@ -410,15 +411,15 @@ def agg_41(spark, sf):
     return E.top_markets(m, 950, 25).select("market_id", "volume")
 
 
-LEV = f"SELECT symbol, theta, peak_pos, count(*) AS slices, 2000.0 * count(*) AS invested, sum(pnl) AS pnl, max(hold_bars) AS max_hold FROM ({q.LAYER}) GROUP BY 1, 2, 3"
+LEV = f'SELECT symbol, theta, "X", "Y", peak_pos, count(*) AS slices, 2000.0 * count(*) AS invested, sum(pnl) AS pnl, max(hold_bars) AS max_hold FROM ({q.LAYER}) GROUP BY 1, 2, 3, 4, 5'
 
 
-@query("agg_42_sliced_metrics", f"""SELECT symbol, theta, sum(pnl) / 1e7 AS expected_return, max((pk - eq) / pk) AS max_drawdown, avg(invested) / 1e4 AS util_avg, max(invested) / 1e4 AS util_max, sum(invested) / 1e4 AS turnover, count(*) FILTER (WHERE slices = 5) AS n_full FROM (
-    SELECT *, greatest(max(eq) OVER (PARTITION BY symbol, theta ORDER BY peak_pos), 1e7) AS pk FROM (SELECT *, 1e7 + sum(pnl) OVER (PARTITION BY symbol, theta ORDER BY peak_pos) AS eq FROM ({LEV}))) GROUP BY 1, 2""", dbl="theta expected_return max_drawdown util_avg util_max turnover", dp=8)
+@query("agg_42_sliced_metrics", f"""SELECT symbol, theta, "X", "Y", sum(pnl) / 1e7 AS expected_return, max((pk - eq) / pk) AS max_drawdown, avg(invested) / 1e4 AS util_avg, max(invested) / 1e4 AS util_max, sum(invested) / 1e4 AS turnover, count(*) FILTER (WHERE slices = 5) AS n_full FROM (
+    SELECT *, greatest(max(eq) OVER (PARTITION BY symbol, theta, "X", "Y" ORDER BY peak_pos), 1e7) AS pk FROM (SELECT *, 1e7 + sum(pnl) OVER (PARTITION BY symbol, theta, "X", "Y" ORDER BY peak_pos) AS eq FROM ({LEV}))) GROUP BY 1, 2, 3, 4""", dbl="theta X Y expected_return max_drawdown util_avg util_max turnover", dp=8)
 def agg_42(spark, sf):
-    e = q.layered(spark, sf).groupBy("symbol", "theta", "peak_pos", F.to_date("peak_t").alias("_d")).agg(F.count(F.lit(1)).alias("slices"), F.sum("pnl").alias("pnl"))
+    e = q.layered(spark, sf).groupBy("symbol", "theta", "X", "Y", "peak_pos", F.to_date("peak_t").alias("_d")).agg(F.count(F.lit(1)).alias("slices"), F.sum("pnl").alias("pnl"))
     e = e.withColumn("invested", 2000.0 * F.col("slices"))
-    key = ["symbol", "theta"]
+    key = ["symbol", "theta", "X", "Y"]
     e = spread.running(e, key, "_d", "peak_pos", _c=("sum", "pnl")).withColumn("eq", 1e7 + F.col("_c"))
     e = spread.running(e, key, "_d", "peak_pos", _m=("max", "eq")).withColumn("pk", F.greatest("_m", F.lit(1e7)))
     return e.groupBy(*key).agg(

@@ -1,5 +1,6 @@
 """Sorts, limits, top-k and set operations."""
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -13,10 +14,12 @@ from .projections import KEY_SQL
 from .registry import query
 
 
-@query("top_01_largest_drops", f"SELECT symbol, theta, peak_pos, trough_pos, drop_pct, rebound_pct FROM ({q.HLH}) WHERE \"X\" = 0.5 AND \"Y\" = 1.0 ORDER BY drop_pct DESC, rebound_pct DESC, symbol, theta, peak_pos LIMIT 10", dbl="theta drop_pct rebound_pct", dp=7)
+@query("top_01_largest_drops", f'SELECT theta, "X", "Y", symbol, peak_pos, trough_pos, drop_pct, rebound_pct FROM ({q.HLH}) QUALIFY row_number() OVER (PARTITION BY theta, "X", "Y" ORDER BY drop_pct DESC, rebound_pct DESC, symbol, peak_pos) <= 10', dbl="theta X Y drop_pct rebound_pct", dp=7)
 def top_01(spark, sf):
-    e = q.hlh(spark, sf).filter("X = 0.5 AND Y = 1.0").select("symbol", "theta", "peak_pos", "trough_pos", "drop_pct", "rebound_pct")
-    return SL.top_k(e, 10, F.desc("drop_pct"), F.desc("rebound_pct"), "symbol", "theta", "peak_pos")
+    """The ten largest drops of every setting; the limit runs inside each task before rows move."""
+    e = q.hlh(spark, sf).select("theta", "X", "Y", "symbol", "peak_pos", "trough_pos", "drop_pct", "rebound_pct")
+    place = F.row_number().over(W.partitionBy("theta", "X", "Y").orderBy(F.desc("drop_pct"), F.desc("rebound_pct"), "symbol", "peak_pos"))
+    return e.withColumn("_n", place).filter("_n <= 10").drop("_n")
 
 
 COMBO = f"""SELECT symbol, tp, sl, count(*) FILTER (WHERE seg = 't') AS train_n, avg((ret > 0)::INT) FILTER (WHERE seg = 't') AS train_wr, avg(ret) FILTER (WHERE seg = 't') * 1e4 AS train_bp, count(*) FILTER (WHERE seg = 'h') AS hold_n,

@@ -326,19 +326,19 @@ def seq_15(spark, sf):
 
 
 AT = lambda p: f"epoch_us((SELECT b.ts FROM {{{{bars_1h}}}} b WHERE b.symbol = h.symbol AND b.pos = h.{p}))"
-LAYER = f"""SELECT symbol, theta, peak_pos, slice_id, peak_p * (1 - lvl) AS p_entry, rebound_p >= peak_p * (1 - lvl) * 1.02 AS hit_tp, CASE WHEN rebound_p >= peak_p * (1 - lvl) * 1.02 THEN 2000.0 * 0.02 ELSE 2000.0 * (rebound_p / (peak_p * (1 - lvl)) - 1) END AS pnl,
+LAYER = f"""SELECT symbol, theta, "X", "Y", peak_pos, slice_id, peak_p * (1 - lvl) AS p_entry, rebound_p >= peak_p * (1 - lvl) * 1.02 AS hit_tp, CASE WHEN rebound_p >= peak_p * (1 - lvl) * 1.02 THEN 2000.0 * 0.02 ELSE 2000.0 * (rebound_p / (peak_p * (1 - lvl)) - 1) END AS pnl,
     CAST(ceil((rt - (pt + floor((tt - pt) * CASE WHEN lvl = 0 THEN 0.0::DOUBLE ELSE lvl / drop_pct END))) / 3600000000.0) AS BIGINT) AS hold_bars
-    FROM (SELECT h.*, {AT('peak_pos')} AS pt, {AT('trough_pos')} AS tt, {AT('rebound_pos')} AS rt FROM ({HLH}) h WHERE "X" = 0.5 AND "Y" = 1.0),
+    FROM (SELECT h.*, {AT('peak_pos')} AS pt, {AT('trough_pos')} AS tt, {AT('rebound_pos')} AS rt FROM ({HLH}) h),
     (SELECT unnest([1, 2, 3, 4, 5]) AS slice_id, unnest([0.0, 0.05, 0.05, 0.1, 0.1]::DOUBLE[]) AS lvl) WHERE drop_pct >= lvl"""
 
 
 def layered(spark, sf):
-    return P.layered_fills(hlh(spark, sf).filter("X = 0.5 AND Y = 1.0"), bar_min=60)
+    return P.layered_fills(hlh(spark, sf), bar_min=60)
 
 
-@query("seq_16_layered_fills", LAYER, dbl="theta p_entry pnl", dp=7)
+@query("seq_16_layered_fills", LAYER, dbl="theta X Y p_entry pnl", dp=7)
 def seq_16(spark, sf):
-    return layered(spark, sf).select("symbol", "theta", "peak_pos", "slice_id", "p_entry", "hit_tp", "pnl", "hold_bars")
+    return layered(spark, sf).select("symbol", "theta", "X", "Y", "peak_pos", "slice_id", "p_entry", "hit_tp", "pnl", "hold_bars")
 
 
 HOLD_E = f"SELECT b.*, 1 AS direction FROM ({JUMPS}) j JOIN ({DBARS}) b ON b.symbol = j.symbol AND b.d = j.act JOIN (SELECT symbol, max(d) AS last FROM {{{{panel_day}}}} GROUP BY 1) n ON n.symbol = b.symbol WHERE b.d + 19 <= n.last"
