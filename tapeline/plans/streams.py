@@ -35,20 +35,33 @@ def str_02(spark, sf):
 
 def bar_stream(spark, sf):
     b = v.bars_15m(spark, sf).select("symbol", tm.micros("ts").alias("us"), F.unix_date("et_date").alias("day"), "close", (tm.micros("ts") + 900_000_000 + (tm.micros("ts") / 1_000_000 % 97 * 1_000_000).cast("bigint")).alias("received_us"))
-    return J.as_stream(b, "us")
+    # batches bring bars up to eight hours out of order
+    b = J.with_clock(b, delay_ms=LATE).withColumn("seen", F.when(F.col("symbol") == J.CLOCK, F.col("us")).otherwise(F.col("us") + F.pmod(F.xxhash64("symbol", "us"), F.lit(LATE * 1000))))
+    return J.as_stream(b, "seen")
+
+
+#: Milliseconds that a bar may come late.
+LATE = 8 * 3_600_000
+BAR = "us:bigint,day:int,close:double,received_us:bigint"
 
 
 @query("str_03_gap_monitor", """SELECT symbol, ts, CAST(coalesce((epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY symbol, et_date ORDER BY ts))) // 900000000 - 1, 0) AS BIGINT) AS missing, (epoch_us(ts) // 1000000) % 97 AS lag_s FROM {{bars_15m}}""", dbl="lag_s")
 def str_03(spark, sf):
-    return J.drain(J.stateful(bar_stream(spark, sf), J.GapMonitor(900_000_000)), "gaps").select("symbol", tm.from_micros(F.col("us")).alias("ts"), "missing", "lag_s")
+    return J.drain(J.in_order(bar_stream(spark, sf), J.GapMonitor(900_000_000), BAR, delay_ms=LATE), "gaps").select("symbol", tm.from_micros(F.col("us")).alias("ts"), "missing", "lag_s")
 
 
 @query("str_04_momentum_stream", "SELECT symbol, ts, ret, CASE WHEN ret > 0 THEN 1 ELSE -1 END AS direction FROM (SELECT symbol, ts, close / lag(close) OVER (PARTITION BY symbol, et_date ORDER BY ts) - 1 AS ret FROM {{bars_15m}}) WHERE abs(ret) >= 0.3", dbl="ret")
 def str_04(spark, sf):
-    return J.drain(J.stateful(bar_stream(spark, sf), J.MomentumSignal(0.3)), "signals").select("symbol", tm.from_micros(F.col("us")).alias("ts"), "ret", "direction")
+    return J.drain(J.in_order(bar_stream(spark, sf), J.MomentumSignal(0.3), BAR, delay_ms=LATE), "signals").select("symbol", tm.from_micros(F.col("us")).alias("ts"), "ret", "direction")
+
+
+#: Days in a slot of the detector's stream; a state that runs out turns when the slot of that day is over.
+DAYS = 16
 
 
-@query("str_05_detector_machine", f"SELECT symbol, d, state FROM (SELECT *, lag(state) OVER ({PW}) AS ps FROM ({q.DET})) WHERE ps IS NULL OR ps <> state")
+@query("str_05_detector_machine", f"""WITH det AS MATERIALIZED ({q.DET}) SELECT symbol, d, state FROM (SELECT *, lag(state) OVER ({PW}) AS ps FROM det) WHERE ps IS NULL OR ps <> state
+    UNION ALL SELECT symbol, due AS d, 'RISK_ON' AS state FROM (SELECT symbol, max(d) AS last, arg_max(state, d) AS state, max(d) FILTER (WHERE triggered) + 20 AS due FROM det GROUP BY symbol)
+    WHERE state = 'RISK_OFF' AND due // {DAYS} < (SELECT max(d) FROM det) // {DAYS}""")
 def str_05(spark, sf):
     from ..operators import states as ST
 
@@ -56,13 +69,16 @@ def str_05(spark, sf):
     s = ST.detector_daily(q.days(spark, sf), q.blind_counts(spark, sf), q.credible_jumps(spark, sf), calib=0)
     w = W.partitionBy("symbol").orderBy("d")
     s = s.select("symbol", "d", F.col("triggered").alias("hit"), (F.coalesce(F.lead("n_eff_before").over(w), F.col("n_eff_before")) > F.col("n_eff_before")).alias("valid"))
-    return J.drain(J.stateful(J.as_stream(s, "d"), J.DetectorMachine()), "detector")
+    # a day of the machine is a day of event time; days come up to five out of order
+    unit = {"time": "d", "per_ms": 1 / 86_400_000, "slot_ms": DAYS * 86_400_000, "delay_ms": 5 * 86_400_000, "base_ms": DAYS * 86_400_000}
+    late = J.with_clock(s, **unit).withColumn("seen", F.when(F.col("symbol") == J.CLOCK, F.col("d")).otherwise(F.col("d") + F.pmod(F.xxhash64("symbol", "d"), F.lit(5))))
+    return J.drain(J.in_order(J.as_stream(late, "seen"), J.DetectorMachine(), "d:bigint,hit:boolean,valid:boolean", **unit), "detector")
 
 
 @query("str_06_trough_confirm", f"""SELECT symbol, ts AS trough_ts, cts AS confirm_ts, (top - close) / top AS drop FROM (SELECT *, (SELECT max(b.close) FROM {{{{bars_15m}}}} b WHERE b.symbol = m.symbol AND b.et_date = m.et_date AND b.pos <= m.pos) AS top FROM (
     SELECT *, count(*) OVER w = 6 AND close <= min(close) OVER w AS is_trough, lead(ts, 2) OVER ({BW}) AS cts FROM {{{{bars_15m}}}} WINDOW w AS ({BW} ROWS BETWEEN 3 PRECEDING AND 2 FOLLOWING)) m WHERE is_trough) WHERE (top - close) / top >= 0.3""", dbl="drop")
 def str_06(spark, sf):
-    out = J.drain(J.stateful(bar_stream(spark, sf), J.TroughConfirm()), "troughs")
+    out = J.drain(J.in_order(bar_stream(spark, sf), J.TroughConfirm(), BAR, delay_ms=LATE), "troughs")
     return out.select("symbol", tm.from_micros(F.col("trough_us")).alias("trough_ts"), tm.from_micros(F.col("confirm_us")).alias("confirm_ts"), "drop")
 
 

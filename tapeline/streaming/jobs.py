@@ -25,7 +25,7 @@ def as_stream(df, order, parts=4, files=4):
     trigger. Each range is ``files`` files, so writing stays parallel; later ranges have later file times."""
     spark = df.sparkSession
     path = run_dir(spark, "source")
-    cuts = df.approxQuantile(order, [i / parts for i in range(1, parts)], 0.01)
+    cuts = df.approxQuantile(order, [i / parts for i in range(1, parts)], 0.01) if parts > 1 else []
     edges = [None, *sorted(set(cuts)), None]
     for lo, hi in zip(edges, edges[1:]):
         part = df if lo is None else df.filter(F.col(order) > lo)
@@ -202,6 +202,19 @@ class DetectorMachine(_Sorted):
     def __init__(self, calib=20, persist=20):
         self.calib, self.persist = calib, persist
 
+    def due(self):
+        """The first day on which an off state has run out, if nothing comes before."""
+        s = self.state.get() if self.state.exists() else None
+        return s[1] + 1 if s and s[2] == "RISK_OFF" else None
+
+    def aged(self, key, passed):
+        day = self.due()
+        if day is None or not passed(day):
+            return []
+        n_eff, until, _ = self.state.get()
+        self.state.update((n_eff, until, "RISK_ON"))
+        return [(key, day, "RISK_ON")]
+
     def walk(self, key, pdf, s):
         n_eff, until, state = (s[0], s[1], s[2]) if s else (0, -1, "")
         out = []
@@ -220,6 +233,7 @@ class TroughConfirm(StatefulProcessor):
     """The newest lb + lf + 1 bars per symbol, each with its day's high so far; a trough counts when its last confirming bar arrives."""
 
     SCHEMA = "symbol string, trough_us long, confirm_us long, drop double"
+    OUT = ["symbol", "trough_us", "confirm_us", "drop"]
 
     def __init__(self, lb=3, lf=2, drop=0.3):
         self.lb, self.lf, self.drop = lb, lf, drop
@@ -248,22 +262,158 @@ class TroughConfirm(StatefulProcessor):
         pass
 
 
+class Reordered(StatefulProcessor):
+    """Hands a key's rows to another processor in event-time order, however batches bring them.
+
+    Rows wait in map state by time slot. A slot's timer fires when the watermark has passed its end, so nothing on time can still come; the slot's
+    rows then go on, sorted. Memory follows one slot of one key. Rows that come when their slot is done are later than the watermark allows and
+    go unused. A processor that ages without input says when it is due (``due``), and is asked then (``aged``) if time, driven by any key, gets there.
+    """
+
+    def __init__(self, inner, row, time, per_ms, slot_ms, base_ms):
+        self.inner, self.row, self.time, self.per_ms, self.slot_ms, self.base_ms = inner, row, time, per_ms, slot_ms, base_ms
+
+    def init(self, handle):
+        self.handle = handle
+        self.names = [c.split(":")[0] for c in self.row.split(",")]
+        self.at = self.names.index(self.time)
+        self.wait = handle.getMapState("wait", "slot long", f"rows array<struct<{self.row}>>")
+        self.inner.init(handle)
+
+    def ms(self, value):
+        return self.base_ms + int(value // self.per_ms if self.per_ms >= 1 else value * round(1 / self.per_ms))
+
+    def end(self, value):
+        return (self.ms(value) // self.slot_ms + 1) * self.slot_ms
+
+    def handleInputRows(self, key, rows, timerValues):
+        import pandas as pd
+
+        slots, now = {}, timerValues.getCurrentWatermarkInMs()
+        for pdf in rows:
+            for r in pdf[self.names].itertuples(index=False, name=None):
+                slots.setdefault(self.end(r[self.at]), []).append(r)
+        for end, new in slots.items():
+            if end <= now:
+                continue
+            old = []
+            if self.wait.containsKey((end,)):
+                old = [tuple(r) for r in self.wait.getValue((end,))[0]]
+            else:
+                self.handle.registerTimer(end)
+            self.wait.updateValue((end,), (old + new,))
+        yield pd.DataFrame([], columns=self.inner.OUT)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        import pandas as pd
+
+        at = expiredTimerInfo.getExpiryTimeInMs()
+        if at % self.slot_ms:  # a due time lies a millisecond behind the end of its slot
+            yield pd.DataFrame(self.inner.aged(key[0], lambda value: self.end(value) + 1 <= at), columns=self.inner.OUT)
+            return
+        if not self.wait.containsKey((at,)):
+            return
+        rows = sorted(tuple(r) for r in self.wait.getValue((at,))[0]) if self.at == 0 else sorted((tuple(r) for r in self.wait.getValue((at,))[0]), key=lambda r: r[self.at])
+        self.wait.removeKey((at,))
+        yield from self.inner.handleInputRows(key, iter([pd.DataFrame(rows, columns=self.names)]), timerValues)
+        due = getattr(self.inner, "due", lambda: None)()
+        if due is not None:
+            self.handle.registerTimer(self.end(due) + 1)
+
+    def close(self):
+        self.inner.close()
+
+
+#: Key of rows that carry nothing but time.
+CLOCK = "~"
+
+
+def in_order(stream, processor, row, time="us", per_ms=1000, slot_ms=86_400_000, delay_ms=0, base_ms=0, key="symbol"):
+    """Run a processor over rows in event-time order. ``row``: the columns it takes (name:type, ...); ``time``: one of them, ``per_ms`` units a
+    millisecond, from ``base_ms`` on (a whole number of slots; a watermark begins at 0, and what isn't behind it is late). Rows may come up to
+    ``delay_ms`` late."""
+    ms = F.floor(F.col(time) / per_ms) if per_ms >= 1 else F.col(time) * round(1 / per_ms)
+    s = stream.withColumn("_t", F.timestamp_millis(ms.cast("bigint") + base_ms)).withWatermark("_t", f"{delay_ms} milliseconds")
+    wrapped = Reordered(processor, row, time, per_ms, slot_ms, base_ms)
+    return s.groupBy(key).transformWithStateInPandas(statefulProcessor=wrapped, outputStructType=processor.SCHEMA, outputMode="Append", timeMode="EventTime")
+
+
+def with_clock(df, time="us", per_ms=1000, slot_ms=86_400_000, delay_ms=0, base_ms=0, key="symbol", **others):
+    """Rows and one of the clock's key that takes the watermark to the end of the last slot. ``others``: its values in further columns."""
+    last = df.agg(F.max(time)).first()[0] or 0
+    ms = last // per_ms if per_ms >= 1 else last * round(1 / per_ms)
+    tick = ((ms // slot_ms + 1) * slot_ms + delay_ms) * per_ms
+    row = {key: CLOCK, time: int(tick), **others}
+    return df.unionByName(df.sparkSession.range(1).select(*[F.lit(row.get(f.name)).cast(f.dataType).alias(f.name) for f in df.schema]))
+
+
+class Heartbeat(StatefulProcessor):
+    """A row for each time a component has been silent for longer than its threshold, found by a timer: no row of its own is needed."""
+
+    SCHEMA, OUT = "component string, last_us long, stale_us long", ["component", "last_us", "stale_us"]
+
+    def __init__(self, limits_ms, default_ms):
+        self.limits, self.default = limits_ms, default_ms
+
+    def init(self, handle):
+        self.handle, self.last = handle, handle.getValueState("last", "us long")
+
+    def due(self, component, us):
+        return us // 1000 + self.limits.get(component, self.default) + 1
+
+    def handleInputRows(self, key, rows, timerValues):
+        import pandas as pd
+
+        old = self.last.get()[0] if self.last.exists() else None
+        new = max([int(pdf["us"].max()) for pdf in rows] + ([old] if old is not None else []))
+        if new != old and key[0] != CLOCK:
+            if old is not None:
+                self.handle.deleteTimer(self.due(key[0], old))
+            self.last.update((new,))
+            self.handle.registerTimer(self.due(key[0], new))
+        yield pd.DataFrame([], columns=self.OUT)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        import pandas as pd
+
+        (last,), at = self.last.get(), expiredTimerInfo.getExpiryTimeInMs()
+        rows = [(key[0], last, at * 1000)] if self.due(key[0], last) <= at else []
+        yield pd.DataFrame(rows, columns=self.OUT)
+
+    def close(self):
+        pass
+
+
 def stateful(stream, processor, key="symbol"):
+    """Run a processor over rows that come in order."""
     return stream.groupBy(key).transformWithStateInPandas(statefulProcessor=processor, outputStructType=processor.SCHEMA, outputMode="Append", timeMode="None")
 
 
+def silences(stream, thresholds, default, delay="0 seconds"):
+    """(component, last_us, stale_us) of each silence longer than its threshold (minutes). Time goes on with any component's rows."""
+    s = stream.select("component", tm.micros("ts").alias("us"), F.col("ts").cast("timestamp").alias("_t")).withWatermark("_t", delay)
+    p = Heartbeat({c: int(m * 60_000) for c, m in thresholds.items()}, int(default * 60_000))
+    return s.groupBy("component").transformWithStateInPandas(statefulProcessor=p, outputStructType=p.SCHEMA, outputMode="Append", timeMode="EventTime")
+
+
 def heartbeats(stream, now, open_now, thresholds, default):
-    """Last activity per component from a heartbeat stream, then its age against the open or closed threshold."""
-    store = Store(stream.sparkSession, "beats", "component string, last_ts timestamp_ntz", "component")
-    g = stream.groupBy("component").agg(F.max("ts").alias("last_ts"))
+    """Last activity per component from a heartbeat stream, its age at ``now`` against the open or closed threshold, and whether its timer has
+    gone off since. A clock row takes time to ``now``, so components that fall silent turn stale without rows of their own."""
+    spark = stream.sparkSession
+    store = Store(spark, "beats", "component string, last_ts timestamp_ntz", "component")
     # complete mode: the state is one row per component
-    drain_batches(g, "beats", lambda b, e: store.write(b, e), mode="complete")
-    b = store.latest()
-    thr = F.lit(float(default[0 if open_now else 1]))
-    for comp, (o, c) in thresholds.items():
-        thr = F.when(F.col("component") == comp, float(o if open_now else c)).otherwise(thr)
+    drain_batches(stream.groupBy("component").agg(F.max("ts").alias("last_ts")), "beats", lambda b, e: store.write(b, e), mode="complete")
+    pick = 0 if open_now else 1
+    tick = as_stream(spark.range(1).select(F.lit(CLOCK).alias("component"), F.lit(now).cast("timestamp_ntz").alias("ts"), F.lit(0).alias("n")), "n", 1, 1)
+    gone = drain(silences(stream.select("component", "ts").unionByName(tick.select("component", "ts")), {c: t[pick] for c, t in thresholds.items()}, default[pick]), "silences")
+    thr = F.lit(float(default[pick]))
+    for comp, t in thresholds.items():
+        thr = F.when(F.col("component") == comp, float(t[pick])).otherwise(thr)
     age = (tm.micros(F.lit(now).cast("timestamp_ntz")) - tm.micros("last_ts")) / 60_000_000
-    return b.select("component", "last_ts", age.alias("age_min"), thr.alias("threshold_min"), (age > thr).alias("stale"))
+    last = gone.groupBy("component").agg(F.max("last_us").alias("_us"))
+    b = store.latest().join(last, "component", "left")
+    stale = F.coalesce(F.col("_us") == tm.micros("last_ts"), F.lit(False))
+    return b.select("component", "last_ts", age.alias("age_min"), thr.alias("threshold_min"), stale.alias("stale"))
 
 
 def posts_per_day(stream, delay="1 hour"):
