@@ -196,28 +196,23 @@ def pit_features(daily):
     )
 
 
-def rsi(daily, n=14, adjust=True):
-    """RSI from exponential means. ``adjust`` picks the weighting; adjust=False reads an undefined value as 100.
+def rsi(daily, n=14, adjust=True, pos="d"):
+    """RSI from exponential means of the rises and falls between closes. ``adjust`` picks the weighting: a mean over decayed weights, or a
+    recursion that begins with the first change as it is; adjust=False reads an undefined value as 100. ``pos`` numbers a symbol's days from 0.
 
-    The recursion is sequential, so each symbol's daily closes (bounded by the calendar) go through pandas ``ewm``.
+    Only the ratio of both means counts, so each is a decayed running sum, carried over blocks of days (``spread.decayed``).
     """
-    schema = "symbol string, et_date date, rsi double"
-
-    def one(pdf):
-        pdf = pdf.sort_values("et_date")
-        delta = pdf["close"].diff()
-        up = delta.clip(lower=0).ewm(alpha=1 / n, adjust=adjust, min_periods=n).mean()
-        dn = (-delta.clip(upper=0)).ewm(alpha=1 / n, adjust=adjust, min_periods=n).mean()
-        if not adjust:
-            dn = dn.where(dn != 0.0)
-        out = 100 - 100 / (1 + up / dn)
-        if not adjust:
-            out = out.fillna(100.0)
-        res = pdf[["symbol", "et_date"]].copy()
-        res["rsi"] = out.astype(object).where(out.notna(), None)
-        return res
-
-    return daily.select("symbol", "et_date", "close").groupBy("symbol").applyInPandas(one, schema)
+    change = F.col("close") - F.lag("close").over(by_day())
+    weight = F.lit(1.0) if adjust else F.when(F.col(pos) == 1, 1.0).otherwise(1.0 / n)
+    x = daily.select("symbol", "et_date", pos, (change * weight).alias("_x"))
+    zero = F.lit(0.0)
+    x = spread.decayed(x, "symbol", pos, 1 - 1 / n, _up=F.greatest(F.coalesce("_x", zero), zero), _dn=F.greatest(-F.coalesce("_x", zero), zero))
+    known = F.when((F.col(pos) >= n) & (F.col("_dn") > 0), 100 - 100 / (1 + F.col("_up") / F.col("_dn")))
+    if adjust:
+        value = F.coalesce(known, F.when((F.col(pos) >= n) & (F.col("_up") > 0), 100.0))
+    else:
+        value = F.coalesce(known, F.lit(100.0))
+    return x.select("symbol", "et_date", value.alias("rsi"))
 
 
 def swing_high(bars, w_half):

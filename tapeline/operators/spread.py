@@ -6,6 +6,7 @@ ordered rows into blocks, does the work per (key, block), and makes the blocks a
 * ``positions``      dense row numbers from per-block counts
 * ``in_blocks``      bounded frames (-before..+after) by copying edge rows into the neighbouring block
 * ``running``        unbounded frames by carrying per-block partial aggregates forward
+* ``decayed``        exponentially weighted sums, carried the same way
 * ``even_blocks``    blocks of values by the data's own spread
 * ``value_ranks``    exact ranks and quantiles from tie-collapsed value counts
 * ``hash_rank``      exact order of md5 draws, blocked by digest prefix
@@ -15,6 +16,8 @@ Blocks are functions of the ordering value only (a date, an hour, a value block,
 recomputed task always finds the same block. Every shuffle key includes the block.
 """
 
+import math
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -90,6 +93,30 @@ def running(df, key, block, order, exclusive=False, **specs):
     return out.drop(*[q for _, _, q in outs])
 
 
+def decayed(df, key, pos, beta, **sums):
+    """Running sums in which everything loses the factor ``beta`` at each step of ``pos``: s = beta s + x, from the start of each key.
+
+    A step is an affine map, and so is a block of steps: inside a block the sum is a plain running sum of x beta^-i times beta^i, and a block
+    hands on its last value times what the way to the next one costs. A block fades e^300 times, so what reaches over two whole blocks more
+    is less than 1e-260 of itself and left out.
+    """
+    key = _cols(key)
+    size = max(1, int(300 / -math.log(beta)))
+    d = df.withColumn("_blk", F.floor(F.col(pos) / size)).withColumn("_i", F.col(pos) - F.col("_blk") * size)
+    inner = W.partitionBy(*key, "_blk").orderBy("_i").rowsBetween(W.unboundedPreceding, 0)
+    fade = lambda steps: F.pow(F.lit(beta), steps)
+    part = d.groupBy(*key, "_blk").agg(*[F.sum((F.col(c) if isinstance(c, str) else c) * fade(size - F.col("_i"))).alias(f"_t_{n}") for n, c in sums.items()])
+    w = W.partitionBy(*key).orderBy("_blk")
+    before, gap = F.lag("_blk").over(w), F.col("_blk") - F.lag("_blk").over(w) - 1
+    before2, gap2 = F.lag("_blk", 2).over(w), F.col("_blk") - F.lag("_blk", 2).over(w) - 1
+    carry = [(F.when(before.isNull(), 0.0).otherwise(F.lag(f"_t_{n}").over(w) * fade(gap * size)) + F.when(before2.isNull(), 0.0).otherwise(F.lag(f"_t_{n}", 2).over(w) * fade(gap2 * size))).alias(f"_c_{n}") for n in sums]
+    out = d.join(part.select(*key, "_blk", *carry), key + ["_blk"])
+    for n, c in sums.items():
+        x = F.col(c) if isinstance(c, str) else c
+        out = out.withColumn(n, (F.sum(x * fade(-F.col("_i"))).over(inner) + F.col(f"_c_{n}")) * fade(F.col("_i")))
+    return out.drop("_blk", "_i", *[f"_c_{n}" for n in sums])
+
+
 def last_before(df, key, block, order, **cols):
     """Last non-null value strictly before each row, per key."""
     return running(df, key, block, order, exclusive=True, **{n: ("last", c) for n, c in cols.items()})

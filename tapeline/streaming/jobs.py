@@ -106,18 +106,41 @@ class Store:
         df.select(*self.schema.names).withColumn("part", self.part()).repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/epoch={epoch}")
 
 
-def ingest_first_seen(stream, key="event_id", observed="observed_time", path=None):
-    """Insert-or-ignore by key: the first observation stays. Inside a batch the earliest row wins; rows already stored are dropped by an
-    anti-join with the parts of the store that the batch hits. ``path`` keeps the store and its progress over restarts."""
-    store = Store(stream.sparkSession, "events", stream.schema, key, path and f"{path}/table")
-    cols = [c for c in stream.columns if c != key]
+def ingest_first_seen(stream, key="event_id", observed="observed_time", path=None, ttl=None):
+    """Insert-or-ignore by key: the first observation stays, and inside a batch the earliest row.
 
-    def step(batch, epoch):
-        one = batch.groupBy(key).agg(F.min_by(F.struct(*cols), F.struct(observed)).alias("_r")).select(key, "_r.*").select(*stream.columns)
-        store.write(one.join(store.read(epoch, store.hit(batch)).select(key), key, "left_anti"), epoch)
+    Whether a key has been seen is state of that key in the state store, so a batch reads the state of its own keys and no earlier output, however
+    many batches there were. ``ttl``: forget a key that long (in seconds) after it was first observed, by the watermark of ``observed``; a later
+    copy would then count as new. ``path`` keeps the table, the state and the progress over restarts.
+    """
+    spark, columns = stream.sparkSession, stream.columns
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+
+    def first(k, rows, state):
+        import pandas as pd
 
-    drain_batches(stream, "ingest", step, checkpoint=path and f"{path}/progress")
-    return store.read()
+        if state.hasTimedOut:
+            state.remove()
+            return
+        best = None
+        for pdf in rows:
+            top = pdf.loc[[pdf[observed].idxmin()]]
+            if best is None or top[observed].iloc[0] < best[observed].iloc[0]:
+                best = top
+        if not state.exists:
+            state.update((True,))
+            if ttl:
+                state.setTimeoutTimestamp(int(pd.Timestamp(best[observed].iloc[0]).timestamp() * 1000) + ttl * 1000)
+            yield best[columns]
+
+    keyed = stream
+    if ttl:
+        keyed = stream.withColumn("_t", F.col(observed).cast("timestamp")).withWatermark("_t", "0 seconds")
+    new = keyed.groupBy(key).applyInPandasWithState(first, stream.schema, "seen boolean", "append", "EventTimeTimeout" if ttl else "NoTimeout")
+    out = f"{path}/table" if path else run_dir(spark, "events")
+    q = new.writeStream.outputMode("append").option("checkpointLocation", f"{path}/progress" if path else run_dir(spark, "events-ck")).format("parquet").trigger(availableNow=True).start(out)
+    q.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
 
 
 def live_bars(ticks, minutes=15, delay="10 minutes"):

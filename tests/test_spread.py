@@ -1,5 +1,6 @@
 """Blocked windows, running aggregates, ranks and quantiles equal their one-window forms, with one hot key."""
 
+import datetime as dt
 import numpy as np
 import pandas as pd
 import pytest
@@ -69,3 +70,40 @@ def test_hash_rank(rows):
     h = rows.withColumn("h", F.md5(F.col("id").cast("string")))
     want = h.withColumn("draw_rank", F.row_number().over(W.partitionBy("key").orderBy("h")))
     same(spread.hash_rank(h, "key", "h"), want, ["id", "draw_rank"])
+
+
+def test_decayed_sums_equal_the_fold_over_many_blocks(spark):
+    """Blocks of about 740 steps at this factor; a key with a gap of several blocks, values of very different size."""
+    rng = np.random.default_rng(3)
+    rows = [("a", i, float(rng.exponential() * 10.0 ** rng.integers(-3, 6)) if rng.random() < 0.7 else 0.0) for i in range(4000)]
+    rows += [("b", i, 1.0 + i % 5) for i in [*range(700), *range(5000, 5300)]]
+    beta = 1 - 1 / 3
+    d = spark.createDataFrame(rows, "k string, d long, x double").repartition(7)
+    got = {(r.k, r.d): r.s for r in spread.decayed(d, "k", "d", beta, s="x").collect()}
+    last = {}
+    for k, i, x in rows:
+        at, s = last.get(k, (i, 0.0))
+        s = s * beta ** (i - at) + x
+        last[k] = (i, s)
+        assert abs(got[(k, i)] - s) <= 1e-9 * max(s, 1e-300)
+
+
+@pytest.mark.parametrize("adjust", [True, False])
+def test_rsi_equals_pandas(spark, adjust):
+    from tapeline.operators import rolling as R
+
+    rng = np.random.default_rng(1)
+    px = 100 * np.exp(np.cumsum(rng.normal(0, 0.02, 900)))
+    px[300:330] = px[300]
+    close = {"walk": px, "up": np.arange(1.0, 60.0), "flat": np.full(40, 5.0)}
+    rows = [(s, dt.date(2000, 1, 1) + dt.timedelta(days=i), i, float(x)) for s, v in close.items() for i, x in enumerate(v)]
+    d = spark.createDataFrame(rows, "symbol string, et_date date, d long, close double")
+    got = R.rsi(d, 14, adjust).toPandas().sort_values(["symbol", "et_date"])
+    for s, v in close.items():
+        delta = pd.Series(v).diff()
+        mean = lambda x: x.ewm(alpha=1 / 14, adjust=adjust, min_periods=14).mean()
+        up, dn = mean(delta.clip(lower=0)), mean(-delta.clip(upper=0))
+        want = 100 - 100 / (1 + up / (dn if adjust else dn.where(dn != 0)))
+        want = want if adjust else want.fillna(100.0)
+        own = pd.to_numeric(got[got.symbol == s]["rsi"]).reset_index(drop=True)
+        pd.testing.assert_series_equal(own, want, check_names=False, rtol=1e-9)
