@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import clip, guarded, pct_rank_last
 from . import spread
 from .bars import intraday_return
+from .expanding import expanding_quantile
 
 
 def by_day(key="symbol", order="et_date"):
@@ -229,8 +230,8 @@ def vol_scale(daily, n=20, lo=0.5, hi=2.0):
     w = by_day()
     d = daily.withColumn("_r", F.col("close") / F.lag("close").over(w) - 1)
     d = d.withColumn("_v", guarded(F.stddev_samp, F.col("_r"), w.rowsBetween(-(n - 1), 0), n))
-    med = F.percentile("_v", F.lit(0.5)).over(w.rowsBetween(W.unboundedPreceding, 0))
-    return d.withColumn("scale", F.coalesce(clip(F.try_divide(med, F.col("_v")), lo, hi), F.lit(1.0))).drop("_r", "_v")
+    d = expanding_quantile(d, "symbol", "et_date", "_v", 0.5, "_med")
+    return d.withColumn("scale", F.coalesce(clip(F.try_divide("_med", "_v"), lo, hi), F.lit(1.0))).drop("_r", "_v", "_med")
 
 
 def partial_drawdown(daily, n=252):

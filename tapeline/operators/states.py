@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import finance as fin
 from ..functions import times as tm
 from .asof import asof_backward, asof_forward
+from .expanding import expanding_quantile
 from .joins import precursor
 
 
@@ -105,9 +106,7 @@ def detector_daily(days, counts, jumps, q=0.9, calib=20, persist=20, lookback=20
     counts before that window; signals start after ``calib`` days with any count; a dense day with a recent jump
     published before its end starts or extends an off window of ``persist`` trading days.
     """
-    w = W.partitionBy("symbol").orderBy("et_date")
-    past = w.rowsBetween(W.unboundedPreceding, -1)
-    c = counts.withColumn("thr_before", F.percentile("n", F.lit(q)).over(past))
+    c = expanding_quantile(counts, "symbol", "et_date", "n", q, "thr_before", inclusive=False)
     c = asof_forward(c, days.select("symbol", F.col("et_date").alias("t_date"), F.col("d").alias("t")), "symbol", "et_date", "t_date", ["t"], strict=True).filter("t IS NOT NULL")
     c = c.withColumn("day_end", tm.plus_seconds(F.date_add("et_date", 1).cast("timestamp_ntz"), 5 * 3600 - 1))
     c = asof_backward(c, jumps, "symbol", "day_end", "time", ["act"], strict=True, prefix="jump_")

@@ -107,3 +107,36 @@ def test_rsi_equals_pandas(spark, adjust):
         want = want if adjust else want.fillna(100.0)
         own = pd.to_numeric(got[got.symbol == s]["rsi"]).reset_index(drop=True)
         pd.testing.assert_series_equal(own, want, check_names=False, rtol=1e-9)
+
+
+@pytest.mark.parametrize("inclusive", [True, False])
+def test_expanding_quantile_equals_percentile(spark, inclusive):
+    """Blocks of 50 rows and 50 ranks; ties, NULLs, a key without values, one value."""
+    from tapeline.operators.expanding import expanding_quantile
+
+    rng = np.random.default_rng(2)
+    rows = [("a", i, None if rng.random() < 0.1 else float(rng.integers(0, 40)) if i % 3 else float(rng.normal() * 30)) for i in range(700)]
+    rows += [("nulls", i, None) for i in range(5)] + [("one", 0, 4.0)] + [("ties", i, 1.0 + (i > 250)) for i in range(300)]
+    d = spark.createDataFrame(rows, "k string, i long, x double").repartition(6)
+    frame = W.partitionBy("k").orderBy("i").rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
+    want = {(r.k, r.i): r.w for r in d.withColumn("w", F.percentile("x", F.lit(0.9)).over(frame)).collect()}
+    got = {(r.k, r.i): r.w for r in expanding_quantile(d, "k", "i", "x", 0.9, "w", inclusive, size=50).collect()}
+    assert got.keys() == want.keys()
+    for k, w in want.items():
+        assert (w is None) == (got[k] is None) and (w is None or abs(w - got[k]) < 1e-9)
+
+
+def test_expanding_quantile_of_many_days(spark):
+    """10^5 days of one key."""
+    import bisect
+
+    from tapeline.operators.expanding import expanding_quantile
+
+    d = spark.range(100_000).select(F.lit("a").alias("k"), F.col("id").alias("i"), (F.pmod(F.xxhash64("id"), F.lit(5000)) / 7.0).alias("x"))
+    got = [r.w for r in expanding_quantile(d, "k", "i", "x", 0.5, "w").orderBy("i").collect()]
+    seen = []
+    for i, r in enumerate(d.orderBy("i").collect()):
+        bisect.insort(seen, r.x)
+        h = 0.5 * i
+        lo, hi = seen[int(h)], seen[int(h + 0.5)]
+        assert abs(got[i] - (lo + (hi - lo) * (h - int(h)))) < 1e-9
