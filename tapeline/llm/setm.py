@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from ..session import run_dir
 
 #: Words in a block, bytes of a text that are split at once, rows in a frame that leaves a task, groups that one task counts at most.
-BLOCK, SLICE, FRAME, PART = 3_000_000, 1 << 22, 100_000, 4_000_000
+BLOCK, SLICE, FRAME, PART = 2_000_000, 1 << 22, 100_000, 2_000_000
 # Upper-case A-Z become lower case, the marks and line ends between pieces one byte that no UTF-8 text holds, tabs spaces.
 BREAK = b"\xff"
 MARKS = b".,;:!?\x0a\x0b\x0c\x0d"
@@ -47,7 +47,7 @@ def pack(x):
 
     x = np.ascontiguousarray(x, "<i8" if x.dtype.itemsize == 8 else "<i4")
     size = x.dtype.itemsize
-    return bytes([size]) + zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(-1, size).T.tobytes())
+    return bytes([size]) + zstandard.ZstdCompressor(level=3).compress(x.view(np.uint8).reshape(-1, size).T.tobytes())
 
 
 def unpack(raw):
@@ -86,8 +86,9 @@ def _dealt(block, head, tail, n, parts):
     edge = np.searchsorted(part[order], np.arange(parts + 1))
     own = [(k, order[edge[k] : edge[k + 1]]) for k in np.unique(part).tolist()]
     cuts = lambda x: [pack(x[at]) for _, at in own]
-    items = [pack(np.diff(at, prepend=0).astype(np.int32)) for _, at in own]
-    return _frame(GROUPS, block=np.full(len(own), block), part=[k for k, _ in own], items=items, heads=cuts(head), tails=cuts(tail), counts=cuts(n.astype(np.int32)))
+    rises = lambda x: [pack(np.diff(x[at], prepend=0).astype(x.dtype)) for _, at in own]
+    items = rises(np.arange(len(n), dtype=np.int32))
+    return _frame(GROUPS, block=np.full(len(own), block), part=[k for k, _ in own], items=items, heads=rises(head), tails=cuts(tail), counts=cuts(n.astype(np.int32)))
 
 
 def _count(least):
@@ -95,6 +96,7 @@ def _count(least):
 
     def merged(rows):
         heads, tails, counts = ([unpack(x) for x in rows[c]] for c in ("heads", "tails", "counts"))
+        heads = [np.cumsum(x) for x in heads]
         items = np.concatenate([np.cumsum(unpack(x), dtype=np.int64) for x in rows["items"]])
         edge = np.concatenate([[0], np.cumsum([len(x) for x in heads])])
         head, tail, n = (np.concatenate(x).astype(np.int64) for x in (heads, tails, counts))
@@ -203,7 +205,10 @@ def _semi_join(address, items, known):
     item, number = item[order], number[order]
     at = np.searchsorted(item, items)
     hit = np.flatnonzero(item[np.minimum(at, len(item) - 1)] == items) if len(item) else np.zeros(0, np.int64)
-    return address[hit], at[hit], number
+    order = np.argsort(number)  # local numbers rise with the groups' own, so that groups come out in order and pack well
+    local = np.empty(len(order), np.int64)
+    local[order] = np.arange(len(order))
+    return address[hit], local[at[hit]], number[order]
 
 
 def _level(k, parts, last):
@@ -293,6 +298,12 @@ def frequent_phrases(docs, least=30, longest=4, block_size=BLOCK, part_size=PART
     return totals, found
 
 
+def cut_score():
+    """floor(2000000 a / (l + r)) of columns a, l, r, exact where products pass 64 bits."""
+    wide = lambda c: f"CAST({c} AS decimal(20,0))"
+    return F.expr(f"CAST((CAST(2000000 AS decimal(7,0)) * {wide('a')}) div ({wide('l')} + {wide('r')}) AS bigint)")
+
+
 def collocations(docs, least=30, longest=4, top=2000, cover=80, block_size=BLOCK):
     """The ``top`` phrases of each language by how closely their parts hold together: lang, rank, phrase, a, l, r, n, score.
 
@@ -311,8 +322,7 @@ def collocations(docs, least=30, longest=4, top=2000, cover=80, block_size=BLOCK
     cuts = cuts.join(found.select("lang", F.col("phrase").alias("first"), F.col("a").alias("l")), ["lang", "first"])
     cuts = cuts.join(found.select("lang", F.col("phrase").alias("rest"), F.col("a").alias("r")), ["lang", "rest"])
     wide = lambda c: F.col(c).cast("decimal(20,0)")
-    score = F.expr("CAST((CAST(2000000 AS decimal(7,0)) * CAST(a AS decimal(20,0))) div (CAST(l AS decimal(20,0)) + CAST(r AS decimal(20,0))) AS bigint)")
-    best = cuts.withColumn("score", score).groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "at", "l", "r")).alias("cut"))
+    best = cuts.withColumn("score", cut_score()).groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "at", "l", "r")).alias("cut"))
     kept = best.join(inside, ["lang", "phrase"], "left").filter(F.col("above").isNull() | (wide("above") * 100 < wide("a") * cover))
     kept = kept.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
     place = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
