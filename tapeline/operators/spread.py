@@ -21,6 +21,8 @@ import math
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 _CARRY = {"sum": F.sum, "count": F.sum, "max": F.max, "min": F.min}
 
 
@@ -209,14 +211,19 @@ def drawn(df, key, digest, k, by=(), width=2, **sums):
     part = rows.groupBy(*key, *by, "_px", "_k").agg(F.count(F.lit(1)).alias("_n"), *total)
     below = F.sum("_n").over(W.partitionBy(*key).orderBy("_px").rangeBetween(W.unboundedPreceding, W.currentRow))
     here = F.sum("_n").over(W.partitionBy(*key, "_px"))
-    part = part.withColumn("_upto", below).withColumn("_before", below - here)
+    part = cut(part.withColumn("_upto", below).withColumn("_before", below - here), "prefixes")  # rows are hashed once for it, and once more below
     whole = part.filter(F.col("_upto") <= F.col("_k")).select(*key, *by, *sums)
     edge = part.filter((F.col("_before") < F.col("_k")) & (F.col("_upto") > F.col("_k"))).select(*key, "_px", (F.col("_k") - F.col("_before")).alias("_rest")).distinct()
     at = F.row_number().over(W.partitionBy(*key).orderBy("_h"))
-    last = rows.join(edge, key + ["_px"]).withColumn("_at", at).filter(F.col("_at") <= F.col("_rest")).select(*key, *by, *sums)
+    last = rows.join(small(edge), key + ["_px"]).withColumn("_at", at).filter(F.col("_at") <= F.col("_rest")).select(*key, *by, *sums)
     return whole.unionByName(last).groupBy(*key, *by).agg(*total)
 
 
+def small(df, limit=1 << 20):
+    """``df`` to be broadcast if it has at most ``limit`` rows (counted), else as it is."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
 def islands(df, key, block, order, flag, name="island"):
     """Number runs: the count of ``flag`` rows up to and including each row, per key."""
     return running(df, key, block, order, **{name: ("sum", F.when(F.col(flag), 1).otherwise(0))})

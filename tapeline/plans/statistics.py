@@ -230,7 +230,7 @@ def event_study(spark, sf):
     st = e.groupBy("cls", "window", "seg").agg(F.count(F.lit(1)).alias("n"), F.avg("r").alias("m"), F.stddev_samp("r").alias("sd"), F.max("base").alias("base"))
     md = spread.quantiles(e, ["cls", "window", "seg"], "r", md=0.5)
     d = T.reps(e.select("cls", "window", "seg", "symbol", "d", "n_pool"), 1000).withColumn("idx", draw_int(47, F.col("n_pool"), "rep", "cls", "symbol", "d"))
-    bt = d.join(pl.select("window", "seg", "idx", "r"), ["window", "seg", "idx"]).groupBy("cls", "window", "seg", "rep").agg(F.avg("r").alias("bm"))
+    bt = d.join(spread.small(pl.select("window", "seg", "idx", "r")), ["window", "seg", "idx"]).groupBy("cls", "window", "seg", "rep").agg(F.avg("r").alias("bm"))
     pb = bt.join(st.select("cls", "window", "seg", "m"), ["cls", "window", "seg"]).groupBy("cls", "window", "seg").agg(F.avg((F.col("bm") >= F.col("m")).cast("int")).alias("p_boot"))
     o = st.filter("n >= 2").join(md, ["cls", "window", "seg"]).join(pb, ["cls", "window", "seg"], "left")
     return o.select("cls", "window", "seg", "n", (F.col("m") * 1e4).alias("mean_bp"), (F.col("md") * 1e4).alias("median_bp"), (F.col("sd") * 1e4).alias("std_bp"), (F.col("base") * 1e4).alias("base_bp"),
