@@ -99,7 +99,7 @@ def _least_shared(n, m, jac):
 
 
 def _keys(titles, heads, jac):
-    """(day, key, id, n, at): where a title can be met. ``titles``: (day, id, n, words, rarest first).
+    """(day, key, id, n, at): where a title can be met. ``titles``: (day, id, n, words, rarest first, and how many no other title has).
 
     Two titles that match share so many words that the first one they share stands early in both. A key is a word with the length classes of both
     titles; a title has one for each class it can match and each place where the rest of it is still long enough. Titles of 20 characters have
@@ -108,7 +108,8 @@ def _keys(titles, heads, jac):
     n = F.col("n")
     w = titles.withColumn("own", _length_class(n)).withColumn("c", F.explode(F.sequence(_length_class(F.ceil(n * jac - 1e-9)), _length_class(F.floor(n / jac + 1e-9)))))
     room = n - _least_shared(n, F.greatest(_class_floor(F.col("c")), F.ceil(n * jac - 1e-9)), jac) + 1
-    w = w.select("day", "id", "n", "own", "c", F.posexplode(F.slice("words", F.lit(1), F.greatest(room, F.lit(0)).cast("int"))).alias("at", "t"))
+    met = F.slice("words", (F.col("ones") + 1).cast("int"), F.greatest(room - F.col("ones"), F.lit(0)).cast("int"))  # words of one title only come first and meet nothing
+    w = w.select("day", "id", "n", "own", "c", "ones", F.posexplode(met).alias("at", "t")).withColumn("at", (F.col("at") + F.col("ones")).cast("int"))
     w = w.select("day", F.concat_ws(":", F.col("t").cast("string"), F.least("own", "c").cast("string"), F.greatest("own", "c").cast("string")).alias("key"), "id", "n", "at")
     own = w.unionByName(heads).withColumn("_b", F.floor(F.col("id") / 65536))
     counts = own.groupBy("day", "key", "_b").agg(F.count(F.lit(1)).alias("_n"))
@@ -152,7 +153,7 @@ def near_duplicates(items, jac=0.6, growth=GROWTH):
     words = uniq.select("day", "id", F.explode("w").alias("t"))
     terms = cut(words.groupBy("day", "t").agg(F.count(F.lit(1)).alias("f")).withColumn("number", F.monotonically_increasing_id()), "terms")
     ranked = words.join(terms, ["day", "t"]).groupBy("day", "id").agg(F.sort_array(F.collect_list(F.struct("f", "number"))).alias("a"))
-    texts = cut(ranked.select("id", F.col("a.number").alias("words"), F.size("a").cast("bigint").alias("n")).join(uniq.select("day", "id", "k"), "id"), "texts")
+    texts = cut(ranked.select("id", F.col("a.number").alias("words"), F.size("a").cast("bigint").alias("n"), F.size(F.filter("a", lambda x: x["f"] == 1)).alias("ones")).join(uniq.select("day", "id", "k"), "id"), "texts")
     heads = texts.filter(F.length("k") >= 20).select("day", F.concat(F.lit("p:"), F.substring("k", 1, 20)).alias("key"), "id", "n", F.lit(None).cast("int").alias("at"))
     keys = cut(_keys(texts, heads, jac), "keys")
     met = keys.select("day", "key", F.col("rank").alias("seen"), F.col("id").alias("rep"), F.col("n").alias("m"), F.col("at").alias("rep_at"))
