@@ -219,6 +219,11 @@ def drawn(df, key, digest, k, by=(), width=2, **sums):
     return whole.unionByName(last).groupBy(*key, *by).agg(*total)
 
 
+def prefix_width(n):
+    """Hex digits of a digest that leave about 4,096 of n rows to a prefix."""
+    return min(4, max(1, math.ceil(math.log(max(n, 1) / 4096, 16))))
+
+
 def small(df, limit=1 << 20):
     """``df`` to be broadcast if it has at most ``limit`` rows (counted), else as it is."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

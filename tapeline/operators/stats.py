@@ -4,8 +4,6 @@ Repetitions become a column: (rep, row) pairs are made by exploding a literal ra
 are made; ``spread.drawn`` puts only the one prefix in order that a draw's size cuts.
 """
 
-import math
-
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -33,7 +31,7 @@ def auc(rows, keys=(), score="score", label="label"):
 def _permuted(rows, seed, n, row_id, k, strata=(), **how):
     """Sums over the k rows that each repetition draws (per stratum, with a k of its own). The digests' prefixes are as long as it takes to leave
     about 4,096 rows in each, so few sums leave a task, and few rows are put in order."""
-    width = min(4, max(1, math.ceil(math.log(max(rows.count(), 1) / 4096, 16))))
+    width = spread.prefix_width(rows.count())
     r = reps(rows, n).withColumn("_h", draw_key(seed, "rep", row_id))
     return spread.drawn(r, ["rep", *strata], "_h", k, width=width, **how)
 
