@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from ..session import run_dir
 
 #: Words in a block, bytes of a text that are split at once, rows in a frame that leaves a task, groups that one task counts at most.
-BLOCK, SLICE, FRAME, PART = 2_000_000, 1 << 22, 100_000, 2_000_000
+BLOCK, SLICE, FRAME, PART = 3_000_000, 1 << 22, 100_000, 1_000_000
 # Upper-case A-Z become lower case, the marks and line ends between pieces one byte that no UTF-8 text holds, tabs spaces.
 BREAK = b"\xff"
 MARKS = b".,;:!?\x0a\x0b\x0c\x0d"
@@ -101,7 +101,8 @@ def _count(least):
         edge = np.concatenate([[0], np.cumsum([len(x) for x in heads])])
         head, tail, n = (np.concatenate(x).astype(np.int64) for x in (heads, tails, counts))
         order = np.lexsort((tail, head))
-        first = np.append(True, (head[order][1:] != head[order][:-1]) | (tail[order][1:] != tail[order][:-1]))
+        head, tail = head[order], tail[order]
+        first = np.append(True, (head[1:] != head[:-1]) | (tail[1:] != tail[:-1]))
         starts = np.flatnonzero(first)
         a = np.add.reduceat(n[order], starts)
         kept = np.flatnonzero(a >= least)
@@ -109,7 +110,7 @@ def _count(least):
         number[kept] = (int(rows["part"].iloc[0]) << 32) + np.arange(len(kept))
         of = np.empty(len(order), np.int64)
         of[order] = number[np.cumsum(first) - 1]
-        out = [_frame(COUNTED, head=head[order][starts[kept]], tail=tail[order][starts[kept]], number=number[kept], a=a[kept])]
+        out = [_frame(COUNTED, head=head[starts[kept]], tail=tail[starts[kept]], number=number[kept], a=a[kept])]
         back = []
         for block, lo, hi in zip(rows["block"].tolist(), edge[:-1].tolist(), edge[1:].tolist()):
             hit = np.flatnonzero(of[lo:hi] >= 0)
