@@ -190,7 +190,7 @@ class GapMonitor(_Sorted):
             if last is not None and us <= last:
                 continue
             gap = (us - last) // self.width - 1 if last is not None and d == day else 0
-            out.append((key, us, gap, (rec - us - self.width) / 1e6))
+            out.append((key, us, gap, None if rec is None else (rec - us - self.width) / 1e6))
             last, day = us, d
         return out, (last, day)
 
@@ -298,7 +298,7 @@ class Reordered(StatefulProcessor):
 
     def init(self, handle):
         self.handle = handle
-        self.names = [c.split(":")[0] for c in self.row.split(",")]
+        self.names = [c.split(":")[0].strip() for c in self.row.split(",")]
         self.at = self.names.index(self.time)
         self.wait = handle.getMapState("wait", "slot long", f"rows array<struct<{self.row}>>")
         self.inner.init(handle)
@@ -314,7 +314,8 @@ class Reordered(StatefulProcessor):
 
         slots, now = {}, timerValues.getCurrentWatermarkInMs()
         for pdf in rows:
-            for r in pdf[self.names].itertuples(index=False, name=None):
+            for *values, nulls in pdf[[*self.names, "nulls"]].itertuples(index=False, name=None):
+                r = tuple(None if nulls >> i & 1 else x for i, x in enumerate(values))
                 slots.setdefault(self.end(r[self.at]), []).append(r)
         for end, new in slots.items():
             if end <= now:
@@ -336,9 +337,10 @@ class Reordered(StatefulProcessor):
             return
         if not self.wait.containsKey((at,)):
             return
-        rows = sorted(tuple(r) for r in self.wait.getValue((at,))[0]) if self.at == 0 else sorted((tuple(r) for r in self.wait.getValue((at,))[0]), key=lambda r: r[self.at])
+        whole = lambda r: [(x is not None, x) for x in r]
+        rows = sorted((tuple(r) for r in self.wait.getValue((at,))[0]), key=whole if self.at == 0 else lambda r: r[self.at])
         self.wait.removeKey((at,))
-        yield from self.inner.handleInputRows(key, iter([pd.DataFrame(rows, columns=self.names)]), timerValues)
+        yield from self.inner.handleInputRows(key, iter([pd.DataFrame(rows, columns=self.names, dtype=object)]), timerValues)
         due = getattr(self.inner, "due", lambda: None)()
         if due is not None:
             self.handle.registerTimer(self.end(due) + 1)
@@ -357,6 +359,13 @@ def in_order(stream, processor, row, time="us", per_ms=1000, slot_ms=86_400_000,
     ``delay_ms`` late."""
     ms = F.floor(F.col(time) / per_ms) if per_ms >= 1 else F.col(time) * round(1 / per_ms)
     s = stream.withColumn("_t", F.timestamp_millis(ms.cast("bigint") + base_ms)).withWatermark("_t", f"{delay_ms} milliseconds")
+    # one null in a batch would make doubles of a whole column of integers, which the state then reads as nulls: integers are without nulls, a mask tells
+    names, kinds = [c.split(":")[0].strip() for c in row.split(",")], dict(s.dtypes)
+    mask = F.lit(0).cast("bigint")
+    for i, c in enumerate(names):
+        mask = mask + F.when(F.col(c).isNull(), F.lit(1 << i)).otherwise(F.lit(0))
+    whole = [F.coalesce(c, F.lit(0).cast(kinds[c])).alias(c) if kinds[c] in ("tinyint", "smallint", "int", "bigint") else F.col(c) for c in names]
+    s = s.select(key, "_t", *whole, mask.alias("nulls"))
     wrapped = Reordered(processor, row, time, per_ms, slot_ms, base_ms)
     return s.groupBy(key).transformWithStateInPandas(statefulProcessor=wrapped, outputStructType=processor.SCHEMA, outputMode="Append", timeMode="EventTime")
 

@@ -30,6 +30,27 @@ def test_shuffled_batches_give_the_rows_of_ordered_ones(spark, make):
     assert rows(got) == rows(want) and rows(want)
 
 
+@pytest.mark.parametrize("make", [lambda: J.GapMonitor(HOUR_US), lambda: J.MomentumSignal(0.2), lambda: J.TroughConfirm(drop=0.1)])
+def test_nulls_of_the_clock_do_not_reach_rows_of_the_same_batch(spark, make):
+    """One partition, so the clock's row, null but for key and time, lies in one Arrow batch with bars; a bar without a receipt time has no lag."""
+    b = bars(spark).filter("symbol = 'a'").withColumn("received_us", F.when(F.col("us") != 7 * HOUR_US, F.col("received_us")))
+    row = "us:bigint,day:int,close:double,received_us:bigint"
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        got = J.drain(J.in_order(J.as_stream(J.with_clock(b), "us", parts=1, files=1), make(), row), "clocked").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    pdf = b.toPandas().astype(object).where(lambda x: x.notna(), None).sort_values("us")
+    processor = make()
+    if isinstance(processor, J.TroughConfirm):
+        want = [tuple(r) for r in J.drain(J.stateful(J.as_stream(bars(spark).filter("symbol = 'a'"), "us", parts=1), processor), "plain").collect()]
+    else:
+        want = processor.walk("a", pdf, None)[0]
+    assert want and collections.Counter(map(tuple, got)) == collections.Counter(map(tuple, want))
+    assert not isinstance(processor, J.GapMonitor) or any(r.us == 7 * HOUR_US and r.lag_s is None for r in got)
+
+
 def test_off_state_runs_out_while_its_key_is_silent(spark):
     """Key a ends in RISK_OFF; only rows of key b come after that. a turns once, b's own off state is still open."""
     a = [("a", d, d == 7, True) for d in range(10)]
