@@ -11,6 +11,7 @@ ordered rows into blocks, does the work per (key, block), and makes the blocks a
 * ``value_ranks``    exact ranks and quantiles from tie-collapsed value counts
 * ``hash_rank``      exact order of md5 draws, blocked by digest prefix
 * ``drawn``          sums over the first k of such an order; only one prefix is put in order
+* ``cuts``           digests that the k-th lies between, so few rows are told apart
 
 Blocks are functions of the ordering value only (a date, an hour, a value block, a digest prefix), so a
 recomputed task always finds the same block. Every shuffle key includes the block.
@@ -198,30 +199,50 @@ def hash_rank(df, key, digest, name="draw_rank", width=2):
     return positions(rows, key, "_px", digest, name=name, start=1).drop("_px")
 
 
-def drawn(df, key, digest, k, by=(), width=2, **sums):
+def drawn(df, key, digest, k, by=(), width=2, near=None, **sums):
     """Sums over the first ``k`` rows of each key in digest order, per key and ``by``. ``k`` is a column that is equal within a key.
 
     Rows collapse to sums per digest prefix first; whole prefixes below k count as they are, and only the rows of the one prefix that k cuts
-    are put in order.
+    are put in order. ``near``: two columns of digests, equal within a key, that k's own digest lies between (``cuts``). Then all rows below
+    are one prefix, all above are one, and those between count by whole digest. If k is outside after all, that prefix is put in order.
     """
     key, by = _cols(key), _cols(by)
-    rows = df.select(*key, *by, F.col(digest).alias("_h"), F.col(k).alias("_k"), *[(F.col(c) if isinstance(c, str) else c).alias(n) for n, c in sums.items()])
-    rows = rows.withColumn("_px", F.substring("_h", 1, width))
+    rows = df.select(*key, *by, F.col(digest).alias("_h"), F.col(k).alias("_k"), *(near or ()), *[(F.col(c) if isinstance(c, str) else c).alias(n) for n, c in sums.items()])
+    prefix = F.substring("_h", 1, width)
+    if near:
+        prefix = F.when(F.col("_h") < F.col(near[0]), "").when(F.col("_h") >= F.col(near[1]), "g").otherwise(F.col("_h"))
+    rows = rows.withColumn("_px", prefix)
     total = [F.sum(n).alias(n) for n in sums]
     part = rows.groupBy(*key, *by, "_px", "_k").agg(F.count(F.lit(1)).alias("_n"), *total)
     below = F.sum("_n").over(W.partitionBy(*key).orderBy("_px").rangeBetween(W.unboundedPreceding, W.currentRow))
     here = F.sum("_n").over(W.partitionBy(*key, "_px"))
-    part = cut(part.withColumn("_upto", below).withColumn("_before", below - here), "prefixes")  # rows are hashed once for it, and once more below
+    part = part.withColumn("_upto", below).withColumn("_before", below - here)
+    part = cut(part.filter(F.col("_before") < F.col("_k")), "prefixes")  # rows are hashed once for it, and once more below if a prefix is cut
     whole = part.filter(F.col("_upto") <= F.col("_k")).select(*key, *by, *sums)
-    edge = part.filter((F.col("_before") < F.col("_k")) & (F.col("_upto") > F.col("_k"))).select(*key, "_px", (F.col("_k") - F.col("_before")).alias("_rest")).distinct()
+    edge = part.filter(F.col("_upto") > F.col("_k")).select(*key, "_px", (F.col("_k") - F.col("_before")).alias("_rest")).distinct()
+    if edge.isEmpty():
+        return whole.groupBy(*key, *by).agg(*total)
     at = F.row_number().over(W.partitionBy(*key).orderBy("_h"))
     last = rows.join(small(edge), key + ["_px"]).withColumn("_at", at).filter(F.col("_at") <= F.col("_rest")).select(*key, *by, *sums)
     return whole.unionByName(last).groupBy(*key, *by).agg(*total)
 
 
-def prefix_width(n):
-    """Hex digits of a digest that leave about 4,096 of n rows to a prefix."""
-    return min(4, max(1, math.ceil(math.log(max(n, 1) / 4096, 16))))
+def cuts(df, key, k, names=("_lo", "_hi")):
+    """Rows with two digests that the k-th of their key lies between when the key's rows are put in order of digests: k of n uniform numbers are
+    below k/n, six standard deviations more or less. ``k`` is a column that is equal within a key; rows without a key stay out."""
+    key = _cols(key)
+    n = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_all"))
+    df = df.join(small(n), key) if key else df.withColumn("_all", n.scalar())
+    share = F.least(F.greatest(F.col(k) / F.col("_all"), F.lit(0.0)), F.lit(1.0))
+    off = 6 * F.sqrt(share * (1 - share) / F.col("_all")) + F.lit(6.0) / F.col("_all")
+    digits = lambda x: F.lpad(F.lower(F.hex(F.floor(x * (1 << 48)))), 12, "0")
+    return df.withColumn(names[0], F.when(share - off <= 0, "").otherwise(digits(share - off))).withColumn(names[1], F.when(share + off >= 1, "g").otherwise(digits(share + off))).drop("_all")
+
+
+def dealt(df, times, most=1 << 22):
+    """Rows dealt evenly over so many tasks that none makes more than about ``most`` rows when each is repeated ``times`` times."""
+    n = df.count()
+    return df.repartition(max(1, min(n, max(df.sparkSession.sparkContext.defaultParallelism, -(-n * times // most)))))
 
 
 def small(df, limit=1 << 20):

@@ -29,11 +29,10 @@ def auc(rows, keys=(), score="score", label="label"):
 
 
 def _permuted(rows, seed, n, row_id, k, strata=(), **how):
-    """Sums over the k rows that each repetition draws (per stratum, with a k of its own). The digests' prefixes are as long as it takes to leave
-    about 4,096 rows in each, so few sums leave a task, and few rows are put in order."""
-    width = spread.prefix_width(rows.count())
-    r = reps(rows, n).withColumn("_h", draw_key(seed, "rep", row_id))
-    return spread.drawn(r, ["rep", *strata], "_h", k, width=width, **how)
+    """Sums over the k rows that each repetition draws (per stratum, with a k of its own). Of a repetition's rows only those near the k-th are told
+    apart, so few sums leave a task and every digest is made once."""
+    r = reps(spread.dealt(spread.cuts(rows, strata, k), n), n).withColumn("_h", draw_key(seed, "rep", row_id))
+    return spread.drawn(r, ["rep", *strata], "_h", k, near=("_lo", "_hi"), **how)
 
 
 def permutation_test(rows, x, label, row_id, n=2000, seed=7):

@@ -80,6 +80,22 @@ def test_drawn_sums_equal_a_full_order(spark):
         assert {(r.key, r["cat"]): r.s for r in spread.drawn(df, "key", "h", "k", by="cat", width=width, s="x").collect()} == want
 
 
+@pytest.mark.parametrize("same", [1, 40, 4000])
+def test_drawn_sums_between_digests_equal_a_full_order(spark, same, monkeypatch):
+    """Ids that repeat (their digests are equal, so is x), k of none, some and all rows, rows in one task: few sums leave a repetition."""
+    own = spark.range(4000).select((F.col("id") % 4).alias("key"), (F.col("id") % 2).alias("cat"), F.floor(F.col("id") / same).alias("row"), ((F.col("id") % 4) * 333).alias("k"))
+    own = own.withColumn("x", F.col("row") % 7).withColumn("cat", F.lit(0) if same > 1 else F.col("cat"))
+    sizes = []
+    monkeypatch.setattr(spread, "cut", lambda df, name: sizes.append(df.count()) or df)
+    r = spread.cuts(own, "key", "k").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(2)))).withColumn("h", F.md5(F.concat_ws(":", "rep", "row")))
+    p = r.toPandas().sort_values("h")
+    p["at"] = p.groupby(["rep", "key"]).cumcount()
+    want = p[p["at"] < p["k"]].groupby(["rep", "key", "cat"])["x"].sum().to_dict()
+    got = {(q["rep"], q["key"], q["cat"]): q.s for q in spread.drawn(r, ["rep", "key"], "h", "k", by="cat", near=("_lo", "_hi"), s="x").collect()}
+    assert got == want
+    assert sizes[0] < 3 * (1 + 3 * 400)
+
+
 def test_binomial_support_is_dealt_in_chunks(spark):
     from math import comb
 
