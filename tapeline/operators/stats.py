@@ -4,10 +4,13 @@ Repetitions become a column: (rep, row) pairs are made by exploding a literal ra
 are made; ``spread.drawn`` puts only the one prefix in order that a draw's size cuts.
 """
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.hashing import draw_int, draw_key
+from ..session import cut
 from . import spread
 from .joins import attach
 
@@ -95,19 +98,102 @@ def bootstrap_summary(means):
         F.percentile("mean_x", F.lit(0.025)).alias("lo"), F.percentile("mean_x", F.lit(0.975)).alias("hi"))
 
 
+#: Rows of a block of scores, whose draws are counted together; a score that so many rows share is a block of its own.
+BLOCK = 1024
+
+
+def _packed(batches, scores):
+    """(score, block, label, codes, counts): draws of up to 2^20 rows sorted and packed. A code is rep * BLOCK + place of the score in its block; codes are
+    differences, low bytes first, and a block of one score has counts, so a crowd doesn't grow with its draws."""
+
+    def settled(rep, label, places):
+        kinds, at = np.unique(label, return_inverse=True)
+        for i in range(scores):
+            block, place = places[2 * i], places[2 * i + 1]
+            key = (((block * len(kinds) + at) << 32) | (rep * BLOCK + place))[block >= 0]
+            key.sort()
+            head = key >> 32
+            for own in np.split(key, np.flatnonzero(np.diff(head)) + 1) if len(key) else []:
+                block_at, kind = divmod(int(own[0] >> 32), len(kinds))
+                codes, counts = own & 0xFFFFFFFF, None
+                if block_at % 2:
+                    codes, counts = np.unique(codes, return_counts=True)
+                    counts = counts.astype(np.uint32).tobytes()
+                steps = np.diff(codes, prepend=0).astype("<u4").view(np.uint8).reshape(-1, 4).T
+                yield i, block_at, float(kinds[kind]), steps.tobytes(), counts
+
+    def frames(waiting):
+        columns = [np.concatenate(c).astype(np.float64 if k == 1 else np.int64) for k, c in enumerate(zip(*waiting))]
+        return pd.DataFrame(settled(columns[0], columns[1], columns[2:]), columns=["score", "block", "label", "codes", "counts"])
+
+    waiting, size = [], 0
+    for b in batches:
+        waiting.append([b[c].to_numpy() for c in b.columns])
+        size += len(b)
+        if size >= 1 << 20:
+            yield frames(waiting)
+            waiting, size = [], 0
+    if size:
+        yield frames(waiting)
+
+
+def _block_ranks(key, packed):
+    """(score, block, rep, c, p, r): draws in a block of scores, their labels, and the sum of label times average rank inside the block."""
+    codes, counts, labels = [], [], []
+    for label, steps, many in zip(packed["label"], packed["codes"], packed["counts"]):
+        own = np.cumsum(np.ascontiguousarray(np.frombuffer(steps, np.uint8).reshape(4, -1).T).view("<u4").ravel(), dtype=np.int64)
+        codes.append(own)
+        counts.append(np.ones(len(own)) if many is None else np.frombuffer(many, np.uint32).astype(np.float64))
+        labels.append(np.full(len(own), label))
+    codes, counts, labels = map(np.concatenate, (codes, counts, labels))
+    out, step = [], 256  # repetitions at once
+    for lo in range(0, int(codes.max()) // BLOCK + 1, step):
+        here = (codes >= lo * BLOCK) & (codes < (lo + step) * BLOCK)
+        at = codes[here] - lo * BLOCK
+        c = np.bincount(at, counts[here], minlength=step * BLOCK).reshape(step, BLOCK)
+        p = np.bincount(at, counts[here] * labels[here], minlength=step * BLOCK).reshape(step, BLOCK)
+        rank = np.cumsum(c, axis=1) - c + (c + 1) / 2
+        found = np.flatnonzero(c.any(axis=1))
+        out.append(pd.DataFrame({"rep": found + lo, "c": c.sum(1)[found], "p": p.sum(1)[found], "r": (rank * p).sum(1)[found]}))
+    out = pd.concat(out)
+    out.insert(0, "block", int(key[1]))
+    out.insert(0, "score", int(key[0]))
+    return out
+
+
 def auc_bootstrap(rows, scores, label, row_id, block, n=1000, seed=19):
-    """AUC of each score column on shared resamples; rows keep a multiplicity instead of being copied."""
-    s = indexed(rows.select(row_id, label, block, *scores), row_id, block)
+    """AUC of each score column on shared resamples.
+
+    Rows are ranked once, over the table. Rows of neighbouring ranks make a block (equal scores never part), and a draw is but a repetition and its
+    row's place in its block, packed to a few bytes: draws move once per score, to their block, which gives each repetition the sum of ranks inside
+    it. What lies below comes from running counts over the blocks.
+    """
+    s = cut(indexed(rows.select(row_id, label, block, *scores), row_id, block), "indexed")
     size = s.agg(F.count(F.lit(1)).alias("n"))
-    d = attach(reps(s.select("idx"), n), size, "_n")
-    d = d.withColumn("pick", draw_int(seed, F.col("_n.n"), "rep", "idx")).groupBy("rep", "pick").agg(F.count(F.lit(1)).alias("_m"))
-    j = d.join(s.withColumnRenamed("idx", "pick"), "pick")
+    places = s.select(F.col("idx").alias("pick"), F.coalesce(F.col(label).cast("double"), F.lit(0.0)).alias("_l"), *scores)
+    for i, c in enumerate(scores):
+        at = (F.floor(F.col("n_less") / BLOCK) * 2 + (F.col("n_eq") >= BLOCK).cast("int")).cast("int")
+        r = spread.value_ranks(s, [], c).select(F.col(c).alias("_v"), at.alias(f"_b{i}"), (F.col("n_less") % BLOCK).cast("int").alias(f"_i{i}"))
+        r = r.withColumn(f"_i{i}", F.when(F.col(f"_b{i}") % 2 == 1, 0).otherwise(F.col(f"_i{i}")))
+        places = places.join(r, F.col(c) == F.col("_v"), "left").drop("_v").withColumn(f"_b{i}", F.coalesce(f"_b{i}", F.lit(-1))).withColumn(f"_i{i}", F.coalesce(f"_i{i}", F.lit(0)))
+    places = cut(places.drop(*scores), "places")
+    d = attach(reps(spread.dealt(s.select("idx"), n), n), size, "_n")
+    d = d.select("rep", draw_int(seed, F.col("_n.n"), "rep", "idx").alias("pick")).join(spread.small(places), "pick")
+    d = d.select("rep", "_l", *[f"_{x}{i}" for i in range(len(scores)) for x in "bi"])
+    few = len(scores)
+    packed = d.mapInPandas(lambda batches: _packed(batches, few), "score int, block int, label double, codes binary, counts binary")
+    ranks = packed.groupBy("score", "block").applyInPandas(_block_ranks, "score int, block int, rep int, c double, p double, r double")
+    spark, conf = s.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, str(1 << 15))  # narrow rows; the text operators set small batches for long ones
+    try:
+        ranks = cut(ranks, "ranks")
+    finally:
+        spark.conf.set(conf, before)
+    below = F.coalesce(F.sum("c").over(W.partitionBy("rep").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
     out = None
-    for c in scores:
-        g = j.groupBy("rep", c).agg(F.sum("_m").alias("_c"), F.sum(F.col("_m") * F.col(label)).alias("_p"))
-        r = spread.value_ranks(g, ["rep"], c, weight="_c").drop("n_all").join(g, ["rep", c])
-        rank = F.col("n_less") + (F.col("n_eq") + 1) / 2.0
-        a = r.groupBy("rep").agg(F.sum(rank * F.col("_p")).alias("_r"), F.sum("_p").alias("_np"), F.sum("_c").alias("_t"))
+    for i, c in enumerate(scores):
+        a = ranks.filter(F.col("score") == i).withColumn("_r", below * F.col("p") + F.col("r")).groupBy("rep").agg(F.sum("_r").alias("_r"), F.sum("p").alias("_np"), F.sum("c").alias("_t"))
         a = a.select("rep", F.try_divide(F.col("_r") - F.col("_np") * (F.col("_np") + 1) / 2.0, F.col("_np") * (F.col("_t") - F.col("_np"))).alias(f"auc_{c}"))
         out = a if out is None else out.join(a, "rep")
     return out

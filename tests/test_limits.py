@@ -1,7 +1,9 @@
 """No hidden limits: the day's high, the length of a drop, even blocks under a tail, the shared folder."""
 
+import hashlib
 import types
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -96,6 +98,27 @@ def test_drawn_sums_between_digests_equal_a_full_order(spark, same, monkeypatch)
     assert sizes[0] < 3 * (1 + 3 * 400)
 
 
+def test_resampled_auc_of_ties_crowds_and_nulls_writes_sums_of_blocks_only(spark, monkeypatch):
+    """More repetitions than are counted at once, a score that half the rows share, null scores and labels; equal to a plain count of pairs."""
+    n, reps = 3000, 300
+    rng = np.random.default_rng(5)
+    a = [None if i % 97 == 0 else 7.0 if i % 2 else float(rng.integers(0, 400)) for i in range(n)]
+    b = [float(i * 7919 % n) for i in range(n)]
+    label = [None if i % 501 == 5 else int(rng.random() < 0.3) for i in range(n)]
+    df = spark.createDataFrame([(i, x, y, z, i // 512) for i, (x, y, z) in enumerate(zip(a, b, label))], "id long, a double, b double, label int, blk long")
+    written, cut = {}, stats.cut
+    monkeypatch.setattr(stats, "cut", lambda d, name: written.setdefault(name, cut(d, name)))
+    got = {r.rep: (r.auc_a, r.auc_b) for r in stats.auc_bootstrap(df, ["a", "b"], "label", "id", "blk", n=reps).collect()}
+    assert len(got) == reps
+    for rep in (0, 255, 256, 299):
+        pick = [int(hashlib.md5(f"19:{rep}:{i}".encode()).hexdigest()[:12], 16) % n for i in range(n)]
+        for x, found in zip((a, b), got[rep]):
+            pos, neg = (np.array([x[i] for i in pick if x[i] is not None and (label[i] or 0) == k]) for k in (1, 0))
+            want = (np.searchsorted(np.sort(neg), pos, "left") + np.searchsorted(np.sort(neg), pos, "right")).sum() / 2 / (len(pos) * len(neg))
+            assert found == pytest.approx(want, abs=1e-12)
+    assert written["ranks"].count() <= reps * 2 * (2 * n // stats.BLOCK + 2)
+
+
 def test_binomial_support_is_dealt_in_chunks(spark):
     from math import comb
 
