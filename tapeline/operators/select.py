@@ -127,14 +127,23 @@ def _can_match(jac):
     return F.col("at").isNull() | word
 
 
-def _matching(pairs, texts, jac):
-    """Pairs (id, rep) whose titles do match, compared whole."""
-    a = texts.select("id", F.col("k").alias("ka"), F.col("words").alias("wa"))
-    b = texts.select(F.col("id").alias("rep"), F.col("k").alias("kb"), F.col("words").alias("wb"))
-    inter = F.size(F.array_intersect("wa", "wb"))
-    same = inter >= jac * (F.size("wa") + F.size("wb") - inter)
-    head = (F.length("ka") >= 20) & (F.length("kb") >= 20) & (F.col("ka").startswith(F.col("kb")) | F.col("kb").startswith(F.col("ka")))
-    return pairs.join(a, "id").join(b, "rep").filter(same | head).select("id", "rep")
+def _matching(pairs, texts, titles, jac):
+    """Pairs (id, rep) whose titles do match, compared whole. Words are compared as numbers; whole titles go along only with pairs that begin alike."""
+    pairs = _beside(cut(pairs, "met"), texts.select("id", "words", "head"))
+    inter = F.size(F.array_intersect("words", "words_rep"))
+    same = inter >= jac * (F.size("words") + F.size("words_rep") - inter)
+    alike = F.coalesce((F.length("head") >= 20) & (F.col("head") == F.col("head_rep")), F.lit(False))
+    pairs = cut(pairs.select("id", "rep", same.alias("same"), alike.alias("alike")).filter("same OR alike"), "pairs")
+    begun = _beside(pairs.filter("NOT same").select("id", "rep"), titles.select("id", "k"))
+    head = (F.length("k") >= 20) & (F.length("k_rep") >= 20) & (F.col("k").startswith(F.col("k_rep")) | F.col("k_rep").startswith(F.col("k")))
+    return pairs.filter("same").select("id", "rep").unionByName(begun.filter(head).select("id", "rep"))
+
+
+def _beside(pairs, values):
+    """Pairs with the values of both; only rows of ``values`` that a pair names are moved."""
+    named = values.join(pairs.select("id").unionByName(pairs.select(F.col("rep").alias("id"))).distinct(), "id", "left_semi")
+    other = named.select(F.col("id").alias("rep"), *[F.col(c).alias(f"{c}_rep") for c in values.columns if c != "id"])
+    return pairs.join(named, "id").join(other, "rep")
 
 
 def near_duplicates(items, jac=0.6, growth=GROWTH):
@@ -146,15 +155,15 @@ def near_duplicates(items, jac=0.6, growth=GROWTH):
     one waits for it, so a crowd of near copies meets its first member and nothing else; a title that has met all before it and matches no
     representative is one. Who is one is thus the lexicographically first independent set of the matches, found in few rounds without listing them.
     """
-    it = items.withColumn("_t", tx.tokens(tx.strip_outlet(F.col("title")))).select("day", "id", "source", F.array_join("_t", " ").alias("k"), F.array_distinct("_t").alias("w"))
+    it = items.withColumn("_t", tx.tokens(tx.strip_outlet(F.col("title")))).select("day", "id", "source", F.array_join("_t", " ").alias("k"))
     it = cut(it, "words")  # tokenised once; several passes follow
     named = it.filter("k <> ''").select("day", "id", "source", "k")
-    uniq = cut(it.filter("k <> ''").groupBy("day", "k").agg(F.min("id").alias("id"), F.first("w").alias("w")), "titles")
-    words = uniq.select("day", "id", F.explode("w").alias("t"))
+    uniq = cut(it.filter("k <> ''").groupBy("day", "k").agg(F.min("id").alias("id")), "titles")
+    words = uniq.select("day", "id", F.explode(F.array_distinct(F.split("k", " "))).alias("t"))  # tokens hold no blank
     terms = cut(words.groupBy("day", "t").agg(F.count(F.lit(1)).alias("f")).withColumn("number", F.monotonically_increasing_id()), "terms")
     ranked = words.join(terms, ["day", "t"]).groupBy("day", "id").agg(F.sort_array(F.collect_list(F.struct("f", "number"))).alias("a"))
-    texts = cut(ranked.select("id", F.col("a.number").alias("words"), F.size("a").cast("bigint").alias("n"), F.size(F.filter("a", lambda x: x["f"] == 1)).alias("ones")).join(uniq.select("day", "id", "k"), "id"), "texts")
-    heads = texts.filter(F.length("k") >= 20).select("day", F.concat(F.lit("p:"), F.substring("k", 1, 20)).alias("key"), "id", "n", F.lit(None).cast("int").alias("at"))
+    texts = cut(ranked.select("id", F.col("a.number").alias("words"), F.size("a").cast("bigint").alias("n"), F.size(F.filter("a", lambda x: x["f"] == 1)).alias("ones")).join(uniq.select("day", "id", F.substring("k", 1, 20).alias("head")), "id"), "texts")
+    heads = texts.filter(F.length("head") >= 20).select("day", F.concat(F.lit("p:"), "head").alias("key"), "id", "n", F.lit(None).cast("int").alias("at"))
     keys = cut(_keys(texts, heads, jac), "keys")
     met = keys.select("day", "key", F.col("rank").alias("seen"), F.col("id").alias("rep"), F.col("n").alias("m"), F.col("at").alias("rep_at"))
     since = lambda c: F.floor(growth * (F.pow(F.lit(float(growth)), c) - 1) / (growth - 1)) if growth > 1 else c
@@ -173,7 +182,7 @@ def near_duplicates(items, jac=0.6, growth=GROWTH):
             probe = keys.join(go, "id").withColumn("hi", F.least("hi", "rank")).filter("lo < hi").withColumn("seen", F.explode(F.sequence("lo", F.col("hi") - 1)))
             pairs = probe.join(met, ["day", "key", "seen"]).filter(_can_match(jac)).select("id", "rep").distinct()
             pairs = pairs.join(state.filter("s < 2").select(F.col("id").alias("rep")), "rep", "left_semi")
-            found = cut(_matching(pairs, texts, jac), "edges")
+            found = cut(_matching(pairs, texts, uniq, jac), "edges")
             edges = found if edges is None else edges.unionByName(found)
         status = edges.join(state.select(F.col("id").alias("rep"), F.col("s").alias("rs")), "rep").groupBy("id").agg(
             F.max((F.col("rs") == 1).cast("int")).alias("dup"), F.max((F.col("rs") == 0).cast("int")).alias("open"))
@@ -190,7 +199,7 @@ def near_duplicates(items, jac=0.6, growth=GROWTH):
         best = edges.join(reps, "rep", "left_semi").groupBy("id").agg(F.min("rep").alias("best"))
         late = state.filter("s = 2").select("id", since(F.col("c")).cast("bigint").alias("lo")).join(best, "id")
         more = keys.join(late, "id").join(met.join(reps, "rep", "left_semi"), ["day", "key"]).filter((F.col("seen") >= F.col("lo")) & (F.col("rep") < F.col("best")) & _can_match(jac))
-        more = _matching(more.select("id", "rep").distinct(), texts, jac)
+        more = _matching(more.select("id", "rep").distinct(), texts, uniq, jac)
         to = best.withColumnRenamed("best", "rep").unionByName(more).groupBy("id").agg(F.min("rep").alias("rep"))
         owner = owner.join(to.withColumnRenamed("id", "node"), "node", "left").select("day", "k", "node", F.coalesce("rep", "node").alias("rep"))
     owner = owner.select("day", "k", "rep")

@@ -203,6 +203,19 @@ def test_near_duplicates_equal_scan(spark, growth):
     assert got == title_scan(rows)
 
 
+def test_whole_titles_are_written_once_and_move_only_with_pairs_that_begin_alike(spark, monkeypatch):
+    """Titles of one word set are found by their words; of two that begin alike one is a head of the other, one is not."""
+    head = "one two three four five six"
+    texts = [f"alpha beta gamma w{i} w{i + 1}" for i in range(6)] + [head, f"{head} " + " ".join(f"a{i}" for i in range(30)), f"{head} " + " ".join(f"b{i}" for i in range(30)), "one two three four f"]
+    rows = [(0, i, t) for i, t in enumerate(texts)]
+    written, cut = {}, SL.cut
+    monkeypatch.setattr(SL, "cut", lambda df, name: written.setdefault(name, []).append(cut(df, name)) or written[name][-1])
+    d = spark.createDataFrame(rows, "day int, id long, title string").withColumn("source", F.lit("s"))
+    assert {(r["day"], r["rep"]): r["dup_n"] for r in SL.near_duplicates(d).collect()} == title_scan(rows)
+    assert [set(written[n][0].columns) for n in ("words", "titles")] == [{"day", "id", "source", "k"}, {"day", "id", "k"}]
+    assert "k" not in written["texts"][0].columns and all(set(p.columns) == {"id", "rep", "same", "alike"} for p in written["pairs"])
+
+
 def test_near_duplicates_of_mixed_lengths_equal_scan(spark):
     """Short and long titles of few words, so that many pairs lie near the limit; heads of 20 characters; blank titles."""
     rng = np.random.default_rng(6)
