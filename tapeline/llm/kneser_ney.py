@@ -1,9 +1,9 @@
 """Quality rules with n-gram perplexity: word statistics, and a modified Kneser-Ney model per language over characters.
 
-Characters count as they are, with case and marks. Documents are dealt over blocks of about BLOCK characters; a block's different 4-grams with
-their counts are written. From these Spark makes the counts of all documents, discounts, contexts and interpolated probabilities of each
-order as tables dealt by language and gram: they grow with the corpus and are never whole on one machine. Each block gets the probabilities
-of its own grams back by a join and scores its documents with them. A document is rejected where its log-perplexity is outside its language's
+Characters count as they are, with case and marks. Each task counts the 4-grams of its documents; from these Spark makes the counts of all
+documents, discounts, contexts and interpolated probabilities of each order as tables dealt by language and gram: they grow with the corpus and
+are never whole on one machine. Documents move once, compressed, to blocks of about BLOCK characters; a block asks for the probabilities of its
+different grams by a join and scores its documents with them. A document is rejected where its log-perplexity is outside its language's
 band (the middle of all documents' less LOWER and plus UPPER robust deviations), or its mean squared surprise, which single odd characters
 move, is more than SQUARE robust deviations above the middle; both are wider for short texts by the square root of their length.
 
@@ -14,6 +14,7 @@ empty result. Only doc_id, text and lang are read.
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -22,7 +23,7 @@ from .common import words
 
 #: CLASSES^ORDER fits 63 bits. Code points below CLASSES - FOLDED are told apart, those above by their remainder.
 ORDER, CLASSES, FOLDED = 4, 55_108, 1021
-BLOCK = 16_000_000
+BLOCK = 32_000_000
 #: The bands in robust deviations; a text of SHORT characters may be off by the square root of two more.
 LOWER, UPPER, SQUARE, SHORT = 10.0, 25.0, 6.0, 400.0
 SYMBOLS = "#*$%&|<>"
@@ -125,42 +126,100 @@ def base_statistics(text):
     return len(ws), chars, sum(map(text.count, SYMBOLS)), dup, repeat
 
 
-def _texts(docs, n_blocks):
-    """doc_id as a string, lang, text, and the block that a document is dealt to."""
-    text = F.col("text").cast("string")
-    block = F.pmod(F.xxhash64(F.col("doc_id"), F.xxhash64(text)), F.lit(n_blocks)).cast("int")
-    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("lang").cast("string").alias("lang"), text.alias("text"), block.alias("block"))
+def _texts(docs, *more):
+    """doc_id as a string, lang and text."""
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), *more)
 
 
-def block_grams(docs, n_blocks):
-    """(block, lang, code, n, docs): 4-grams of each block's documents, and how many of these hold it. A gram may have several rows, from several tasks."""
+def task_grams(docs):
+    """(lang, code, n, docs): 4-grams of a task's documents, and how many of these hold it. A gram may have several rows, from several tasks."""
 
     def rows(batches):
         waiting, size = {}, 0
 
         def settled():
-            for (block, lang), parts in waiting.items():
+            for lang, parts in waiting.items():
                 code, at = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
                 n = np.bincount(at, np.concatenate([m for _, m in parts])).astype(np.int64)
-                yield pd.DataFrame({"block": np.full(len(code), block, np.int32), "lang": pd.Series([lang] * len(code), dtype=object), "code": code, "n": n, "docs": np.bincount(at)})
+                yield pd.DataFrame({"lang": pd.Series([lang] * len(code), dtype=object), "code": code, "n": n, "docs": np.bincount(at)})
             waiting.clear()
 
         for b in batches:
-            for block, lang, text in zip(b["block"], b["lang"], b["text"]):
+            for lang, text in zip(b["lang"], b["text"]):
                 if text:
-                    waiting.setdefault((block, lang), []).append(np.unique(grams(text), return_counts=True))
+                    waiting.setdefault(lang, []).append(np.unique(grams(text), return_counts=True))
                     size += len(text)
-            if size > BLOCK // 2:
+            if size > BLOCK // 4:
                 yield from settled()
                 size = 0
         yield from settled()
 
-    return _texts(docs, n_blocks).select("block", "lang", "text").mapInPandas(rows, "block int, lang string, code long, n long, docs long")
+    return _texts(docs).select("lang", "text").mapInPandas(rows, "lang string, code long, n long, docs long")
 
 
 def gram_counts(docs):
     """(lang, code, n) over all documents."""
-    return block_grams(docs, 1).groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    return task_grams(docs).groupBy("lang", "code").agg(F.sum("n").alias("n"))
+
+
+def packed(docs, n_blocks):
+    """(block, texts): doc_id as a string, lang and text of the documents that are dealt to a block, as compressed Arrow streams, one or more per task."""
+
+    def rows(batches):
+        def settled(waiting):
+            t = pa.Table.from_batches(waiting)
+            at, own = t["block"].to_numpy(), t.drop_columns(["block"])
+            blocks, streams = np.unique(at), []
+            for block in blocks:
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=5))) as out:
+                    out.write_table(own.filter(pa.array(at == block)).combine_chunks())
+                streams.append(sink.getvalue().to_pybytes())
+            return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(streams, pa.binary())], ["block", "texts"])
+
+        waiting, size = [], 0
+        for b in batches:
+            waiting.append(b)
+            size += b.nbytes
+            if size > BLOCK:
+                yield settled(waiting)
+                waiting, size = [], 0
+        if size:
+            yield settled(waiting)
+
+    block = F.pmod(F.xxhash64(F.col("doc_id"), F.xxhash64(F.col("text").cast("string"))), F.lit(n_blocks)).cast("int")
+    return _texts(docs, block.alias("block")).mapInArrow(rows, "block int, texts binary")
+
+
+def _unpacked(streams):
+    """Lists of doc_id, lang and text of each stream."""
+    for x in streams:
+        t = pa.ipc.open_stream(x).read_all()
+        yield [t[c].to_pylist() for c in ("doc_id", "lang", "text")]
+
+
+def _key(lang):
+    """A null language as a key of joins, apart from all others."""
+    return "" if lang is None else "=" + lang
+
+
+def block_grams(texts):
+    """(block, lang, code): the different 4-grams of each block of ``packed``, once each, with ``_key`` of their language."""
+
+    def rows(own):
+        found = {}
+        for _, langs, texts in _unpacked(own["texts"]):
+            parts = {}
+            for lang, text in zip(langs, texts):
+                if text:
+                    parts.setdefault(_key(lang), []).append(np.unique(grams(text)))
+            for lang, p in parts.items():
+                found[lang] = np.unique(np.concatenate([*p, found.get(lang, np.zeros(0, np.int64))]))
+        lang = np.repeat(np.array(list(found), dtype=object), np.array([len(c) for c in found.values()], np.int64))
+        code = np.concatenate([np.zeros(0, np.int64), *found.values()])
+        return pd.DataFrame({"block": np.full(len(code), own["block"].iloc[0], np.int32), "lang": lang, "code": code})
+
+    return texts.groupBy("block").applyInPandas(rows, "block int, lang string, code long")
 
 
 def probabilities(counts):
@@ -197,10 +256,11 @@ def scored(docs):
     spark = docs.sparkSession
     chars = docs.agg(F.sum(F.length(F.col("text").cast("string")))).first()[0] or 0
     n_blocks = max(1, -(-chars // BLOCK), min(2 * spark.sparkContext.defaultParallelism, chars // (BLOCK // 64)))
-    key = F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit("")).alias("lang")  # a null language as a key of joins, apart from all others
-    parts = cut(block_grams(docs, n_blocks).select("block", key, "code", "n", "docs"), "blocks")
-    found = probabilities(cut(parts.groupBy("lang", "code").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "grams"))
-    asked = parts.select("block", "lang", "code").distinct().join(found, ["lang", "code"])
+    key = F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit("")).alias("lang")  # as _key
+    counts = task_grams(docs).groupBy(key, "code").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    found = probabilities(cut(counts, "grams"))
+    texts = packed(docs, n_blocks)
+    asked = block_grams(texts).join(found, ["lang", "code"])
     outside = F.when(F.col("docs") == 1, F.col("base")).otherwise(F.col("p"))
     asked = asked.select("block", "lang", "code", (-F.log("p")).cast("float").alias("own"), (-F.log(outside)).cast("float").alias("loss"))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -211,17 +271,18 @@ def scored(docs):
             t = t.sort_values("code")
             known[lang] = tuple(t[c].to_numpy() for c in ("code", "loss", "own"))
         rows = []
-        for doc, lang, text in zip(own["doc_id"], own["lang"], own["text"]):
-            mean = square = 0.0
-            if text:
-                code, loss, every = known["" if lang is None else "=" + lang]
-                at = np.searchsorted(code, grams(text))
-                mean, square = float(loss[at].mean(dtype=np.float64)), float((every[at].astype(np.float64) ** 2).mean())
-            rows.append((doc, lang, *base_statistics(text), mean, square, len(text or "")))
+        for part in _unpacked(own["texts"]):
+            for doc, lang, text in zip(*part):
+                mean = square = 0.0
+                if text:
+                    code, loss, every = known[_key(lang)]
+                    at = np.searchsorted(code, grams(text))
+                    mean, square = float(loss[at].mean(dtype=np.float64)), float((every[at].astype(np.float64) ** 2).mean())
+                rows.append((doc, lang, *base_statistics(text), mean, square, len(text or "")))
         return pd.DataFrame(rows, columns=["doc_id", "lang", *names, "loss", "square", "length"])
 
     schema = "doc_id string, lang string, " + ", ".join(f"{n} long" for n in names) + ", loss double, square double, length long"
-    out = _texts(docs, n_blocks).groupBy("block").cogroup(asked.groupBy("block")).applyInPandas(score, schema)
+    out = texts.groupBy("block").cogroup(asked.groupBy("block")).applyInPandas(score, schema)
     return out.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 
 

@@ -501,6 +501,19 @@ def test_scores_do_not_depend_on_blocks(s, monkeypatch, blocks):
         assert np.allclose(sorted(mine["loss"]), sorted(loss), rtol=1e-4)
 
 
+def test_a_block_asks_for_a_gram_once_and_texts_move_once(s):
+    rows = [(k, text(k % 7, 30) + " Äрκ漢😀", ["en", None][k % 2], "a") for k in range(40)] + ODD
+    texts = kneser_ney.packed(frame(s, rows).repartition(5), 2)
+    back = [x for r in texts.collect() for part in kneser_ney._unpacked([r.texts]) for x in zip(*part)]
+    assert collections.Counter(back) == collections.Counter((None if k is None else str(k), lang, t) for k, t, lang, _ in rows)
+    want = {(r.block, kneser_ney._key(lang), int(g)) for r in texts.collect() for part in kneser_ney._unpacked([r.texts]) for _, lang, t in zip(*part) for g in kneser_ney.grams(t)}
+    got = [tuple(r) for r in kneser_ney.block_grams(texts).collect()]
+    assert len(got) == len(want) and set(got) == want  # before: once for every task that held texts of the block
+    out = kneser_ney.scored(frame(s, rows))
+    assert len(out.collect()) == len(rows)
+    assert "ReusedExchange" in out._jdf.queryExecution().executedPlan().toString()  # the dealt texts serve the grams and the scores
+
+
 def test_rules_reject_symbols_among_words_and_tables(s):
     r = np.random.default_rng(5)
     clean = [(k, text(k, 120) + ".", "en", "a") for k in range(300)]
