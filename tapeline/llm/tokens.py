@@ -3,7 +3,8 @@
 The tokenizer cuts texts into pieces (a run of letters, one number sign, a run of other marks; white space drops out) and encodes each piece
 on its own. A worker keeps the ids of pieces it has met; only new ones go to the library. Texts in Latin-1 without an apostrophe (which makes
 pieces of another kind) or a special token are cut in numpy, many at a time, and pieces are told apart by a 64-bit hash. All other texts are
-cut at white space, which the tokenizer never joins across. The caches are emptied when full, which changes no result.
+cut at white space, which the tokenizer never joins across. The caches are emptied when full, which changes no result. A worker keeps them
+for as long as it lives, beside whatever other stages do, so pieces told apart by hash stand in sorted arrays (about 30 bytes each).
 """
 
 from array import array
@@ -12,6 +13,10 @@ from itertools import chain
 import numpy as np
 
 CHUNK_CACHE = 1_000_000
+#: Pieces that one chunk kept as a string counts for in the cache: an entry of a dictionary takes some times the memory.
+NAMED = 4
+#: Characters of texts cut at a time, if a single text isn't longer; words that go to the library in one string.
+CUT, TOGETHER = 1 << 20, 8192
 #: Characters that Python's split() takes for white space and the tokenizer's pattern doesn't.
 ODD_SPACE = "\x1c\x1d\x1e\x1f"
 #: Marks that are one piece of their own behind a word.
@@ -66,7 +71,8 @@ class ChunkTokenizer:
         self._empty()
 
     def _empty(self):
-        self.index, self.by_hash = {}, {}
+        self.index = {}
+        self.keys, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.flat = array("I")
         self.starts = array("q", [0])
 
@@ -83,8 +89,8 @@ class ChunkTokenizer:
 
     def _add_pieces(self, words, named=False):
         """Words that are one piece each, in one string: a piece's last id carries the word end."""
-        for k in range(0, len(words), 50_000):
-            part = words[k : k + 50_000]
+        for k in range(0, len(words), TOGETHER):
+            part = words[k : k + TOGETHER]
             ids = np.array(self.tok.encode(" ".join(part), add_special_tokens=False).ids, np.uint32)
             ends = np.flatnonzero(self.ends[ids])
             if len(ends) == len(part):
@@ -128,7 +134,7 @@ class ChunkTokenizer:
 
     def encode(self, texts):
         """Returns (flat uint32 ids, offsets of the texts in them, one more than texts). A null text has no ids of its own."""
-        if len(self.index) + len(self.by_hash) > self.cache:
+        if NAMED * len(self.index) + len(self.keys) > self.cache:
             self._empty()
         plain, other = [], []
         for k, t in enumerate(texts):
@@ -142,7 +148,8 @@ class ChunkTokenizer:
                 plain.append((k, raw))
             elif t:
                 other.append((k, t))
-        at, n_words = self._plain([r for _, r in plain])
+        got = [self._plain(part) for part in _groups([r for _, r in plain])]
+        at, n_words = (np.concatenate([x[i] for x in got]) if got else np.zeros(0, np.int64) for i in (0, 1))
         at2, n_words2 = self._chunks([t for _, t in other])
         starts = np.frombuffer(self.starts, np.int64)
         flat = np.frombuffer(self.flat, np.uint32) if len(self.flat) else np.zeros(0, np.uint32)
@@ -167,14 +174,15 @@ class ChunkTokenizer:
         raw = b" ".join(raws)
         p = _Pieces(raw)
         keys, first, at = np.unique(p.key, return_index=True, return_inverse=True)
-        known = self.by_hash
-        number = np.fromiter((known.get(k, -1) for k in keys.tolist()), np.int64, len(keys))
+        spot = np.searchsorted(self.keys, keys)
+        near = np.minimum(spot, max(0, len(self.keys) - 1))
+        number = np.where(self.keys[near] == keys, self.numbers[near], -1) if len(self.keys) else np.full(len(keys), -1, np.int64)
         if (new := np.flatnonzero(number < 0)).size:
             words = [raw[s:e].decode("latin-1") for s, e in zip(p.start[first[new]].tolist(), p.end[first[new]].tolist())]
             base = len(self.starts) - 1
             self._add_pieces(words)
             number[new] = np.arange(base, base + len(words))
-            known.update(zip(keys[new].tolist(), range(base, base + len(words))))
+            self.keys, self.numbers = np.insert(self.keys, spot[new], keys[new]), np.insert(self.numbers, spot[new], number[new])
         begin = np.concatenate([[0], np.cumsum([len(r) + 1 for r in raws])]).astype(np.int64)
         return number[at], np.diff(np.searchsorted(p.start, begin))
 
@@ -192,6 +200,19 @@ class ChunkTokenizer:
         return np.fromiter(map(self.index.__getitem__, chain.from_iterable(rows)), np.int64, int(n_words.sum())), n_words
 
 
+def _groups(raws):
+    """Texts in a row, CUT characters at most together; a longer one alone."""
+    part, n = [], 0
+    for r in raws:
+        if part and n + len(r) > CUT:
+            yield part
+            part, n = [], 0
+        part.append(r)
+        n += len(r) + 1
+    if part:
+        yield part
+
+
 def _gather(flat, starts, lens):
     """flat[s : s + n] for each (s, n), in a row."""
     total = int(lens.sum())

@@ -749,3 +749,29 @@ def test_language_odd(s):
     empty = byte_cnn.train(df.filter("false"))
     assert {r.language.lang_pred for r in byte_cnn.with_language(df, empty).collect()} == {"und"}
     assert byte_cnn.with_language(df.filter("false"), net).count() == 0
+
+
+def test_a_worker_keeps_hashed_pieces_in_little_memory():
+    import tracemalloc
+
+    mine = tokens.ChunkTokenizer(BPE, 0)
+    rng = np.random.default_rng(11)
+    words = ["".join(map(chr, 97 + w)) for w in rng.integers(0, 26, (40_000, 9))]
+    texts = [" ".join(words[k : k + 100]) for k in range(0, len(words), 100)]
+    mine.encode(texts[:1] + ["x" * 300_000])  # what doesn't grow with the pieces is there
+    tracemalloc.start()
+    for k in range(0, len(texts), 50):
+        mine.encode(texts[k : k + 50])
+    kept = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert kept < 80 * len(set(words))
+
+
+def test_texts_cut_in_groups_have_the_same_ids(monkeypatch):
+    texts = ["one two, three 42!", None, "", "caf\xe9 \xfcber " * 50, "it's", "x" * 400, "one two", "中文 one"] * 3
+    ids, offsets = tokens.ChunkTokenizer(BPE, 0).encode(texts)
+    monkeypatch.setattr(tokens, "CUT", 64)
+    mine = tokens.ChunkTokenizer(BPE, 0)
+    for _ in range(2):
+        got, at = mine.encode(texts)
+        assert got.tolist() == ids.tolist() and at.tolist() == offsets.tolist()
