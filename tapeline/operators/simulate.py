@@ -3,7 +3,7 @@
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.hashing import draw_int, draw_key
+from ..functions.hashing import draw_int, draws
 from . import spread
 from .joins import attach
 from .stats import indexed, reps
@@ -56,7 +56,7 @@ def random_entries(settled, sizes, row_id, n=200, seed=31):
     ``settled`` has one settled trade per possible entry, so a position drawn many times is settled once.
     """
     own = spread.dealt(spread.cuts(settled.select("symbol", row_id, "ret").join(sizes, "symbol"), "symbol", "k"), n)
-    r = reps(own, n, "sim").withColumn("_h", draw_key(seed, "sim", "symbol", row_id))
+    r = draws(own, n, seed, "symbol", row_id, name="sim")
     known = F.col("ret").isNotNull().cast("bigint")
     p = spread.drawn(r, ["sim", "symbol"], "_h", "k", near=("_lo", "_hi"), _s="ret", _won=(F.col("ret") > 0).cast("bigint"), _n_x=known)
     return p.select("symbol", "sim", F.try_divide("_won", "_n_x").alias("wr"), (F.try_divide("_s", "_n_x") * 1e4).alias("avg_bp"))

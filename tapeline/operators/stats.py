@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.hashing import draw_int, draw_key
+from ..functions.hashing import draw_int, draws
 from ..session import cut
 from . import spread
 from .joins import attach
@@ -34,7 +34,7 @@ def auc(rows, keys=(), score="score", label="label"):
 def _permuted(rows, seed, n, row_id, k, strata=(), **how):
     """Sums over the k rows that each repetition draws (per stratum, with a k of its own). Of a repetition's rows only those near the k-th are told
     apart, so few sums leave a task and every digest is made once."""
-    r = reps(spread.dealt(spread.cuts(rows, strata, k), n), n).withColumn("_h", draw_key(seed, "rep", row_id))
+    r = draws(spread.dealt(spread.cuts(rows, strata, k), n), n, seed, row_id)
     return spread.drawn(r, ["rep", *strata], "_h", k, near=("_lo", "_hi"), **how)
 
 

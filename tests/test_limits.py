@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tapeline import session
+from tapeline.functions.hashing import draw_key, draws
 from tapeline.operators import patterns, spread, stats
 from tapeline.streaming.jobs import TroughConfirm
 
@@ -154,3 +155,28 @@ def test_stores_outlive_their_process(spark, tmp_path):
 
     assert arrive([(1, 10, "a"), (2, 10, "b"), (2, 11, "c")]) == ({(1, 10, "a"), (2, 10, "b")}, {(1, 10, "a"), (2, 11, "c")})
     assert arrive([(2, 12, "d"), (3, 12, "e")]) == ({(1, 10, "a"), (2, 10, "b"), (3, 12, "e")}, {(1, 10, "a"), (2, 12, "d"), (3, 12, "e")})
+
+
+def test_draws_make_a_rows_text_once(spark):
+    """Digests are those of ``draw_key``, for ids that are null, repeat or are text; nothing but two strings is joined once a row has met its repetitions."""
+    own = spark.createDataFrame([(1, "a"), (1, "a"), (-7, None), (None, "é:"), (None, None), (10**15, "")], "id long, name string").withColumn("day", F.lit("2024-01-02").cast("date"))
+    for parts in (["id"], ["day"], ["name", "id"]):
+        want = own.withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(11)))).withColumn("_h", draw_key(31, "sim", *parts))
+        got = draws(own, 12, 31, *parts, name="sim")
+        assert got.columns == want.columns and dict(got.dtypes) == dict(want.dtypes)
+        rows = lambda df: sorted(map(str, df.collect()))
+        assert rows(got) == rows(want) and got.count() == 12 * 6
+    plan = draws(own, 12, 31, "name", "id")._jdf.queryExecution().optimizedPlan().toString()
+    made, row = plan.split("Generate", 1)
+    assert "md5" in made and "concat_ws" not in plan and "cast(id" not in made and "cast(id" in row
+
+
+def test_permuted_sums_equal_a_full_order(spark):
+    own = spark.range(300).select(F.when(F.col("id") % 50 > 0, F.floor(F.col("id") / 2)).alias("row"), (F.col("id") % 3).alias("cat"), F.lit(97).alias("k"))
+    p = own.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(4)))).withColumn("h", draw_key(5, "rep", "row")).toPandas().sort_values("h")
+    p["at"] = p.groupby("rep").cumcount()
+    want = p[p["at"] < 97].groupby("rep").size().to_dict()
+    got = {}
+    for r in stats._permuted(own, 5, 5, "row", "k", by=["cat"], n_drawn=F.lit(1)).collect():
+        got[r.rep] = got.get(r.rep, 0) + r.n_drawn
+    assert got == want == dict.fromkeys(range(5), 97)
