@@ -106,12 +106,41 @@ class Store:
         df.select(*self.schema.names).withColumn("part", self.part()).repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/epoch={epoch}")
 
 
+def _earliest(keys, observed, step=1 << 17):
+    """For ``mapInArrow``: of each key in a partition the row observed first (nulls last, among equals the one that came first). Rows are folded
+    whenever they are twice as many as were kept, so memory follows the partition's keys."""
+
+    def fold(batches):
+        import pyarrow as pa
+
+        t = pa.Table.from_batches(batches)
+        place = lambda n: pa.array(range(n), pa.int64())
+        order = pa.table({"o": t[observed], "i": place(len(t))}).sort_by([("o", "ascending"), ("i", "ascending")])["i"]
+        own = pa.table([*(t[k].take(order) for k in keys), place(len(t))], [*map(str, range(len(keys))), "at"])
+        at = own.group_by([*map(str, range(len(keys)))], use_threads=False).aggregate([("at", "min")])["at_min"]
+        return t.take(order.take(at)).combine_chunks().to_batches()
+
+    def first(batches):
+        kept, n, most = [], 0, step
+        for b in batches:
+            kept, n = [*kept, b], n + b.num_rows
+            if n >= most:
+                kept = fold(kept)
+                n = sum(x.num_rows for x in kept)
+                most = max(step, 2 * n)
+        for x in fold(kept) if n else []:
+            yield from (x.slice(i, 10_000) for i in range(0, x.num_rows, 10_000))
+
+    return first
+
+
 def ingest_first_seen(stream, key="event_id", observed="observed_time", path=None, ttl=None):
     """Insert-or-ignore by key: the first observation stays, and inside a batch the earliest row.
 
     Whether a key has been seen is state of that key in the state store, so a batch reads the state of its own keys and no earlier output, however
-    many batches there were. ``ttl``: forget a key that long (in seconds) after it was first observed, by the watermark of ``observed``; a later
-    copy would then count as new. ``path`` keeps the table, the state and the progress over restarts.
+    many batches there were. A batch is cut down to a row a key in whole columns, and the state store is asked in the JVM. ``ttl``: forget a key
+    that long (in seconds) after it was first observed, by the watermark of ``observed``; a later copy would then count as new (such keys have
+    timers, and Python is called once a key). ``path`` keeps the table, the state and the progress over restarts.
     """
     spark, columns = stream.sparkSession, stream.columns
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
@@ -129,14 +158,14 @@ def ingest_first_seen(stream, key="event_id", observed="observed_time", path=Non
                 best = top
         if not state.exists:
             state.update((True,))
-            if ttl:
-                state.setTimeoutTimestamp(int(pd.Timestamp(best[observed].iloc[0]).timestamp() * 1000) + ttl * 1000)
+            state.setTimeoutTimestamp(int(pd.Timestamp(best[observed].iloc[0]).timestamp() * 1000) + ttl * 1000)
             yield best[columns]
 
-    keyed = stream
     if ttl:
         keyed = stream.withColumn("_t", F.col(observed).cast("timestamp")).withWatermark("_t", "0 seconds")
-    new = keyed.groupBy(key).applyInPandasWithState(first, stream.schema, "seen boolean", "append", "EventTimeTimeout" if ttl else "NoTimeout")
+        new = keyed.groupBy(key).applyInPandasWithState(first, stream.schema, "seen boolean", "append", "EventTimeTimeout")
+    else:
+        new = stream.repartition(F.col(key)).mapInArrow(_earliest([key], observed), stream.schema).dropDuplicates([key])
     out = f"{path}/table" if path else run_dir(spark, "events")
     q = new.writeStream.outputMode("append").option("checkpointLocation", f"{path}/progress" if path else run_dir(spark, "events-ck")).format("parquet").trigger(availableNow=True).start(out)
     q.awaitTermination()

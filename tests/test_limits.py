@@ -1,16 +1,19 @@
 """No hidden limits: the day's high, the length of a drop, even blocks under a tail, the shared folder."""
 
+import datetime
 import hashlib
 import types
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tapeline import session
 from tapeline.functions.hashing import draw_key, draws
 from tapeline.operators import patterns, spread, stats
+from tapeline.streaming import jobs
 from tapeline.streaming.jobs import TroughConfirm
 
 
@@ -157,6 +160,34 @@ def test_stores_outlive_their_process(spark, tmp_path):
     assert arrive([(2, 12, "d"), (3, 12, "e")]) == ({(1, 10, "a"), (2, 10, "b"), (3, 12, "e")}, {(1, 10, "a"), (2, 12, "d"), (3, 12, "e")})
 
 
+def test_first_seen_asks_the_state_in_the_jvm(spark, tmp_path):
+    """No call of Python for each key: a batch's earliest rows are found in whole columns. Null times come last, null keys are one key."""
+    schema, src, path = "event_id string, observed_time timestamp_ntz, type string", str(tmp_path / "src"), tmp_path / "first"
+    at = lambda minute: datetime.datetime(2024, 1, 1, 0, minute)
+
+    def arrive(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        return sorted(map(str, map(tuple, jobs.ingest_first_seen(jobs.source(spark, src, schema), path=str(path)).collect())))
+
+    one = arrive([("a", at(9), "late"), ("a", at(1), "first"), ("a", None, "never"), ("b", None, "alone"), (None, at(5), "x"), (None, at(4), "y")])
+    assert one == sorted(map(str, [("a", at(1), "first"), ("b", None, "alone"), (None, at(4), "y")]))
+    assert arrive([("a", at(0), "before"), ("b", at(0), "b"), (None, at(0), "z"), ("c", at(3), "c")]) == sorted([*one, str(("c", at(3), "c"))])
+    assert '"dedupe"' in (path / "progress/state/0/_metadata/metadata").read_text()
+
+
+def test_earliest_rows_are_the_same_however_rows_are_batched():
+    rows = [(i * 7919 % 37 if i % 11 else None, None if i % 5 == 0 else i * 31 % 17, i) for i in range(500)]
+    want = {}
+    for k, t, i in rows:
+        if k not in want or t is not None and (want[k][0] is None or t < want[k][0]):
+            want[k] = (t, i)
+    for step, size in ((1, 3), (40, 7), (10_000, 100)):
+        batches = [pa.RecordBatch.from_pylist([dict(zip("ktn", r)) for r in rows[i : i + size]], pa.schema([("k", pa.int64()), ("t", pa.int32()), ("n", pa.int64())])) for i in range(0, 500, size)]
+        got = [r for b in jobs._earliest(["k"], "t", step)(iter(batches)) for r in b.to_pylist()]
+        assert len(got) == len(want) and {r["k"]: (r["t"], r["n"]) for r in got} == want
+    assert list(jobs._earliest(["k"], "t")(iter([]))) == []
+
+
 def test_draws_make_a_rows_text_once(spark):
     """Digests are those of ``draw_key``, for ids that are null, repeat or are text; nothing but two strings is joined once a row has met its repetitions."""
     own = spark.createDataFrame([(1, "a"), (1, "a"), (-7, None), (None, "é:"), (None, None), (10**15, "")], "id long, name string").withColumn("day", F.lit("2024-01-02").cast("date"))
