@@ -1,13 +1,10 @@
 """Top-k, gated choice, Pareto sets, set operations and near-duplicate titles."""
 
-import math
-
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..session import cut
-from . import spread
+from ..session import cut, discard, tidy
+from . import packed, spread
 
 
 def top_k(df, k, *order):
@@ -78,99 +75,92 @@ def only_in(a, b, keys):
 
 # ---------------------------------------------------------------- near-duplicate titles
 
-#: Titles up to this many words have a length class of their own; longer ones share a class with titles up to STEP times as long.
-EXACT, STEP = 12, 1.35
 #: Earlier titles of a key that a title is compared with at first; each further step takes GROWTH times as many.
 GROWTH = 16
 
 
-def _length_class(n):
-    return F.when(n <= EXACT, n).otherwise(EXACT + F.floor(F.log(n / EXACT) / math.log(STEP))).cast("int")
-
-
-def _class_floor(c):
-    """A number of words that no title of the class is below."""
-    return F.when(c <= EXACT, c).otherwise(F.floor(EXACT * F.pow(F.lit(STEP), c - EXACT) - 1e-6))
-
-
-def _least_shared(n, m, jac):
-    """Words that titles of n and m different words must share."""
-    return F.ceil(jac / (1 + jac) * (n + m) - 1e-9)
+def _blocks(titles):
+    """Titles (id, day, k) as packed blocks: different words and beginnings of 20, 40, 80, ... characters, all as 64-bit hashes with the day."""
+    words = F.transform(F.array_distinct(F.split("k", " ")), lambda t: F.xxhash64(t, "day"))  # tokens hold no blank
+    heads = F.expr("CASE WHEN length(k) >= 20 THEN transform(sequence(0, CAST(floor(log2(length(k) / 20)) AS INT)), j -> xxhash64(substring(k, 1, shiftleft(20, j)), day)) ELSE CAST(array() AS ARRAY<BIGINT>) END")
+    return cut(titles.select("id", words.alias("words"), heads.alias("heads")).mapInArrow(packed.pack, packed.BLOCKS), "blocks")
 
 
-def _keys(titles, heads, jac):
-    """(day, key, id, n, at): where a title can be met. ``titles``: (day, id, n, words, rarest first, and how many no other title has).
+def _keys(blocks, jac):
+    """(key, id, n, at, rank): where a title can be met (``packed.entries``); keys met once are out.
 
-    Two titles that match share so many words that the first one they share stands early in both. A key is a word with the length classes of both
-    titles; a title has one for each class it can match and each place where the rest of it is still long enough. Titles of 20 characters have
-    their first 20 as a key too. Keys met once go.
+    Two titles that match share so many words that the first one they share, in order of rarity, stands early in both. How rare words are is found
+    from the blocks' own counts; each block gets a byte for each of its words back.
     """
-    n = F.col("n")
-    w = titles.withColumn("own", _length_class(n)).withColumn("c", F.explode(F.sequence(_length_class(F.ceil(n * jac - 1e-9)), _length_class(F.floor(n / jac + 1e-9)))))
-    room = n - _least_shared(n, F.greatest(_class_floor(F.col("c")), F.ceil(n * jac - 1e-9)), jac) + 1
-    met = F.slice("words", (F.col("ones") + 1).cast("int"), F.greatest(room - F.col("ones"), F.lit(0)).cast("int"))  # words of one title only come first and meet nothing
-    w = w.select("day", "id", "n", "own", "c", "ones", F.posexplode(met).alias("at", "t")).withColumn("at", (F.col("at") + F.col("ones")).cast("int"))
-    w = w.select("day", F.concat_ws(":", F.col("t").cast("string"), F.least("own", "c").cast("string"), F.greatest("own", "c").cast("string")).alias("key"), "id", "n", "at")
-    own = w.unionByName(heads).withColumn("_b", F.floor(F.col("id") / 65536))
-    counts = own.groupBy("day", "key", "_b").agg(F.count(F.lit(1)).alias("_n"))
-    k = W.partitionBy("day", "key")
-    offs = counts.withColumn("_off", F.sum("_n").over(k.orderBy("_b").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("_n")).withColumn("_all", F.sum("_n").over(k))
-    own = own.join(offs.filter("_all > 1").select("day", "key", "_b", "_off"), ["day", "key", "_b"])
-    rank = F.row_number().over(W.partitionBy("day", "key", "_b").orderBy("id")) - 1 + F.col("_off")
-    return own.withColumn("rank", rank).select("day", "key", "id", "n", "at", "rank")
+    whole = blocks.agg(F.sum("size").alias("size"), F.max("levels").alias("levels")).first()
+    bits = max(5, ((whole["size"] or 0) >> 20).bit_length())
+    rare = cut(blocks.mapInArrow(packed.seen(bits), packed.SEEN).groupBy("part").applyInArrow(packed.rarity, packed.RARITY), "rarity")
+    each = blocks.join(rare.groupBy("g").agg(F.collect_list(F.struct("part", "q")).alias("rarity")), "g")
+    keys = cut(each.mapInArrow(packed.met(bits + 1, jac, whole["levels"] or 0), packed.ENTRIES).groupBy("part").applyInArrow(packed.ranks, packed.KEYS), "keys")
+    discard(rare)
+    return keys
 
 
 def _can_match(jac):
     """Of a pair met at a key: lengths fit, and both have enough words from there on."""
-    need = _least_shared(F.col("n"), F.col("m"), jac)
+    need = F.ceil(jac / (1 + jac) * (F.col("n") + F.col("m")) - 1e-9)
     word = (F.col("n") >= jac * F.col("m") - 1e-9) & (F.col("m") >= jac * F.col("n") - 1e-9) & (F.col("n") - F.col("at") >= need) & (F.col("m") - F.col("rep_at") >= need)
-    return F.col("at").isNull() | word
+    return (F.col("id") != F.col("rep")) & (F.col("at").isNull() | word)
 
 
-def _matching(pairs, texts, titles, jac):
-    """Pairs (id, rep) whose titles do match, compared whole. Words are compared as numbers; whole titles go along only with pairs that begin alike."""
-    pairs = _beside(cut(pairs, "met"), texts.select("id", "words", "head"))
-    inter = F.size(F.array_intersect("words", "words_rep"))
-    same = inter >= jac * (F.size("words") + F.size("words_rep") - inter)
-    alike = F.coalesce((F.length("head") >= 20) & (F.col("head") == F.col("head_rep")), F.lit(False))
-    pairs = cut(pairs.select("id", "rep", same.alias("same"), alike.alias("alike")).filter("same OR alike"), "pairs")
-    begun = _beside(pairs.filter("NOT same").select("id", "rep"), titles.select("id", "k"))
-    head = (F.length("k") >= 20) & (F.length("k_rep") >= 20) & (F.col("k").startswith(F.col("k_rep")) | F.col("k_rep").startswith(F.col("k")))
-    return pairs.filter("same").select("id", "rep").unionByName(begun.filter(head).select("id", "rep"))
+def _matching(pairs, signed, titles, jac):
+    """Pairs (id, rep) whose titles do match, of pairs met (id, rep, at) at a word or, without ``at``, at a beginning.
 
-
-def _beside(pairs, values):
-    """Pairs with the values of both; only rows of ``values`` that a pair names are moved."""
-    named = values.join(pairs.select("id").unionByName(pairs.select(F.col("rep").alias("id"))).distinct(), "id", "left_semi")
-    other = named.select(F.col("id").alias("rep"), *[F.col(c).alias(f"{c}_rep") for c in values.columns if c != "id"])
-    return pairs.join(named, "id").join(other, "rep")
+    Titles are compared whole. Of pairs met at a word only those go there that signatures (``packed.apart``) leave open.
+    """
+    met = cut(pairs.groupBy("id", "rep").agg(F.max(F.col("at").isNotNull()).alias("word"), F.max(F.col("at").isNull()).alias("head")), "met")
+    other = lambda df: df.select(F.col("id").alias("rep"), *[F.col(c).alias(f"{c}_rep") for c in df.columns if c != "id"])
+    near = met.filter("word").join(signed, "id").join(other(signed), "rep").select("id", "rep", "n", "sig", "n_rep", "sig_rep").mapInArrow(packed.near(jac), "id bigint, rep bigint")
+    flags = lambda df, same: df.select("id", "rep", F.lit(same).alias("same"), F.lit(not same).alias("alike"))
+    pairs = cut(flags(near, True).unionByName(flags(met.filter("head"), False)), "pairs")  # same: their words may be; alike: one may begin the other
+    ids = cut(pairs.select("id").unionByName(pairs.select(F.col("rep").alias("id"))).distinct(), "ids")  # only their titles are moved
+    named = titles.join(ids, "id", "left_semi")
+    words = lambda c: F.array_distinct(F.split(c, " "))
+    shared = F.size(F.array_intersect(words("k"), words("k_rep")))
+    same = shared >= jac * (F.size(words("k")) + F.size(words("k_rep")) - shared)
+    begun = (F.length("k") >= 20) & (F.length("k_rep") >= 20) & (F.col("k").startswith(F.col("k_rep")) | F.col("k_rep").startswith(F.col("k")))
+    both = pairs.join(named, "id").join(other(named), "rep").filter("day = day_rep")
+    return both.filter(F.when(F.col("same"), same).otherwise(begun)).select("id", "rep").distinct()
 
 
 def near_duplicates(items, jac=0.6, growth=GROWTH):
     """Greedy grouping of similar titles per day: in (time, id) order each title joins the earliest representative it
     resembles (word-set Jaccard >= jac, or one a prefix of the other with >= 20 characters), else it starts a group.
 
-    ``items``: (id, day, source, title). Equal titles of a day collapse first. Titles meet at keys (``_keys``) and each is compared with the
+    ``items``: (id, day, source, title). Equal titles of a day collapse first (by SHA-256). Titles meet at keys (``_keys``) and each is compared with the
     titles before it at its keys, earliest first: ``growth`` of them, then ``growth`` times as many, and so on. A title that matches an undecided
     one waits for it, so a crowd of near copies meets its first member and nothing else; a title that has met all before it and matches no
     representative is one. Who is one is thus the lexicographically first independent set of the matches, found in few rounds without listing them.
     """
+    with tidy(items.sparkSession):
+        return _grouped(items, jac, growth)
+
+
+def _grouped(items, jac, growth):
     it = items.withColumn("_t", tx.tokens(tx.strip_outlet(F.col("title")))).select("day", "id", "source", F.array_join("_t", " ").alias("k"))
-    it = cut(it, "words")  # tokenised once; several passes follow
-    named = it.filter("k <> ''").select("day", "id", "source", "k")
-    uniq = cut(it.filter("k <> ''").groupBy("day", "k").agg(F.min("id").alias("id")), "titles")
-    words = uniq.select("day", "id", F.explode(F.array_distinct(F.split("k", " "))).alias("t"))  # tokens hold no blank
-    terms = cut(words.groupBy("day", "t").agg(F.count(F.lit(1)).alias("f")).withColumn("number", F.monotonically_increasing_id()), "terms")
-    ranked = words.join(terms, ["day", "t"]).groupBy("day", "id").agg(F.sort_array(F.collect_list(F.struct("f", "number"))).alias("a"))
-    texts = cut(ranked.select("id", F.col("a.number").alias("words"), F.size("a").cast("bigint").alias("n"), F.size(F.filter("a", lambda x: x["f"] == 1)).alias("ones")).join(uniq.select("day", "id", F.substring("k", 1, 20).alias("head")), "id"), "texts")
-    heads = texts.filter(F.length("head") >= 20).select("day", F.concat(F.lit("p:"), "head").alias("key"), "id", "n", F.lit(None).cast("int").alias("at"))
-    keys = cut(_keys(texts, heads, jac), "keys")
-    met = keys.select("day", "key", F.col("rank").alias("seen"), F.col("id").alias("rep"), F.col("n").alias("m"), F.col("at").alias("rep_at"))
+    it = cut(it, "words")  # tokenised once
+    digest = F.unhex(F.sha2("k", 256)).alias("h")
+    named = cut(it.select("day", "id", "source", (F.col("k") == "").alias("blank"), digest).filter("blank IS NOT NULL"), "named")
+    firsts = cut(named.filter("NOT blank").groupBy("day", "h").agg(F.min("id").alias("id")), "firsts")
+    whole = "id IS NOT NULL AND day IS NOT NULL"
+    uniq = it.filter("k <> ''").select("day", "id", "k", digest).groupBy("day", "h").agg(F.min("id").alias("id"), F.first("k").alias("k"))
+    titles = cut(uniq.filter(whole).select("day", "id", "k"), "titles")
+    discard(it)
+    blocks = _blocks(titles)
+    keys = _keys(blocks, jac)
+    signed = cut(blocks.mapInArrow(packed.signatures, "id bigint, n bigint, sig binary"), "texts")
+    discard(blocks)
+    met = keys.select("key", F.col("rank").alias("seen"), F.col("id").alias("rep"), F.col("n").alias("m"), F.col("at").alias("rep_at"))
     since = lambda c: F.floor(growth * (F.pow(F.lit(float(growth)), c) - 1) / (growth - 1)) if growth > 1 else c
 
     # 0 undecided, 1 representative, 2 duplicate; c: steps made; top: the most titles before it at a key; wait: it matches an undecided one
     top = keys.groupBy("id").agg(F.max("rank").alias("top"))
-    state = texts.select("id").join(top, "id", "left").select("id", F.when(F.coalesce("top", F.lit(0)) == 0, 1).otherwise(0).alias("s"), F.lit(0).alias("c"), F.coalesce("top", F.lit(0)).alias("top"), F.lit(False).alias("wait"))
+    state = firsts.filter(whole).select("id").distinct().join(top, "id", "left").select("id", F.when(F.coalesce("top", F.lit(0)) == 0, 1).otherwise(0).alias("s"), F.lit(0).alias("c"), F.coalesce("top", F.lit(0)).alias("top"), F.lit(False).alias("wait"))
     state, edges = cut(state, "state"), None
     while True:
         moves = (F.col("s") == 0) & ~F.col("wait") & (since(F.col("c")) < F.col("top"))
@@ -180,9 +170,9 @@ def near_duplicates(items, jac=0.6, growth=GROWTH):
         if left["moves"]:
             go = state.filter(moves).select("id", since(F.col("c")).cast("bigint").alias("lo"), since(F.col("c") + 1).cast("bigint").alias("hi"))
             probe = keys.join(go, "id").withColumn("hi", F.least("hi", "rank")).filter("lo < hi").withColumn("seen", F.explode(F.sequence("lo", F.col("hi") - 1)))
-            pairs = probe.join(met, ["day", "key", "seen"]).filter(_can_match(jac)).select("id", "rep").distinct()
+            pairs = probe.join(met, ["key", "seen"]).filter(_can_match(jac)).select("id", "rep", "at")
             pairs = pairs.join(state.filter("s < 2").select(F.col("id").alias("rep")), "rep", "left_semi")
-            found = cut(_matching(pairs, texts, uniq, jac), "edges")
+            found = cut(_matching(pairs, signed, titles, jac), "edges")
             edges = found if edges is None else edges.unionByName(found)
         status = edges.join(state.select(F.col("id").alias("rep"), F.col("s").alias("rs")), "rep").groupBy("id").agg(
             F.max((F.col("rs") == 1).cast("int")).alias("dup"), F.max((F.col("rs") == 0).cast("int")).alias("open"))
@@ -191,20 +181,23 @@ def near_duplicates(items, jac=0.6, growth=GROWTH):
         state = cut(t.select("id", new.alias("s"), "c", "top", "wait"), "state")
 
     # a duplicate goes to its earliest matching representative; one that it has not met yet may stand before the one it has
-    owner = uniq.select("day", "k", F.col("id").alias("node"))
+    owner = firsts.withColumnRenamed("id", "node")
     if edges is None:
         owner = owner.withColumn("rep", F.col("node"))
     else:
         reps = state.filter("s = 1").select(F.col("id").alias("rep"))
         best = edges.join(reps, "rep", "left_semi").groupBy("id").agg(F.min("rep").alias("best"))
         late = state.filter("s = 2").select("id", since(F.col("c")).cast("bigint").alias("lo")).join(best, "id")
-        more = keys.join(late, "id").join(met.join(reps, "rep", "left_semi"), ["day", "key"]).filter((F.col("seen") >= F.col("lo")) & (F.col("rep") < F.col("best")) & _can_match(jac))
-        more = _matching(more.select("id", "rep").distinct(), texts, uniq, jac)
+        more = keys.join(late, "id").join(met.join(reps, "rep", "left_semi"), "key").filter((F.col("seen") >= F.col("lo")) & (F.col("rep") < F.col("best")) & _can_match(jac))
+        more = _matching(more.select("id", "rep", "at"), signed, titles, jac)
         to = best.withColumnRenamed("best", "rep").unionByName(more).groupBy("id").agg(F.min("rep").alias("rep"))
-        owner = owner.join(to.withColumnRenamed("id", "node"), "node", "left").select("day", "k", "node", F.coalesce("rep", "node").alias("rep"))
-    owner = owner.select("day", "k", "rep")
-    named_g = named.join(owner, ["day", "k"]).select("day", "id", "source", "rep")
-    blank = it.filter("k = ''").select("day", "id", "source", F.col("id").alias("rep"))
+        owner = owner.join(to.withColumnRenamed("id", "node"), "node", "left").select("day", "h", "node", F.coalesce("rep", "node").alias("rep"))
+    owner = cut(owner.select("day", "h", "rep"), "owner")
+    discard(keys)
+    discard(signed)
+    discard(titles)
+    named_g = named.filter("NOT blank").join(owner, ["day", "h"]).select("day", "id", "source", "rep")
+    blank = named.filter("blank").select("day", "id", "source", F.col("id").alias("rep"))
     allg = named_g.unionByName(blank)
     dup = F.when(F.col("id") != F.col("rep"), F.col("source"))
     return allg.groupBy("day", "rep").agg((F.count(F.lit(1)) - 1).alias("dup_n"), F.array_join(F.array_sort(F.collect_set(dup)), ",").alias("dup_sources"))

@@ -1,5 +1,6 @@
 """Session settings the library relies on, and the shared folder for checkpoints and streaming state."""
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -79,6 +80,21 @@ def discard(df):
             _delete(df.sparkSession, own[0])
 
 
+@contextlib.contextmanager
+def tidy(spark):
+    """What is written in here is packed more tightly, and its shuffle files go when it is written; else they stay until the driver happens to collect its garbage."""
+    own = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.parquet.compression.codec": "zstd"}
+    old = {k: spark.conf.get(k, None) for k in own}
+    put = lambda k, v: spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    for k, v in own.items():
+        put(k, v)
+    try:
+        yield
+    finally:
+        for k, v in old.items():
+            put(k, v)
+
+
 def cut(df, name="cut"):
     """Write a result to the shared folder and read it back: a lineage cut that survives lost executors."""
     spark = df.sparkSession

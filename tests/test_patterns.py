@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tapeline.operators import chain as C
+from tapeline.operators import packed
 from tapeline.operators import patterns as P
 from tapeline.operators import rolling as R
 from tapeline.operators import select as SL
@@ -237,3 +238,53 @@ def test_near_duplicates_under_a_frequent_word(spark):
     d = spark.createDataFrame(rows, "day date, id bigint, title string").withColumn("source", F.lit("s"))
     got = {r["rep"]: r["dup_n"] for r in SL.near_duplicates(d).collect()}
     assert got == {**dict.fromkeys(range(10_000), 0), 20_000: 999}
+
+
+def test_near_duplicates_leave_no_shuffle_files(spark):
+    """What a step has shuffled goes with the step, and only titles, words' hashes and keys are written."""
+    rows = [(dt.date(2024, 1, 1), i, " ".join(f"w{(i * 7 + j * j) % 900}" for j in range(40))) for i in range(300)]
+    d = spark.createDataFrame(rows, "day date, id bigint, title string").withColumn("source", F.lit("s"))
+    files = lambda: sum(f.getName().startswith("shuffle_") for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()))
+    conf = {k: spark.conf.get(k, None) for k in ("spark.sql.parquet.compression.codec", "spark.sql.classic.shuffleDependency.fileCleanup.enabled")}
+    before = files()
+    got = SL.near_duplicates(d)
+    assert files() <= before and conf == {k: spark.conf.get(k, None) for k in conf}
+    assert {(r["day"], r["rep"]): r["dup_n"] for r in got.collect()} == title_scan(rows)
+
+
+def test_titles_that_match_meet_at_a_key_and_in_their_signatures():
+    """Over blocks and parts: pairs of 0.6 or more share a key whose places leave enough words, and their signatures differ in no more bits than words."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    pool = rng.integers(0, 2**64, 400, dtype=np.uint64)
+    sets = [np.sort(rng.choice(pool[: rng.integers(30, 400)], n, replace=False)) for n in rng.integers(1, 60, 60)]
+    sets += [np.sort(np.concatenate([rng.choice(s, max(1, int(len(s) * 0.8)), replace=False), rng.integers(0, 2**64, 2, dtype=np.uint64)])) for s in sets]
+
+    def block(g, ids):
+        none = np.zeros(len(ids), "<i4").tobytes()
+        ns = np.array([len(sets[i]) for i in ids], "<i4").tobytes()
+        return {"g": g, "ids": np.array(ids, "<i8").tobytes(), "ns": ns, "words": packed.steps(np.concatenate([sets[i] for i in ids]), 8), "heads": b"", "hs": none}
+
+    blocks = [block(g, list(range(g, len(sets), 3))) for g in range(3)]
+    batch = lambda rows: iter([pa.RecordBatch.from_pylist(rows)])
+    by_part = lambda bs: [pa.Table.from_pylist(v) for v in {p: [r for r in rows if r["part"] == p] for rows in [[r for b in bs for r in b.to_pylist()]] for p in {r["part"] for r in rows}}.values()]
+    rare = [r for t in by_part(packed.seen(5)(batch(blocks))) for r in packed.rarity(t).to_pylist()]
+    blocks = [b | {"rarity": [r for r in rare if r["g"] == b["g"]]} for b in blocks]
+    keys = [r for t in by_part(packed.met(6, 0.6, 0)(batch(blocks))) for r in packed.ranks(t).to_pylist()]
+    at = {}
+    for r in keys:
+        at.setdefault(r["key"], []).append(r)
+    assert all(sorted(x["rank"] for x in v) == list(range(len(v))) and len(v) > 1 and [x["id"] for x in sorted(v, key=lambda x: x["rank"])] == sorted(x["id"] for x in v) for v in at.values())
+    enough = lambda a, b, need: a["n"] - a["at"] >= need and b["n"] - b["at"] >= need
+    meet = {(a["id"], b["id"]) for v in at.values() for a in v for b in v if enough(a, b, packed.least_shared(a["n"], b["n"], 0.6))}
+    sigs = {r["id"]: r["sig"] for b in packed.signatures(batch(blocks)) for r in b.to_pylist()}
+    alike = 0
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            inter = len(np.intersect1d(a, b))
+            assert packed.apart(sigs[i], sigs[j]) <= len(a) + len(b) - 2 * inter
+            if i != j and inter >= 0.6 * (len(a) + len(b) - inter):
+                assert (i, j) in meet
+                alike += 1
+    assert alike > 60
