@@ -17,7 +17,10 @@ BLOCKS = "g bigint, size bigint, levels int, ids binary, ns binary, words binary
 SEEN = "part int, g bigint, u binary, f binary"
 RARITY = "g bigint, part int, q binary"
 ENTRIES = "part int, key binary, id binary, n binary, at binary"
-KEYS = "key bigint, id bigint, n bigint, at int, rank bigint"
+PREFIXES = "ids binary, ns binary, words binary, ones binary, kept binary, heads binary, hs binary"
+MET = "key bigint, id bigint, n bigint, at int, rank bigint, rep bigint"
+#: Pairs that a task looks at together.
+PAIRS = 1 << 20
 
 
 def planes(a, width):
@@ -137,18 +140,35 @@ def _each(counts):
     return which, np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
+def prefixes(jac):
+    """Blocks with only those words of a title that can be keys: rarest first, without those of one title only, as many as the shortest match leaves."""
+
+    def run(batches):
+        for b in batches:
+            for row in b.to_pylist():
+                _, ns, words, _, _ = unpack(row)
+                n = ns.astype(np.int64)
+                _, inv = np.unique(words, return_inverse=True)
+                q = np.frombuffer(b"".join(x["q"] for x in sorted(row["rarity"], key=lambda x: x["part"])), np.uint8)[inv]
+                title = np.repeat(np.arange(len(n)), n)
+                ones = np.bincount(title[q == 0], minlength=len(n))
+                room = n - least_shared(n, np.ceil(n * jac - 1e-9), jac).astype(np.int64) + 1
+                kept = np.maximum(np.minimum(room, n) - ones, 0)
+                words = words[np.lexsort((words, q, title))]
+                which, i = _each(kept)
+                words = words[(np.cumsum(n) - n + ones)[which] + i]
+                yield _batch([{c: row[c] for c in ("ids", "ns", "heads", "hs")} | {"words": words.tobytes(), "ones": ones.astype("<i4").tobytes(), "kept": kept.astype("<i4").tobytes()}], PREFIXES)
+
+    return run
+
+
 def entries(row, jac, levels):
     """(key, title, at) of a block. A key is a word with the length classes of both titles; a title has one for each class it can match and each
     place where the rest of it, rarest words first, is still long enough; ``at`` is that place. Words of one title only come first and meet nothing.
     Other keys (``at`` -1) are beginnings of 20, 40, 80, ... characters: of two titles one can only begin the other if they agree on the longest
     of these that both have, so it goes with both titles' numbers of beginnings."""
-    _, ns, words, heads, hs = unpack(row)
-    n = ns.astype(np.int64)
-    u, inv = np.unique(words, return_inverse=True)
-    q = np.frombuffer(b"".join(x["q"] for x in sorted(row["rarity"], key=lambda x: x["part"])), np.uint8)[inv]
-    title = np.repeat(np.arange(len(n)), n)
-    ones = np.bincount(title[q == 0], minlength=len(n))
-    words = words[np.lexsort((words, q, title))]
+    n, ones, kept, h = (np.frombuffer(row[c], "<i4").astype(np.int64) for c in ("ns", "ones", "kept", "hs"))
+    words, heads = (np.frombuffer(row[c], "<u8") for c in ("words", "heads"))
     low = np.ceil(n * jac - 1e-9)
     first = _length_class(low)
     t, i = _each(_length_class(np.floor(n / jac + 1e-9)) - first + 1)
@@ -156,49 +176,77 @@ def entries(row, jac, levels):
     room = n[t] - least_shared(n[t], np.maximum(_class_floor(c), low[t]), jac).astype(np.int64) + 1
     e, i = _each(np.maximum(np.minimum(room, n[t]) - ones[t], 0))
     t, c = t[e], c[e]
-    at = ones[t] + i
-    key = _mix(words[(np.cumsum(n) - n)[t] + at], np.minimum(own[t], c), np.maximum(own[t], c))
-    h = hs.astype(np.int64)
+    key = _mix(words[(np.cumsum(kept) - kept)[t] + i], np.minimum(own[t], c), np.maximum(own[t], c))
     ht, hl = _each(np.where(h > 0, levels, 0))
     mine = h[ht] - 1
     head = _mix(heads[(np.cumsum(h) - h)[ht] + np.minimum(mine, hl)], np.minimum(mine, hl) + (1 << 20), np.maximum(mine, hl) + (1 << 20))
-    return np.concatenate([key, head]), np.concatenate([t, ht]), np.concatenate([at, np.full(len(ht), -1)])
+    return np.concatenate([key, head]), np.concatenate([t, ht]), np.concatenate([ones[t] + i, np.full(len(ht), -1)])
 
 
-def met(bits, jac, levels):
+def sent(bits, jac, levels):
     """Entries of each block by part."""
 
     def run(batches):
         for b in batches:
             for row in b.to_pylist():
-                ids, ns = unpack(row)[:2]
+                ids, ns = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["ns"], "<i4")
                 key, t, at = entries(row, jac, levels)
                 o = np.argsort(key)
                 key, t, at = key[o], t[o], at[o]
                 short = key << np.uint64(bits) >> np.uint64(32)
                 for p, i, j in _spans(key, bits):
-                    s = t[i:j]
-                    yield _batch([{"part": p, "key": steps(short[i:j], 4), "id": planes(ids[s], 8), "n": planes(ns[s], 4), "at": planes(at[i:j] + 1, 4)}], ENTRIES)
+                    x = t[i:j]
+                    yield _batch([{"part": p, "key": steps(short[i:j], 4), "id": planes(ids[x], 8), "n": planes(ns[x], 4), "at": planes(at[i:j] + 1, 4)}], ENTRIES)
 
     return run
 
 
-def ranks(table):
-    """Of a part the entries at keys that more than one entry has, with their place in the key by id. 32 bits and the part tell keys apart; two that
-    fall together bring pairs that don't match."""
-    import pyarrow as pa
+def can_match(n, at, m, rep_at, jac):
+    """Of pairs met at a key: at a beginning (-1), or lengths fit and both have enough words from there on."""
+    need = least_shared(n, m, jac)
+    word = (at >= 0) & (rep_at >= 0) & (n >= jac * m - 1e-9) & (m >= jac * n - 1e-9) & (n - at >= need) & (m - rep_at >= need)
+    return word | (at < 0) & (rep_at < 0)
+
 
-    part = table["part"][0].as_py()
-    key = np.concatenate([walked(x, 4) for x in table["key"].to_pylist()]).view("<i8")
-    ids, n, at = (np.concatenate([whole(x, w) for x in table[c].to_pylist()]) for c, w in (("id", 8), ("n", 4), ("at", 4)))
-    o = np.lexsort((at, ids, key))
-    key, ids, n, at = key[o], ids[o], n[o], at[o]
-    new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    run = np.diff(np.append(new, len(key)))
-    rank = np.arange(len(key)) - np.repeat(new, run)
-    keep = np.repeat(run > 1, run)
-    key, ids, n, at, rank = (x[keep] for x in (key, ids, n, at, rank))
-    return pa.table({"key": key | part << 32, "id": ids, "n": n, "at": pa.array((at - 1).astype(np.int32), mask=at == 0), "rank": rank})
+def meet(jac, first):
+    """For a part: pairs (id, rep, ``at`` null at a beginning) of each title with the ``first`` titles before it by id at a key that can match, and
+    the entries behind those with their place in the key, where there are more. 32 bits and the part tell keys apart; two that fall together bring
+    pairs that don't match."""
+
+    def run(table):
+        import pyarrow as pa
+
+        part = table["part"][0].as_py()
+        key = np.concatenate([walked(x, 4) for x in table["key"].to_pylist()]).view("<i8")
+        ids, n, at = (np.concatenate([whole(x, w) for x in table[c].to_pylist()]) for c, w in (("id", 8), ("n", 4), ("at", 4)))
+        o = np.lexsort((at, ids, key))
+        key, ids, n, at = key[o], ids[o], n[o], at[o] - 1
+        new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff(np.append(new, len(key)))
+        begin, size = np.repeat(new, size), np.repeat(size, size)
+        rank = np.arange(len(key)) - begin
+        counts = np.minimum(rank, first)
+        total, found, i = np.cumsum(counts), [np.zeros((0, 3), np.int64)], 0
+        while i < len(key):
+            j = max(i + 1, int(np.searchsorted(total, total[i] - counts[i] + PAIRS, "right")))
+            e, k = _each(counts[i:j])
+            e += i
+            r = begin[e] + k
+            ok = (ids[e] != ids[r]) & can_match(n[e], at[e], n[r], at[r], jac)
+            e, r = e[ok], r[ok]
+            found, i = [*found, np.stack([ids[e], ids[r], np.minimum(at[e], 0)], 1)], j
+        pairs = np.concatenate(found)
+        pairs = pairs[np.lexsort(pairs.T)]
+        pairs = pairs[np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(1)])] if len(pairs) else pairs
+        more = (size > first + 1) & (rank >= first)
+        key, ids, n, at, rank = (x[more] for x in (key | part << 32, ids, n, at, rank))
+        null = lambda m, t: pa.nulls(m, t)
+        places = lambda x: pa.array(x.astype(np.int32), mask=x < 0)
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+        columns = [[null(len(pairs), kinds[0]), pairs[:, 0], null(len(pairs), kinds[2]), places(pairs[:, 2]), null(len(pairs), kinds[4]), pairs[:, 1]], [key, ids, n, places(at), rank, null(len(key), kinds[5])]]
+        return pa.concat_tables([pa.table([pa.array(x) if isinstance(x, np.ndarray) else x for x in c], [x.split()[0] for x in MET.split(", ")]) for c in columns])
+
+    return run
 
 
 def signatures(batches):

@@ -1,5 +1,8 @@
 """Top-k, gated choice, Pareto sets, set operations and near-duplicate titles."""
 
+import functools
+import math
+
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -86,8 +89,8 @@ def _blocks(titles):
     return cut(titles.select("id", words.alias("words"), heads.alias("heads")).mapInArrow(packed.pack, packed.BLOCKS), "blocks")
 
 
-def _keys(blocks, jac):
-    """(key, id, n, at, rank): where a title can be met (``packed.entries``); keys met once are out.
+def _met(blocks, jac, first):
+    """(id, rep, at): of each title the ``first`` titles before it at its keys; and (key, id, n, at, rank): keys that have more (``packed.meet``).
 
     Two titles that match share so many words that the first one they share, in order of rarity, stands early in both. How rare words are is found
     from the blocks' own counts; each block gets a byte for each of its words back.
@@ -96,9 +99,12 @@ def _keys(blocks, jac):
     bits = max(5, ((whole["size"] or 0) >> 20).bit_length())
     rare = cut(blocks.mapInArrow(packed.seen(bits), packed.SEEN).groupBy("part").applyInArrow(packed.rarity, packed.RARITY), "rarity")
     each = blocks.join(rare.groupBy("g").agg(F.collect_list(F.struct("part", "q")).alias("rarity")), "g")
-    keys = cut(each.mapInArrow(packed.met(bits + 1, jac, whole["levels"] or 0), packed.ENTRIES).groupBy("part").applyInArrow(packed.ranks, packed.KEYS), "keys")
+    kept = cut(each.mapInArrow(packed.prefixes(jac), packed.PREFIXES), "prefixes")
     discard(rare)
-    return keys
+    discard(blocks)
+    met = cut(kept.mapInArrow(packed.sent(bits + 1, jac, whole["levels"] or 0), packed.ENTRIES).groupBy("part").applyInArrow(packed.meet(jac, first), packed.MET), "keys")
+    discard(kept)
+    return met.filter("rep IS NOT NULL").select("id", "rep", "at"), met.filter("rep IS NULL").drop("rep")
 
 
 def _can_match(jac):
@@ -115,24 +121,31 @@ def _matching(pairs, signed, titles, jac):
     """
     met = cut(pairs.groupBy("id", "rep").agg(F.max(F.col("at").isNotNull()).alias("word"), F.max(F.col("at").isNull()).alias("head")), "met")
     other = lambda df: df.select(F.col("id").alias("rep"), *[F.col(c).alias(f"{c}_rep") for c in df.columns if c != "id"])
-    near = met.filter("word").join(signed, "id").join(other(signed), "rep").select("id", "rep", "n", "sig", "n_rep", "sig_rep").mapInArrow(packed.near(jac), "id bigint, rep bigint")
+    sized = signed.count()
+    part = lambda df, rows: [df.filter(F.pmod(F.xxhash64("id", "rep"), F.lit(k)) == i) for k in [math.ceil(df.count() / max(1, rows)) or 1] for i in range(k)]
     flags = lambda df, same: df.select("id", "rep", F.lit(same).alias("same"), F.lit(not same).alias("alike"))
-    pairs = cut(flags(near, True).unionByName(flags(met.filter("head"), False)), "pairs")  # same: their words may be; alike: one may begin the other
-    ids = cut(pairs.select("id").unionByName(pairs.select(F.col("rep").alias("id"))).distinct(), "ids")  # only their titles are moved
-    named = titles.join(ids, "id", "left_semi")
+    pairs = [cut(flags(met.filter("head"), False), "pairs")]  # same: their words may be; alike: one may begin the other
+    for some in part(met.filter("word"), 4 * sized):  # what moves at once follows the titles, not the pairs
+        near = some.join(signed, "id").join(other(signed), "rep").select("id", "rep", "n", "sig", "n_rep", "sig_rep").mapInArrow(packed.near(jac), "id bigint, rep bigint")
+        pairs.append(cut(flags(near, True), "pairs"))
     words = lambda c: F.array_distinct(F.split(c, " "))
     shared = F.size(F.array_intersect(words("k"), words("k_rep")))
     same = shared >= jac * (F.size(words("k")) + F.size(words("k_rep")) - shared)
     begun = (F.length("k") >= 20) & (F.length("k_rep") >= 20) & (F.col("k").startswith(F.col("k_rep")) | F.col("k_rep").startswith(F.col("k")))
-    both = pairs.join(named, "id").join(other(named), "rep").filter("day = day_rep")
-    return both.filter(F.when(F.col("same"), same).otherwise(begun)).select("id", "rep").distinct()
+    out = []
+    for some in part(functools.reduce(lambda a, b: a.unionByName(b), pairs), sized):
+        ids = cut(some.select("id").unionByName(some.select(F.col("rep").alias("id"))).distinct(), "ids")  # only their titles are moved
+        named = titles.join(ids, "id", "left_semi")
+        both = some.join(named, "id").join(other(named), "rep").filter("day = day_rep")
+        out.append(cut(both.filter(F.when(F.col("same"), same).otherwise(begun)).select("id", "rep"), "edges"))
+    return functools.reduce(lambda a, b: a.unionByName(b), out).distinct()
 
 
 def near_duplicates(items, jac=0.6, growth=GROWTH):
     """Greedy grouping of similar titles per day: in (time, id) order each title joins the earliest representative it
     resembles (word-set Jaccard >= jac, or one a prefix of the other with >= 20 characters), else it starts a group.
 
-    ``items``: (id, day, source, title). Equal titles of a day collapse first (by SHA-256). Titles meet at keys (``_keys``) and each is compared with the
+    ``items``: (id, day, source, title). Equal titles of a day collapse first (by SHA-256). Titles meet at keys (``packed.entries``) and each is compared with the
     titles before it at its keys, earliest first: ``growth`` of them, then ``growth`` times as many, and so on. A title that matches an undecided
     one waits for it, so a crowd of near copies meets its first member and nothing else; a title that has met all before it and matches no
     representative is one. Who is one is thus the lexicographically first independent set of the matches, found in few rounds without listing them.
@@ -152,16 +165,22 @@ def _grouped(items, jac, growth):
     titles = cut(uniq.filter(whole).select("day", "id", "k"), "titles")
     discard(it)
     blocks = _blocks(titles)
-    keys = _keys(blocks, jac)
     signed = cut(blocks.mapInArrow(packed.signatures, "id bigint, n bigint, sig binary"), "texts")
-    discard(blocks)
+    pairs, keys = _met(blocks, jac, growth)
+    edges = cut(_matching(pairs, signed, titles, jac), "edges")
     met = keys.select("key", F.col("rank").alias("seen"), F.col("id").alias("rep"), F.col("n").alias("m"), F.col("at").alias("rep_at"))
     since = lambda c: F.floor(growth * (F.pow(F.lit(float(growth)), c) - 1) / (growth - 1)) if growth > 1 else c
 
-    # 0 undecided, 1 representative, 2 duplicate; c: steps made; top: the most titles before it at a key; wait: it matches an undecided one
+    # 0 undecided, 1 representative, 2 duplicate; c: steps made; top: the most titles before it at a key, if more than one step's; wait: it matches an undecided one
+    def settled(state):
+        status = edges.join(state.select(F.col("id").alias("rep"), F.col("s").alias("rs")), "rep").groupBy("id").agg(
+            F.max((F.col("rs") == 1).cast("int")).alias("dup"), F.max((F.col("rs") == 0).cast("int")).alias("open"))
+        t = state.join(status, "id", "left").withColumn("wait", F.coalesce(F.col("open") == 1, F.lit(False)))
+        new = F.when(F.col("s") != 0, F.col("s")).when(F.col("dup") == 1, 2).when(~F.col("wait") & (since(F.col("c")) >= F.col("top")), 1).otherwise(0)
+        return cut(t.select("id", new.alias("s"), "c", "top", "wait"), "state")
+
     top = keys.groupBy("id").agg(F.max("rank").alias("top"))
-    state = firsts.filter(whole).select("id").distinct().join(top, "id", "left").select("id", F.when(F.coalesce("top", F.lit(0)) == 0, 1).otherwise(0).alias("s"), F.lit(0).alias("c"), F.coalesce("top", F.lit(0)).alias("top"), F.lit(False).alias("wait"))
-    state, edges = cut(state, "state"), None
+    state = settled(signed.select("id").join(top, "id", "left").select("id", F.lit(0).alias("s"), F.lit(1).alias("c"), F.coalesce("top", F.lit(0)).alias("top")))
     while True:
         moves = (F.col("s") == 0) & ~F.col("wait") & (since(F.col("c")) < F.col("top"))
         left = state.agg(F.sum((F.col("s") == 0).cast("int")).alias("left"), F.sum(moves.cast("int")).alias("moves")).first()
@@ -172,27 +191,18 @@ def _grouped(items, jac, growth):
             probe = keys.join(go, "id").withColumn("hi", F.least("hi", "rank")).filter("lo < hi").withColumn("seen", F.explode(F.sequence("lo", F.col("hi") - 1)))
             pairs = probe.join(met, ["key", "seen"]).filter(_can_match(jac)).select("id", "rep", "at")
             pairs = pairs.join(state.filter("s < 2").select(F.col("id").alias("rep")), "rep", "left_semi")
-            found = cut(_matching(pairs, signed, titles, jac), "edges")
-            edges = found if edges is None else edges.unionByName(found)
-        status = edges.join(state.select(F.col("id").alias("rep"), F.col("s").alias("rs")), "rep").groupBy("id").agg(
-            F.max((F.col("rs") == 1).cast("int")).alias("dup"), F.max((F.col("rs") == 0).cast("int")).alias("open"))
-        t = state.join(status, "id", "left").withColumn("c", F.col("c") + moves.cast("int")).withColumn("wait", F.coalesce(F.col("open") == 1, F.lit(False)))
-        new = F.when(F.col("s") != 0, F.col("s")).when(F.col("dup") == 1, 2).when(~F.col("wait") & (since(F.col("c")) >= F.col("top")), 1).otherwise(0)
-        state = cut(t.select("id", new.alias("s"), "c", "top", "wait"), "state")
+            edges = edges.unionByName(cut(_matching(pairs, signed, titles, jac), "edges"))
+        state = settled(state.withColumn("c", F.col("c") + moves.cast("int")))
 
     # a duplicate goes to its earliest matching representative; one that it has not met yet may stand before the one it has
-    owner = firsts.withColumnRenamed("id", "node")
-    if edges is None:
-        owner = owner.withColumn("rep", F.col("node"))
-    else:
-        reps = state.filter("s = 1").select(F.col("id").alias("rep"))
-        best = edges.join(reps, "rep", "left_semi").groupBy("id").agg(F.min("rep").alias("best"))
-        late = state.filter("s = 2").select("id", since(F.col("c")).cast("bigint").alias("lo")).join(best, "id")
-        more = keys.join(late, "id").join(met.join(reps, "rep", "left_semi"), "key").filter((F.col("seen") >= F.col("lo")) & (F.col("rep") < F.col("best")) & _can_match(jac))
-        more = _matching(more.select("id", "rep", "at"), signed, titles, jac)
-        to = best.withColumnRenamed("best", "rep").unionByName(more).groupBy("id").agg(F.min("rep").alias("rep"))
-        owner = owner.join(to.withColumnRenamed("id", "node"), "node", "left").select("day", "h", "node", F.coalesce("rep", "node").alias("rep"))
-    owner = cut(owner.select("day", "h", "rep"), "owner")
+    reps = state.filter("s = 1").select(F.col("id").alias("rep"))
+    best = edges.join(reps, "rep", "left_semi").groupBy("id").agg(F.min("rep").alias("best"))
+    late = state.filter("s = 2").select("id", since(F.col("c")).cast("bigint").alias("lo")).join(best, "id")
+    more = keys.join(late, "id").join(met.join(reps, "rep", "left_semi"), "key").filter((F.col("seen") >= F.col("lo")) & (F.col("rep") < F.col("best")) & _can_match(jac))
+    more = _matching(more.select("id", "rep", "at"), signed, titles, jac)
+    to = best.withColumnRenamed("best", "rep").unionByName(more).groupBy("id").agg(F.min("rep").alias("rep"))
+    owner = firsts.withColumnRenamed("id", "node").join(to.withColumnRenamed("id", "node"), "node", "left").select("day", "h", F.coalesce("rep", "node").alias("rep"))
+    owner = cut(owner, "owner")
     discard(keys)
     discard(signed)
     discard(titles)
